@@ -6,7 +6,7 @@ import importlib
 
 from gradus.plans.registry import ORACLE, QUERIES
 
-MODULES = ("q_rank", "q_text")
+MODULES = ("q_rank", "q_text", "q_score")
 
 for _m in MODULES:
     importlib.import_module(f"gradus.plans.{_m}")
