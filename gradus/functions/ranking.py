@@ -49,22 +49,22 @@ def rank_values(vc: DataFrame, group: str | Sequence[str], value: str, cnt: str
     """
     g = _cols(group)
     key = F.col(value) if not descending else -F.col(value)
-    x = vc.withColumn("_k", key)
+    x = vc.withColumn("__rk", key)
     sizes = x.groupBy(*g).agg(F.count(F.lit(1)).alias("_nd"), F.sum(cnt).alias("n"))
     hot = sizes.filter(F.col("_nd") > hot_threshold).select(*g)
     pct = [i / buckets for i in range(1, buckets)]
     bounds = (x.join(hot, g, "left_semi").groupBy(*g)
-              .agg(F.percentile_approx("_k", pct, 10000).alias("_bnd")))
+              .agg(F.percentile_approx("__rk", pct, 10000).alias("_bnd")))
     x = x.join(bounds, g, "left").withColumn(
-        "_b", F.coalesce(F.size(F.filter("_bnd", lambda t: t < F.col("_k"))), F.lit(0))).drop("_bnd")
+        "_b", F.coalesce(F.size(F.filter("_bnd", lambda t: t < F.col("__rk"))), F.lit(0))).drop("_bnd")
     seg = x.groupBy(*g, "_b").agg(F.sum(cnt).alias("_sc"))
     wseg = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.withColumn("_off", F.coalesce(F.sum("_sc").over(wseg), F.lit(0))).drop("_sc")
     x = x.join(seg, g + ["_b"]).join(sizes.select(*g, "n"), g)
-    w = Window.partitionBy(*g, "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*g, "_b").orderBy("__rk").rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("before", F.col("_off") + F.coalesce(F.sum(cnt).over(w), F.lit(0)))
     return (x.withColumn("avg_rank", F.col("before") + (F.col(cnt) + 1) / F.lit(2.0))
-             .drop("_k", "_b", "_off"))
+             .drop("__rk", "_b", "_off"))
 
 
 def discount_sum_rows(df: DataFrame, start: str, count: str, cuts: dict[str, str | None],

@@ -24,11 +24,17 @@ AMINO = "ACDEFGHIKLMNPQRSTVWY"
 
 
 def log_softmax(vec: Column) -> Column:
-    """P9 (array form): log-probabilities of a logit vector, max-shifted for stability."""
+    """P9 (array form): log-probabilities of a logit vector, max-shifted for stability.
+    Per-row scalars (max, log-sum-exp) are spread with ``array_repeat`` and zipped,
+    so no lambda re-evaluates them per element."""
     v = F.transform(vec, lambda x: x.cast("double"))
-    m = F.array_max(v)
-    lse = m + F.log(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
-    return F.transform(v, lambda x: x - lse)
+    n = F.size(vec)
+    zm = F.arrays_zip(v.alias("x"), F.array_repeat(F.array_max(v), n).alias("m"))
+    lse = F.aggregate(zm, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("m")),
+                      lambda acc, e: F.struct((acc["s"] + F.exp(e["x"] - e["m"])).alias("s"), e["m"].alias("m")),
+                      lambda acc: acc["m"] + F.log(acc["s"]))
+    zl = F.arrays_zip(v.alias("x"), F.array_repeat(lse, n).alias("l"))
+    return F.transform(zl, lambda e: e["x"] - e["l"])
 
 
 def token_index(letter: Column, alphabet: str = AMINO) -> Column:
