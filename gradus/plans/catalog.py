@@ -6,7 +6,7 @@ import importlib
 
 from gradus.plans.registry import ORACLE, QUERIES
 
-MODULES = ("q_rank", "q_text", "q_score", "q_split", "q_loss", "q_vec")
+MODULES = ("q_rank", "q_text", "q_score", "q_split", "q_loss", "q_vec", "q_io")
 
 for _m in MODULES:
     importlib.import_module(f"gradus.plans.{_m}")

@@ -63,6 +63,15 @@ def scan_variants(spark: SparkSession, paths: str | list[str], reference: DataFr
     return df.join(ref, "_file", "inner").drop("_file")
 
 
+def scan_variant_folders(spark: SparkSession, root: str, id_col: str = "dms_id",
+                         schema: StructType = VARIANT_SCHEMA) -> DataFrame:
+    """S2 for a partitioned layout ``<root>/<id_col>=<id>/*.csv``: one scan, the assay id
+    comes from partition discovery (and prunes to the assays a filter asks for)."""
+    full = StructType(list(schema.fields) + [StructField(id_col, LongType())])
+    return spark.read.schema(full).option("header", True) \
+        .option("basePath", root).csv(root)
+
+
 # ------------------------------------------------------------------ S4
 def fasta_lines(seqs: DataFrame, id_col: str, seq: str, desc: str, width: int = 60) -> DataFrame:
     """FASTA text as rows (id, line_no, line): header ``>id description`` then the
