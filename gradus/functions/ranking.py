@@ -1,11 +1,16 @@
 """Rank primitives shared by the metric operators.
 
 ``rank_values`` ranks the *distinct values* of a column inside each group from a
-pre-aggregated value-count table, so ties collapse before any shuffle and a
-group that holds a third of all rows is still split over many tasks: groups
-with more than ``hot_threshold`` distinct values are cut into value buckets at
-approximate quantiles (the quantiles only balance the work; offsets between
-buckets are summed exactly, so the ranks are exact).
+pre-aggregated value-count table, so ties collapse before any shuffle. Plans are
+chosen behind a size check (one small aggregation, like a broadcast-size check):
+
+* no group above the threshold -> one window partitioned by the group;
+* otherwise every group with more than the threshold is cut into value buckets at
+  approximate quantiles, so a group holding a third of all rows is spread over
+  many tasks (the quantiles only balance the work; the offsets between buckets
+  are summed exactly, so the ranks stay exact).
+
+The threshold is ``spark.conf`` ``gradus.hotGroupThreshold`` (default below).
 """
 
 from __future__ import annotations
@@ -16,8 +21,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-HOT_THRESHOLD = 200_000   # distinct values per group before it is split into buckets
-BUCKETS = 512             # value buckets for a hot group
+HOT_THRESHOLD = 2_000_000   # rows / distinct values per group before it is split into buckets
+BUCKETS = 512               # value buckets for a hot group
+
+
+def hot_threshold(df: DataFrame) -> int:
+    v = df.sparkSession.conf.get("gradus.hotGroupThreshold", None)
+    return int(v) if v else HOT_THRESHOLD
+
+
+def any_hot_group(df: DataFrame, group: str | Sequence[str], threshold: int | None = None) -> bool:
+    """Size check (one partial aggregation + a 1-row action): does any group have more
+    than ``threshold`` rows?"""
+    g = _cols(group)
+    t = hot_threshold(df) if threshold is None else threshold
+    return df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > t).limit(1).count() > 0
 
 
 def _cols(x: str | Sequence[str]) -> list[str]:
@@ -28,7 +46,7 @@ def avg_rank_window(df: DataFrame, group: str | Sequence[str], value: str, out:
     """W1 as two windows: ``rank() + (ties-1)/2``. One exchange on the group;
     use when groups are bounded."""
     g = _cols(group)
-    w = Window.partitionBy(*g).orderBy(value)
+    w = Window.partitionBy(*g).orderBy(F.col(value).asc_nulls_last())  # NULLs do not shift ranks
     wt = Window.partitionBy(*g, value)
     return df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(wt) - 1) / F.lit(2.0))
 
@@ -40,20 +58,29 @@ def value_counts(df: DataFrame, group: str | Sequence[str], value: str, *extra:
 
 
 def rank_values(vc: DataFrame, group: str | Sequence[str], value: str, cnt: str = "cnt",
-                descending: bool = False, hot_threshold: int = HOT_THRESHOLD,
+                descending: bool = False, hot: bool | None = None, threshold: int | None = None,
                 buckets: int = BUCKETS) -> DataFrame:
     """Add ``before`` (rows strictly ahead in the order), ``n`` (rows in the group)
     and ``avg_rank`` (1-based average rank of the tie block) to a value-count table.
 
-    ``vc`` has one row per (group, value) with a row count ``cnt``.
+    ``vc`` has one row per (group, value) with a row count ``cnt``. ``hot`` forces
+    the plan (False: one window per group, True: quantile buckets); None checks.
     """
     g = _cols(group)
+    t = hot_threshold(vc) if threshold is None else threshold
     key = F.col(value) if not descending else -F.col(value)
     x = vc.withColumn("__rk", key)
+    if hot is None:
+        hot = any_hot_group(vc, g, t)
+    if not hot:
+        w = Window.partitionBy(*g).orderBy("__rk").rowsBetween(Window.unboundedPreceding, -1)
+        x = x.withColumn("before", F.coalesce(F.sum(cnt).over(w), F.lit(0))) \
+             .withColumn("n", F.sum(cnt).over(Window.partitionBy(*g)))
+        return x.withColumn("avg_rank", F.col("before") + (F.col(cnt) + 1) / F.lit(2.0)).drop("__rk")
     sizes = x.groupBy(*g).agg(F.count(F.lit(1)).alias("_nd"), F.sum(cnt).alias("n"))
-    hot = sizes.filter(F.col("_nd") > hot_threshold).select(*g)
+    hot_g = sizes.filter(F.col("_nd") > t).select(*g)
     pct = [i / buckets for i in range(1, buckets)]
-    bounds = (x.join(hot, g, "left_semi").groupBy(*g)
+    bounds = (x.join(hot_g, g, "left_semi").groupBy(*g)
               .agg(F.percentile_approx("__rk", pct, 10000).alias("_bnd")))
     x = x.join(bounds, g, "left").withColumn(
         "_b", F.coalesce(F.size(F.filter("_bnd", lambda t: t < F.col("__rk"))), F.lit(0))).drop("_bnd")

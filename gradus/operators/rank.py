@@ -16,25 +16,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gradus.functions.ranking import (_cols, avg_rank_window, discount_sum_rows, rank_values,
-                                      value_counts)
+from gradus.functions.ranking import (_cols, any_hot_group, avg_rank_window, discount_sum_rows,
+                                      rank_values, value_counts)
 
 PROPERTIES = ("stability", "binding", "expression", "activity")
 
 
 # ---------------------------------------------------------------- W1 / W2
 def avg_rank(df: DataFrame, group: str | Sequence[str], value: str, out: str = "rank",
-             method: str = "counts") -> DataFrame:
+             method: str = "auto", hot: bool | None = None) -> DataFrame:
     """Average (fractional) rank of ``value`` inside each group; ties share the
-    mean of their positions; NULL values get a NULL rank."""
+    mean of their positions; NULL values get a NULL rank.
+
+    ``auto`` checks group sizes first: bounded groups use two windows over one
+    exchange; a group above the threshold switches to value counts + exact bucket
+    offsets joined back on (group, value) (AQE splits a hot join key)."""
     g = _cols(group)
+    if method not in ("auto", "window", "counts"):
+        raise ValueError(f"unknown rank method: {method}")
+    if method == "auto":
+        if hot is None:
+            hot = any_hot_group(df, g)
+        method = "counts" if hot else "window"
     if method == "window":
         return avg_rank_window(df, g, value, out).withColumn(
             out, F.when(F.col(value).isNotNull(), F.col(out)))
-    if method != "counts":
-        raise ValueError(f"unknown rank method: {method}")
     vc = value_counts(df.filter(F.col(value).isNotNull()), g, value)
-    r = rank_values(vc, g, value).select(*g, value, F.col("avg_rank").alias(out))
+    r = rank_values(vc, g, value, hot=True if hot is None else hot).select(*g, value, F.col("avg_rank").alias(out))
     return df.join(r, g + [value], "left")
 
 
@@ -58,24 +66,41 @@ def normalize_scores(df: DataFrame, group: str | Sequence[str], score: str, meth
         val = F.when(F.col("_sd") < 1e-8, F.lit(0.0)).otherwise((s - F.col("_mu")) / F.col("_sd"))
         return df.join(st, g, "left").withColumn(out, F.when(s.isNotNull(), val)).drop("_mu", "_sd")
     if method == "rank":
+        if not any_hot_group(df, g):
+            x = avg_rank_window(df, g, score, "_ar").withColumn(
+                "_n", F.count(F.col(score)).over(Window.partitionBy(*g)))
+            return x.withColumn(out, F.when(s.isNotNull(), F.col("_ar") / F.col("_n"))).drop("_ar", "_n")
         vc = value_counts(df.filter(F.col(score).isNotNull()), g, score)
-        r = rank_values(vc, g, score).select(*g, score, (F.col("avg_rank") / F.col("n")).alias(out))
+        r = rank_values(vc, g, score, hot=True).select(*g, score, (F.col("avg_rank") / F.col("n")).alias(out))
         return df.join(r, g + [score], "left")
     raise ValueError(f"Unknown normalization method: {method}")
 
 
 # ---------------------------------------------------------------- A2
 def spearman_by_group(df: DataFrame, group: str | Sequence[str], y: str, p: str,
-                      out: str = "spearman") -> DataFrame:
+                      out: str = "spearman", hot: bool | None = None) -> DataFrame:
     """A2: Spearman rho per group = Pearson correlation of average ranks.
 
     n < 2 -> NULL; a constant side -> 0.0 (the evaluation convention). Rows with
     a NULL on either side are ignored. Returns (group..., n_variants, spearman).
+    Bounded groups: rank windows and the final aggregate share one exchange on the
+    group. A group above the size threshold: ranks of distinct values from
+    skew-safe value counts, joined to the (group, y, p) counts.
     """
     g = _cols(group)
-    d = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
-    ry = rank_values(value_counts(d, g, y), g, y).select(*g, y, F.col("avg_rank").alias("_ry"), "n")
-    rp = rank_values(value_counts(d, g, p), g, p).select(*g, p, F.col("avg_rank").alias("_rp"))
+    d = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*g, y, p)
+    if hot is None:
+        hot = any_hot_group(d, g)
+    guard = lambda sxy, sxx, syy: (F.when(F.col("n_variants") < 2, F.lit(None).cast("double"))
+                                   .when((sxx > 0) & (syy > 0), sxy / F.sqrt(sxx * syy))
+                                   .otherwise(F.lit(0.0)))
+    if not hot:
+        x = avg_rank_window(avg_rank_window(d, g, y, "_ry"), g, p, "_rp")
+        a = x.groupBy(*g).agg(F.count(F.lit(1)).alias("n_variants"), F.covar_pop("_ry", "_rp").alias("_c"),
+                              F.var_pop("_ry").alias("_vy"), F.var_pop("_rp").alias("_vp"))
+        return a.select(*g, "n_variants", guard(F.col("_c"), F.col("_vy"), F.col("_vp")).alias(out))
+    ry = rank_values(value_counts(d, g, y), g, y, hot=True).select(*g, y, F.col("avg_rank").alias("_ry"), "n")
+    rp = rank_values(value_counts(d, g, p), g, p, hot=True).select(*g, p, F.col("avg_rank").alias("_rp"))
     pairs = d.groupBy(*g, y, p).agg(F.count(F.lit(1)).alias("_c"))
     j = pairs.join(ry, g + [y]).join(rp, g + [p])
     m = (F.col("n") + 1) / F.lit(2.0)
@@ -84,11 +109,7 @@ def spearman_by_group(df: DataFrame, group: str | Sequence[str], y: str, p: str,
                           F.sum(F.col("_c") * dy * dp).alias("_sxy"),
                           F.sum(F.col("_c") * dy * dy).alias("_sxx"),
                           F.sum(F.col("_c") * dp * dp).alias("_syy"))
-    rho = (F.when(F.col("n_variants") < 2, F.lit(None).cast("double"))
-           .when((F.col("_sxx") > 0) & (F.col("_syy") > 0),
-                 F.col("_sxy") / F.sqrt(F.col("_sxx") * F.col("_syy")))
-           .otherwise(F.lit(0.0)))
-    return a.select(*g, "n_variants", rho.alias(out))
+    return a.select(*g, "n_variants", guard(F.col("_sxy"), F.col("_sxx"), F.col("_syy")).alias(out))
 
 
 def spearman_pvalue(res: DataFrame, rho: str = "spearman", n: str = "n_variants",
@@ -118,20 +139,22 @@ def _k_col(n: F.Column, k_fraction: float) -> F.Column:
 
 
 def ndcg_by_group(df: DataFrame, group: str | Sequence[str], y: str, p: str,
-                  k_fraction: float = 0.1) -> DataFrame:
+                  k_fraction: float = 0.1, hot: bool | None = None) -> DataFrame:
     """A3: NDCG with linear gain and log2 discount, prediction ties averaged,
     full list (``ndcg``) and cut at k = max(1, int(n*k_fraction)) (``ndcg_10``).
     NULL when n < 2 or a relevance is negative; 0 when the ideal gain is 0."""
     g = _cols(group)
     d = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
+    if hot is None:
+        hot = any_hot_group(d, g)
     # prediction-order tie blocks carry the sum of their relevance
     vp = value_counts(d, g, p, F.sum(y).alias("_sy"))
-    rp = rank_values(vp, g, p, descending=True).withColumn("_k", _k_col(F.col("n"), k_fraction))
+    rp = rank_values(vp, g, p, descending=True, hot=hot).withColumn("_k", _k_col(F.col("n"), k_fraction))
     dcg = (discount_sum_rows(rp, "before", "cnt", {"_d": None, "_dk": "_k"})
            .groupBy(*g).agg(F.sum(F.col("_sy") / F.col("cnt") * F.col("_d")).alias("_dcg"),
                             F.sum(F.col("_sy") / F.col("cnt") * F.col("_dk")).alias("_dcgk")))
     vy = value_counts(d, g, y)
-    ry = rank_values(vy, g, y, descending=True).withColumn("_k", _k_col(F.col("n"), k_fraction))
+    ry = rank_values(vy, g, y, descending=True, hot=hot).withColumn("_k", _k_col(F.col("n"), k_fraction))
     idcg = (discount_sum_rows(ry, "before", "cnt", {"_d": None, "_dk": "_k"})
             .groupBy(*g).agg(F.sum(F.col(y) * F.col("_d")).alias("_idcg"),
                              F.sum(F.col(y) * F.col("_dk")).alias("_idcgk"),
@@ -175,7 +198,7 @@ def topk_items(df: DataFrame, group: str | Sequence[str], score: str, key: Seque
 
 # ---------------------------------------------------------------- A5
 def auc_by_group(df: DataFrame, group: str | Sequence[str], label: str, score: str,
-                 out: str = "auc") -> DataFrame:
+                 out: str = "auc", hot: bool | None = None) -> DataFrame:
     """A5: ROC-AUC per group by the Mann-Whitney statistic with average ranks.
     Defined only when the 0/1 label takes both values in the group, else NULL."""
     g = _cols(group)
@@ -183,7 +206,7 @@ def auc_by_group(df: DataFrame, group: str | Sequence[str], label: str, score: s
     vc = value_counts(d, g, score,
                       F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_pos"),
                       F.sum(F.when(~F.col(label).isin(0, 1), 1).otherwise(0)).alias("_oth"))
-    r = rank_values(vc, g, score)
+    r = rank_values(vc, g, score, hot=any_hot_group(d, g) if hot is None else hot)
     a = r.groupBy(*g).agg(F.sum("_pos").alias("_p"), F.max("n").alias("_n"),
                           F.sum("_oth").alias("_o"),
                           F.sum(F.col("_pos") * F.col("avg_rank")).alias("_sr"))
@@ -198,11 +221,12 @@ def assay_metrics(df: DataFrame, group: str | Sequence[str], y: str, p: str, lab
                   key: Sequence[str], k_fraction: float = 0.1) -> DataFrame:
     """A1: every ranking metric per group, one row per group."""
     g = _cols(group)
-    out = spearman_by_group(df, g, y, p)
-    out = out.join(ndcg_by_group(df, g, y, p, k_fraction), g, "left")
+    hot = any_hot_group(df, g)  # one size check for every metric
+    out = spearman_by_group(df, g, y, p, hot=hot)
+    out = out.join(ndcg_by_group(df, g, y, p, k_fraction, hot=hot), g, "left")
     out = out.join(topk_recall(df, g, y, p, key, k_fraction), g, "left")
     if label is not None:
-        out = out.join(auc_by_group(df, g, label, p), g, "left")
+        out = out.join(auc_by_group(df, g, label, p, hot=hot), g, "left")
     else:
         out = out.withColumn("auc", F.lit(None).cast("double"))
     return out

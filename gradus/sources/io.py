@@ -79,11 +79,14 @@ def fasta_lines(seqs: DataFrame, id_col: str, seq: str, desc: str, width: int =
     x = seqs.filter(F.col(seq).isNotNull() & (F.length(seq) > 0))
     head = x.select(id_col, F.lit(0).alias("line_no"),
                     F.concat(F.lit(">"), F.col(id_col).cast("string"), F.lit(" "), F.col(desc)).alias("line"))
-    t = F.regexp_replace(F.col(seq), "[\\r\\n]", " ")
     n = F.floor((F.length(seq) + (width - 1)) / width).cast("int")
-    body = x.select(id_col, t.alias("_t"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_i")) \
-        .select(id_col, (F.col("_i") + 1).alias("line_no"),
-                F.expr(f"substring(_t, _i * {width} + 1, {width})").alias("line"))
+    t = x.select(id_col, F.regexp_replace(F.col(seq), "[\\r\\n]", " ").alias("_t"), n.alias("_n"))
+    # the line array is built once per sequence by the generator, which reads the
+    # projected text column; output rows carry only (id, line_no, line)
+    lines = F.transform(F.sequence(F.lit(0), F.col("_n") - 1),
+                        lambda i: F.col("_t").substr(i * width + 1, F.lit(width)))
+    body = t.select(id_col, F.posexplode(lines).alias("_i", "line")) \
+        .select(id_col, (F.col("_i") + 1).alias("line_no"), "line")
     return head.unionByName(body)
 
 
