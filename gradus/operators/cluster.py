@@ -54,6 +54,13 @@ def word_shingles(df: DataFrame, id_col: str, text: str, k: int = SHINGLE_WORDS)
     return x.select("id", F.conv(F.substring(F.md5("s"), 1, 12), 16, 10).cast("long").alias("h")).distinct()
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate table (e.g. the shingle table, read 3-4 times by C1-C3)
+    once into the shared checkpoint folder and cut its lineage there."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def char_shingles(df: DataFrame, id_col: str, seq: str, k: int = 3) -> DataFrame:
     """(id, h) of character k-grams (for protein-like sequences)."""
     n = F.length(F.col(seq))

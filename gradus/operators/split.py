@@ -27,6 +27,12 @@ def attach_cluster(items: DataFrame, clusters: DataFrame, id_col: str, out: str
     return j.withColumn(out, F.coalesce(F.col("_rep"), F.col(id_col))).drop("member", "_rep")
 
 
+def attach_category(rows: DataFrame, categories: DataFrame, id_col: str = "dms_id") -> DataFrame:
+    """Rows -> their assay's category (inner equi-join; the category table has one
+    row per assay, so AQE broadcasts it when its measured size allows)."""
+    return rows.join(categories, id_col, "inner")
+
+
 def md5_key(seed: int, *parts: str) -> F.Column:
     """Order key md5(seed || part1 || part2 ...) as hex text."""
     return F.md5(F.concat(F.lit(str(seed)), *[F.col(p).cast("string") for p in parts]))

@@ -126,12 +126,17 @@ def doc_shingles(spark, d):
     return C.word_shingles(table(spark, d, "documents"), "doc_id", "text")
 
 
+def doc_shingles_once(spark, d):
+    """The shingle table written once for the pipelines that read it several times."""
+    return C.materialize(doc_shingles(spark, d))
+
+
 def doc_candidates(spark, d):
     return C.shingle_candidates(doc_shingles(spark, d))
 
 
 def doc_verified(spark, d):
-    sh = doc_shingles(spark, d)
+    sh = doc_shingles_once(spark, d)
     return C.identity_coverage_filter(C.shingle_candidates(sh), sh)
 
 
@@ -246,7 +251,7 @@ def q_make_splits(spark, d):
     attach cluster -> per-category split."""
     seq = V.v_seq(spark, d).select("doc_id", "category", "text")
     uniq = U.distinct_first(seq, "doc_id", ["doc_id"], value="text")
-    sh = C.word_shingles(uniq, "doc_id", "text")
+    sh = C.materialize(C.word_shingles(uniq, "doc_id", "text"))
     edges = C.identity_coverage_filter(C.shingle_candidates(sh), sh).select("id", "rep")
     cl = C.cluster_components(uniq.select(F.col("doc_id").alias("id")), edges)
     x = SP.attach_cluster(uniq.select("doc_id", "category"), cl, "doc_id")
@@ -291,3 +296,42 @@ from (select doc_id, regexp_replace(text, '[\\r\\n]', ' ', 'g') as t,
 def q_fasta_lines(spark, d):
     from gradus.sources import io
     return io.fasta_lines(V.v_seq(spark, d), "doc_id", "text", "source")
+
+
+# --------------------------------------------------------------- J2 / T3
+@query("attach_category", with_views("""
+select t.dms_id, t.assigned_category as category, l.l_orderkey, l.l_linenumber, l.l_suppkey, l.l_extendedprice as dms_score
+from lineitem l join t1 t on t.dms_id = l.l_partkey where t.assigned_category <> 'excluded'""",
+                                     "v_assay", extra=KW_CTES + [("t1", T1_SQL)]))
+def q_attach_category(spark, d):
+    cats = categorized(spark, d).filter(F.col("assigned_category") != "excluded") \
+        .select("dms_id", F.col("assigned_category").alias("category"))
+    li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("dms_id"), "l_orderkey", "l_linenumber",
+                                            "l_suppkey", F.col("l_extendedprice").alias("dms_score"))
+    return SP.attach_category(li, cats, "dms_id").select("dms_id", "category", "l_orderkey", "l_linenumber",
+                                                        "l_suppkey", "dms_score")
+
+
+T3_CATEGORY = "stability"
+
+
+@query("category_training_set", with_views(f"""
+select v.dms_id, v.l_orderkey, v.l_linenumber, v.l_suppkey, v.dms_score,
+       {r6('case when s.mx - s.mn < 1e-8 then 0.5 else (v.dms_score - s.mn) / (s.mx - s.mn) end')} as score_norm
+from (select l.l_partkey as dms_id, l.l_orderkey, l.l_linenumber, l.l_suppkey, l.l_extendedprice as dms_score
+      from lineitem l join t1 t on t.dms_id = l.l_partkey where t.assigned_category = '{T3_CATEGORY}') v
+join (select l_partkey as dms_id, min(l_extendedprice) as mn, max(l_extendedprice) as mx from lineitem group by 1) s
+  on s.dms_id = v.dms_id
+where v.dms_id in (select dms_id from split where split = 'train')""", "v_assay", extra=BASE + SPLIT_PER_CAT))
+def q_category_training_set(spark, d):
+    """Variants of one category (S2/J2), min-max normalised per assay over all of the
+    assay's rows (W2, before any exclusion), restricted to the train side of the split (P7)."""
+    from gradus.operators import rank as R
+    cats = categorized(spark, d).filter(F.col("assigned_category") == T3_CATEGORY) \
+        .select("dms_id", F.col("assigned_category").alias("category"))
+    li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("dms_id"), "l_orderkey", "l_linenumber",
+                                            "l_suppkey", F.col("l_extendedprice").alias("dms_score"))
+    normed = R.normalize_scores(li, "dms_id", "dms_score", "minmax", "score_norm")
+    x = SP.attach_category(normed, cats, "dms_id")
+    x = SP.id_in_split(x, assay_split(spark, d), "train")
+    return x.select("dms_id", "l_orderkey", "l_linenumber", "l_suppkey", "dms_score", "score_norm")
