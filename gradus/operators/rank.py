@@ -171,20 +171,45 @@ def ndcg_by_group(df: DataFrame, group: str | Sequence[str], y: str, p: str,
 
 # ---------------------------------------------------------------- A4 / O2
 def topk_recall(df: DataFrame, group: str | Sequence[str], y: str, p: str, key: Sequence[str],
-                k_fraction: float = 0.1) -> DataFrame:
+                k_fraction: float = 0.1, hot: bool | None = None) -> DataFrame:
     """A4: |true top-k ∩ predicted top-k| / k, k = max(1, int(n*k_fraction)).
-    Ties are broken by ``key`` ascending (deterministic)."""
+    Ties are broken by ``key`` ascending (deterministic); ``key`` identifies a row.
+
+    Bounded groups: two row_number windows over one exchange. A group above the size
+    threshold: tie blocks are ranked from value counts (skew-safe); a row is surely in
+    (block ends before k) or out (block starts at or after k), and only the one tie
+    block per group that straddles k is ordered by ``key``."""
     g = _cols(group)
-    d = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
-    wy = Window.partitionBy(*g).orderBy(F.col(y).desc(), *key)
-    wp = Window.partitionBy(*g).orderBy(F.col(p).desc(), *key)
-    wn = Window.partitionBy(*g)
-    x = (d.select(*g, y, p, *key)
-         .withColumn("_ry", F.row_number().over(wy))
-         .withColumn("_rp", F.row_number().over(wp))
-         .withColumn("_k", _k_col(F.count(F.lit(1)).over(wn), k_fraction)))
-    both = F.when((F.col("_ry") <= F.col("_k")) & (F.col("_rp") <= F.col("_k")), 1).otherwise(0)
-    return x.groupBy(*g).agg((F.sum(both) / F.max("_k")).alias("top_10_recall"))
+    d = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*g, y, p, *key)
+    if hot is None:
+        hot = any_hot_group(d, g)
+    if not hot:
+        wy = Window.partitionBy(*g).orderBy(F.col(y).desc(), *key)
+        wp = Window.partitionBy(*g).orderBy(F.col(p).desc(), *key)
+        wn = Window.partitionBy(*g)
+        x = (d.withColumn("_ry", F.row_number().over(wy))
+             .withColumn("_rp", F.row_number().over(wp))
+             .withColumn("_k", _k_col(F.count(F.lit(1)).over(wn), k_fraction)))
+        both = F.when((F.col("_ry") <= F.col("_k")) & (F.col("_rp") <= F.col("_k")), 1).otherwise(0)
+        return x.groupBy(*g).agg((F.sum(both) / F.max("_k")).alias("top_10_recall"))
+
+    def in_top(col: str) -> tuple[DataFrame, DataFrame]:
+        r = rank_values(value_counts(d, g, col), g, col, descending=True, hot=True) \
+            .withColumn("_k", _k_col(F.col("n"), k_fraction)).select(*g, col, "before", "cnt", "_k")
+        x = d.select(*g, col, *key).join(r, g + [col])
+        sure = x.filter(F.col("before") + F.col("cnt") <= F.col("_k")).select(*g, *key)
+        edge = x.filter((F.col("before") < F.col("_k")) & (F.col("before") + F.col("cnt") > F.col("_k")))
+        w = Window.partitionBy(*g, col).orderBy(*key)
+        edge = edge.withColumn("_r", F.row_number().over(w)) \
+            .filter(F.col("before") + F.col("_r") <= F.col("_k")).select(*g, *key)
+        ks = r.groupBy(*g).agg(F.max("_k").alias("_k"))
+        return sure.unionByName(edge), ks
+
+    ty, ks = in_top(y)
+    tp, _ = in_top(p)
+    hits = ty.join(tp, g + list(key)).groupBy(*g).agg(F.count(F.lit(1)).alias("_h"))
+    return ks.join(hits, g, "left").select(
+        *g, (F.coalesce(F.col("_h"), F.lit(0)) / F.col("_k")).alias("top_10_recall"))
 
 
 def topk_items(df: DataFrame, group: str | Sequence[str], score: str, key: Sequence[str],
@@ -224,7 +249,7 @@ def assay_metrics(df: DataFrame, group: str | Sequence[str], y: str, p: str, lab
     hot = any_hot_group(df, g)  # one size check for every metric
     out = spearman_by_group(df, g, y, p, hot=hot)
     out = out.join(ndcg_by_group(df, g, y, p, k_fraction, hot=hot), g, "left")
-    out = out.join(topk_recall(df, g, y, p, key, k_fraction), g, "left")
+    out = out.join(topk_recall(df, g, y, p, key, k_fraction, hot=hot), g, "left")
     if label is not None:
         out = out.join(auc_by_group(df, g, label, p, hot=hot), g, "left")
     else:

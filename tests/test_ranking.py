@@ -179,3 +179,13 @@ def test_cross_property_matrix_shape(spark):
                                 ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"])
     assert m.columns == ["model", "economy", "large", "medium", "promo", "small", "standard"]
     assert {r.model for r in m.collect()} == {"quantity", "discount", "tax"}
+
+
+def test_topk_recall_plans_agree(spark, lit_df):
+    from gradus.plans import views as V
+    from gradus.plans.q_rank import KEY
+    for df, g, y, p, key in [(lit_df, "g", "y", "p", ["i"]),
+                             (V.v_pred(spark, "/root/testdata/sf0.01"), "dms_id", "dms_score", "pred", KEY)]:
+        a = {r[0]: r.top_10_recall for r in R.topk_recall(df, g, y, p, key, 0.1, hot=False).collect()}
+        b = {r[0]: r.top_10_recall for r in R.topk_recall(df, g, y, p, key, 0.1, hot=True).collect()}
+        assert a == b
