@@ -118,28 +118,13 @@ query("metrics_csv", ORACLE.get("assay_metrics"))(_s9)
 
 # --------------------------------------------------------------- S8
 def _write_weight_files(spark, d, folder):
+    """One safetensors file per property, written by the task that holds the property's
+    factors (an adapter is bounded by the model size)."""
     lr = V.v_lowrank(spark, d)
-
-    def write(pdf):
-        import os
-
-        import numpy as np
-        import pandas as pd
-        prop = int(pdf["property"].iloc[0])
-        tensors = {}
-        for (prefix, matrix), g in pdf.groupby(["prefix", "matrix"]):
-            m = np.zeros((int(g["r"].max()) + 1, int(g["c"].max()) + 1))
-            m[g["r"].to_numpy(), g["c"].to_numpy()] = g["v"].to_numpy()
-            tensors[f"base_model.model.encoder.layer.{int(prefix)}.attention.self.query.lora_{matrix}.weight"] = m
-        tensors["classifier.dense.weight"] = np.zeros((1, 1))
-        path = os.path.join(folder, f"prop_{prop}.safetensors")
-        tmp = path + ".tmp"
-        with open(tmp, "wb") as fh:
-            fh.write(io.encode_safetensors(tensors))
-        os.replace(tmp, path)
-        return pd.DataFrame({"property": [prop], "n": [len(tensors)]})
-
-    lr.groupBy("property").applyInPandas(write, "property int, n long").collect()
+    names = F.concat(F.lit("base_model.model.encoder.layer."), F.col("prefix").cast("string"),
+                     F.lit(".attention.self.query.lora_"), F.col("matrix"), F.lit(".weight"))
+    io.write_safetensors_files(lr.withColumn("tensor", names), "property", "tensor", folder,
+                               lambda key: f"prop_{key}.safetensors")
 
 
 @query("weights_ingest", with_views(f"""
@@ -147,10 +132,6 @@ select property, prefix, matrix, count(*) as n, {r6('sum(v)')} as total from v_l
                                     "v_lowrank"))
 def q_weights_ingest(spark, d):
     folder = scratch_path(spark, "weights")
-    import os
-    if folder.startswith("file:"):
-        folder = folder[len("file:"):]
-    os.makedirs(folder, exist_ok=True)
     _write_weight_files(spark, d, folder)
     rows = io.weights_ingest(spark, folder)
     x = rows.select(F.regexp_extract("path", r"prop_([0-9]+)\.safetensors", 1).cast("int").alias("property"),

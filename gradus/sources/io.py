@@ -191,6 +191,32 @@ def encode_safetensors(tensors: dict[str, np.ndarray]) -> bytes:
     return struct.pack("<Q", len(h)) + h + b"".join(chunks)
 
 
+def write_safetensors_files(long: DataFrame, file_key: str, tensor: str, folder: str, file_name) -> None:
+    """Write one safetensors file per ``file_key`` from long rows (key, tensor, r, c, v).
+    Files go through pyarrow's filesystem layer (local, HDFS, object stores), each to a
+    temporary name first and then moved into place, so a retried task rewrites it whole."""
+    key_type = long.schema[file_key].dataType.simpleString()
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        import pyarrow.fs as pafs
+        key = pdf[file_key].iloc[0]
+        tensors = {}
+        for name, g in pdf.groupby(tensor, sort=True):
+            m = np.zeros((int(g["r"].max()) + 1, int(g["c"].max()) + 1))
+            m[g["r"].to_numpy(), g["c"].to_numpy()] = g["v"].to_numpy()
+            tensors[name] = m
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        path = f"{root.rstrip('/')}/{file_name(key)}"
+        with fs.open_output_stream(path + ".tmp") as out:
+            out.write(encode_safetensors(tensors))
+        fs.move(path + ".tmp", path)
+        return pd.DataFrame({file_key: [key], "n_tensors": [len(tensors)]})
+
+    long.groupBy(file_key).applyInPandas(write, f"{file_key} {key_type}, n_tensors long") \
+        .write.format("noop").mode("overwrite").save()
+
+
 def weight_stats(rows: DataFrame) -> DataFrame:
     """S8 summary per file: parameters, tensors and layers (``layers.N`` / ``layer.N``)."""
     layer = F.regexp_extract("name", r"layers?\.([0-9]+)\.", 1)
