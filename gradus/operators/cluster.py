@@ -1,6 +1,6 @@
 """Similarity clustering of sequences / texts (C1-C3, J8) as Spark jobs.
 
-C1  shingles -> min-hash signatures -> LSH band buckets. A bucket never emits
+C1  shingle sets (one row per text) -> min-hash signatures -> LSH band buckets. A bucket never emits
     all pairs of its members: every member is linked to the bucket's smallest
     id (a star), so the edge count is linear in the members.
 C2  every candidate edge is verified exactly on the shingle sets
@@ -37,21 +37,35 @@ def hash_params(n: int) -> list[tuple[int, int]]:
     return [(2 * ((j * 7919 + 101) % 8191) + 1, (j * 104729 * 1000003 + 12345) % MOD48) for j in range(n)]
 
 
+def _h48(s: F.Column) -> F.Column:
+    return F.conv(F.substring(F.md5(s), 1, 12), 16, 10).cast("long")
+
+
+def shingle_sets(df: DataFrame, id_col: str, text: str, k: int = SHINGLE_WORDS) -> DataFrame:
+    """(id, hs ARRAY<BIGINT>): the distinct k-word shingles of the whole text (split on
+    whitespace; a text shorter than k words is one shingle), hashed to the first 48
+    bits of md5. One row per document: duplicates are removed inside the row
+    (``array_distinct``), so building the sets needs no shuffle at all.
+
+    The word array is bound once as the variable of an outer lambda, so the split is
+    not re-evaluated for every shingle."""
+    words = F.filter(F.split(F.col(text), r"\s+"), lambda x: x != "")
+
+    def shingles(w: F.Column) -> F.Column:
+        n = F.size(w)
+        return F.when(n < k, F.when(n > 0, F.array(F.array_join(w, " ")))
+                      .otherwise(F.array().cast("array<string>"))) \
+            .otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))),
+                                   lambda i: F.array_join(F.slice(w, i, k), " ")))
+
+    hs = F.element_at(F.transform(F.array(words), lambda w: F.array_distinct(
+        F.transform(shingles(w), _h48))), 1)
+    return df.select(F.col(id_col).alias("id"), hs.alias("hs"))
+
+
 def word_shingles(df: DataFrame, id_col: str, text: str, k: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, h): distinct k-word shingles of the whole text (split on whitespace);
-    a text shorter than k words is one shingle. h = first 48 bits of md5.
-
-    The word array is projected once and the shingles are generated by an explode
-    (Generate) above it, so the split is never re-evaluated inside the lambda."""
-    w = df.select(F.col(id_col).alias("id"), F.filter(F.split(F.col(text), r"\s+"), lambda x: x != "").alias("_w"))
-    words = F.col("_w")
-    n = F.size(words)
-    sh = F.when(n < k, F.when(n > 0, F.array(F.array_join(words, " ")))
-                .otherwise(F.array().cast("array<string>"))) \
-          .otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))),
-                                 lambda i: F.array_join(F.slice(words, i, k), " ")))
-    x = w.select("id", F.explode(sh).alias("s"))
-    return x.select("id", F.conv(F.substring(F.md5("s"), 1, 12), 16, 10).cast("long").alias("h")).distinct()
+    """(id, h): one row per distinct shingle of each text (exploded ``shingle_sets``)."""
+    return shingle_sets(df, id_col, text, k).select("id", F.explode("hs").alias("h"))
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -67,21 +81,24 @@ def char_shingles(df: DataFrame, id_col: str, seq: str, k: int = 3) -> DataFrame
     sh = F.when(n < k, F.when(n > 0, F.array(F.col(seq))).otherwise(F.array().cast("array<string>"))) \
           .otherwise(F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(seq), i, k)))
     x = df.select(F.col(id_col).alias("id"), F.explode(sh).alias("s"))
-    return x.select("id", F.conv(F.substring(F.md5("s"), 1, 12), 16, 10).cast("long").alias("h")).distinct()
+    return x.select("id", _h48(F.col("s")).alias("h")).distinct()
+
 
+def minhash_signatures(sets: DataFrame, n_hashes: int) -> DataFrame:
+    """(id, mh_0 .. mh_{n-1}): min over the shingle set of (a*h + c) mod 2^48, computed
+    inside each row (no aggregation); empty sets are dropped."""
+    def perm(a: int, c: int):
+        return lambda h: (F.lit(a) * h + F.lit(c)) % F.lit(MOD48)
 
-def minhash_signatures(sh: DataFrame, n_hashes: int) -> DataFrame:
-    """(id, mh_0 .. mh_{n-1}): min over the shingles of (a*h + c) mod 2^48 —
-    a plain partial aggregation per id."""
-    aggs = [F.min((F.lit(a) * F.col("h") + F.lit(c)) % F.lit(MOD48)).alias(f"mh_{j}")
+    cols = [F.array_min(F.transform("hs", perm(a, c))).alias(f"mh_{j}")
             for j, (a, c) in enumerate(hash_params(n_hashes))]
-    return sh.groupBy("id").agg(*aggs)
+    return sets.filter(F.size("hs") > 0).select("id", *cols)
 
 
-def shingle_candidates(sh: DataFrame, bands: int = BANDS, rows: int = ROWS_PER_BAND) -> DataFrame:
+def shingle_candidates(sets: DataFrame, bands: int = BANDS, rows: int = ROWS_PER_BAND) -> DataFrame:
     """Candidate edges (id, rep) — rep is the smallest id sharing an LSH band
     bucket with id (stars, not all pairs); also returns the band that produced it."""
-    sig = minhash_signatures(sh, bands * rows)
+    sig = minhash_signatures(sets, bands * rows)
     keys = F.array(*[F.struct(F.lit(b).alias("band"),
                               F.concat_ws(":", *[F.col(f"mh_{b * rows + r}").cast("string") for r in range(rows)])
                               .alias("key")) for b in range(bands)])
@@ -91,22 +108,20 @@ def shingle_candidates(sh: DataFrame, bands: int = BANDS, rows: int = ROWS_PER_B
     return e.groupBy("id", "rep").agg(F.min("band").alias("band"))
 
 
-def identity_coverage_filter(cand: DataFrame, sh: DataFrame, identity: float = IDENTITY,
+def identity_coverage_filter(cand: DataFrame, sets: DataFrame, identity: float = IDENTITY,
                              coverage: float = COVERAGE, mode: str = "both") -> DataFrame:
     """Keep candidate edges whose shared shingles satisfy
     shared / min(|A|,|B|) >= identity and coverage on ``both`` sides (shared/max),
     the ``query`` side (shared/|A|) or the ``target`` side (shared/|B|).
-    Returns (id, rep, shared, n_id, n_rep, identity, coverage)."""
+    Each edge meets the two shingle sets by two equi-joins on the ids and counts
+    ``array_intersect``. Returns (id, rep, shared, n_id, n_rep, identity, coverage)."""
     if mode not in ("both", "query", "target"):
         raise ValueError(f"unknown coverage mode: {mode}")
-    sizes = sh.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    pairs = cand.select("id", "rep")
-    a = pairs.join(sh, "id")
-    b = sh.select(F.col("id").alias("rep"), "h")
-    shared = a.join(b, ["rep", "h"]).groupBy("id", "rep").agg(F.count(F.lit(1)).alias("shared"))
-    x = pairs.join(shared, ["id", "rep"], "left").fillna(0, ["shared"]) \
-        .join(sizes.withColumnRenamed("n", "n_id"), "id") \
-        .join(sizes.withColumnRenamed("id", "rep").withColumnRenamed("n", "n_rep"), "rep")
+    a = sets.select("id", F.col("hs").alias("_ha"))
+    b = sets.select(F.col("id").alias("rep"), F.col("hs").alias("_hb"))
+    x = cand.select("id", "rep").join(a, "id").join(b, "rep")
+    x = x.select("id", "rep", F.size(F.array_intersect("_ha", "_hb")).cast("long").alias("shared"),
+                 F.size("_ha").cast("long").alias("n_id"), F.size("_hb").cast("long").alias("n_rep"))
     ident = F.col("shared") / F.least("n_id", "n_rep")
     cov = {"both": F.col("shared") / F.greatest("n_id", "n_rep"),
            "query": F.col("shared") / F.col("n_id"),

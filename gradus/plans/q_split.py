@@ -126,17 +126,21 @@ def doc_shingles(spark, d):
     return C.word_shingles(table(spark, d, "documents"), "doc_id", "text")
 
 
-def doc_shingles_once(spark, d):
-    """The shingle table written once for the pipelines that read it several times."""
-    return C.materialize(doc_shingles(spark, d))
+def doc_sets(spark, d):
+    return C.shingle_sets(table(spark, d, "documents"), "doc_id", "text")
+
+
+def doc_sets_once(spark, d):
+    """The shingle-set table written once for the pipelines that read it twice."""
+    return C.materialize(doc_sets(spark, d))
 
 
 def doc_candidates(spark, d):
-    return C.shingle_candidates(doc_shingles(spark, d))
+    return C.shingle_candidates(doc_sets(spark, d))
 
 
 def doc_verified(spark, d):
-    sh = doc_shingles_once(spark, d)
+    sh = doc_sets_once(spark, d)
     return C.identity_coverage_filter(C.shingle_candidates(sh), sh)
 
 
@@ -251,7 +255,7 @@ def q_make_splits(spark, d):
     attach cluster -> per-category split."""
     seq = V.v_seq(spark, d).select("doc_id", "category", "text")
     uniq = U.distinct_first(seq, "doc_id", ["doc_id"], value="text")
-    sh = C.materialize(C.word_shingles(uniq, "doc_id", "text"))
+    sh = C.materialize(C.shingle_sets(uniq, "doc_id", "text"))
     edges = C.identity_coverage_filter(C.shingle_candidates(sh), sh).select("id", "rep")
     cl = C.cluster_components(uniq.select(F.col("doc_id").alias("id")), edges)
     x = SP.attach_cluster(uniq.select("doc_id", "category"), cl, "doc_id")

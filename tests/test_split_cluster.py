@@ -39,8 +39,9 @@ def test_shingle_pipeline_finds_copies(spark):
     near = base.replace("w100 ", "x100 ")
     docs = spark.createDataFrame([(1, base), (2, near), (3, "entirely different words here and there"),
                                   (4, base), (5, "")], "doc_id long, text string")
-    sh = C.word_shingles(docs, "doc_id", "text")
+    sh = C.shingle_sets(docs, "doc_id", "text")
     v = C.identity_coverage_filter(C.shingle_candidates(sh), sh)
+    assert {r.id: len(r.hs) for r in sh.collect()}[1] == 196
     cl = {r.member: r.representative for r in C.cluster_components(docs.select(F.col("doc_id").alias("id")),
                                                                     v.select("id", "rep")).collect()}
     assert cl[1] == cl[2] == cl[4] == 1 and cl[3] == 3 and cl[5] == 5
@@ -50,6 +51,8 @@ def test_short_text_is_one_shingle(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "  a   b  ")], "doc_id long, text string")
     hs = {r.id: r.h for r in C.word_shingles(docs, "doc_id", "text").collect()}
     assert hs[1] == hs[2]
+    rep = spark.createDataFrame([(1, "a b c d e a b c d e")], "doc_id long, text string")
+    assert len(C.shingle_sets(rep, "doc_id", "text").first().hs) == 5  # repeated shingles count once
 
 
 def test_max_containment(spark):
