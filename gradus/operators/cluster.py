@@ -85,23 +85,23 @@ def char_shingles(df: DataFrame, id_col: str, seq: str, k: int = 3) -> DataFrame
 
 
 def minhash_signatures(sets: DataFrame, n_hashes: int) -> DataFrame:
-    """(id, mh_0 .. mh_{n-1}): min over the shingle set of (a*h + c) mod 2^48, computed
-    inside each row (no aggregation); empty sets are dropped."""
-    def perm(a: int, c: int):
-        return lambda h: (F.lit(a) * h + F.lit(c)) % F.lit(MOD48)
-
-    cols = [F.array_min(F.transform("hs", perm(a, c))).alias(f"mh_{j}")
+    """(id, mh ARRAY<BIGINT>): for each of ``n_hashes`` affine permutations, the min over
+    the shingle set of (a*h + c) mod 2^48. The set is exploded next to where it was
+    built and folded by a code-generated ``min`` aggregation; the partial aggregate
+    leaves one row per text before the shuffle. Empty sets produce no row."""
+    aggs = [F.min((F.lit(a) * F.col("_h") + F.lit(c)) % F.lit(MOD48)).alias(f"_m{j}")
             for j, (a, c) in enumerate(hash_params(n_hashes))]
-    return sets.filter(F.size("hs") > 0).select("id", *cols)
+    sig = sets.select("id", F.explode("hs").alias("_h")).groupBy("id").agg(*aggs)
+    return sig.select("id", F.array(*[F.col(f"_m{j}") for j in range(n_hashes)]).alias("mh"))
 
 
 def shingle_candidates(sets: DataFrame, bands: int = BANDS, rows: int = ROWS_PER_BAND) -> DataFrame:
     """Candidate edges (id, rep) — rep is the smallest id sharing an LSH band
     bucket with id (stars, not all pairs); also returns the band that produced it."""
     sig = minhash_signatures(sets, bands * rows)
-    keys = F.array(*[F.struct(F.lit(b).alias("band"),
-                              F.concat_ws(":", *[F.col(f"mh_{b * rows + r}").cast("string") for r in range(rows)])
-                              .alias("key")) for b in range(bands)])
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(
+        b.alias("band"), F.concat_ws(":", *[F.element_at("mh", b * rows + (r + 1)).cast("string")
+                                             for r in range(rows)]).alias("key")))
     memb = sig.select("id", F.explode(keys).alias("bk")).select("id", "bk.band", "bk.key")
     reps = memb.groupBy("band", "key").agg(F.min("id").alias("rep"))
     e = memb.join(reps, ["band", "key"]).filter(F.col("id") != F.col("rep"))

@@ -136,7 +136,7 @@ def doc_sets_once(spark, d):
 
 
 def doc_candidates(spark, d):
-    return C.shingle_candidates(doc_sets(spark, d))
+    return C.shingle_candidates(doc_sets_once(spark, d))
 
 
 def doc_verified(spark, d):
