@@ -155,6 +155,8 @@ def cluster_components(items: DataFrame, edges: DataFrame, id_col: str = "id", m
         labels = jump.select("node", F.col("new").alias("label"))
         if changed == 0:
             break
+    else:
+        raise RuntimeError(f"label propagation did not converge in {max_rounds} rounds")
     return labels.select(F.col("label").alias("representative"), F.col("node").alias("member"))
 
 

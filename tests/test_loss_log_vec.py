@@ -126,3 +126,28 @@ def test_cosine_matrix_diagonal(spark):
     rows = [(p, i, float((p + 1) * (i + 1))) for p in range(3) for i in range(4)]
     got = {(r.p1, r.p2): r.cosine for r in VX.cosine_matrix(spark.createDataFrame(rows, "property int, idx int, v double")).collect()}
     assert all(got[(p, p)] == pytest.approx(1.0) for p in range(3)) and len(got) == 9
+
+
+def test_ranking_list_plan_invariants(spark):
+    rows = [(a, i) for a, n in [(1, 70), (2, 5), (3, 40)] for i in range(n)]
+    v = spark.createDataFrame(rows, "dms_id int, item int")
+    steps = spark.range(0, 30).withColumnRenamed("id", "step")
+    plan = L.ranking_list_plan(v, steps, "dms_id", ["item"], list_size=16, seed=7).collect()
+    by_step = {}
+    for r in plan:
+        by_step.setdefault(r.step, []).append(r)
+    assert set(by_step) == set(range(30))
+    sizes = {1: 70, 2: 5, 3: 40}
+    for s, rs in by_step.items():
+        assert len({r.dms_id for r in rs}) == 1
+        a = rs[0].dms_id
+        assert len(rs) == min(16, sizes[a]) or len(rs) == sizes[a] % 16  # last list of an assay may be short
+        assert len({r.item for r in rs}) == len(rs)
+    # lists of one assay are disjoint and cover it
+    for a in sizes:
+        lists = {}
+        for r in plan:
+            if r.dms_id == a:
+                lists.setdefault(r.list_no, set()).add(r.item)
+        items = [i for l in lists.values() for i in l]
+        assert len(items) == len(set(items))
