@@ -171,3 +171,29 @@ def q_training_monitor(spark, d):
     ST.training_monitor(stream, "event_type", "ts", "value", "event_id", out, ck)
     return spark.read.parquet(out)
 
+
+
+@query("early_stop_monitor", with_views("""
+with x as (select *, max(val) over (partition by property order by epoch
+                                    rows between unbounded preceding and 1 preceding) as prev from v_trainlog),
+y as (select *, prev is null or val > prev as improved from x),
+z as (select *, epoch - max(case when improved then epoch end) over (partition by property order by epoch
+                                 rows between unbounded preceding and current row) as since from y),
+st as (select property, min(case when since >= 5 then epoch end) as stop_epoch from z group by property),
+ran as (select z.*, st.stop_epoch from z join st on st.property = z.property
+        where st.stop_epoch is null or z.epoch <= st.stop_epoch),
+mx as (select property, max(val) as best_val, count(*) as epochs_run, min(stop_epoch) as stop_epoch,
+              (select max(t.epoch) from v_trainlog t where t.property = ran.property) as last_epoch
+       from ran group by property)
+select m.property, (select min(r.epoch) from ran r where r.property = m.property and r.val = m.best_val) as best_epoch,
+       (round((m.best_val) * 1e6) / 1e6 + 0.0) as best_val, m.stop_epoch, m.epochs_run, m.last_epoch
+from mx m""".replace("with x as", "x as"), "v_trainlog").replace("\nx as", ",\nx as", 1))
+def q_early_stop_monitor(spark, d):
+    """ST2 stateful: the training log (derived from events) lands as files and is
+    streamed through the per-property patience state."""
+    src, out, ck = scratch_path(spark, "trainlog"), scratch_path(spark, "es-out"), scratch_path(spark, "es-ckpt")
+    log = V.v_trainlog(spark, d)
+    log.write.mode("overwrite").parquet(src)
+    stream = ST.file_stream(spark, src, log.schema)
+    ST.early_stop_monitor(stream, "property", "epoch", "val", 5, out, ck)
+    return ST.latest_status(spark, out)

@@ -54,3 +54,59 @@ def training_monitor(stream: DataFrame, group: str, ts: str, value: str, tiebrea
     q = (agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
          .foreachBatch(publish).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def _early_stop_fn(epoch: str, metric: str, patience: int):
+    import pandas as pd
+
+    def fn(key, batches, state):
+        # state: the property's (epoch, value) history — one entry per epoch, so it is
+        # bounded by the length of a training run; late or replayed epochs are merged
+        hist = dict(zip(*state.get)) if state.exists else {}
+        for b in batches:
+            hist.update(zip(b[epoch].astype(int).tolist(), b[metric].astype(float).tolist()))
+        best = best_epoch = last_imp = stop_epoch = None
+        run = 0
+        for e in sorted(hist):
+            run += 1
+            v = hist[e]
+            if best is None or v > best:
+                best, best_epoch, last_imp = v, e, e
+            elif e - last_imp >= patience:
+                stop_epoch = e
+                break
+        eps = sorted(hist)
+        state.update((eps, [hist[e] for e in eps]))
+        yield pd.DataFrame({"property": [key[0]], "best_epoch": [best_epoch], "best_val": [best],
+                            "stop_epoch": [stop_epoch], "epochs_run": [run], "last_epoch": [eps[-1] if eps else None]})
+
+    return fn
+
+
+def early_stop_monitor(stream: DataFrame, group: str, epoch: str, metric: str, patience: int,
+                       out_path: str, checkpoint: str) -> None:
+    """ST2 (stateful form): the patience rule of W6 kept incrementally per property with
+    ``applyInPandasWithState`` — best value and epoch (strict improvement), epochs run,
+    and the epoch where early stopping fires (epochs after it are not counted). The
+    state is the property's epoch history, so epochs may arrive in any order. Each micro-batch appends its updated rows with the batch id; the latest
+    row per property is the current status (``latest_status``)."""
+    out_schema = ("property string, best_epoch int, best_val double, stop_epoch int, epochs_run long, "
+                  "last_epoch int")
+    state_schema = "epochs array<int>, vals array<double>"
+    upd = stream.groupBy(group).applyInPandasWithState(
+        _early_stop_fn(epoch, metric, patience), out_schema, state_schema, "update", "NoTimeout")
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+
+    q = (upd.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+         .foreachBatch(publish).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def latest_status(spark: SparkSession, out_path: str) -> DataFrame:
+    """Current status per property: the row of the latest micro-batch."""
+    rows = spark.read.parquet(out_path)
+    cols = [c for c in rows.columns if c not in ("property", "batch_id")]
+    latest = rows.groupBy("property").agg(F.max_by(F.struct(*cols), "batch_id").alias("s"))
+    return latest.select("property", *[F.col(f"s.{c}").alias(c) for c in cols])

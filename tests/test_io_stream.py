@@ -98,3 +98,20 @@ def test_training_monitor(spark):
     got = {r.property: r for r in spark.read.parquet(out).collect()}
     assert got["p1"].n_events == 5 and got["p1"].latest_value == float((9 * 7) % 5)
     assert got["p0"].best_value == max(float((i * 7) % 5) for i in range(0, 10, 2))
+
+
+def test_early_stop_monitor_across_batches(spark):
+    from gradus.operators import log as LG
+    vals = [0.1, 0.3, 0.2, 0.25, 0.3, 0.29, 0.28, 0.5, 0.9]
+    rows = [("p", i + 1, v) for i, v in enumerate(vals)] + [("q", i + 1, float(i)) for i in range(6)]
+    df = spark.createDataFrame(rows, "property string, epoch int, val double")
+    src = tempfile.mkdtemp(prefix="gradus-es-")
+    df.filter("epoch <= 4").write.parquet(os.path.join(src, "b1"))
+    df.filter("epoch > 4").write.parquet(os.path.join(src, "b2"))
+    out, ck = tempfile.mkdtemp(prefix="gradus-eso-"), tempfile.mkdtemp(prefix="gradus-esc-")
+    stream = ST.file_stream(spark, os.path.join(src, "*"), df.schema, max_files=1)
+    ST.early_stop_monitor(stream, "property", "epoch", "val", 3, out, ck)
+    got = {r.property: (r.best_epoch, r.best_val, r.stop_epoch, r.epochs_run) for r in ST.latest_status(spark, out).collect()}
+    ref = {r.property: (r.best_epoch, r.best_val, r.stop_epoch, r.epochs_run)
+           for r in LG.best_epoch_early_stop(df, patience=3).collect()}
+    assert got == ref and got["p"] == (2, 0.3, 5, 5)
