@@ -61,7 +61,10 @@ def q_scan_variants(spark, d):
         F.col("l_extendedprice").alias("DMS_score"),
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("DMS_score_bin"))
     root = scratch_path(spark, "variants")
-    var.repartition("dms_id").write.mode("overwrite").partitionBy("dms_id").option("header", True).csv(root)
+    # one folder per assay; an explicit partition count keeps AQE from folding the
+    # many small per-assay writes into a single task
+    n = max(1, spark.sparkContext.defaultParallelism * 2)
+    var.repartition(n, "dms_id").write.mode("overwrite").partitionBy("dms_id").option("header", True).csv(root)
     back = io.scan_variant_folders(spark, root, "dms_id")
     j = back.join(t1, "dms_id")
     return j.groupBy("dms_id", "category").agg(F.count(F.lit(1)).alias("n_variants"),
