@@ -22,3 +22,11 @@ def md5_order(*parts) -> "F.Column":
     """Deterministic, partition-independent pseudo-random order key: md5 of the
     concatenated parts (same value in any SQL engine that has md5)."""
     return F.md5(F.concat(*[p if not isinstance(p, (str, int)) else F.lit(str(p)) for p in parts]))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster's parallelism when the input arrives in
+    fewer partitions (e.g. one large file with one row group) and the next step is
+    CPU-heavy per row. Inputs already split wider are left alone (no shuffle)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df

@@ -283,7 +283,7 @@ left join (select id, max(shared) as max_shared, count(*) as n_hits from (
     extra=shingle_ctes("documents", "doc_id", "text") + shingle_ctes("benchmark", "item_id", "text", "b")))
 def q_cross_split_similarity(spark, d):
     bench = C.word_shingles(table(spark, d, "benchmark"), "item_id", "text")
-    docs = doc_shingles(spark, d)
+    docs = C.word_shingles(table(spark, d, "documents"), "doc_id", "text", distinct=False)
     return C.max_containment(bench, docs).select(
         F.col("id").alias("item_id"), "n_shingles", "max_shared", "max_containment", "n_hits")
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, StringType, StructField,
                                StructType)
 
+from gradus.functions.columns import spread
+
 # ------------------------------------------------------------------ schemas
 REFERENCE_SCHEMA = StructType([
     StructField("DMS_id", StringType()), StructField("DMS_filename", StringType()),
@@ -76,7 +78,7 @@ def scan_variant_folders(spark: SparkSession, root: str, id_col: str = "dms_id",
 def fasta_lines(seqs: DataFrame, id_col: str, seq: str, desc: str, width: int = 60) -> DataFrame:
     """FASTA text as rows (id, line_no, line): header ``>id description`` then the
     whole sequence wrapped at ``width`` characters (line breaks inside become spaces)."""
-    x = seqs.filter(F.col(seq).isNotNull() & (F.length(seq) > 0))
+    x = spread(seqs.filter(F.col(seq).isNotNull() & (F.length(seq) > 0)).select(id_col, seq, desc))
     head = x.select(id_col, F.lit(0).alias("line_no"),
                     F.concat(F.lit(">"), F.col(id_col).cast("string"), F.lit(" "), F.col(desc)).alias("line"))
     n = F.floor((F.length(seq) + (width - 1)) / width).cast("int")

@@ -116,3 +116,10 @@ def test_manifest_check(spark):
     r = U.manifest_check(e, f, "id").first()
     assert (r.expected_count, r.found_count, r.n_missing, r.all_found, r.n_unexpected) == (3, 1, 2, False, 1)
     assert sorted(x.id for x in U.set_missing(e, f).collect()) == [1, 3]
+
+
+def test_shingle_methods_agree(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    a = {r.id: sorted(r.hs) for r in C.shingle_sets(docs, "doc_id", "text", method="arrow").collect()}
+    b = {r.id: sorted(r.hs) for r in C.shingle_sets(docs, "doc_id", "text", method="expr").collect()}
+    assert a == b and sum(len(v) for v in a.values()) > 0
