@@ -244,9 +244,15 @@ def auc_by_group(df: DataFrame, group: str | Sequence[str], label: str, score: s
 # ---------------------------------------------------------------- A1
 def assay_metrics(df: DataFrame, group: str | Sequence[str], y: str, p: str, label: str | None,
                   key: Sequence[str], k_fraction: float = 0.1) -> DataFrame:
-    """A1: every ranking metric per group, one row per group."""
+    """A1: every ranking metric per group, one row per group.
+
+    Bounded groups (size check): all ranks, row numbers and tie-block means are windows
+    over ONE exchange on the group, followed by one aggregate on the same partitioning.
+    A group above the threshold: the skew-safe operators A2-A5 joined on the group."""
     g = _cols(group)
     hot = any_hot_group(df, g)  # one size check for every metric
+    if not hot:
+        return _assay_metrics_windows(df, g, y, p, label, key, k_fraction)
     out = spearman_by_group(df, g, y, p, hot=hot)
     out = out.join(ndcg_by_group(df, g, y, p, k_fraction, hot=hot), g, "left")
     out = out.join(topk_recall(df, g, y, p, key, k_fraction, hot=hot), g, "left")
@@ -257,6 +263,70 @@ def assay_metrics(df: DataFrame, group: str | Sequence[str], y: str, p: str, lab
     return out
 
 
+def _assay_metrics_windows(df: DataFrame, g: list[str], y: str, p: str, label: str | None,
+                           key: Sequence[str], k_fraction: float) -> DataFrame:
+    v1 = F.col(y).isNotNull() & F.col(p).isNotNull()
+    v2 = (F.col(p).isNotNull() & F.col(label).isNotNull()) if label else F.lit(False)
+    cols = [*g, y, p, *([label] if label else []), *[c for c in key if c not in (y, p, label, *g)]]
+    x = df.select(*cols).withColumn("_v1", v1).withColumn("_v2", v2).filter(F.col("_v1") | F.col("_v2"))
+    g1, g2 = [*g, "_v1"], [*g, "_v2"]
+    W = Window.partitionBy
+
+    def avg_rank(part: list[str], col: str) -> F.Column:
+        return F.rank().over(W(*part).orderBy(F.col(col).asc_nulls_last())) + \
+            (F.count(F.lit(1)).over(W(*part, col)) - 1) / F.lit(2.0)
+
+    x = (x.withColumn("_ry", avg_rank(g1, y)).withColumn("_rp", avg_rank(g1, p))
+         .withColumn("_rnp", F.row_number().over(W(*g1).orderBy(F.col(p).desc(), *key)))
+         .withColumn("_rny", F.row_number().over(W(*g1).orderBy(F.col(y).desc(), *key)))
+         .withColumn("_n1", F.count(F.lit(1)).over(W(*g1)))
+         .withColumn("_ayb", F.avg(y).over(W(*g1, p)))
+         .withColumn("_ra", avg_rank(g2, p)))
+    x = x.withColumn("_k", _k_col(F.col("_n1"), k_fraction))
+    on1 = F.col("_v1")
+
+    def s1(c: F.Column) -> F.Column:
+        return F.sum(F.when(on1, c))
+
+    disc_p = F.lit(1.0) / F.log2(F.col("_rnp") + 1)
+    disc_y = F.lit(1.0) / F.log2(F.col("_rny") + 1)
+    a = x.groupBy(*g).agg(
+        F.sum(F.when(on1, 1).otherwise(0)).cast("long").alias("n_variants"),
+        F.covar_pop(F.when(on1, F.col("_ry")), F.when(on1, F.col("_rp"))).alias("_c"),
+        F.var_pop(F.when(on1, F.col("_ry"))).alias("_vy"), F.var_pop(F.when(on1, F.col("_rp"))).alias("_vp"),
+        s1(F.col("_ayb") * disc_p).alias("_dcg"),
+        s1(F.when(F.col("_rnp") <= F.col("_k"), F.col("_ayb") * disc_p).otherwise(0.0)).alias("_dcgk"),
+        s1(F.col(y) * disc_y).alias("_idcg"),
+        s1(F.when(F.col("_rny") <= F.col("_k"), F.col(y) * disc_y).otherwise(0.0)).alias("_idcgk"),
+        F.min(F.when(on1, F.col(y))).alias("_miny"),
+        F.max(F.when(on1, F.col("_k"))).alias("_kk"),
+        s1(F.when((F.col("_rny") <= F.col("_k")) & (F.col("_rnp") <= F.col("_k")), 1).otherwise(0)).alias("_hit"),
+        *([F.sum(F.when(F.col("_v2") & (F.col(label) == 1), 1).otherwise(0)).alias("_P"),
+           F.sum(F.when(F.col("_v2"), 1).otherwise(0)).alias("_N2"),
+           F.sum(F.when(F.col("_v2") & ~F.col(label).isin(0, 1), 1).otherwise(0)).alias("_O"),
+           F.sum(F.when(F.col("_v2") & (F.col(label) == 1), F.col("_ra")).otherwise(0.0)).alias("_SR")]
+          if label else []))
+    a = a.filter(F.col("n_variants") > 0)
+    rho = (F.when(F.col("n_variants") < 2, F.lit(None).cast("double"))
+           .when((F.col("_vy") > 0) & (F.col("_vp") > 0), F.col("_c") / F.sqrt(F.col("_vy") * F.col("_vp")))
+           .otherwise(F.lit(0.0)))
+    bad = (F.col("n_variants") < 2) | (F.col("_miny") < 0)
+
+    def ratio(num: str, den: str) -> F.Column:
+        return (F.when(bad, F.lit(None).cast("double"))
+                .when(F.col(den) == 0, F.lit(0.0)).otherwise(F.col(num) / F.col(den)))
+
+    if label:
+        neg = F.col("_N2") - F.col("_P")
+        auc = F.when((F.col("_P") > 0) & (neg > 0) & (F.col("_O") == 0),
+                     (F.col("_SR") - F.col("_P") * (F.col("_P") + 1) / F.lit(2.0)) / (F.col("_P") * neg))
+    else:
+        auc = F.lit(None).cast("double")
+    return a.select(*g, "n_variants", rho.alias("spearman"), ratio("_dcg", "_idcg").alias("ndcg"),
+                    ratio("_dcgk", "_idcgk").alias("ndcg_10"),
+                    (F.col("_hit") / F.col("_kk")).alias("top_10_recall"), auc.alias("auc"))
+
+
 # ---------------------------------------------------------------- A6 / A7
 def cross_property_matrix(pred: DataFrame, categories: Sequence[str], model: str = "model",
                           group: str = "dms_id", category: str = "category", y: str = "y",

@@ -189,3 +189,20 @@ def test_topk_recall_plans_agree(spark, lit_df):
         a = {r[0]: r.top_10_recall for r in R.topk_recall(df, g, y, p, key, 0.1, hot=False).collect()}
         b = {r[0]: r.top_10_recall for r in R.topk_recall(df, g, y, p, key, 0.1, hot=True).collect()}
         assert a == b
+
+
+def test_assay_metrics_window_plan_matches_operators(spark):
+    from gradus.plans import views as V
+    from gradus.plans.q_rank import KEY
+    d = V.v_pred(spark, "/root/testdata/sf0.01")
+    fast = {r.dms_id: r for r in R.assay_metrics(d, "dms_id", "dms_score", "pred", "dms_score_bin", KEY).collect()}
+    sp = {r.dms_id: r for r in R.spearman_by_group(d, "dms_id", "dms_score", "pred", hot=True).collect()}
+    nd = {r.dms_id: r for r in R.ndcg_by_group(d, "dms_id", "dms_score", "pred", 0.1, hot=True).collect()}
+    tk = {r.dms_id: r for r in R.topk_recall(d, "dms_id", "dms_score", "pred", KEY, 0.1, hot=True).collect()}
+    au = {r.dms_id: r for r in R.auc_by_group(d, "dms_id", "dms_score_bin", "pred", hot=True).collect()}
+    assert set(fast) == set(sp)
+    for k, r in fast.items():
+        assert r.n_variants == sp[k].n_variants
+        assert r.spearman == pytest.approx(sp[k].spearman, abs=1e-12)
+        assert r.ndcg == pytest.approx(nd[k].ndcg, abs=1e-12) and r.ndcg_10 == pytest.approx(nd[k].ndcg_10, abs=1e-12)
+        assert r.top_10_recall == tk[k].top_10_recall and r.auc == pytest.approx(au[k].auc, abs=1e-12)
