@@ -14,30 +14,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gradus.functions.ranking import rank_values
+from gradus.functions.ranking import any_hot_group, rank_values, value_counts
 
 EPS = 1e-10
 
 
 def suffix_logsumexp(df: DataFrame, list_id: str, y_true: str, y_pred: str, key: Sequence[str],
-                     mask: str | None = None) -> DataFrame:
+                     mask: str | None = None, hot: bool | None = None, block: int = 4096) -> DataFrame:
     """For each item, the sum of exp(pred - list max) over the items at or after it
     in descending true-score order (ties by ``key``), masked items contributing 0.
-    Adds ``_mx`` (list max over all items, masked ones too) and ``suffix``."""
+    Adds ``_mx`` (list max over all items, masked ones too) and ``suffix``.
+
+    Lists are bounded by construction (``list_size``); a size check still guards the
+    per-list window: a list above the threshold gets exact positions from value counts
+    (skew-safe ranks of the true score, ties ordered by ``key`` inside their block) and
+    block prefix sums, so no list is processed by one task."""
     m = F.col(mask).cast("double") if mask else F.lit(1.0)
-    wl = Window.partitionBy(list_id)
-    ws = Window.partitionBy(list_id).orderBy(F.col(y_true).desc(), *key) \
-        .rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    x = df.withColumn("_mx", F.max(y_pred).over(wl))
-    return x.withColumn("suffix", F.sum(F.exp(F.col(y_pred) - F.col("_mx")) * m).over(ws))
+    if hot is None:
+        hot = any_hot_group(df, list_id)
+    if not hot:
+        wl = Window.partitionBy(list_id)
+        ws = Window.partitionBy(list_id).orderBy(F.col(y_true).desc(), *key) \
+            .rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        x = df.withColumn("_mx", F.max(y_pred).over(wl))
+        return x.withColumn("suffix", F.sum(F.exp(F.col(y_pred) - F.col("_mx")) * m).over(ws))
+    mx = df.groupBy(list_id).agg(F.max(y_pred).alias("_mx"))
+    r = rank_values(value_counts(df, list_id, y_true), list_id, y_true, descending=True, hot=True) \
+        .select(list_id, y_true, "before")
+    x = df.join(r, [list_id, y_true]).join(mx, list_id)
+    x = x.withColumn("_pos", F.col("before") - 1 + F.row_number().over(
+        Window.partitionBy(list_id, y_true).orderBy(*key))).drop("before")
+    x = x.withColumn("_e", F.exp(F.col(y_pred) - F.col("_mx")) * m).withColumn("_blk", F.floor(F.col("_pos") / block))
+    tot = x.groupBy(list_id, "_blk").agg(F.sum("_e").alias("_bs"))
+    later = Window.partitionBy(list_id).orderBy(F.col("_blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.withColumn("_after", F.coalesce(F.sum("_bs").over(later), F.lit(0.0))).drop("_bs")
+    inner = Window.partitionBy(list_id, "_blk").orderBy(F.col("_pos").desc()) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.join(tot, [list_id, "_blk"]).withColumn("suffix", F.col("_after") + F.sum("_e").over(inner))
+    return x.drop("_pos", "_e", "_blk", "_after")
 
 
 def listmle_loss(df: DataFrame, list_id: str, y_true: str, y_pred: str, key: Sequence[str],
-                 mask: str | None = None, eps: float = EPS) -> DataFrame:
+                 mask: str | None = None, eps: float = EPS, hot: bool | None = None) -> DataFrame:
     """Plackett-Luce negative log-likelihood per list, divided by the number of
     valid items (at least 1). Returns (list_id, n_valid, loss)."""
     m = F.col(mask).cast("double") if mask else F.lit(1.0)
-    x = suffix_logsumexp(df, list_id, y_true, y_pred, key, mask)
+    x = suffix_logsumexp(df, list_id, y_true, y_pred, key, mask, hot=hot)
     term = (F.log(F.col("suffix") + F.lit(eps)) - (F.col(y_pred) - F.col("_mx"))) * m
     return x.groupBy(list_id).agg(F.sum(m).cast("long").alias("n_valid"),
                                   (F.sum(term) / F.greatest(F.sum(m), F.lit(1.0))).alias("loss"))
@@ -50,9 +72,18 @@ def mse_loss(df: DataFrame, list_id: str, y_true: str, y_pred: str, mask: str |
                                   F.avg(F.pow(F.col(y_pred) - F.col(y_true), 2)).alias("loss"))
 
 
-def pair_selfjoin(df: DataFrame, list_id: str, y_true: str, y_pred: str, item: Sequence[str]) -> DataFrame:
+MAX_PAIR_LIST = 10_000  # items per list for pairwise losses (pairs grow with the square)
+
+
+def pair_selfjoin(df: DataFrame, list_id: str, y_true: str, y_pred: str, item: Sequence[str],
+                  max_list_size: int = MAX_PAIR_LIST) -> DataFrame:
     """Ordered pairs (i, j) inside a list with true_i > true_j — an equi-join on the
-    list id with a range predicate; a list holds at most ``list_size`` items."""
+    list id with a range predicate. Pairwise losses are defined on ranking lists, which
+    W5 builds with ``list_size`` items; a size check refuses lists longer than
+    ``max_list_size`` instead of expanding them quadratically."""
+    if any_hot_group(df, list_id, max_list_size):
+        raise ValueError(f"a ranking list has more than {max_list_size} items; pairwise losses need "
+                         "bounded lists (build them with ranking_list_plan)")
     a = df.select(list_id, *[F.col(c).alias(f"i_{c}") for c in item],
                   F.col(y_true).alias("yt_i"), F.col(y_pred).alias("yp_i"))
     b = df.select(list_id, *[F.col(c).alias(f"j_{c}") for c in item],
@@ -61,10 +92,10 @@ def pair_selfjoin(df: DataFrame, list_id: str, y_true: str, y_pred: str, item: S
 
 
 def pairwise_hinge_loss(df: DataFrame, list_id: str, y_true: str, y_pred: str, item: Sequence[str],
-                        margin: float = 1.0) -> DataFrame:
+                        margin: float = 1.0, max_list_size: int = MAX_PAIR_LIST) -> DataFrame:
     """A10: mean over ordered pairs with true_i > true_j of max(0, margin - (p_i - p_j));
     a list without such pairs has loss 0 (the mask is ignored, as in the reference)."""
-    pairs = pair_selfjoin(df, list_id, y_true, y_pred, item)
+    pairs = pair_selfjoin(df, list_id, y_true, y_pred, item, max_list_size)
     per = pairs.groupBy(list_id).agg(
         F.count(F.lit(1)).alias("n_pairs"),
         F.avg(F.greatest(F.lit(0.0), F.lit(margin) - (F.col("yp_i") - F.col("yp_j")))).alias("_l"))

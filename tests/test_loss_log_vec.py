@@ -151,3 +151,26 @@ def test_ranking_list_plan_invariants(spark):
                 lists.setdefault(r.list_no, set()).add(r.item)
         items = [i for l in lists.values() for i in l]
         assert len(items) == len(set(items))
+
+
+def test_listmle_plans_agree(spark):
+    from gradus.plans import views as V
+    from gradus.plans.q_loss import LIST_KEY
+    v = V.v_list(spark, "/root/testdata/sf0.01")
+    a = {r.list_id: r.loss for r in L.listmle_loss(v, "list_id", "y_true", "y_pred", LIST_KEY, "valid", hot=False).collect()}
+    b = {r.list_id: r.loss for r in L.listmle_loss(v, "list_id", "y_true", "y_pred", LIST_KEY, "valid", hot=True).collect()}
+    assert a.keys() == b.keys()
+    assert all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
+    # tiny blocks exercise the cross-block offsets
+    sm = spark.createDataFrame([(1, i, float(i % 7), float(i) / 10, 1) for i in range(50)],
+                               "list_id int, i int, y_true double, y_pred double, valid int")
+    w = {r.i: r.suffix for r in L.suffix_logsumexp(sm, "list_id", "y_true", "y_pred", ["i"], "valid", hot=False).collect()}
+    h = {r.i: r.suffix for r in L.suffix_logsumexp(sm, "list_id", "y_true", "y_pred", ["i"], "valid", hot=True, block=4).collect()}
+    assert all(w[k] == pytest.approx(h[k]) for k in w)
+
+
+def test_pairwise_refuses_unbounded_lists(spark):
+    df = spark.createDataFrame([(1, i, float(i), 0.0) for i in range(20)], "list_id int, i int, y_true double, y_pred double")
+    with pytest.raises(ValueError):
+        L.pairwise_hinge_loss(df, "list_id", "y_true", "y_pred", ["i"], max_list_size=10)
+    assert L.pairwise_hinge_loss(df, "list_id", "y_true", "y_pred", ["i"]).first().n_pairs == 190
