@@ -218,10 +218,10 @@ def test_forced_bucketing_end_to_end(spark):
     spark.conf.set("gradus.hotGroupThreshold", "5")
     try:
         hot = {r.dms_id: tuple(r)[1:] for r in R.assay_metrics(d, "dms_id", "dms_score", "pred", "dms_score_bin", KEY).collect()}
-        nr = {(r.dms_id, r.l_orderkey, r.l_linenumber, r.l_partkey): r.rank for r in R.avg_rank(d, "dms_id", "pred").collect()}
+        nr = {(r.dms_id, r.l_orderkey, r.l_linenumber, r.l_partkey, r.pred): r.rank for r in R.avg_rank(d, "dms_id", "pred").collect()}
     finally:
         spark.conf.unset("gradus.hotGroupThreshold")
-    nw = {(r.dms_id, r.l_orderkey, r.l_linenumber, r.l_partkey): r.rank
+    nw = {(r.dms_id, r.l_orderkey, r.l_linenumber, r.l_partkey, r.pred): r.rank
           for r in R.avg_rank(d, "dms_id", "pred", method="window").collect()}
     assert base.keys() == hot.keys()
     for k in base:
