@@ -127,13 +127,8 @@ def write_scored(df: DataFrame, path: str, partition_col: str = "dms_id") -> Non
     """Per-assay score files; re-running an assay replaces only its partition
     (dynamic partition overwrite), and a failed attempt never leaves a visible
     partial file (task commit protocol)."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.repartition(partition_col).write.mode("overwrite").partitionBy(partition_col).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    df.repartition(partition_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy(partition_col).parquet(path)
 
 
 # ------------------------------------------------------------------ S8

@@ -228,3 +228,19 @@ def test_forced_bucketing_end_to_end(spark):
         for a, b in zip(base[k], hot[k]):
             assert (a is None and b is None) or a == pytest.approx(b, abs=1e-9)
     assert nr.keys() == nw.keys() and all(nr[k] == nw[k] for k in nr)
+
+
+def test_metrics_independent_of_shuffle_partitions(spark):
+    from gradus.plans import views as V
+    from gradus.plans.q_rank import KEY
+    d = V.v_pred(spark, "/root/testdata/sf0.001")
+    out = []
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("3", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        out.append(sorted(tuple(r) for r in R.assay_metrics(d, "dms_id", "dms_score", "pred", "dms_score_bin", KEY)
+                          .collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", prev)
+    assert len(out[0]) == len(out[1])
+    for a, b in zip(*out):
+        assert all((x is None and y is None) or x == pytest.approx(y, abs=1e-12) for x, y in zip(a, b))
