@@ -38,6 +38,18 @@ def vector_summary(vecs: DataFrame, group: str = "property", v: str = "v", layer
     return vecs.groupBy(group).agg(*aggs)
 
 
+# Fixed value: adapter tensor names end in ".lora_A[.<adapter>].weight" / ".lora_B[...]"
+LORA_NAME = r"^(.*)\.lora_([AB])(\.[A-Za-z0-9_]+)?\.weight$"
+
+
+def lora_parts(name: str = "name") -> tuple[F.Column, F.Column]:
+    """(prefix, matrix) of an adapter tensor name, with or without the adapter segment
+    (``.default``); both NULL for other names, so they never pair up by accident."""
+    pre = F.regexp_extract(F.col(name), LORA_NAME, 1)
+    mat = F.regexp_extract(F.col(name), LORA_NAME, 2)
+    return F.when(mat != "", pre), F.when(mat != "", mat)
+
+
 # ---------------------------------------------------------------- row blocks
 def to_row_blocks(long: DataFrame, key: Sequence[str], row: str = "r", col: str = "c", v: str = "v") -> DataFrame:
     """(key..., r, c, v) -> (key..., r, vals ARRAY<DOUBLE>) ordered by c. A block is one

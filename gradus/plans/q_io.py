@@ -136,10 +136,12 @@ select property, prefix, matrix, count(*) as n, {r6('sum(v)')} as total from v_l
 def q_weights_ingest(spark, d):
     folder = scratch_path(spark, "weights")
     _write_weight_files(spark, d, folder)
+    from gradus.operators.vectors import lora_parts
     rows = io.weights_ingest(spark, folder)
+    prefix, matrix = lora_parts("name")
     x = rows.select(F.regexp_extract("path", r"prop_([0-9]+)\.safetensors", 1).cast("int").alias("property"),
-                    F.regexp_extract("name", r"layer\.([0-9]+)\.", 1).cast("int").alias("prefix"),
-                    F.regexp_extract("name", r"lora_([AB])", 1).alias("matrix"), F.explode("vals").alias("v"))
+                    F.regexp_extract(prefix, r"layer\.([0-9]+)\.", 1).cast("int").alias("prefix"),
+                    matrix.alias("matrix"), F.explode("vals").alias("v"))
     return x.groupBy("property", "prefix", "matrix").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
 
 

@@ -174,3 +174,11 @@ def test_pairwise_refuses_unbounded_lists(spark):
     with pytest.raises(ValueError):
         L.pairwise_hinge_loss(df, "list_id", "y_true", "y_pred", ["i"], max_list_size=10)
     assert L.pairwise_hinge_loss(df, "list_id", "y_true", "y_pred", ["i"]).first().n_pairs == 190
+
+
+def test_lora_name_parsing(spark):
+    names = ["m.layer.3.q.lora_A.default.weight", "m.layer.3.q.lora_B.weight", "m.layer.3.q.weight", "x.lora_A.bias"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    p, m = VX.lora_parts("name")
+    got = [(r.p, r.m) for r in df.select(p.alias("p"), m.alias("m")).collect()]
+    assert got == [("m.layer.3.q", "A"), ("m.layer.3.q", "B"), (None, None), (None, None)]
