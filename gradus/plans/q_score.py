@@ -196,3 +196,54 @@ def q_head_score(spark, d):
     """Rows-only: numpy ranking head over Arrow batches of the 64-d embeddings."""
     e = table(spark, d, "embeddings")
     return S.head_score(e, "embedding", "vec_id", S.head_weights(64, 32))
+
+
+# --------------------------------------------------------------- A6 with the zero-shot row
+def _line_zero_shot(spark, d):
+    """Zero-shot prediction per lineitem: the score of its one-mutation token."""
+    from gradus.functions import parsing
+    from gradus.plans.views import LINE_KEY
+    li = table(spark, d, "lineitem")
+    part = table(spark, d, "part").select("p_partkey", "p_type")
+    aa = F.lit(AMINO)
+    tok = F.concat(F.substring(aa, (F.col("l_suppkey") % 20).cast("int") + 1, 1),
+                   F.col("l_quantity").cast("int").cast("string"),
+                   F.substring(aa, (F.col("l_partkey") % 20).cast("int") + 1, 1))
+    x = li.join(part, li.l_partkey == part.p_partkey).select(
+        F.col("l_partkey").alias("dms_id"), F.col("p_type").alias("category"), F.col("l_extendedprice").alias("y"),
+        *LINE_KEY, F.element_at(parsing.parse_mutations(tok), 1).alias("t"))
+    x = x.select("*", F.col("t.pos").alias("pos"), F.col("t.wt").alias("wt"), F.col("t.mut").alias("mut")).drop("t")
+    j = x.join(logp(spark, d), "pos", "left")
+    d_ = F.element_at("logp", S.token_index(F.col("mut")) + 1) - F.element_at("logp", S.token_index(F.col("wt")) + 1)
+    return j.select(F.lit("zero_shot").alias("model"), "dms_id", "category", "y",
+                    F.coalesce(d_, F.lit(0.0)).alias("pred"), *LINE_KEY)
+
+
+def _matrix_zs_sql() -> str:
+    from gradus.plans.q_rank import MODEL_CATEGORIES
+    cols = ",\n       ".join(f"{r6(f'avg(case when category = {chr(39)}{c}{chr(39)} then spearman end)')} as {c.lower()}"
+                             for c in MODEL_CATEGORIES)
+    zs = f"""select 'zero_shot' as model, l.l_partkey as dms_id, p.p_type as category, l.l_extendedprice as y,
+                    coalesce(lm.logp - lw.logp, 0.0) as pred
+             from (select *, concat(substr('{AMINO}', cast(l_suppkey % 20 as int) + 1, 1),
+                                     cast(cast(l_quantity as int) as varchar),
+                                     substr('{AMINO}', cast(l_partkey % 20 as int) + 1, 1)) as tok from lineitem) l
+             join part p on p.p_partkey = l.l_partkey
+             left join lp lw on lw.pos = cast(regexp_replace(substr(l.tok, 2, greatest(length(l.tok) - 2, 0)), '[^0-9]', '', 'g') as bigint) - 1
+                            and lw.idx = {TOK.format(c='substr(l.tok, 1, 1)')}
+             left join lp lm on lm.pos = cast(regexp_replace(substr(l.tok, 2, greatest(length(l.tok) - 2, 0)), '[^0-9]', '', 'g') as bigint) - 1
+                            and lm.idx = {TOK.format(c='right(l.tok, 1)')}"""
+    allp = "select model, dms_id, category, y, pred from v_model_pred union all select * from zs"
+    sp = _spearman_sql("allp", "model, dms_id, category", "y", "pred")
+    return with_views(f"select model,\n       {cols}\nfrom ({sp}) s group by model", "v_model_pred", "v_vec",
+                      extra=LOGP_CTES + [("zs", zs), ("allp", allp)])
+
+
+@query("cross_property_matrix_zero_shot", _matrix_zs_sql())
+def q_cross_property_matrix_zero_shot(spark, d):
+    """A6 with the zero-shot row: the three models plus per-variant zero-shot scores."""
+    from gradus.operators import rank as R
+    from gradus.plans.q_rank import MODEL_CATEGORIES
+    cols = ["model", "dms_id", "category", "y", "pred"]
+    allp = V.v_model_pred(spark, d).select(*cols).unionByName(_line_zero_shot(spark, d).select(*cols))
+    return R.cross_property_matrix(allp, MODEL_CATEGORIES)
