@@ -54,13 +54,23 @@ def direct_map(df: DataFrame, type_col: str = "coarse_type",
 
 def keyword_hits(text: Column, keywords: Mapping[str, Sequence[str]] = KEYWORDS) -> Column:
     """ARRAY<STRUCT<category, priority, n_hits, matched ARRAY<STRING>>> — for each
-    category the keywords contained in ``text`` (plain substring match)."""
-    items = []
-    for prio, (cat, kws) in enumerate(keywords.items()):
-        hit = F.filter(F.array(*[F.lit(k.lower()) for k in kws]), lambda k: text.contains(k))
-        items.append(F.struct(F.lit(cat).alias("category"), F.lit(prio).alias("priority"),
-                              F.size(hit).alias("n_hits"), hit.alias("matched")))
-    return F.array(*items)
+    category the keywords contained in ``text`` (plain substring match).
+
+    The text and each category's match list are bound once as lambda variables, so a
+    long text is lowered once and every keyword is tested once per row."""
+    cats = F.array(*[F.struct(F.lit(cat).alias("category"), F.lit(prio).alias("priority"),
+                              F.array(*[F.lit(k.lower()) for k in kws]).alias("kws"))
+                     for prio, (cat, kws) in enumerate(keywords.items())])
+
+    def per_text(t: Column) -> Column:
+        def per_cat(c: Column) -> Column:
+            found = F.array(F.filter(c["kws"], lambda k: t.contains(k)))
+            return F.element_at(F.transform(found, lambda h: F.struct(
+                c["category"].alias("category"), c["priority"].alias("priority"),
+                F.size(h).alias("n_hits"), h.alias("matched"))), 1)
+        return F.transform(cats, per_cat)
+
+    return F.element_at(F.transform(F.array(text), per_text), 1)
 
 
 def keyword_argmax(hits: Column) -> Column:

@@ -167,3 +167,15 @@ where rn <= 5""", "v_pred"))
 def q_topk_items(spark, d):
     x = R.topk_items(V.v_pred(spark, d), "dms_id", "pred", KEY, k=5)
     return x.select("dms_id", "l_orderkey", "l_linenumber", "l_partkey", "pred", "rn")
+
+
+# --------------------------------------------------------------- A5 on documents x labels
+@query("auc_documents", with_views(
+    f"select lang, (round((auc) * 1e6) / 1e6 + 0.0) as auc from ({_auc_sql('dl', 'lang', 'quality', 'n_chars')}) q",
+    extra=[("dl", "select d.lang, d.n_chars, l.quality from documents d join labels l on l.doc_id = d.doc_id")]))
+def q_auc_documents(spark, d):
+    """A5 on the labelled documents: how well text length ranks the quality label, per language."""
+    from gradus.sources.tables import table
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    lab = table(spark, d, "labels").select("doc_id", "quality")
+    return R.auc_by_group(docs.join(lab, "doc_id"), "lang", "quality", "n_chars")

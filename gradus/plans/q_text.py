@@ -190,3 +190,26 @@ def q_smoke_subset(spark, d):
                        variant_key=["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity",
                                     "l_shipdate"])
     return x.select("assigned_category", "dms_id", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+
+
+# --------------------------------------------------------------- P3 on whole documents
+def _kw_doc_sql() -> str:
+    parts = []
+    for prio, (cat, kws) in enumerate(T.KEYWORDS.items()):
+        n = " + ".join(f"(case when contains(t, '{k}') then 1 else 0 end)" for k in kws)
+        m = ", ".join(f"case when contains(t, '{k}') then '{k}' end" for k in kws)
+        parts.append(f"select doc_id, '{cat}' as category, cast({n} as int) as n_hits, "
+                     f"concat_ws(',', {m}) as matched from dt")
+    return "\nunion all\n".join(parts)
+
+
+@query("keyword_hits_documents", f"""
+with dt as (select doc_id, lower(text) as t from documents)
+select doc_id, category, n_hits, matched from ({_kw_doc_sql()}) q where n_hits > 0""")
+def q_keyword_hits_documents(spark, d):
+    """P3 over whole document texts: categories whose keywords occur, with the matches."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    x = docs.select("doc_id", F.explode(T.keyword_hits(T.search_text("text"))).alias("h"))
+    return x.filter(F.col("h.n_hits") > 0).select(
+        "doc_id", F.col("h.category").alias("category"), F.col("h.n_hits").alias("n_hits"),
+        F.array_join("h.matched", ",").alias("matched"))
