@@ -121,12 +121,13 @@ query("metrics_csv", ORACLE.get("assay_metrics"))(_s9)
 
 # --------------------------------------------------------------- S8
 def _write_weight_files(spark, d, folder):
-    """One safetensors file per property, written by the task that holds the property's
-    factors (an adapter is bounded by the model size)."""
+    """Sharded safetensors files, one per (property, layer): a shard holds one layer's
+    A and B factors (bounded by rank x width), never a whole adapter in one task."""
     lr = V.v_lowrank(spark, d)
     names = F.concat(F.lit("base_model.model.encoder.layer."), F.col("prefix").cast("string"),
                      F.lit(".attention.self.query.lora_"), F.col("matrix"), F.lit(".weight"))
-    io.write_safetensors_files(lr.withColumn("tensor", names), "property", "tensor", folder,
+    shard = F.concat(F.col("property").cast("string"), F.lit("-layer_"), F.col("prefix").cast("string"))
+    io.write_safetensors_files(lr.withColumn("tensor", names).withColumn("shard", shard), "shard", "tensor", folder,
                                lambda key: f"prop_{key}.safetensors")
 
 
@@ -139,7 +140,7 @@ def q_weights_ingest(spark, d):
     from gradus.operators.vectors import lora_parts
     rows = io.weights_ingest(spark, folder)
     prefix, matrix = lora_parts("name")
-    x = rows.select(F.regexp_extract("path", r"prop_([0-9]+)\.safetensors", 1).cast("int").alias("property"),
+    x = rows.select(F.regexp_extract("path", r"prop_([0-9]+)-layer_[0-9]+\.safetensors", 1).cast("int").alias("property"),
                     F.regexp_extract(prefix, r"layer\.([0-9]+)\.", 1).cast("int").alias("prefix"),
                     matrix.alias("matrix"), F.explode("vals").alias("v"))
     return x.groupBy("property", "prefix", "matrix").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
