@@ -245,22 +245,30 @@ DOC_SPLIT_CTES = CLUSTER_CTES + [
 ]
 
 
-@query("make_splits", _recursive(with_views(f"""
+MAKE_SPLITS_BODY = f"""
 select a.doc_id, a.category, a.cluster,
        case when r.rn <= greatest(1, floor(r.n * {TEST_FRACTION}::double)) then 'test' else 'train' end as split
-from dassign a join dranked r on r.category = a.category and r.cluster = a.cluster""", "v_seq",
-                                            extra=DOC_SPLIT_CTES)))
+from dassign a join dranked r on r.category = a.category and r.cluster = a.cluster"""
+
+
+@query("make_splits", _recursive(with_views(MAKE_SPLITS_BODY, "v_seq", extra=DOC_SPLIT_CTES)))
 def q_make_splits(spark, d):
     """Dedup (first row per doc, non-empty text) -> shingle clustering ->
     attach cluster -> per-category split."""
+    return _doc_split_pipeline(spark, d)[0]
+
+
+def _doc_split_pipeline(spark, d):
+    """T2 pipeline; returns (split, verified edges) so audits reuse the same edges."""
     seq = V.v_seq(spark, d).select("doc_id", "category", "text")
     uniq = U.distinct_first(seq, "doc_id", ["doc_id"], value="text")
     sh = C.materialize(C.shingle_sets(uniq, "doc_id", "text"))
-    edges = C.identity_coverage_filter(C.shingle_candidates(sh), sh).select("id", "rep")
-    cl = C.cluster_components(uniq.select(F.col("doc_id").alias("id")), edges)
+    verified = C.materialize(C.identity_coverage_filter(C.shingle_candidates(sh), sh))
+    cl = C.cluster_components(uniq.select(F.col("doc_id").alias("id")), verified.select("id", "rep"))
     x = SP.attach_cluster(uniq.select("doc_id", "category"), cl, "doc_id")
-    return SP.stratified_group_split(x, TEST_FRACTION, SEED, "per_category", id_col="doc_id") \
+    split = SP.stratified_group_split(x, TEST_FRACTION, SEED, "per_category", id_col="doc_id") \
         .select("doc_id", "category", "cluster", "split")
+    return split, verified
 
 
 @query("cluster_tsv", _recursive(with_views("select representative, member from clusters", extra=CLUSTER_CTES)))
@@ -339,3 +347,19 @@ def q_category_training_set(spark, d):
     x = SP.attach_category(normed, cats, "dms_id")
     x = SP.id_in_split(x, assay_split(spark, d), "train")
     return x.select("dms_id", "l_orderkey", "l_linenumber", "l_suppkey", "dms_score", "score_norm")
+
+
+@query("cross_split_edges", _recursive(with_views(f"""
+select count(*) as n_cross_edges, {r6('max(v.identity)')} as max_identity
+from verified v join dsplit a on a.doc_id = v.id join dsplit b on b.doc_id = v.rep
+where a.split <> b.split""", "v_seq", extra=DOC_SPLIT_CTES + [("dsplit", MAKE_SPLITS_BODY)])))
+def q_cross_split_edges(spark, d):
+    """J8 on the split (the promised similarity check): verified similarity edges whose
+    two ends landed on different sides, and the highest identity among them."""
+    split, verified = _doc_split_pipeline(spark, d)
+    split = split.select("doc_id", "split")
+    e = verified.select("id", "rep", "identity")
+    a = split.select(F.col("doc_id").alias("id"), F.col("split").alias("_sa"))
+    b = split.select(F.col("doc_id").alias("rep"), F.col("split").alias("_sb"))
+    x = e.join(a, "id").join(b, "rep").filter(F.col("_sa") != F.col("_sb"))
+    return x.agg(F.count(F.lit(1)).alias("n_cross_edges"), F.max("identity").alias("max_identity"))
