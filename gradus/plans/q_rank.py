@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from gradus.operators import rank as R
 from gradus.plans import views as V
 from gradus.plans.oracle_views import LINE_KEY_SQL, with_views
