@@ -268,7 +268,10 @@ def _assay_metrics_windows(df: DataFrame, g: list[str], y: str, p: str, label: s
     v1 = F.col(y).isNotNull() & F.col(p).isNotNull()
     v2 = (F.col(p).isNotNull() & F.col(label).isNotNull()) if label else F.lit(False)
     cols = [*g, y, p, *([label] if label else []), *[c for c in key if c not in (y, p, label, *g)]]
-    x = df.select(*cols).withColumn("_v1", v1).withColumn("_v2", v2).filter(F.col("_v1") | F.col("_v2"))
+    # one hash partitioning on the group serves every window below (their keys all
+    # contain the group) and the final aggregate
+    x = df.select(*cols).withColumn("_v1", v1).withColumn("_v2", v2).filter(F.col("_v1") | F.col("_v2")) \
+        .repartition(*g)
     g1, g2 = [*g, "_v1"], [*g, "_v2"]
     W = Window.partitionBy
 
@@ -332,11 +335,13 @@ def cross_property_matrix(pred: DataFrame, categories: Sequence[str], model: str
                           group: str = "dms_id", category: str = "category", y: str = "y",
                           p: str = "pred") -> DataFrame:
     """Mean per-assay Spearman for every model (rows) x category (columns).
-    NULL Spearman values are skipped by the mean; the pivot uses the given
-    category list so no extra job discovers it."""
+    NULL Spearman values are skipped by the mean; the columns come from the given
+    category list, so no extra job discovers them."""
     sp = spearman_by_group(pred, [model, group, category], y, p)
-    wide = sp.groupBy(model).pivot(category, list(categories)).agg(F.avg("spearman"))
-    return wide.select(model, *[F.col(f"`{c}`").alias(c.lower()) for c in categories])
+    # the pivot as conditional averages over the given categories: one partial
+    # aggregation and one exchange (a pivot() would add a second aggregation step)
+    return sp.groupBy(model).agg(*[F.avg(F.when(F.col(category) == c, F.col("spearman"))).alias(c.lower())
+                                   for c in categories])
 
 
 def category_summary(decisions: DataFrame, categories: Sequence[str], min_assays: int = 8,
