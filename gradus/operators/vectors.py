@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gradus.functions.ranking import rank_values
 
@@ -153,13 +154,18 @@ def delta_cosine_factored(lowrank: DataFrame, prop: str = "property", eps: float
 
 
 def _cosine_from_dots(dots: DataFrame, eps: float) -> DataFrame:
-    diag = dots.filter(F.col("p1") == F.col("p2")).select(F.col("p1").alias("p"), F.sqrt("dot").alias("nrm"))
-    x = dots.join(diag.withColumnRenamed("p", "p1").withColumnRenamed("nrm", "n1"), "p1") \
-            .join(diag.withColumnRenamed("p", "p2").withColumnRenamed("nrm", "n2"), "p2")
-    cos = F.col("dot") / (F.greatest(F.col("n1"), F.lit(eps)) * F.greatest(F.col("n2"), F.lit(eps)))
-    up = x.select("p1", "p2", cos.alias("cosine"))
-    low = up.filter(F.col("p1") != F.col("p2")).select(F.col("p2").alias("p1"), F.col("p1").alias("p2"), "cosine")
-    return up.unionByName(low)
+    """Cosines from the upper-triangle dot products (p1 <= p2): the norms come from
+    the diagonal through two windows over the small dot table (read once), and the
+    lower triangle is produced by exploding each off-diagonal row into both orders."""
+    diag = F.when(F.col("p1") == F.col("p2"), F.col("dot"))
+    x = dots.withColumn("_n1", F.sqrt(F.max(diag).over(Window.partitionBy("p1")))) \
+            .withColumn("_n2", F.sqrt(F.max(diag).over(Window.partitionBy("p2"))))
+    cos = F.col("dot") / (F.greatest(F.col("_n1"), F.lit(eps)) * F.greatest(F.col("_n2"), F.lit(eps)))
+    both = F.when(F.col("p1") == F.col("p2"), F.array(F.struct(F.col("p1").alias("a"), F.col("p2").alias("b")))) \
+        .otherwise(F.array(F.struct(F.col("p1").alias("a"), F.col("p2").alias("b")),
+                           F.struct(F.col("p2").alias("a"), F.col("p1").alias("b"))))
+    return x.select(F.explode(both).alias("_pp"), cos.alias("cosine")) \
+        .select(F.col("_pp.a").alias("p1"), F.col("_pp.b").alias("p2"), "cosine")
 
 
 def cosine_matrix(vecs: DataFrame, prop: str = "property", key: Sequence[str] = ("idx",), v: str = "v",
