@@ -80,12 +80,12 @@ def leakage_audit(split: DataFrame, id_col: str = "dms_id", protein: str = "prot
                   cluster: str = "cluster") -> DataFrame:
     """One row with assays / proteins / clusters per side, the number of ids,
     proteins and clusters found on both sides, and ``valid`` (no id and no cluster
-    overlap). One union of the three key levels, one aggregation per level key,
-    one final conditional aggregation — no join."""
-    levels = None
-    for lvl, col in (("assays", id_col), ("proteins", protein), ("clusters", cluster)):
-        part = split.select(F.lit(lvl).alias("_lvl"), F.col(col).cast("string").alias("_key"), "split")
-        levels = part if levels is None else levels.unionByName(part)
+    overlap). The split is read once: each row is exploded into its three level
+    keys, aggregated per level key, then one conditional aggregation — no join."""
+    keys = F.array(*[F.struct(F.lit(lvl).alias("l"), F.col(col).cast("string").alias("k"))
+                     for lvl, col in (("assays", id_col), ("proteins", protein), ("clusters", cluster))])
+    levels = split.select(F.explode(keys).alias("_lk"), "split") \
+        .select(F.col("_lk.l").alias("_lvl"), F.col("_lk.k").alias("_key"), "split")
     per_key = levels.groupBy("_lvl", "_key").agg(
         F.max(F.when(F.col("split") == "train", 1).otherwise(0)).alias("_tr"),
         F.max(F.when(F.col("split") == "test", 1).otherwise(0)).alias("_te"))
@@ -108,9 +108,10 @@ def leakage_audit(split: DataFrame, id_col: str = "dms_id", protein: str = "prot
 
 def overlapping(split: DataFrame, col: str) -> DataFrame:
     """U1 on a split: values of ``col`` present in both train and test."""
-    tr = split.filter(F.col("split") == "train").select(col)
-    te = split.filter(F.col("split") == "test").select(col)
-    return tr.intersect(te)
+    # one read of the split: a value overlaps when it has rows on both sides
+    per = split.groupBy(col).agg(F.max(F.when(F.col("split") == "train", 1).otherwise(0)).alias("_tr"),
+                                 F.max(F.when(F.col("split") == "test", 1).otherwise(0)).alias("_te"))
+    return per.filter((F.col("_tr") == 1) & (F.col("_te") == 1)).select(col)
 
 
 def id_in_split(items: DataFrame, split: DataFrame, side: str, id_col: str = "dms_id") -> DataFrame:

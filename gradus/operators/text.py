@@ -86,10 +86,11 @@ def categorize(assay: DataFrame, text_fields: Sequence[str] = ("phenotype",), id
                type_col: str = "coarse_type", size_col: str = "num_mutants",
                min_size: int = MIN_MUTATIONS, mapping: Mapping[str, str] = TYPE_MAP,
                keywords: Mapping[str, Sequence[str]] = KEYWORDS,
-               default: str = DEFAULT_CATEGORY) -> DataFrame:
+               default: str = DEFAULT_CATEGORY, keep: Sequence[str] = ()) -> DataFrame:
     """Decision table (dms_id, original_type, assigned_category, matched_keywords,
-    confidence, reason, num_mutants) — size rule, then direct map, then keyword
-    reclassification of ``OrganismalFitness``, else the default category."""
+    confidence, reason, num_mutants[, keep...]) — size rule, then direct map, then keyword
+    reclassification of ``OrganismalFitness``, else the default category. ``keep``
+    carries extra input columns through (no second read of the input for them)."""
     x = direct_map(min_size_filter(assay, size_col, min_size), type_col, mapping, "_mapped")
     best = keyword_argmax(keyword_hits(search_text(*text_fields), keywords))
     x = x.withColumn("_best", F.when(F.col(type_col) == RECLASSIFY_TYPE, best))
@@ -106,7 +107,7 @@ def categorize(assay: DataFrame, text_fields: Sequence[str] = ("phenotype",), id
                 F.col("_best.matched")).otherwise(empty)
     return x.select(F.col(id_col).alias("dms_id"), F.col(type_col).alias("original_type"),
                     cat.alias("assigned_category"), kw.alias("matched_keywords"),
-                    conf.alias("confidence"), "reason", F.col(size_col).alias("num_mutants"))
+                    conf.alias("confidence"), "reason", F.col(size_col).alias("num_mutants"), *keep)
 
 
 def truncate_or_exclude(df: DataFrame, seq: str, mutant: str, max_length: int) -> DataFrame:

@@ -19,12 +19,12 @@ TEST_FRACTION = 0.2
 
 # --------------------------------------------------------------- assay split (v_assay, protein = name)
 def assay_assignments(spark, d):
-    t1 = categorized(spark, d).filter(F.col("assigned_category") != "excluded") \
-        .select("dms_id", F.col("assigned_category").alias("category"))
-    a = V.v_assay(spark, d).select("dms_id", F.col("uniprot_id").alias("protein"))
-    x = t1.join(a, "dms_id")
-    empty = spark.createDataFrame([], "representative string, member string")
-    return SP.attach_cluster(x, empty, "protein")
+    from gradus.operators import text as T
+    x = T.categorize(V.v_assay(spark, d), keep=["uniprot_id"]).filter(F.col("assigned_category") != "excluded") \
+        .select("dms_id", F.col("assigned_category").alias("category"), F.col("uniprot_id").alias("protein"))
+    # no cluster table for assay proteins: every protein is its own cluster (J1's rule
+    # for proteins absent from the table), so no join is needed
+    return x.withColumn("cluster", F.col("protein"))
 
 
 def assay_split(spark, d, mode="per_category"):
