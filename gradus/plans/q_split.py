@@ -357,9 +357,9 @@ def q_cross_split_edges(spark, d):
     """J8 on the split (the promised similarity check): verified similarity edges whose
     two ends landed on different sides, and the highest identity among them."""
     split, verified = _doc_split_pipeline(spark, d)
-    split = split.select("doc_id", "split")
-    e = verified.select("id", "rep", "identity")
-    a = split.select(F.col("doc_id").alias("id"), F.col("split").alias("_sa"))
-    b = split.select(F.col("doc_id").alias("rep"), F.col("split").alias("_sb"))
-    x = e.join(a, "id").join(b, "rep").filter(F.col("_sa") != F.col("_sb"))
+    # each edge is exploded into its two ends and joined to the split once
+    ends = verified.select("id", "rep", "identity", F.explode(F.array("id", "rep")).alias("doc_id"))
+    per = ends.join(split.select("doc_id", "split"), "doc_id").groupBy("id", "rep").agg(
+        F.max("identity").alias("identity"), F.countDistinct("split").alias("_sides"))
+    x = per.filter(F.col("_sides") == 2)
     return x.agg(F.count(F.lit(1)).alias("n_cross_edges"), F.max("identity").alias("max_identity"))
