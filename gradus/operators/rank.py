@@ -147,6 +147,11 @@ def ndcg_by_group(df: DataFrame, group: str | Sequence[str], y: str, p: str,
     d = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
     if hot is None:
         hot = any_hot_group(d, g)
+    if not hot:
+        # bounded groups: positions by row_number over one exchange (the order inside a
+        # tie block does not change a block's discount sum)
+        w = _assay_metrics_windows(d, g, y, p, None, [], k_fraction)
+        return w.select(*g, "ndcg", "ndcg_10")
     # prediction-order tie blocks carry the sum of their relevance
     vp = value_counts(d, g, p, F.sum(y).alias("_sy"))
     rp = rank_values(vp, g, p, descending=True, hot=hot).withColumn("_k", _k_col(F.col("n"), k_fraction))
