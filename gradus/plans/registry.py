@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gradus.functions.columns import round_doubles
+from gradus.session import ship_package
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -23,6 +24,7 @@ def query(key: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
             raise ValueError(f"duplicate query key {key}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             return round_doubles(fn(spark, sf_dir))
 
         run.__name__ = fn.__name__
