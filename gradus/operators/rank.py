@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gradus.functions.ranking import (_cols, any_hot_group, avg_rank_window, discount_sum_rows,
-                                      rank_values, value_counts)
+                                      hot_threshold, rank_values, value_counts)
 
 PROPERTIES = ("stability", "binding", "expression", "activity")
+MAX_HOT_BROADCAST = 100_000  # hot-group keys broadcast to split rows (checked before use)
 
 
 # ---------------------------------------------------------------- W1 / W2
@@ -255,9 +256,26 @@ def assay_metrics(df: DataFrame, group: str | Sequence[str], y: str, p: str, lab
     over ONE exchange on the group, followed by one aggregate on the same partitioning.
     A group above the threshold: the skew-safe operators A2-A5 joined on the group."""
     g = _cols(group)
-    hot = any_hot_group(df, g)  # one size check for every metric
-    if not hot:
+    # one size check for every metric: which groups are hot?
+    hot_groups = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")) \
+        .filter(F.col("_n") > hot_threshold(df)).select(*g)
+    n_hot = hot_groups.limit(MAX_HOT_BROADCAST + 1).count()
+    if n_hot == 0:
         return _assay_metrics_windows(df, g, y, p, label, key, k_fraction)
+    if n_hot <= MAX_HOT_BROADCAST:
+        # few hot groups (their number is checked): bounded groups keep the one-exchange
+        # window plan, only the hot ones take the skew-safe plan; the hot-group list is
+        # broadcast to split the rows without a shuffle
+        hg = F.broadcast(hot_groups)
+        cold = _assay_metrics_windows(df.join(hg, g, "left_anti"), g, y, p, label, key, k_fraction)
+        hot = _assay_metrics_skew(df.join(hg, g, "left_semi"), g, y, p, label, key, k_fraction)
+        return cold.unionByName(hot)
+    return _assay_metrics_skew(df, g, y, p, label, key, k_fraction)
+
+
+def _assay_metrics_skew(df: DataFrame, g: list[str], y: str, p: str, label: str | None,
+                        key: Sequence[str], k_fraction: float) -> DataFrame:
+    hot = True
     out = spearman_by_group(df, g, y, p, hot=hot)
     out = out.join(ndcg_by_group(df, g, y, p, k_fraction, hot=hot), g, "left")
     out = out.join(topk_recall(df, g, y, p, key, k_fraction, hot=hot), g, "left")
