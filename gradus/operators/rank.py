@@ -23,6 +23,13 @@ PROPERTIES = ("stability", "binding", "expression", "activity")
 MAX_HOT_BROADCAST = 100_000  # hot-group keys broadcast to split rows (checked before use)
 
 
+def _hot_groups(df: DataFrame, g: list[str]) -> tuple[DataFrame, int]:
+    """Size check: the groups above the threshold and their number (counted up to
+    MAX_HOT_BROADCAST + 1, so the key list is only broadcast when its size is known)."""
+    hot = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_threshold(df)).select(*g)
+    return hot, hot.limit(MAX_HOT_BROADCAST + 1).count()
+
+
 # ---------------------------------------------------------------- W1 / W2
 def avg_rank(df: DataFrame, group: str | Sequence[str], value: str, out: str = "rank",
              method: str = "auto", hot: bool | None = None) -> DataFrame:
@@ -91,7 +98,13 @@ def spearman_by_group(df: DataFrame, group: str | Sequence[str], y: str, p: str,
     g = _cols(group)
     d = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*g, y, p)
     if hot is None:
-        hot = any_hot_group(d, g)
+        hot_groups, n_hot = _hot_groups(d, g)
+        if 0 < n_hot <= MAX_HOT_BROADCAST:
+            # only the hot groups take the bucketed plan (their checked key list is broadcast)
+            hg = F.broadcast(hot_groups)
+            return spearman_by_group(d.join(hg, g, "left_anti"), g, y, p, out, hot=False).unionByName(
+                spearman_by_group(d.join(hg, g, "left_semi"), g, y, p, out, hot=True))
+        hot = n_hot > 0
     guard = lambda sxy, sxx, syy: (F.when(F.col("n_variants") < 2, F.lit(None).cast("double"))
                                    .when((sxx > 0) & (syy > 0), sxy / F.sqrt(sxx * syy))
                                    .otherwise(F.lit(0.0)))
@@ -256,10 +269,7 @@ def assay_metrics(df: DataFrame, group: str | Sequence[str], y: str, p: str, lab
     over ONE exchange on the group, followed by one aggregate on the same partitioning.
     A group above the threshold: the skew-safe operators A2-A5 joined on the group."""
     g = _cols(group)
-    # one size check for every metric: which groups are hot?
-    hot_groups = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")) \
-        .filter(F.col("_n") > hot_threshold(df)).select(*g)
-    n_hot = hot_groups.limit(MAX_HOT_BROADCAST + 1).count()
+    hot_groups, n_hot = _hot_groups(df, g)  # one size check for every metric
     if n_hot == 0:
         return _assay_metrics_windows(df, g, y, p, label, key, k_fraction)
     if n_hot <= MAX_HOT_BROADCAST:
