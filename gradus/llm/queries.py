@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import decontam, langid, mixing, tokens, urls, vectors
+from gradus.llm import decontam, langid, mixing, ngram_join, tokens, urls, vectors
 from gradus.llm.common import scratch_path, table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
@@ -141,3 +141,17 @@ FROM (SELECT u.*, n.n, unnest(range(1, n.n + 1)) AS copy FROM u JOIN n USING (r)
 """)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"))
+
+
+@query("op5_ngram_join", """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(list_slice(w, p, p + k - 1), ' ') AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM (SELECT r, w, least(3, len(w)) AS k FROM d) WHERE k > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+both_ AS (SELECT a.r AS x, b.r AS y, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+link AS (SELECT x, y FROM both_ JOIN n nx ON x = nx.r JOIN n ny ON y = ny.r WHERE 100 * m >= 90 * (nx.n + ny.n - m)),
+reach(x, y) AS (SELECT r, r FROM d UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x),
+comp AS (SELECT x, min(doc_id) AS component_id FROM reach JOIN d ON y = r GROUP BY x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN n USING (r) JOIN comp ON d.r = comp.x
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_classes(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
