@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradus.llm.common import IntTable, components, mix64, save, ship_package
 
@@ -219,14 +220,44 @@ def ordered(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def near_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _set_ids(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cid = [set_id(np.unique(shingle_hashes(word_hashes(t), width))) for t in _texts(batch, 1)]
+            yield pa.record_batch([batch.column(0), pa.array(cid, pa.binary())], names=["packed", "cid"])
+
+    return run
+
+
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: of its smallest doc_id, and where rows repeat that id,
+    one of those. Rows without n-grams all stay. Rows are told apart by doc_id; only those whose id
+    is repeated or null are told apart by their sets."""
+    found = save(near_classes(docs, width, num, den, doc_id, text, detail=True), "join-found")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("k"), F.max((F.col("n_shingles") == 0) | F.col("winner")).alias("stays"))
+    ids = save(ids.select(F.col("doc_id").alias("_id"), ((F.col("k") > 1) | F.col("doc_id").isNull()).alias("_twice"), "stays"), "join-ids")
+    same = docs[doc_id].eqNullSafe(ids["_id"])
+    plain = docs.join(ids.where("stays and not _twice"), same, "left_semi")
+    again = docs.join(ids.where("stays and _twice"), same, "left_semi")
+    packed = again.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("packed"), F.col(text).cast("binary").alias("text"))
+    schema = T.StructType([packed.schema["packed"], T.StructField("cid", T.BinaryType())])
+    again = packed.mapInArrow(_set_ids(width), schema).withColumn("id", F.col("packed").getField(doc_id))
+    some = found.where("winner").select(F.col("doc_id").alias("wid"), F.col("cid").alias("wcid")).distinct()
+    won = again.join(some, again["id"].eqNullSafe(some["wid"]) & (again["cid"] == some["wcid"])).dropDuplicates(["id", "cid"]).select("packed")
+    empty = found.where("n_shingles = 0").select(F.col("cid").alias("wcid")).distinct()
+    won = won.union(again.join(empty, again["cid"] == empty["wcid"], "left_semi").select("packed"))
+    return plain.union(won.select(*[F.col("packed").getField(c).alias(c) for c in docs.columns]))
+
+
+def near_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text", detail: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Words lie between ASCII white space, A-Z count as a-z; a text of fewer than ``width`` words has
     one n-gram, the whole sequence. Links: Jaccard similarity >= num / den. component_id is the
     smallest doc_id that links reach. Null and empty texts, or texts without words, have no n-gram
     and link with nothing. Repeated rows are copies of one another; a null doc_id takes part, and
-    a component without any doc_id has a null component_id. Other columns aren't read."""
+    a component without any doc_id has a null component_id. Other columns aren't read.
+    With ``detail`` also cid, the name of the row's set, and winner: whether that set stands for its component."""
     spark = docs.sparkSession
     ship_package(spark)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
@@ -272,7 +303,9 @@ def near_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, d
     second = verified(passing(more, classes, num, den), sets, num, den)
     comp = components(first.union(second), "a", "b")
     named = classes.select("cid", "rep").join(comp, classes["cid"] == comp["node"], "left").select("cid", "rep", F.coalesce("component", "cid").alias("c"))
-    least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-    named = save(named.join(least, "c").select("cid", "component_id"), "join-named")
-    out = rows.join(named, "cid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = named.groupBy("c").agg(F.min("rep").alias("component_id"), F.min(F.struct(F.col("rep").isNull(), "rep", "cid")).alias("w"))
+    named = save(named.join(least, "c").select("cid", "component_id", (F.col("cid") == F.col("w.cid")).alias("wins")), "join-named")
+    out = rows.select("doc_id", "n", "cid").join(named, "cid", "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cid",
+                     F.coalesce(F.col("wins") & F.col("doc_id").eqNullSafe(F.col("component_id")), F.lit(False)).alias("winner"))
+    return out if detail else out.drop("cid", "winner")
