@@ -21,6 +21,7 @@ import io
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from gradus.llm.common import mix64, save, ship_package
 SHARD_IDS = 8_000_000
 PART_KEYS = 500_000
 BYTES_A_PARTITION = 32 << 20
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 NULL_KEY = np.uint64(0xA5A5_0F0F_3C3C_9999)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,10 +54,24 @@ def put(uri: str, name: str, data: bytes) -> None:
     fs.move(tmp, f"{base}/{name}")
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level spelling: printable Latin-1 bytes stand for themselves, the others for U+0100 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class WordEncoder:
-    """Encodes texts whose tokenizer drops white space: the ids of a text are those of its pieces
-    between ASCII white space, so pieces met lately are looked up. Two generations of at most
-    ``CACHE_WORDS`` pieces bound the memory."""
+    """Encodes texts whose tokenizer lowers case and drops white space: the ids of a text are those of
+    its pieces between ASCII white space, so pieces met lately are looked up. A piece that is new only
+    by capitals or by the punctuation at its end is put together from known ones. Two generations of
+    at most ``CACHE_WORDS`` pieces bound the memory."""
+
+    #: ASCII punctuation that never starts a piece of its own together with the letters after it.
+    TAIL = b"!\"#$%&()*+,-./:;=?@[]^_`{|}~"
 
     def __init__(self, json: str):
         import os
@@ -66,27 +81,83 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(json)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
+        self.model = self.tokenizer.model
+        probe = [b"Word", b"word", b"word,", b",", *(x.encode() for x in ("straße", "señor", "été", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"))]
+        whole = self._encode_all(probe)
+        self.joins = whole[0] == whole[1] and whole[2] == whole[1] + whole[3]
+        try:
+            self.plain = self.joins and [self._merge(w) for w in probe[4:]] == whole[4:] and self._merge(b"word") == whole[1]
+        except Exception:  # the model doesn't take byte-level letters: every piece goes the whole way
+            self.plain = False
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        new, old = self.new, self.old
-        missing = []
-        for w in set(words):
-            if w not in new:
-                if w in old:
-                    new[w] = old[w]
+    def _encode_all(self, words: list[bytes]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [array(self.code, e.ids).tobytes() for e in got]
+
+    def _merge(self, w: bytes) -> bytes:
+        """The ids of a piece of lower-case Latin letters by the tokenizer's merges alone: such a piece is
+        neither normalised nor split. Bytes are spelled as in byte-level tokenizers."""
+        if not w.isascii():
+            w = w.decode().lower().encode()
+        spelled = w.decode("latin-1").translate(BYTE_LETTERS)
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def _is_plain(self, w: bytes) -> bool:
+        if w.isascii():
+            return w.isalpha()
+        try:
+            t = w.decode()
+        except UnicodeDecodeError:
+            return False
+        return t.isalpha() and max(t) < "\u0250" and "\u0130" not in t and "\u0149" not in t and "\u01f0" not in t
+
+    def _known(self, w: bytes) -> bytes | None:
+        return self.new.get(w) or self.old.get(w)
+
+    def _parts(self, w: bytes) -> tuple[bytes, bytes]:
+        """A piece in lower case, and the punctuation at its end where it stands apart from a letter or digit."""
+        if not self.joins or b"<" in w:  # special tokens are spelled with <
+            return w, b""
+        low = w.lower()
+        core = low.rstrip(self.TAIL)
+        return (core, low[len(core):]) if core and core[-1:].isalnum() else (low, b"")
+
+    def _learn(self, words: set[bytes]) -> None:
+        parts, missing = {}, set()
+        for w in words:
+            if (got := self.old.get(w)) is not None:
+                self.new[w] = got
+            else:
+                parts[w] = p = self._parts(w)
+                missing.update(x for x in p if x and self._known(x) is None)
+        missing = list(missing)
+        if self.plain:
+            rest = []
+            for x in missing:
+                if self._is_plain(x):
+                    self.new[x] = self._merge(x)
                 else:
-                    missing.append(w)
+                    rest.append(x)
+            missing = rest
         for i in range(0, len(missing), 4096):
-            some = missing[i:i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-                new[w] = np.array(e.ids, dtype=self.kind).tobytes()
-        out = b"".join(map(new.__getitem__, words))
-        if len(new) > CACHE_WORDS:
-            self.old, self.new = new, {}
-        return out
+            self.new.update(zip(missing[i:i + 4096], self._encode_all(missing[i:i + 4096])))
+        for w, p in parts.items():
+            self.new[w] = b"".join(self._known(x) or b"" for x in p if x)
+
+    def encode(self, text: bytes) -> bytes:
+        words = text.split()
+        got = list(map(self.new.get, words))
+        if None in got:
+            at = [i for i, g in enumerate(got) if g is None]
+            self._learn({words[i] for i in at})
+            for i in at:
+                got[i] = self.new[words[i]]
+            if len(self.new) > CACHE_WORDS:
+                self.old, self.new = self.new, {}
+        return b"".join(got)
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
