@@ -8,10 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import decontam, langid, mixing, ngram_join, tokens, urls, vectors
+from gradus.llm import decontam, langid, mixing, ngram_join, perplexity, pii, tokens, toxicity, urls, vectors
 from gradus.llm.common import scratch_path, table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
+PII_KEY = b"gradus demonstration key"  # a deployment passes its own secret
+#: Sources whose text the language model is trained on.
+TRUSTED = ("src1", "src3", "src5", "src7", "src9")
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +41,26 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+@query("op1_pseudonyms")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise_documents(table(spark, sf_dir, "documents"), PII_KEY, keep=["doc_id"])
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    graded = toxicity.sample_labels(labels.where("toxic is not null").select("doc_id", F.col("toxic").alias("grade")))
+    model = toxicity.fit(docs, graded, severity_levels=3)
+    if model is None:  # nothing to tell grades apart by
+        return docs.select("doc_id", F.lit(0.0).alias("expected_severity"), F.lit(0).alias("grade"), F.lit(0.0).alias("p_toxic"), F.lit(False).alias("toxic"))
+    return toxicity.predict(docs, model, keep=["doc_id"])
+
+
+@query("op4_perplexity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge(table(spark, sf_dir, "documents"), TRUSTED)
+
+
 @query("op2_language_id")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
