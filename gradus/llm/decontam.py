@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradus.llm.common import save, ship_package
 
@@ -159,12 +160,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id:
     d = docs.select(F.col(doc_id).alias("row"), F.col(text).cast("binary").alias("text"))
     if n_blocks > 1:
         d = save(d.withColumn("row", F.struct(F.monotonically_increasing_id().alias("at"), F.col("row").alias("id"))), "decontam-docs")
-    kind, blocks, found = d.schema["row"].dataType.simpleString(), [], []
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    schema = T.StructType([d.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("spans", spans), T.StructField("items", T.ArrayType(T.StringType()))])
+    blocks, found = [], []
     for i in range(n_blocks):
         own = b.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == i) if n_blocks > 1 else b
         items = [(None if r[0] is None else str(r[0]), bytes(r[1])) for r in own.toLocalIterator()]  # one block of the benchmark
         blocks.append(spark.sparkContext.broadcast(Block(items, window)))
-        found.append(d.mapInArrow(_searcher(blocks, i), f"row {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>"))
+        found.append(d.mapInArrow(_searcher(blocks, i), schema))
     if n_blocks == 1:
         return found[0].withColumnRenamed("row", "doc_id")
     out = found[0]
