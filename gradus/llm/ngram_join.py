@@ -17,8 +17,9 @@ share a member of their prefixes, the first ``n - ceil(n * num / den) + 1`` memb
   size. Each bucket first compares its members with its smallest one; the links found give
   components; only members outside a bucket's largest component are then compared with the bucket's
   members of other components. Links inside a component don't change it, so none is lost.
-* Pairs pass an upper bound of their overlap (member counts in 64 cells) and are then verified on
-  the whole sets.
+* Pairs pass a lower bound of their difference (each member flips one of ``64 * SKETCH`` bits, so
+  the sets differ in at least as many members as their sketches do in bits) and are then verified
+  on the whole sets.
 """
 
 from __future__ import annotations
@@ -33,51 +34,97 @@ from pyspark.sql import types as T
 
 from gradus.llm.common import IntTable, components, mix64, save, ship_package
 
-FREQUENT = 1e-3
+FREQUENT = 3e-4
 HOT = 64
-CELLS = 64
-CACHE_WORDS = 200_000
-_CACHE: dict[bytes, int] = {}
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words between ASCII white space, A-Z in lower case."""
-    import xxhash
-
-    words = text.lower().split()
-    if len(_CACHE) > CACHE_WORDS:
-        _CACHE.clear()
-    get = _CACHE.get
-    out = list(map(get, words))
-    if None in out:
-        for i, h in enumerate(out):
-            if h is None:
-                out[i] = _CACHE[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-    return np.array(out, dtype=np.uint64)
-
-
-def shingle_hashes(w: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of ``width`` words; of the whole sequence if it is shorter."""
-    if not len(w):
-        return w
-    k = min(width, len(w))
-    h = np.full(len(w) - k + 1, k, dtype=np.uint64)
-    for j in range(k):
-        h = mix64(h + w[j:len(w) - k + 1 + j])
-    return h
-
-
-def _texts(batch: pa.RecordBatch, i: int) -> Iterator[bytes]:
-    for x in batch.column(i):
-        yield x.as_py() or b""
+#: 64-bit words of a set's parity sketch.
+SKETCH = 32
+#: Bits of an n-gram's hash; the others hold its frequency class in the global order.
+HASH_BITS = 58
+#: Byte tables: A-Z as a-z, and ASCII white space.
+FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint64)
+SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+_POWER = np.cumprod(np.full(1024, 0x9E6C63D0876A9A47, dtype=np.uint64), dtype=np.uint64)
+_OUTER = np.cumprod(np.full(1024, 0xD1B54A32D192ED03, dtype=np.uint64), dtype=np.uint64)
+
+
+class Words:
+    """64-bit hashes of the words of some whole texts, end to end; words lie between ASCII white space,
+    A-Z count as a-z. A hash is a polynomial of the word's bytes, finalised with its length."""
+
+    def __init__(self, texts: list[bytes]):
+        sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+        raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        gap = SPACE[raw]
+        first = ~gap
+        first[1:] &= gap[:-1]
+        starts = np.flatnonzero(first)
+        at = np.flatnonzero(~gap)
+        word = np.cumsum(first)[at] - 1
+        k = at - starts[word]
+        v = (FOLD[raw[at]] + np.uint64(1)) * _POWER[k & 1023]
+        if len(k) and k.max() >= 1024:
+            v *= _OUTER[(k >> 10) & 1023]
+        begin = np.flatnonzero(first[at])
+        length = np.diff(np.append(begin, len(at)))
+        self.w = mix64(np.add.reduceat(v, begin) + length.astype(np.uint64)) if len(begin) else np.zeros(0, np.uint64)
+        self.ends = np.searchsorted(starts, np.cumsum(sizes))
+        self.lens = np.diff(self.ends, prepend=0)
+
+    def shingles(self, width: int, lv: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes (of HASH_BITS) of all runs of ``width`` words, of the whole text where it is shorter;
+        the least of ``lv`` in each run; where each text's runs end."""
+        n = np.where(self.lens >= width, self.lens - width + 1, np.minimum(self.lens, 1))
+        ends = np.cumsum(n)
+        begin = np.repeat(self.ends - self.lens, n) + np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
+        k = np.minimum(np.repeat(self.lens, n), width)
+        h, low = k.astype(np.uint64), None
+        for j in range(width):
+            use = k > j
+            at = np.where(use, begin + j, 0)
+            h = np.where(use, mix64(h + self.w[at]), h) if not use.all() else mix64(h + self.w[at])
+            if lv is not None:
+                x = np.where(use, lv[at], np.iinfo(lv.dtype).max)
+                low = x if low is None else np.minimum(low, x)
+        return h >> np.uint64(64 - HASH_BITS), low, ends
+
+
+def slices_of(col: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, whole texts) of about ``most`` bytes at a time; null is empty."""
+    first, held, size = 0, [], 0
+    for i, x in enumerate(col):
+        t = x.as_py() or b""
+        held.append(t)
+        size += len(t)
+        if size >= most:
+            yield first, held
+            first, held, size = i + 1, [], 0
+    if held:
+        yield first, held
+
+
+def distinct(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each part's distinct values, sorted, end to end; where the parts end. ``h`` is sorted in place."""
+    s = 0
+    for e in ends:
+        h[s:e].sort()
+        s = e
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    starts = ends[:-1]
+    new[starts[starts < len(h)]] = True
+    count = np.concatenate([[0], np.cumsum(new)])
+    return h[new], count[ends]
 
 
 def _word_counts(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.unique(word_hashes(t)) for t in _texts(batch, 0)]
+            own = []
+            for _, texts in slices_of(batch.column(0)):
+                words = Words(texts)
+                own.append(distinct(words.w, words.ends)[0])
             u, n = np.unique(np.concatenate(own or [np.zeros(0, np.uint64)]), return_counts=True)
-            often = n >= share * len(own) / 2  # a frequent word is frequent in some batch
+            often = n >= share * batch.num_rows / 2  # a frequent word is frequent in some batch
             yield pa.record_batch([pa.array(u[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["w", "n"])
 
     return run
@@ -94,42 +141,46 @@ def frequent_words(docs: DataFrame, share: float) -> tuple[np.ndarray, np.ndarra
 
 class Order:
     def __init__(self, words: np.ndarray, level: np.ndarray):
-        self.table, self.level = IntTable(words), np.append(level, 0)
+        self.table, self.level = IntTable(words), np.minimum(np.append(level, 0), (1 << 64 - HASH_BITS) - 1)
+
+    def classes(self, w: np.ndarray) -> np.ndarray:
+        """Frequency class of every word; 0 where it isn't frequent."""
+        return self.level[self.table.find(w.view(np.int64))]
 
-    def classes(self, w: np.ndarray, width: int) -> np.ndarray:
-        """Frequency class of the rarest word of every n-gram; 0 where a word isn't frequent."""
-        lv = self.level[self.table.find(w.view(np.int64))]
-        k = min(width, len(w))
-        return np.min([lv[j:len(w) - k + 1 + j] for j in range(k)], axis=0) if len(w) else lv
 
+def set_ids(h: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """16 bytes that name each set; its members lie end to end."""
+    parts = []
+    for seed in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h ^ np.uint64(seed)), dtype=np.uint64)])
+        parts.append(total[ends] - total[np.concatenate([[0], ends[:-1]])] if len(ends) else np.zeros(0, np.uint64))
+    both = np.stack(parts, axis=1).astype(">u8").tobytes()
+    return [both[i:i + 16] for i in range(0, len(both), 16)]
 
-def set_id(h: np.ndarray) -> bytes:
-    """16 bytes that name a set."""
-    a, b = (int(mix64(h ^ np.uint64(s)).sum(dtype=np.uint64)) for s in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
-    return a.to_bytes(8, "big") + b.to_bytes(8, "big")
+
+def _lists(values: np.ndarray, ends: np.ndarray, kind) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values, kind))
 
 
 def _records(order, width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o: Order = order.value
         for batch in batches:
-            n, cid, grp, prefix, cells = [], [], [], [], []
-            for text in _texts(batch, 1):
-                w = word_hashes(text)
-                h, first = np.unique(shingle_hashes(w, width), return_index=True)
-                n.append(len(h))
-                cid.append(set_id(h))
-                if len(h):
-                    top = np.lexsort((h, o.classes(w, width)[first]))[:len(h) - -(-len(h) * num // den) + 1]
-                    p = h[top]
-                    cells.append(np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=CELLS).astype(np.int32))
-                else:
-                    p = h
-                    cells.append(np.zeros(CELLS, np.int32))
-                grp.append(set_id(p))
-                prefix.append(p.view(np.int64))
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(grp, pa.binary()),
-                                   pa.array(prefix, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int32()))], names=["doc_id", "n", "cid", "grp", "prefix", "cells"])
+            for first, texts in slices_of(batch.column(1)):
+                words = Words(texts)
+                h, low, ends = words.shingles(width, o.classes(words.w))
+                # members are sorted by class and hash at once
+                h, ends = distinct(h | (low.astype(np.uint64) << np.uint64(HASH_BITS)) if len(h) else h, ends)
+                n = np.diff(ends, prepend=0)
+                plain = h & np.uint64((1 << HASH_BITS) - 1)
+                own = np.repeat(np.arange(len(n)), n)
+                flips = np.bincount(own * (64 * SKETCH) + (plain % np.uint64(64 * SKETCH)).astype(np.int64), minlength=len(n) * 64 * SKETCH) & 1
+                sketch = np.packbits(flips.astype(bool)).view(np.int64)
+                size = np.where(n > 0, n - -(-n * num // den) + 1, 0)
+                top = np.arange(len(h)) - np.repeat(ends - n, n) < np.repeat(size, n)
+                prefix, tops = h[top], np.cumsum(size)
+                yield pa.record_batch([batch.column(0).slice(first, len(texts)), pa.array(n), pa.array(set_ids(plain, ends), pa.binary()), pa.array(set_ids(prefix, tops), pa.binary()),
+                                       _lists(prefix.view(np.int64), tops, pa.int64()), _lists(sketch, np.arange(1, len(n) + 1) * SKETCH, pa.int64())], names=["doc_id", "n", "cid", "grp", "prefix", "sketch"])
 
     return run
 
@@ -163,14 +214,18 @@ def slice_keys(h: np.ndarray, num: int, den: int) -> np.ndarray:
 def _sets(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cid, sets, keys = [], [], []
-            for text, wanted, hot in zip(_texts(batch, 1), batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                h = np.unique(shingle_hashes(word_hashes(text), width))
-                if (c := set_id(h)) == wanted:
-                    cid.append(c)
-                    sets.append(h.view(np.int64))
-                    keys.append(slice_keys(h, num, den).view(np.int64) if hot else np.zeros(0, np.int64))
-            yield pa.record_batch([pa.array(cid, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["cid", "members", "slices"])
+            wanted, hot = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for first, texts in slices_of(batch.column(1)):
+                h, _, ends = Words(texts).shingles(width)
+                h, ends = distinct(h, ends)
+                cid, sets, keys = [], [], []
+                for i, c in enumerate(set_ids(h, ends)):
+                    if c == wanted[first + i]:
+                        own = h[ends[i - 1] if i else 0:ends[i]]
+                        cid.append(c)
+                        sets.append(own.view(np.int64))
+                        keys.append(slice_keys(own, num, den).view(np.int64) if hot[first + i] else np.zeros(0, np.int64))
+                yield pa.record_batch([pa.array(cid, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["cid", "members", "slices"])
 
     return run
 
@@ -184,7 +239,7 @@ def group_pairs(groups: DataFrame, num: int, den: int) -> tuple[DataFrame, DataF
     """(pairs of groups g1, g2 that may hold similar sets; groups with a hot prefix member)."""
     post = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "tok"))
     df = save(post.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"), "join-df")
-    post = post.join(df, "tok")
+    post = save(post.join(df, "tok"), "join-post")
     hot = post.where(F.col("df") > HOT).select("grp").distinct()
     near = (post.where(F.col("df") <= HOT).groupBy("tok").agg(F.array_sort(F.collect_list(F.struct("n", "grp", "pos"))).alias("x")))
 
@@ -200,17 +255,34 @@ def group_pairs(groups: DataFrame, num: int, den: int) -> tuple[DataFrame, DataF
     return cand, hot
 
 
+def apart(a: list, b: list) -> F.Column:
+    """Bits in which two sketches differ."""
+    total = F.lit(0)
+    for x, y in zip(a, b):
+        total = total + F.bit_count(x.bitwiseXOR(y))
+    return total
+
+
+def words_of_sketch(name: str) -> list:
+    return [F.col(name)[i] for i in range(SKETCH)]
+
+
+def near_enough(na: str, nb: str, xa: str, xb: str, num: int, den: int):
+    """Similar sets differ in at most (den - num) / (den + num) of the sum of their sizes."""
+    return apart(words_of_sketch(xa), words_of_sketch(xb)) * (den + num) <= (F.col(na) + F.col(nb)) * (den - num)
+
+
 def passing(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and cell counts allow the similarity."""
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("cells").alias(f"c{x}"))
+    """Pairs (a, b) whose sizes and sketches allow the similarity."""
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"x{x}"))
     j = pairs.join(side("a"), "a").join(side("b"), "b").where(_fits("na", "nb", num, den))
-    most = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    return j.where(most * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
+    return j.where(near_enough("na", "nb", "xa", "xb", num, den)).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     side = lambda x: sets.select(F.col("cid").alias(x), F.col("members").alias(f"s{x}"))
-    j = pairs.join(side("a"), "a").join(side("b"), "b")
+    # whole sets: too large to broadcast whatever their number here, so shuffled at every size
+    j = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa") + F.size("sb") - both
     return j.where(both * den >= union * num).select("a", "b")
@@ -223,7 +295,10 @@ def ordered(a, b):
 def _set_ids(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cid = [set_id(np.unique(shingle_hashes(word_hashes(t), width))) for t in _texts(batch, 1)]
+            cid = []
+            for _, texts in slices_of(batch.column(1)):
+                h, _, ends = Words(texts).shingles(width)
+                cid += set_ids(*distinct(h, ends))
             yield pa.record_batch([batch.column(0), pa.array(cid, pa.binary())], names=["packed", "cid"])
 
     return run
@@ -263,13 +338,13 @@ def near_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, d
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     order = spark.sparkContext.broadcast(Order(*frequent_words(d.select("text"), FREQUENT)))  # bounded, see there
     id_type = d.schema["doc_id"].dataType.simpleString()
-    rows = save(d.mapInArrow(_records(order, width, num, den), f"doc_id {id_type}, n long, cid binary, grp binary, prefix array<long>, cells array<int>"), "join-rows")
+    rows = save(d.mapInArrow(_records(order, width, num, den), f"doc_id {id_type}, n long, cid binary, grp binary, prefix array<long>, sketch array<long>"), "join-rows")
     full = rows.where("n > 0")
-    classes = save(full.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("cells").alias("cells"),
+    classes = save(full.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("sketch").alias("sketch"),
                                            F.first("prefix").alias("prefix")), "join-classes")
     groups = classes.groupBy("n", "grp").agg(F.count("*").alias("size"), F.min("cid").alias("only"), F.first("prefix").alias("prefix"))
-    groups = save(groups.withColumn("grp", F.concat("grp", F.encode(F.col("n").cast("string"), "utf-8"))), "join-groups")
-    member = classes.select("cid", "n", F.concat("grp", F.encode(F.col("n").cast("string"), "utf-8")).alias("grp"))
+    groups = save(groups.withColumn("grp", F.xxhash64("grp", "n")), "join-groups")
+    member = classes.select("cid", "n", F.xxhash64("grp", "n").alias("grp"))
     cand, hot = group_pairs(groups, num, den)
     size = groups.select("grp", "size", "only")
     cand = (cand.join(size.select(F.col("grp").alias("g1"), F.col("size").alias("z1"), F.col("only").alias("o1")), "g1")
@@ -282,14 +357,16 @@ def near_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, d
     hot = member.join(hot, "grp").select("cid").distinct()
     need = (hot.withColumn("hot", F.lit(True)).union(single.select("a", F.lit(False))).union(single.select("b", F.lit(False)))
             .union(buckets.select("cid", F.lit(False))).groupBy("cid").agg(F.max("hot").alias("hot")))
-    need = save(need.join(classes.select("cid", "rep"), "cid"), "join-need")
-    texts = need.join(d, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text", "hot")
+    need = save(need.join(classes.select("cid", "rep", "n", "sketch"), "cid"), "join-need")
+    texts = need.select("cid", "rep", "hot").hint("merge").join(d, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text", "hot")
     sets = save(texts.mapInArrow(_sets(width, num, den), "cid binary, members array<long>, slices array<long>").dropDuplicates(["cid"]), "join-sets")
-    slices = sets.select("cid", F.explode("slices").alias("bucket")).join(classes.select("cid", "n"), "cid").select("bucket", "cid", "n")
+    slices = sets.select("cid", F.explode("slices").alias("bucket")).join(need.select("cid", "n"), "cid").select("bucket", "cid", "n")
     buckets = save(buckets.union(slices).distinct(), "join-buckets")
-    pivots = buckets.groupBy("bucket").agg(F.min("cid").alias("pivot"), F.count("*").alias("k")).where("k > 1").drop("k")
+    many = buckets.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
+    buckets = save(buckets.join(many, "bucket"), "join-shared")
+    pivots = buckets.groupBy("bucket").agg(F.min("cid").alias("pivot"))
     star = buckets.join(pivots, "bucket").where("cid <> pivot").select(*ordered(F.col("pivot"), F.col("cid"))).distinct()
-    star = passing(star, classes, num, den)
+    star = passing(star, need, num, den)
     first = save(verified(star.union(single).distinct(), sets, num, den), "join-links")
     labels = components(first, "a", "b")
     own = buckets.join(labels, buckets["cid"] == labels["node"], "left").select("bucket", "cid", "n", F.coalesce("component", "cid").alias("c"))
@@ -297,10 +374,12 @@ def near_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, d
     per = own.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts"))
     mixed = own.join(per.where("parts > 1").select("bucket", F.col("m.c").alias("major")), "bucket")
     mixed = save(mixed, "join-mixed")
-    out = mixed.where("c <> major").select("bucket", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    rest = mixed.select("bucket", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    more = out.join(rest, "bucket").where((F.col("ca") != F.col("cb")) & _fits("na", "nb", num, den)).select(*ordered(F.col("a"), F.col("b"))).distinct()
-    second = verified(passing(more, classes, num, den), sets, num, den)
+    mixed = mixed.join(need.select("cid", "sketch"), "cid")
+    side = lambda x: (F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("sketch").alias(f"x{x}"))
+    out, rest = mixed.where("c <> major").select("bucket", *side("a")), mixed.select("bucket", *side("b"))
+    both = (F.col("ca") != F.col("cb")) & _fits("na", "nb", num, den) & near_enough("na", "nb", "xa", "xb", num, den)
+    more = out.join(rest, "bucket").where(both).select(*ordered(F.col("a"), F.col("b"))).distinct()
+    second = verified(more, sets, num, den)
     comp = components(first.union(second), "a", "b")
     named = classes.select("cid", "rep").join(comp, classes["cid"] == comp["node"], "left").select("cid", "rep", F.coalesce("component", "cid").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"), F.min(F.struct(F.col("rep").isNull(), "rep", "cid")).alias("w"))
