@@ -39,10 +39,12 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, w double")
         by = by.join(given, by["source"].eqNullSafe(given["source"]), "left").select(by["source"], "size", F.coalesce("w", F.lit(0.0)).alias("w"))
         w = F.col("w")
-    by = by.withColumn("w", w)
-    all_ = by.agg(F.sum("size").alias("total"), F.sum("w").alias("total_w"))
-    rate = F.when(F.col("total_w") > 0, F.lit(float(epochs)) * F.col("total") * F.col("w") / F.col("total_w") / F.col("size")).otherwise(F.lit(0.0))
-    return by.crossJoin(F.broadcast(all_)).select("source", "size", rate.alias("rate"))  # one row on the right
+    by = save(by.withColumn("w", w), "mix-sizes")
+    total, total_w = by.agg(F.sum("size"), F.sum("w")).first()
+    if not total_w:
+        return by.select("source", "size", F.lit(0.0).alias("rate"))
+    rate = F.lit(float(epochs)) * F.lit(total) * F.col("w") / F.lit(total_w) / F.col("size")
+    return by.select("source", "size", rate.alias("rate"))
 
 
 def _cdf(mean: Column) -> Column:
