@@ -1,16 +1,17 @@
 """Rank primitives shared by the metric operators.
 
-``rank_values`` ranks the *distinct values* of a column inside each group from a
-pre-aggregated value-count table, so ties collapse before any shuffle. Plans are
-chosen behind a size check (one small aggregation, like a broadcast-size check):
-
-* no group above the threshold -> one window partitioned by the group;
-* otherwise every group with more than the threshold is cut into value buckets at
-  approximate quantiles, so a group holding a third of all rows is spread over
-  many tasks (the quantiles only balance the work; the offsets between buckets
-  are summed exactly, so the ranks stay exact).
-
-The threshold is ``spark.conf`` ``gradus.hotGroupThreshold`` (default below).
+Ranks and running sums come from *value tables*: one row per (group, value) with the
+row count and any other sums, so ties collapse before a shuffle. There is one plan for
+groups of every size, and it starts no job of its own:
+
+* per group, one mergeable aggregation gives the sizes and approximate quantiles of the
+  distinct values; they cut the group into value ranges of about ``WHOLE`` values (a
+  small group is one range). The quantiles only balance the work;
+* totals per range, summed over the ranges before it, are the exact offset of a range;
+* inside a range one window gives the position, so no task holds more than a range.
+
+Order: NaN is larger than every number; NULL comes last in both directions. NULL groups
+are groups (every join back is null-safe).
 """
 
 from __future__ import annotations
@@ -21,34 +22,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-HOT_THRESHOLD = 2_000_000   # rows / distinct values per group before it is split into buckets
-BUCKETS = 512               # value buckets for a hot group
-
-
-def hot_threshold(df: DataFrame) -> int:
-    v = df.sparkSession.conf.get("gradus.hotGroupThreshold", None)
-    return int(v) if v else HOT_THRESHOLD
-
-
-def any_hot_group(df: DataFrame, group: str | Sequence[str], threshold: int | None = None) -> bool:
-    """Size check (one partial aggregation + a 1-row action): does any group have more
-    than ``threshold`` rows?"""
-    g = _cols(group)
-    t = hot_threshold(df) if threshold is None else threshold
-    return df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > t).limit(1).count() > 0
+WHOLE = 65_536   # distinct values a range holds at least before a group is cut again
+RANGES = 512     # ranges of a group at most
 
 
 def _cols(x: str | Sequence[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def avg_rank_window(df: DataFrame, group: str | Sequence[str], value: str, out: str = "rank") -> DataFrame:
-    """W1 as two windows: ``rank() + (ties-1)/2``. One exchange on the group;
-    use when groups are bounded."""
-    g = _cols(group)
-    w = Window.partitionBy(*g).orderBy(F.col(value).asc_nulls_last())  # NULLs do not shift ranks
-    wt = Window.partitionBy(*g, value)
-    return df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(wt) - 1) / F.lit(2.0))
+def join_on(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns of the same name, NULL matching NULL; the left ones are kept."""
+    r = right.withColumnsRenamed({c: f"__r_{c}" for c in cols})
+    cond = None
+    for c in cols:
+        e = F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+        cond = e if cond is None else cond & e
+    out = left.join(r, cond, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"__r_{c}" for c in cols])
 
 
 def value_counts(df: DataFrame, group: str | Sequence[str], value: str, *extra: Column) -> DataFrame:
@@ -57,41 +47,70 @@ def value_counts(df: DataFrame, group: str | Sequence[str], value: str, *extra:
     return df.groupBy(*g, value).agg(F.count(F.lit(1)).alias("cnt"), *extra)
 
 
+def running_sums(vc: DataFrame, group: str | Sequence[str], value: str, sums: dict[str, str],
+                 whole: int | None = None) -> DataFrame:
+    """Add to a value table, for every ``column -> name`` of ``sums``, the sum of the column
+    over the smaller values of the group (``name``) and over the whole group (``name_all``)."""
+    g = _cols(group)
+    whole = WHOLE if whole is None else whole
+    num = F.col(value).try_cast("double")
+    pct = [i / RANGES for i in range(1, RANGES)]
+    size = vc.groupBy(*g).agg(
+        F.count(F.col(value)).alias("__nd"),
+        F.percentile_approx(F.when(~F.isnan(num), num), pct, 10000).alias("__q"),
+        *[F.sum(c).alias(f"{n}_all") for c, n in sums.items()])
+    # every k-th quantile: as many ranges as the group has multiples of ``whole`` values
+    step = F.greatest(F.lit(1), F.ceil(F.lit(float(RANGES * whole)) / F.greatest(F.col("__nd"), F.lit(1)))).cast("int")
+    cut = F.when((step < RANGES) & F.col("__q").isNotNull(), F.filter("__q", lambda q, i: (i + 1) % step == 0)) \
+        .otherwise(F.array().cast("array<double>"))
+    size = size.select(*g, *[f"{n}_all" for n in sums.values()], cut.alias("__q"))
+    x = join_on(vc, size, g).withColumn(
+        "__b", F.when(F.col(value).isNull(), F.lit(RANGES))
+        .otherwise(F.coalesce(F.size(F.filter("__q", lambda q: q < num)), F.lit(0)))).drop("__q")
+    seg = x.groupBy(*g, "__b").agg(*[F.sum(c).alias(f"__s_{n}") for c, n in sums.items()])
+    before = Window.partitionBy(*g).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    seg = seg.select(*g, "__b", *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums.values()])
+    x = join_on(x, seg, [*g, "__b"])
+    w = Window.partitionBy(*g, "__b").orderBy(F.col(value).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    for c, n in sums.items():
+        x = x.withColumn(n, F.col(f"__o_{n}") + F.coalesce(F.sum(c).over(w), F.lit(0)))
+    return x.drop("__b", *[f"__o_{n}" for n in sums.values()])
+
+
 def rank_values(vc: DataFrame, group: str | Sequence[str], value: str, cnt: str = "cnt",
-                descending: bool = False, hot: bool | None = None, threshold: int | None = None,
-                buckets: int = BUCKETS) -> DataFrame:
+                descending: bool = False, whole: int | None = None) -> DataFrame:
     """Add ``before`` (rows strictly ahead in the order), ``n`` (rows in the group)
     and ``avg_rank`` (1-based average rank of the tie block) to a value-count table.
 
-    ``vc`` has one row per (group, value) with a row count ``cnt``. ``hot`` forces
-    the plan (False: one window per group, True: quantile buckets); None checks.
-    """
+    ``vc`` has one row per (group, value) with a row count ``cnt``."""
+    x = vc.withColumn("__v", F.when(F.col(value).isNotNull(), F.col(cnt)).otherwise(F.lit(0)))
+    x = running_sums(x, group, value, {cnt: "before", "__v": "__below"}, whole)
+    if descending:
+        x = x.withColumn("before", F.when(F.col(value).isNull(), F.col("__below_all"))
+                         .otherwise(F.col("__below_all") - F.col("__below") - F.col(cnt)))
+    x = x.withColumnRenamed("before_all", "n").drop("__v", "__below", "__below_all")
+    return x.withColumn("avg_rank", F.col("before") + (F.col(cnt) + 1) / F.lit(2.0))
+
+
+def tie_positions(df: DataFrame, block: str | Sequence[str], key: Sequence[str], out: str) -> DataFrame:
+    """1-based position of every row of a tie block in ascending order of ``key``: ranks of
+    the key's first column, and a window over the rows that share it."""
+    b = _cols(block)
+    first, rest = key[0], list(key[1:])
+    r = rank_values(value_counts(df, b, first), b, first).select(*b, first, F.col("before").alias("__t"))
+    x = join_on(df, r, [*b, first])
+    w = Window.partitionBy(*b, first).orderBy(*(rest or [first]))
+    return x.withColumn(out, F.col("__t") + F.row_number().over(w)).drop("__t")
+
+
+def row_positions(df: DataFrame, group: str | Sequence[str], value: str, key: Sequence[str], out: str,
+                  descending: bool = False) -> DataFrame:
+    """1-based position of every row of a group by ``value``, ties by ``key`` ascending."""
     g = _cols(group)
-    t = hot_threshold(vc) if threshold is None else threshold
-    key = F.col(value) if not descending else -F.col(value)
-    x = vc.withColumn("__rk", key)
-    if hot is None:
-        hot = any_hot_group(vc, g, t)
-    if not hot:
-        w = Window.partitionBy(*g).orderBy("__rk").rowsBetween(Window.unboundedPreceding, -1)
-        x = x.withColumn("before", F.coalesce(F.sum(cnt).over(w), F.lit(0))) \
-             .withColumn("n", F.sum(cnt).over(Window.partitionBy(*g)))
-        return x.withColumn("avg_rank", F.col("before") + (F.col(cnt) + 1) / F.lit(2.0)).drop("__rk")
-    sizes = x.groupBy(*g).agg(F.count(F.lit(1)).alias("_nd"), F.sum(cnt).alias("n"))
-    hot_g = sizes.filter(F.col("_nd") > t).select(*g)
-    pct = [i / buckets for i in range(1, buckets)]
-    bounds = (x.join(hot_g, g, "left_semi").groupBy(*g)
-              .agg(F.percentile_approx("__rk", pct, 10000).alias("_bnd")))
-    x = x.join(bounds, g, "left").withColumn(
-        "_b", F.coalesce(F.size(F.filter("_bnd", lambda t: t < F.col("__rk"))), F.lit(0))).drop("_bnd")
-    seg = x.groupBy(*g, "_b").agg(F.sum(cnt).alias("_sc"))
-    wseg = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.withColumn("_off", F.coalesce(F.sum("_sc").over(wseg), F.lit(0))).drop("_sc")
-    x = x.join(seg, g + ["_b"]).join(sizes.select(*g, "n"), g)
-    w = Window.partitionBy(*g, "_b").orderBy("__rk").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("before", F.col("_off") + F.coalesce(F.sum(cnt).over(w), F.lit(0)))
-    return (x.withColumn("avg_rank", F.col("before") + (F.col(cnt) + 1) / F.lit(2.0))
-             .drop("__rk", "_b", "_off"))
+    r = rank_values(value_counts(df, g, value), g, value, descending=descending) \
+        .select(*g, value, F.col("before").alias("__before"))
+    x = tie_positions(join_on(df, r, [*g, value]), [*g, value], key, "__in")
+    return x.withColumn(out, F.col("__before") + F.col("__in")).drop("__before", "__in")
 
 
 def discount_sum_rows(df: DataFrame, start: str, count: str, cuts: dict[str, str | None],
@@ -100,27 +119,17 @@ def discount_sum_rows(df: DataFrame, start: str, count: str, cuts: dict[str, str
     entry of ``cuts``: the sum of 1/log2(i+1) over those positions, cut at the
     position held in the named column (``None`` = no cut).
 
-    Blocks wider than ``chunk`` are exploded into chunk rows and redistributed by a
-    hash of the chunk, so a tie block holding a third of all rows is summed by many
-    tasks; the caller sums the partial columns per group.
-    """
+    Every block is exploded into rows of at most ``chunk`` positions, dealt by a hash of
+    the chunk, so a tie block holding a third of all rows is summed by many tasks; the
+    caller sums the partial columns per group."""
     lo, hi = F.col("_lo"), F.col("_hi")
     x = df.withColumn("_lo", F.col(start) + 1).withColumn("_hi", F.col(start) + F.col(count))
-
-    def dsum(a: Column, b: Column) -> Column:
-        s = F.aggregate(F.sequence(a, b), F.lit(0.0), lambda acc, i: acc + F.lit(1.0) / F.log2(i + 1))
-        return F.when(b >= a, s).otherwise(F.lit(0.0))
-
-    def add(frame: DataFrame, a: Column, b: Column) -> DataFrame:
-        for name, cut in cuts.items():
-            end = b if cut is None else F.least(b, F.col(cut))
-            frame = frame.withColumn(name, dsum(a, end))
-        return frame
-
-    width = hi - lo + 1
-    small = add(x.filter(width <= chunk), lo, hi)
-    big = (x.filter(width > chunk)
-           .withColumn("_cs", F.explode(F.sequence(lo, hi, F.lit(chunk).cast("long"))))
-           .repartition("_cs"))
-    big = add(big, F.col("_cs"), F.least(F.col("_cs") + (chunk - 1), hi)).drop("_cs")
-    return small.unionByName(big).drop("_lo", "_hi")
+    x = x.withColumn("_cs", F.explode(F.sequence(lo, hi, F.lit(chunk).cast("long")))) \
+        .repartition("_cs", F.xxhash64(*df.columns))
+    end = F.least(F.col("_cs") + (chunk - 1), hi)
+    for name, cut in cuts.items():
+        to = end if cut is None else F.least(end, F.col(cut))
+        s = F.aggregate(F.sequence(F.col("_cs"), F.greatest(to, F.col("_cs"))), F.lit(0.0),
+                        lambda acc, i: acc + F.lit(1.0) / F.log2(i + 1))
+        x = x.withColumn(name, F.when(to >= F.col("_cs"), s).otherwise(F.lit(0.0)))
+    return x.drop("_lo", "_hi", "_cs")

@@ -10,10 +10,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gradus.functions.ranking import join_on
+
 
 def best_epoch_early_stop(log: DataFrame, group: str = "property", epoch: str = "epoch", metric: str = "val",
                           patience: int = 5) -> DataFrame:
@@ -69,17 +71,20 @@ def latest_and_retention(listing: DataFrame, group: str, name: str = "name", kee
     return top.unionByName(rest)
 
 
-def lr_schedule(spark: SparkSession, total_steps: int, warmup_ratio: float = 0.1,
-                num_cycles: float = 0.5, partitions: int | None = None) -> DataFrame:
-    """P10: cosine-with-warmup multiplier for each optimizer step 0..total-1:
-    step/warmup during warm-up, then max(0, 0.5 (1 + cos(pi * 2 * cycles * progress)))."""
-    warm = int(total_steps * warmup_ratio)
-    r = spark.range(0, total_steps, numPartitions=partitions) if partitions else spark.range(0, total_steps)
-    s = F.col("id").cast("double")
-    prog = (s - warm) / float(max(1, total_steps - warm))
-    mult = F.when(F.col("id") < warm, s / float(max(1, warm))) \
+def lr_multiplier(step: Column, total: Column, warmup_ratio: float = 0.1, num_cycles: float = 0.5) -> Column:
+    """P10: cosine-with-warmup multiplier of optimizer step 0..total-1: step/warmup during
+    warm-up, then max(0, 0.5 (1 + cos(pi * 2 * cycles * progress)))."""
+    warm = F.floor(total * F.lit(float(warmup_ratio)))
+    s = step.cast("double")
+    prog = (s - warm) / F.greatest(F.lit(1), total - warm).cast("double")
+    return F.when(step < warm, s / F.greatest(F.lit(1), warm).cast("double")) \
         .otherwise(F.greatest(F.lit(0.0), 0.5 * (1.0 + F.cos(F.lit(math.pi) * 2.0 * num_cycles * prog))))
-    return r.select(F.col("id").alias("step"), mult.alias("lr_mult"))
+
+
+def lr_schedule(steps: DataFrame, group: str, step: str, warmup_ratio: float = 0.1, num_cycles: float = 0.5) -> DataFrame:
+    """P10 on a step log: the rows with ``lr_mult``; a run's length is the number of its log rows."""
+    total = steps.groupBy(group).agg(F.count(F.lit(1)).alias("_total"))
+    return join_on(steps, total, [group]).withColumn("lr_mult", lr_multiplier(F.col(step), F.col("_total"), warmup_ratio, num_cycles)).drop("_total")
 
 
 def total_optimizer_steps(n_variants: int, list_size: int, epochs: int, accum: int) -> int:

@@ -1,9 +1,9 @@
 """List-wise ranking losses as aggregates.
 
-A ranking list is bounded by construction (``list_size`` items, see W5), so the
-per-list windows and the within-list pair join below touch at most
-``list_size`` / ``list_size²`` rows per list; everything across lists is a
-plain aggregation.
+Lists of every size take the same plans: positions and running sums come from the
+skew-safe primitives of ``gradus.functions.ranking``, and the pairwise hinge loss is
+summed without forming a pair. Only J7, whose result is the pairs, grows with their
+number.
 """
 
 from __future__ import annotations
@@ -14,52 +14,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gradus.functions.ranking import any_hot_group, rank_values, value_counts
+from gradus.functions.ranking import join_on, rank_values, row_positions, running_sums, value_counts
 
 EPS = 1e-10
 
 
 def suffix_logsumexp(df: DataFrame, list_id: str, y_true: str, y_pred: str, key: Sequence[str],
-                     mask: str | None = None, hot: bool | None = None, block: int = 4096) -> DataFrame:
+                     mask: str | None = None, block: int = 4096) -> DataFrame:
     """For each item, the sum of exp(pred - list max) over the items at or after it
-    in descending true-score order (ties by ``key``), masked items contributing 0.
-    Adds ``_mx`` (list max over all items, masked ones too) and ``suffix``.
+    in descending true-score order (ties by ``key``, NULL scores last), masked items
+    contributing 0. Adds ``_mx`` (list max over all items, masked ones too) and ``suffix``.
 
-    Lists are bounded by construction (``list_size``); a size check still guards the
-    per-list window: a list above the threshold gets exact positions from value counts
-    (skew-safe ranks of the true score, ties ordered by ``key`` inside their block) and
-    block prefix sums, so no list is processed by one task."""
+    Positions are exact ranks; the sums of blocks of ``block`` positions give what follows
+    a block, and a window inside the block the rest."""
     m = F.col(mask).cast("double") if mask else F.lit(1.0)
-    if hot is None:
-        hot = any_hot_group(df, list_id)
-    if not hot:
-        wl = Window.partitionBy(list_id)
-        ws = Window.partitionBy(list_id).orderBy(F.col(y_true).desc(), *key) \
-            .rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        x = df.withColumn("_mx", F.max(y_pred).over(wl))
-        return x.withColumn("suffix", F.sum(F.exp(F.col(y_pred) - F.col("_mx")) * m).over(ws))
     mx = df.groupBy(list_id).agg(F.max(y_pred).alias("_mx"))
-    r = rank_values(value_counts(df, list_id, y_true), list_id, y_true, descending=True, hot=True) \
-        .select(list_id, y_true, "before")
-    x = df.join(r, [list_id, y_true]).join(mx, list_id)
-    x = x.withColumn("_pos", F.col("before") - 1 + F.row_number().over(
-        Window.partitionBy(list_id, y_true).orderBy(*key))).drop("before")
-    x = x.withColumn("_e", F.exp(F.col(y_pred) - F.col("_mx")) * m).withColumn("_blk", F.floor(F.col("_pos") / block))
+    x = row_positions(join_on(df, mx, [list_id]), list_id, y_true, key, "_pos", descending=True)
+    x = x.withColumn("_e", F.exp(F.col(y_pred) - F.col("_mx")) * m).withColumn("_blk", F.floor((F.col("_pos") - 1) / block))
     tot = x.groupBy(list_id, "_blk").agg(F.sum("_e").alias("_bs"))
     later = Window.partitionBy(list_id).orderBy(F.col("_blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.withColumn("_after", F.coalesce(F.sum("_bs").over(later), F.lit(0.0))).drop("_bs")
     inner = Window.partitionBy(list_id, "_blk").orderBy(F.col("_pos").desc()) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.join(tot, [list_id, "_blk"]).withColumn("suffix", F.col("_after") + F.sum("_e").over(inner))
+    x = join_on(x, tot, [list_id, "_blk"]).withColumn("suffix", F.col("_after") + F.sum("_e").over(inner))
     return x.drop("_pos", "_e", "_blk", "_after")
 
 
 def listmle_loss(df: DataFrame, list_id: str, y_true: str, y_pred: str, key: Sequence[str],
-                 mask: str | None = None, eps: float = EPS, hot: bool | None = None) -> DataFrame:
+                 mask: str | None = None, eps: float = EPS) -> DataFrame:
     """Plackett-Luce negative log-likelihood per list, divided by the number of
     valid items (at least 1). Returns (list_id, n_valid, loss)."""
     m = F.col(mask).cast("double") if mask else F.lit(1.0)
-    x = suffix_logsumexp(df, list_id, y_true, y_pred, key, mask, hot=hot)
+    x = suffix_logsumexp(df, list_id, y_true, y_pred, key, mask)
     term = (F.log(F.col("suffix") + F.lit(eps)) - (F.col(y_pred) - F.col("_mx"))) * m
     return x.groupBy(list_id).agg(F.sum(m).cast("long").alias("n_valid"),
                                   (F.sum(term) / F.greatest(F.sum(m), F.lit(1.0))).alias("loss"))
@@ -72,18 +58,10 @@ def mse_loss(df: DataFrame, list_id: str, y_true: str, y_pred: str, mask: str |
                                   F.avg(F.pow(F.col(y_pred) - F.col(y_true), 2)).alias("loss"))
 
 
-MAX_PAIR_LIST = 10_000  # items per list for pairwise losses (pairs grow with the square)
-
-
-def pair_selfjoin(df: DataFrame, list_id: str, y_true: str, y_pred: str, item: Sequence[str],
-                  max_list_size: int = MAX_PAIR_LIST) -> DataFrame:
+def pair_selfjoin(df: DataFrame, list_id: str, y_true: str, y_pred: str, item: Sequence[str]) -> DataFrame:
     """Ordered pairs (i, j) inside a list with true_i > true_j — an equi-join on the
-    list id with a range predicate. Pairwise losses are defined on ranking lists, which
-    W5 builds with ``list_size`` items; a size check refuses lists longer than
-    ``max_list_size`` instead of expanding them quadratically."""
-    if any_hot_group(df, list_id, max_list_size):
-        raise ValueError(f"a ranking list has more than {max_list_size} items; pairwise losses need "
-                         "bounded lists (build them with ranking_list_plan)")
+    list id with a range predicate. The pairs are the result, so it grows with their number:
+    meant for the ranking lists of W5 (``list_size`` items). The hinge loss doesn't use it."""
     a = df.select(list_id, *[F.col(c).alias(f"i_{c}") for c in item],
                   F.col(y_true).alias("yt_i"), F.col(y_pred).alias("yp_i"))
     b = df.select(list_id, *[F.col(c).alias(f"j_{c}") for c in item],
@@ -91,25 +69,45 @@ def pair_selfjoin(df: DataFrame, list_id: str, y_true: str, y_pred: str, item: S
     return a.join(b, list_id).filter(F.col("yt_i") > F.col("yt_j"))
 
 
-def pairwise_hinge_loss(df: DataFrame, list_id: str, y_true: str, y_pred: str, item: Sequence[str],
-                        margin: float = 1.0, max_list_size: int = MAX_PAIR_LIST) -> DataFrame:
+def pairwise_hinge_loss(df: DataFrame, list_id: str, y_true: str, y_pred: str, item: Sequence[str] = (),
+                        margin: float = 1.0) -> DataFrame:
     """A10: mean over ordered pairs with true_i > true_j of max(0, margin - (p_i - p_j));
-    a list without such pairs has loss 0 (the mask is ignored, as in the reference)."""
-    pairs = pair_selfjoin(df, list_id, y_true, y_pred, item, max_list_size)
-    per = pairs.groupBy(list_id).agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.avg(F.greatest(F.lit(0.0), F.lit(margin) - (F.col("yp_i") - F.col("yp_j")))).alias("_l"))
-    lists = df.select(list_id).distinct()
-    return lists.join(per, list_id, "left").select(
-        list_id, F.coalesce(F.col("n_pairs"), F.lit(0)).cast("long").alias("n_pairs"),
-        F.coalesce(F.col("_l"), F.lit(0.0)).alias("loss"))
+    a list without such pairs has loss 0 (the mask is ignored, as in the reference).
+
+    No pair is formed. With r the rank of the true score, r_i > r_j holds at exactly one bit
+    where the ranks part: above it they agree, i has a 1 and j a 0. So the items are dealt to
+    one cell per bit, (bit, higher bits of r), and a cell's pairs are i's against j's without
+    any further condition on the true score: over the values p_j and p_i - margin in order,
+    running counts and sums of the j's that are larger give each i its total. The work is
+    items x bits, and a cell of any size is cut by the ranges of ``running_sums``."""
+    d = df.select(F.col(list_id).alias("_l"), F.col(y_true).cast("double").alias("_t"), F.col(y_pred).cast("double").alias("_p"))
+    full = d.filter(F.col("_t").isNotNull() & F.col("_p").isNotNull())
+    r = rank_values(value_counts(full, "_l", "_t"), "_l", "_t")
+    pairs = r.groupBy("_l").agg(F.sum(F.col("cnt") * F.col("before")).alias("n_pairs"))
+    x = join_on(full, r.select("_l", "_t", F.col("before").cast("long").alias("_r"), "n"), ["_l", "_t"])
+    bits = F.greatest(F.ceil(F.log2(F.col("n").cast("double"))), F.lit(1)).cast("int")
+    x = x.select("_l", "_p", "_r", F.explode(F.sequence(F.lit(0), bits - 1)).alias("_bit"))
+    one = F.expr("shiftright(_r, _bit)").bitwiseAND(F.lit(1)) == 1
+    x = x.select("_l", "_bit", F.expr("shiftright(_r, _bit + 1)").alias("_cell"), "_p", one.alias("_i"))
+    v = F.when(F.col("_i"), F.col("_p") - F.lit(float(margin))).otherwise(F.col("_p"))
+    cells = x.groupBy("_l", "_bit", "_cell", v.alias("_v")).agg(
+        F.sum(F.when(F.col("_i"), 0).otherwise(1)).alias("_nj"), F.sum(F.when(F.col("_i"), 0.0).otherwise(F.col("_p"))).alias("_sj"),
+        F.sum(F.when(F.col("_i"), 1).otherwise(0)).alias("_ni"), F.sum(F.when(F.col("_i"), F.col("_p")).otherwise(0.0)).alias("_si"))
+    c = running_sums(cells, ["_l", "_bit", "_cell"], "_v", {"_nj": "_bn", "_sj": "_bs"})
+    n_after, s_after = F.col("_bn_all") - F.col("_bn") - F.col("_nj"), F.col("_bs_all") - F.col("_bs") - F.col("_sj")
+    got = F.col("_ni") * (n_after * F.lit(float(margin)) + s_after) - F.col("_si") * n_after
+    total = c.groupBy("_l").agg(F.sum(got).alias("_sum"))
+    out = join_on(join_on(d.select("_l").distinct(), pairs, ["_l"], "left"), total, ["_l"], "left")
+    n = F.coalesce(F.col("n_pairs"), F.lit(0)).cast("long")
+    return out.select(F.col("_l").alias(list_id), n.alias("n_pairs"),
+                      F.when(n > 0, F.greatest(F.col("_sum") / n, F.lit(0.0))).otherwise(F.lit(0.0)).alias("loss"))
 
 
 def loss_by_name(name: str):
     """The loss operator for a name; unknown names raise ValueError."""
     table = {"listmle": listmle_loss, "mse": mse_loss, "pairwise_hinge": pairwise_hinge_loss}
     if name not in table:
-        raise ValueError(f"Unknown loss type: {name}")
+        raise ValueError(f"no ranking loss is called {name!r}; there are {', '.join(table)}")
     return table[name]
 
 
@@ -155,11 +153,11 @@ def ranking_list_plan(variants: DataFrame, steps: DataFrame, assay: str, item: S
     st = st.join(assays.select(assay, "a_idx", "n_items"), "a_idx")
     occ = rank_values(st.select(assay, "step", F.lit(1).alias("cnt")), assay, "step") \
         .select(assay, "step", F.col("before").alias("k"))
-    st = st.join(occ, [assay, "step"]) \
+    st = join_on(st, occ, [assay, "step"]) \
         .withColumn("list_no", F.pmod(F.col("k"), F.ceil(F.col("n_items") / F.lit(list_size)).cast("long")))
     perm = variants.select(assay, *item).withColumn(
         "_h", _md5_num(F.lit(seed), F.lit(epoch), F.col(assay), *[F.col(c) for c in item]))
     pos = rank_values(perm.groupBy(assay, "_h").agg(F.count(F.lit(1)).alias("cnt")), assay, "_h") \
         .select(assay, "_h", "before")
-    items = perm.join(pos, [assay, "_h"]).withColumn("list_no", F.floor(F.col("before") / list_size).cast("long"))
+    items = join_on(perm, pos, [assay, "_h"]).withColumn("list_no", F.floor(F.col("before") / list_size).cast("long"))
     return st.select("step", assay, "list_no").join(items.select(assay, "list_no", *item), [assay, "list_no"])

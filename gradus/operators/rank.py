@@ -16,42 +16,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gradus.functions.ranking import (_cols, any_hot_group, avg_rank_window, discount_sum_rows,
-                                      hot_threshold, rank_values, value_counts)
+from gradus.functions.ranking import (_cols, discount_sum_rows, join_on, rank_values, tie_positions,
+                                      value_counts)
 
 PROPERTIES = ("stability", "binding", "expression", "activity")
-MAX_HOT_BROADCAST = 100_000  # hot-group keys broadcast to split rows (checked before use)
-
-
-def _hot_groups(df: DataFrame, g: list[str]) -> tuple[DataFrame, int]:
-    """Size check: the groups above the threshold and their number (counted up to
-    MAX_HOT_BROADCAST + 1, so the key list is only broadcast when its size is known)."""
-    hot = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_threshold(df)).select(*g)
-    return hot, hot.limit(MAX_HOT_BROADCAST + 1).count()
 
 
 # ---------------------------------------------------------------- W1 / W2
-def avg_rank(df: DataFrame, group: str | Sequence[str], value: str, out: str = "rank",
-             method: str = "auto", hot: bool | None = None) -> DataFrame:
+def avg_rank(df: DataFrame, group: str | Sequence[str], value: str, out: str = "rank") -> DataFrame:
     """Average (fractional) rank of ``value`` inside each group; ties share the
-    mean of their positions; NULL values get a NULL rank.
-
-    ``auto`` checks group sizes first: bounded groups use two windows over one
-    exchange; a group above the threshold switches to value counts + exact bucket
-    offsets joined back on (group, value) (AQE splits a hot join key)."""
+    mean of their positions; NULL values get a NULL rank. The ranks of the distinct
+    values are joined back on (group, value); AQE splits a hot key of the rows."""
     g = _cols(group)
-    if method not in ("auto", "window", "counts"):
-        raise ValueError(f"unknown rank method: {method}")
-    if method == "auto":
-        if hot is None:
-            hot = any_hot_group(df, g)
-        method = "counts" if hot else "window"
-    if method == "window":
-        return avg_rank_window(df, g, value, out).withColumn(
-            out, F.when(F.col(value).isNotNull(), F.col(out)))
-    vc = value_counts(df.filter(F.col(value).isNotNull()), g, value)
-    r = rank_values(vc, g, value, hot=True if hot is None else hot).select(*g, value, F.col("avg_rank").alias(out))
-    return df.join(r, g + [value], "left")
+    r = rank_values(value_counts(df.filter(F.col(value).isNotNull()), g, value), g, value) \
+        .select(*g, value, F.col("avg_rank").alias(out))
+    return join_on(df, r, [*g, value], "left")
 
 
 def normalize_scores(df: DataFrame, group: str | Sequence[str], score: str, method: str = "minmax",
@@ -68,62 +47,55 @@ def normalize_scores(df: DataFrame, group: str | Sequence[str], score: str, meth
         st = df.groupBy(*g).agg(F.min(s).alias("_mn"), F.max(s).alias("_mx"))
         rng = F.col("_mx") - F.col("_mn")
         val = F.when(rng < 1e-8, F.lit(0.5)).otherwise((s - F.col("_mn")) / rng)
-        return df.join(st, g, "left").withColumn(out, F.when(s.isNotNull(), val)).drop("_mn", "_mx")
+        return join_on(df, st, g, "left").withColumn(out, F.when(s.isNotNull(), val)).drop("_mn", "_mx")
     if method == "zscore":
         st = df.groupBy(*g).agg(F.avg(s).alias("_mu"), F.stddev_pop(s).alias("_sd"))
         val = F.when(F.col("_sd") < 1e-8, F.lit(0.0)).otherwise((s - F.col("_mu")) / F.col("_sd"))
-        return df.join(st, g, "left").withColumn(out, F.when(s.isNotNull(), val)).drop("_mu", "_sd")
+        return join_on(df, st, g, "left").withColumn(out, F.when(s.isNotNull(), val)).drop("_mu", "_sd")
     if method == "rank":
-        if not any_hot_group(df, g):
-            x = avg_rank_window(df, g, score, "_ar").withColumn(
-                "_n", F.count(F.col(score)).over(Window.partitionBy(*g)))
-            return x.withColumn(out, F.when(s.isNotNull(), F.col("_ar") / F.col("_n"))).drop("_ar", "_n")
         vc = value_counts(df.filter(F.col(score).isNotNull()), g, score)
-        r = rank_values(vc, g, score, hot=True).select(*g, score, (F.col("avg_rank") / F.col("n")).alias(out))
-        return df.join(r, g + [score], "left")
-    raise ValueError(f"Unknown normalization method: {method}")
+        r = rank_values(vc, g, score).select(*g, score, (F.col("avg_rank") / F.col("n")).alias(out))
+        return join_on(df, r, [*g, score], "left")
+    raise ValueError(f"no normalisation is called {method!r}")
 
 
 # ---------------------------------------------------------------- A2
 def spearman_by_group(df: DataFrame, group: str | Sequence[str], y: str, p: str,
-                      out: str = "spearman", hot: bool | None = None) -> DataFrame:
+                      out: str = "spearman") -> DataFrame:
     """A2: Spearman rho per group = Pearson correlation of average ranks.
 
     n < 2 -> NULL; a constant side -> 0.0 (the evaluation convention). Rows with
     a NULL on either side are ignored. Returns (group..., n_variants, spearman).
-    Bounded groups: rank windows and the final aggregate share one exchange on the
-    group. A group above the size threshold: ranks of distinct values from
-    skew-safe value counts, joined to the (group, y, p) counts.
-    """
+    Ranks of the distinct values are joined to the (group, y, p) counts."""
     g = _cols(group)
     d = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*g, y, p)
-    if hot is None:
-        hot_groups, n_hot = _hot_groups(d, g)
-        if 0 < n_hot <= MAX_HOT_BROADCAST:
-            # only the hot groups take the bucketed plan (their checked key list is broadcast)
-            hg = F.broadcast(hot_groups)
-            return spearman_by_group(d.join(hg, g, "left_anti"), g, y, p, out, hot=False).unionByName(
-                spearman_by_group(d.join(hg, g, "left_semi"), g, y, p, out, hot=True))
-        hot = n_hot > 0
-    guard = lambda sxy, sxx, syy: (F.when(F.col("n_variants") < 2, F.lit(None).cast("double"))
-                                   .when((sxx > 0) & (syy > 0), sxy / F.sqrt(sxx * syy))
-                                   .otherwise(F.lit(0.0)))
-    if not hot:
-        x = avg_rank_window(avg_rank_window(d, g, y, "_ry"), g, p, "_rp")
-        a = x.groupBy(*g).agg(F.count(F.lit(1)).alias("n_variants"), F.covar_pop("_ry", "_rp").alias("_c"),
-                              F.var_pop("_ry").alias("_vy"), F.var_pop("_rp").alias("_vp"))
-        return a.select(*g, "n_variants", guard(F.col("_c"), F.col("_vy"), F.col("_vp")).alias(out))
-    ry = rank_values(value_counts(d, g, y), g, y, hot=True).select(*g, y, F.col("avg_rank").alias("_ry"), "n")
-    rp = rank_values(value_counts(d, g, p), g, p, hot=True).select(*g, p, F.col("avg_rank").alias("_rp"))
+    return _spearman(d, g, y, p, out, _blocks(d, g, y), _blocks(d, g, p))
+
+
+def _blocks(d: DataFrame, g: list[str], col: str, *extra: F.Column) -> DataFrame:
+    return rank_values(value_counts(d, g, col, *extra), g, col)
+
+
+def _descending(r: DataFrame) -> DataFrame:
+    """The same tie blocks (without NULLs) from the other end."""
+    return r.withColumn("before", F.col("n") - F.col("before") - F.col("cnt"))
+
+
+def _spearman(d: DataFrame, g: list[str], y: str, p: str, out: str, ry: DataFrame, rp: DataFrame) -> DataFrame:
+    ry = ry.select(*g, y, F.col("avg_rank").alias("_ry"), "n")
+    rp = rp.select(*g, p, F.col("avg_rank").alias("_rp"))
     pairs = d.groupBy(*g, y, p).agg(F.count(F.lit(1)).alias("_c"))
-    j = pairs.join(ry, g + [y]).join(rp, g + [p])
+    j = join_on(join_on(pairs, ry, [*g, y]), rp, [*g, p])
     m = (F.col("n") + 1) / F.lit(2.0)
     dy, dp = F.col("_ry") - m, F.col("_rp") - m
     a = j.groupBy(*g).agg(F.max("n").alias("n_variants"),
                           F.sum(F.col("_c") * dy * dp).alias("_sxy"),
                           F.sum(F.col("_c") * dy * dy).alias("_sxx"),
                           F.sum(F.col("_c") * dp * dp).alias("_syy"))
-    return a.select(*g, "n_variants", guard(F.col("_sxy"), F.col("_sxx"), F.col("_syy")).alias(out))
+    rho = (F.when(F.col("n_variants") < 2, F.lit(None).cast("double"))
+           .when((F.col("_sxx") > 0) & (F.col("_syy") > 0), F.col("_sxy") / F.sqrt(F.col("_sxx") * F.col("_syy")))
+           .otherwise(F.lit(0.0)))
+    return a.select(*g, "n_variants", rho.alias(out))
 
 
 def spearman_pvalue(res: DataFrame, rho: str = "spearman", n: str = "n_variants",
@@ -153,32 +125,27 @@ def _k_col(n: F.Column, k_fraction: float) -> F.Column:
 
 
 def ndcg_by_group(df: DataFrame, group: str | Sequence[str], y: str, p: str,
-                  k_fraction: float = 0.1, hot: bool | None = None) -> DataFrame:
+                  k_fraction: float = 0.1) -> DataFrame:
     """A3: NDCG with linear gain and log2 discount, prediction ties averaged,
     full list (``ndcg``) and cut at k = max(1, int(n*k_fraction)) (``ndcg_10``).
     NULL when n < 2 or a relevance is negative; 0 when the ideal gain is 0."""
     g = _cols(group)
-    d = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
-    if hot is None:
-        hot = any_hot_group(d, g)
-    if not hot:
-        # bounded groups: positions by row_number over one exchange (the order inside a
-        # tie block does not change a block's discount sum)
-        w = _assay_metrics_windows(d, g, y, p, None, [], k_fraction)
-        return w.select(*g, "ndcg", "ndcg_10")
+    d = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*g, y, p)
+    return _ndcg(g, y, k_fraction, _blocks(d, g, y), _blocks(d, g, p, F.sum(y).alias("_sy")))
+
+
+def _ndcg(g: list[str], y: str, k_fraction: float, ry: DataFrame, rp: DataFrame) -> DataFrame:
     # prediction-order tie blocks carry the sum of their relevance
-    vp = value_counts(d, g, p, F.sum(y).alias("_sy"))
-    rp = rank_values(vp, g, p, descending=True, hot=hot).withColumn("_k", _k_col(F.col("n"), k_fraction))
+    rp = _descending(rp).withColumn("_k", _k_col(F.col("n"), k_fraction))
     dcg = (discount_sum_rows(rp, "before", "cnt", {"_d": None, "_dk": "_k"})
            .groupBy(*g).agg(F.sum(F.col("_sy") / F.col("cnt") * F.col("_d")).alias("_dcg"),
                             F.sum(F.col("_sy") / F.col("cnt") * F.col("_dk")).alias("_dcgk")))
-    vy = value_counts(d, g, y)
-    ry = rank_values(vy, g, y, descending=True, hot=hot).withColumn("_k", _k_col(F.col("n"), k_fraction))
+    ry = _descending(ry).withColumn("_k", _k_col(F.col("n"), k_fraction))
     idcg = (discount_sum_rows(ry, "before", "cnt", {"_d": None, "_dk": "_k"})
             .groupBy(*g).agg(F.sum(F.col(y) * F.col("_d")).alias("_idcg"),
                              F.sum(F.col(y) * F.col("_dk")).alias("_idcgk"),
                              F.max("n").alias("_n"), F.min(y).alias("_miny")))
-    j = idcg.join(dcg, g, "left")
+    j = join_on(idcg, dcg, g, "left")
     bad = (F.col("_n") < 2) | (F.col("_miny") < 0)
 
     def ratio(num: str, den: str) -> F.Column:
@@ -190,44 +157,36 @@ def ndcg_by_group(df: DataFrame, group: str | Sequence[str], y: str, p: str,
 
 # ---------------------------------------------------------------- A4 / O2
 def topk_recall(df: DataFrame, group: str | Sequence[str], y: str, p: str, key: Sequence[str],
-                k_fraction: float = 0.1, hot: bool | None = None) -> DataFrame:
+                k_fraction: float = 0.1) -> DataFrame:
     """A4: |true top-k ∩ predicted top-k| / k, k = max(1, int(n*k_fraction)).
     Ties are broken by ``key`` ascending (deterministic); ``key`` identifies a row.
 
-    Bounded groups: two row_number windows over one exchange. A group above the size
-    threshold: tie blocks are ranked from value counts (skew-safe); a row is surely in
-    (block ends before k) or out (block starts at or after k), and only the one tie
-    block per group that straddles k is ordered by ``key``."""
+    A row is surely in (its tie block ends before k) or out (it starts at or after k);
+    only the one tie block per group that straddles k is ordered by ``key``."""
     g = _cols(group)
     d = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*g, y, p, *key)
-    if hot is None:
-        hot = any_hot_group(d, g)
-    if not hot:
-        wy = Window.partitionBy(*g).orderBy(F.col(y).desc(), *key)
-        wp = Window.partitionBy(*g).orderBy(F.col(p).desc(), *key)
-        wn = Window.partitionBy(*g)
-        x = (d.withColumn("_ry", F.row_number().over(wy))
-             .withColumn("_rp", F.row_number().over(wp))
-             .withColumn("_k", _k_col(F.count(F.lit(1)).over(wn), k_fraction)))
-        both = F.when((F.col("_ry") <= F.col("_k")) & (F.col("_rp") <= F.col("_k")), 1).otherwise(0)
-        return x.groupBy(*g).agg((F.sum(both) / F.max("_k")).alias("top_10_recall"))
-
-    def in_top(col: str) -> tuple[DataFrame, DataFrame]:
-        r = rank_values(value_counts(d, g, col), g, col, descending=True, hot=True) \
-            .withColumn("_k", _k_col(F.col("n"), k_fraction)).select(*g, col, "before", "cnt", "_k")
-        x = d.select(*g, col, *key).join(r, g + [col])
-        sure = x.filter(F.col("before") + F.col("cnt") <= F.col("_k")).select(*g, *key)
-        edge = x.filter((F.col("before") < F.col("_k")) & (F.col("before") + F.col("cnt") > F.col("_k")))
-        w = Window.partitionBy(*g, col).orderBy(*key)
-        edge = edge.withColumn("_r", F.row_number().over(w)) \
-            .filter(F.col("before") + F.col("_r") <= F.col("_k")).select(*g, *key)
-        ks = r.groupBy(*g).agg(F.max("_k").alias("_k"))
-        return sure.unionByName(edge), ks
-
-    ty, ks = in_top(y)
-    tp, _ = in_top(p)
-    hits = ty.join(tp, g + list(key)).groupBy(*g).agg(F.count(F.lit(1)).alias("_h"))
-    return ks.join(hits, g, "left").select(
+    return _topk(d, g, y, p, key, k_fraction, _blocks(d, g, y), _blocks(d, g, p))
+
+
+def _topk(d: DataFrame, g: list[str], y: str, p: str, key: Sequence[str], k_fraction: float,
+          ry: DataFrame, rp: DataFrame) -> DataFrame:
+    keys = [c for c in key if c not in g]
+
+    def in_top(col: str, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+        r = _descending(blocks).withColumn("_k", _k_col(F.col("n"), k_fraction)) \
+            .select(*g, col, F.col("before").alias("_before"), F.col("cnt").alias("_cnt"), "_k")
+        near = r.filter(F.col("_before") < F.col("_k"))  # blocks that begin before k
+        x = join_on(d.select(*g, F.col(col), *[c for c in keys if c != col]), near, [*g, col])
+        sure = x.filter(F.col("_before") + F.col("_cnt") <= F.col("_k"))
+        edge = tie_positions(x.filter(F.col("_before") + F.col("_cnt") > F.col("_k")), [*g, col],
+                             [c for c in keys if c != col] or [col], "_r")
+        edge = edge.filter(F.col("_before") + F.col("_r") <= F.col("_k"))
+        return sure.select(*g, *keys).unionByName(edge.select(*g, *keys)), r.groupBy(*g).agg(F.max("_k").alias("_k"))
+
+    ty, ks = in_top(y, ry)
+    tp, _ = in_top(p, rp)
+    hits = join_on(ty, tp, [*g, *keys]).groupBy(*g).agg(F.count(F.lit(1)).alias("_h"))
+    return join_on(ks, hits, g, "left").select(
         *g, (F.coalesce(F.col("_h"), F.lit(0)) / F.col("_k")).alias("top_10_recall"))
 
 
@@ -242,7 +201,7 @@ def topk_items(df: DataFrame, group: str | Sequence[str], score: str, key: Seque
 
 # ---------------------------------------------------------------- A5
 def auc_by_group(df: DataFrame, group: str | Sequence[str], label: str, score: str,
-                 out: str = "auc", hot: bool | None = None) -> DataFrame:
+                 out: str = "auc") -> DataFrame:
     """A5: ROC-AUC per group by the Mann-Whitney statistic with average ranks.
     Defined only when the 0/1 label takes both values in the group, else NULL."""
     g = _cols(group)
@@ -250,7 +209,7 @@ def auc_by_group(df: DataFrame, group: str | Sequence[str], label: str, score: s
     vc = value_counts(d, g, score,
                       F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_pos"),
                       F.sum(F.when(~F.col(label).isin(0, 1), 1).otherwise(0)).alias("_oth"))
-    r = rank_values(vc, g, score, hot=any_hot_group(d, g) if hot is None else hot)
+    r = rank_values(vc, g, score)
     a = r.groupBy(*g).agg(F.sum("_pos").alias("_p"), F.max("n").alias("_n"),
                           F.sum("_oth").alias("_o"),
                           F.sum(F.col("_pos") * F.col("avg_rank")).alias("_sr"))
@@ -263,104 +222,18 @@ def auc_by_group(df: DataFrame, group: str | Sequence[str], label: str, score: s
 # ---------------------------------------------------------------- A1
 def assay_metrics(df: DataFrame, group: str | Sequence[str], y: str, p: str, label: str | None,
                   key: Sequence[str], k_fraction: float = 0.1) -> DataFrame:
-    """A1: every ranking metric per group, one row per group.
-
-    Bounded groups (size check): all ranks, row numbers and tie-block means are windows
-    over ONE exchange on the group, followed by one aggregate on the same partitioning.
-    A group above the threshold: the skew-safe operators A2-A5 joined on the group."""
+    """A1: every ranking metric per group, one row per group: A2 with its p-value, A3, A4 and A5.
+    The tie blocks of both orders are ranked once and shared by the metrics."""
     g = _cols(group)
-    hot_groups, n_hot = _hot_groups(df, g)  # one size check for every metric
-    if n_hot == 0:
-        return _assay_metrics_windows(df, g, y, p, label, key, k_fraction)
-    if n_hot <= MAX_HOT_BROADCAST:
-        # few hot groups (their number is checked): bounded groups keep the one-exchange
-        # window plan, only the hot ones take the skew-safe plan; the hot-group list is
-        # broadcast to split the rows without a shuffle
-        hg = F.broadcast(hot_groups)
-        cold = _assay_metrics_windows(df.join(hg, g, "left_anti"), g, y, p, label, key, k_fraction)
-        hot = _assay_metrics_skew(df.join(hg, g, "left_semi"), g, y, p, label, key, k_fraction)
-        return cold.unionByName(hot)
-    return _assay_metrics_skew(df, g, y, p, label, key, k_fraction)
-
-
-def _assay_metrics_skew(df: DataFrame, g: list[str], y: str, p: str, label: str | None,
-                        key: Sequence[str], k_fraction: float) -> DataFrame:
-    hot = True
-    out = spearman_by_group(df, g, y, p, hot=hot)
-    out = out.join(ndcg_by_group(df, g, y, p, k_fraction, hot=hot), g, "left")
-    out = out.join(topk_recall(df, g, y, p, key, k_fraction, hot=hot), g, "left")
-    if label is not None:
-        out = out.join(auc_by_group(df, g, label, p, hot=hot), g, "left")
-    else:
-        out = out.withColumn("auc", F.lit(None).cast("double"))
-    return out
-
-
-def _assay_metrics_windows(df: DataFrame, g: list[str], y: str, p: str, label: str | None,
-                           key: Sequence[str], k_fraction: float) -> DataFrame:
-    v1 = F.col(y).isNotNull() & F.col(p).isNotNull()
-    v2 = (F.col(p).isNotNull() & F.col(label).isNotNull()) if label else F.lit(False)
-    cols = [*g, y, p, *([label] if label else []), *[c for c in key if c not in (y, p, label, *g)]]
-    # one hash partitioning on the group serves every window below (their keys all
-    # contain the group) and the final aggregate
-    x = df.select(*cols).withColumn("_v1", v1).withColumn("_v2", v2).filter(F.col("_v1") | F.col("_v2")) \
-        .repartition(*g)
-    g1, g2 = [*g, "_v1"], [*g, "_v2"]
-    W = Window.partitionBy
-
-    def avg_rank(part: list[str], col: str) -> F.Column:
-        return F.rank().over(W(*part).orderBy(F.col(col).asc_nulls_last())) + \
-            (F.count(F.lit(1)).over(W(*part, col)) - 1) / F.lit(2.0)
-
-    x = (x.withColumn("_ry", avg_rank(g1, y)).withColumn("_rp", avg_rank(g1, p))
-         .withColumn("_rnp", F.row_number().over(W(*g1).orderBy(F.col(p).desc(), *key)))
-         .withColumn("_rny", F.row_number().over(W(*g1).orderBy(F.col(y).desc(), *key)))
-         .withColumn("_n1", F.count(F.lit(1)).over(W(*g1)))
-         .withColumn("_ayb", F.avg(y).over(W(*g1, p)))
-         .withColumn("_ra", avg_rank(g2, p)))
-    x = x.withColumn("_k", _k_col(F.col("_n1"), k_fraction))
-    on1 = F.col("_v1")
-
-    def s1(c: F.Column) -> F.Column:
-        return F.sum(F.when(on1, c))
-
-    disc_p = F.lit(1.0) / F.log2(F.col("_rnp") + 1)
-    disc_y = F.lit(1.0) / F.log2(F.col("_rny") + 1)
-    a = x.groupBy(*g).agg(
-        F.sum(F.when(on1, 1).otherwise(0)).cast("long").alias("n_variants"),
-        F.covar_pop(F.when(on1, F.col("_ry")), F.when(on1, F.col("_rp"))).alias("_c"),
-        F.var_pop(F.when(on1, F.col("_ry"))).alias("_vy"), F.var_pop(F.when(on1, F.col("_rp"))).alias("_vp"),
-        s1(F.col("_ayb") * disc_p).alias("_dcg"),
-        s1(F.when(F.col("_rnp") <= F.col("_k"), F.col("_ayb") * disc_p).otherwise(0.0)).alias("_dcgk"),
-        s1(F.col(y) * disc_y).alias("_idcg"),
-        s1(F.when(F.col("_rny") <= F.col("_k"), F.col(y) * disc_y).otherwise(0.0)).alias("_idcgk"),
-        F.min(F.when(on1, F.col(y))).alias("_miny"),
-        F.max(F.when(on1, F.col("_k"))).alias("_kk"),
-        s1(F.when((F.col("_rny") <= F.col("_k")) & (F.col("_rnp") <= F.col("_k")), 1).otherwise(0)).alias("_hit"),
-        *([F.sum(F.when(F.col("_v2") & (F.col(label) == 1), 1).otherwise(0)).alias("_P"),
-           F.sum(F.when(F.col("_v2"), 1).otherwise(0)).alias("_N2"),
-           F.sum(F.when(F.col("_v2") & ~F.col(label).isin(0, 1), 1).otherwise(0)).alias("_O"),
-           F.sum(F.when(F.col("_v2") & (F.col(label) == 1), F.col("_ra")).otherwise(0.0)).alias("_SR")]
-          if label else []))
-    a = a.filter(F.col("n_variants") > 0)
-    rho = (F.when(F.col("n_variants") < 2, F.lit(None).cast("double"))
-           .when((F.col("_vy") > 0) & (F.col("_vp") > 0), F.col("_c") / F.sqrt(F.col("_vy") * F.col("_vp")))
-           .otherwise(F.lit(0.0)))
-    bad = (F.col("n_variants") < 2) | (F.col("_miny") < 0)
-
-    def ratio(num: str, den: str) -> F.Column:
-        return (F.when(bad, F.lit(None).cast("double"))
-                .when(F.col(den) == 0, F.lit(0.0)).otherwise(F.col(num) / F.col(den)))
-
-    if label:
-        neg = F.col("_N2") - F.col("_P")
-        auc = F.when((F.col("_P") > 0) & (neg > 0) & (F.col("_O") == 0),
-                     (F.col("_SR") - F.col("_P") * (F.col("_P") + 1) / F.lit(2.0)) / (F.col("_P") * neg))
-    else:
-        auc = F.lit(None).cast("double")
-    return a.select(*g, "n_variants", rho.alias("spearman"), ratio("_dcg", "_idcg").alias("ndcg"),
-                    ratio("_dcgk", "_idcgk").alias("ndcg_10"),
-                    (F.col("_hit") / F.col("_kk")).alias("top_10_recall"), auc.alias("auc"))
+    d = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
+    d = d.select(*g, y, p, *[c for c in key if c not in (*g, y, p)])
+    ry, rp = _blocks(d, g, y), _blocks(d, g, p, F.sum(y).alias("_sy"))
+    out = spearman_pvalue(_spearman(d, g, y, p, "spearman", ry, rp))
+    out = join_on(out, _ndcg(g, y, k_fraction, ry, rp), g, "left")
+    out = join_on(out, _topk(d, g, y, p, key, k_fraction, ry, rp), g, "left")
+    if label is None:
+        return out.withColumn("auc", F.lit(None).cast("double"))
+    return join_on(out, auc_by_group(df, g, label, p), g, "left")
 
 
 # ---------------------------------------------------------------- A6 / A7

@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradus.functions import parsing
+from gradus.functions.ranking import join_on
 from gradus.operators.rank import spearman_by_group
 
-# Fixed value: token alphabet of the log-prob table (index = position in this string)
+# Fixed value: token alphabet of the log-prob table (index = position in this string), also used by
+# the harness views to make mutation tokens
 AMINO = "ACDEFGHIKLMNPQRSTVWY"
 
 
@@ -44,15 +46,16 @@ def token_index(letter: Column, alphabet: str = AMINO) -> Column:
 
 def score_lookup(terms: DataFrame, logp: DataFrame, pos: str = "pos", key: Sequence[str] = ()) -> DataFrame:
     """Attach log-probabilities of the wild-type and mutant tokens to each mutation
-    term (left join on position [+ protein key]); missing positions give NULLs."""
+    term (left join on position [+ protein key]); missing positions and unknown letters give
+    NULLs, which add 0 to a score."""
     on = list(key) + [pos]
     return terms.join(logp, on, "left") \
-        .withColumn("lp_wt", F.element_at("logp", token_index(F.col("wt")) + 1)) \
-        .withColumn("lp_mut", F.element_at("logp", token_index(F.col("mut")) + 1)) \
+        .withColumn("lp_wt", element_or_null(F.col("logp"), token_index(F.col("wt")))) \
+        .withColumn("lp_mut", element_or_null(F.col("logp"), token_index(F.col("mut")))) \
         .drop("logp")
 
 
-def _safe_element(arr: Column, idx0: Column) -> Column:
+def element_or_null(arr: Column, idx0: Column) -> Column:
     return F.when((idx0 >= 0) & (idx0 < F.size(arr)), F.element_at(arr, idx0 + 1))
 
 
@@ -70,8 +73,8 @@ def zero_shot_score(mutants: DataFrame, logp: DataFrame, item: str = "item", mut
                            F.col("t.mut").alias("mut"))
     table = logp.select(*k, F.col(pos_col), F.col(logp_col).alias("_lp"))
     j = terms.join(table, k + [pos_col], "left")
-    d = _safe_element(F.col("_lp"), token_index(F.col("mut"))) - \
-        _safe_element(F.col("_lp"), token_index(F.col("wt")))
+    d = element_or_null(F.col("_lp"), token_index(F.col("mut"))) - \
+        element_or_null(F.col("_lp"), token_index(F.col("wt")))
     return j.groupBy(*k, item).agg(
         F.coalesce(F.sum(F.coalesce(d, F.lit(0.0))), F.lit(0.0)).alias("zero_shot_score"),
         F.count(F.col(pos_col)).alias("n_mutations"),
@@ -106,13 +109,16 @@ def zero_shot_attach(rows: DataFrame, scores: DataFrame, on: str | Sequence[str]
 def mean_pool(vecs: DataFrame, group: str, order: str, idx: str = "idx", v: str = "v",
               mask: str | None = None) -> DataFrame:
     """Mean of the token vectors of each group, leaving out the first position
-    (lowest ``order``) and masked rows; the denominator is floored at 1e-8.
-    Pure aggregation: sum and count minus the first row's value."""
-    x = vecs if mask is None else vecs.filter(F.col(mask) == 1)
-    a = x.groupBy(group, idx).agg(F.sum(v).alias("_s"), F.count(F.lit(1)).alias("_n"),
-                                  F.min_by(v, order).alias("_first"))
-    return a.select(group, idx, ((F.col("_s") - F.col("_first")) /
-                                 F.greatest(F.col("_n") - 1, F.lit(1e-8))).alias(v))
+    (lowest ``order``, masked or not) and masked rows; the denominator is floored at 1e-8.
+    A group without any such position gives 0. The first position is one small row per group."""
+    first = vecs.groupBy(group).agg(F.min(order).alias("_first"))
+    x = join_on(vecs, first, [group])
+    use = F.col(order) > F.col("_first")
+    if mask is not None:
+        use = use & (F.col(mask) == 1)
+    a = x.groupBy(group, idx).agg(F.sum(F.when(use, F.col(v)).otherwise(0.0)).alias("_s"),
+                                  F.sum(F.when(use, 1).otherwise(0)).alias("_n"))
+    return a.select(group, idx, (F.col("_s") / F.greatest(F.col("_n"), F.lit(1e-8))).alias(v))
 
 
 def cls_pool(vecs: DataFrame, group: str, order: str, idx: str = "idx", v: str = "v") -> DataFrame:
@@ -135,10 +141,19 @@ def head_weights(dim: int, hidden: int, seed: int = 7) -> dict[str, np.ndarray]:
     return {"w1": w1, "b1": b1, "gamma": gamma, "beta": beta, "w2": w2, "b2": b2}
 
 
+# The rational approximation 7.1.26 of Abramowitz and Stegun for erf (error below 1.5e-7)
+ERF_P = 0.3275911
+ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def erf(x: np.ndarray) -> np.ndarray:
+    t = 1.0 / (1.0 + ERF_P * np.abs(x))
+    poly = t * (ERF_A[0] + t * (ERF_A[1] + t * (ERF_A[2] + t * (ERF_A[3] + t * ERF_A[4]))))
+    return np.sign(x) * (1.0 - poly * np.exp(-x * x))
+
+
 def _gelu(x: np.ndarray) -> np.ndarray:
-    import math
-    erf = np.frompyfunc(math.erf, 1, 1)
-    return 0.5 * x * (1.0 + erf(x / math.sqrt(2.0)).astype("float64"))
+    return 0.5 * x * (1.0 + erf(x / np.sqrt(2.0)))
 
 
 def head_forward(x: np.ndarray, w: dict[str, np.ndarray], eps: float = 1e-5) -> np.ndarray:

@@ -8,11 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def set_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows present on both sides (distinct)."""
-    return a.intersect(b)
-
-
 def set_missing(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Expected minus actual (distinct)."""
     return expected.subtract(actual)
@@ -52,4 +47,4 @@ def distinct_first(df: DataFrame, key: str | Sequence[str], order: Sequence[str]
     return out
 
 
-__all__ = ["set_overlap", "set_missing", "resume_union", "manifest_check", "distinct_first"]
+__all__ = ["set_missing", "resume_union", "manifest_check", "distinct_first"]

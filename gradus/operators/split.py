@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.functions.ranking import rank_values
+from gradus.functions.ranking import join_on, rank_values
 
 PRIORITY = ("stability", "binding", "expression", "activity")
 
@@ -70,7 +70,7 @@ def stratified_group_split(assign: DataFrame, test_fraction: float = 0.2, seed:
     ranked = rank_values(vc, category, "_k")
     n_test = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(float(test_fraction)))).cast("long")
     ranked = ranked.withColumn("split", F.when(F.col("before") < n_test, "test").otherwise("train"))
-    decided = units.join(ranked.select(category, "_k", "split"), [category, "_k"]).select(category, cluster, "split")
+    decided = join_on(units, ranked.select(category, "_k", "split"), [category, "_k"]).select(category, cluster, "split")
     if mode == "global":
         return assign.join(decided.select(cluster, "split"), cluster, "left")
     return assign.join(decided, [category, cluster], "left")

@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gradus.functions.ranking import rank_values
+from gradus.functions.ranking import join_on, rank_values
 
 EPS = 1e-8
 
@@ -180,17 +180,49 @@ def cosine_matrix(vecs: DataFrame, prop: str = "property", key: Sequence[str] =
     return _cosine_from_dots(dots, eps)
 
 
+# ---------------------------------------------------------------- V12
+def layer_profile(lowrank: DataFrame, prop: str = "property", layer: str = "prefix") -> DataFrame:
+    """Per layer the number of properties with a delta, the mean and largest norm, and the mean
+    cosine between the deltas of two properties (NULL with fewer than two)."""
+    norms = delta_norm_factored(lowrank)
+    d = explode_blocks(materialize_delta(lowrank, 1.0, [prop, layer]), [prop, layer])
+    x, y = d.withColumnsRenamed({prop: "p1", "v": "v1"}), d.withColumnsRenamed({prop: "p2", "v": "v2"})
+    dots = x.join(y, [layer, "r", "c"]).where("p1 < p2").groupBy(layer, "p1", "p2").agg(F.sum(F.col("v1") * F.col("v2")).alias("_dot"))
+    n1 = norms.select(layer, F.col(prop).alias("p1"), F.greatest("frob_norm", F.lit(EPS)).alias("_n1"))
+    n2 = norms.select(layer, F.col(prop).alias("p2"), F.greatest("frob_norm", F.lit(EPS)).alias("_n2"))
+    cos = dots.join(n1, [layer, "p1"]).join(n2, [layer, "p2"]).groupBy(layer) \
+        .agg(F.avg(F.col("_dot") / (F.col("_n1") * F.col("_n2"))).alias("mean_cosine"))
+    per = norms.groupBy(layer).agg(F.count(F.lit(1)).alias("n_properties"), F.avg("frob_norm").alias("mean_norm"),
+                                   F.max("frob_norm").alias("max_norm"))
+    return per.join(cos, layer, "left").select(F.col(layer).alias("layer"), "n_properties", "mean_norm", "max_norm", "mean_cosine")
+
+
 # ---------------------------------------------------------------- J10
-def weights_apply(base: DataFrame, delta: DataFrame, key: Sequence[str], scaling: float = 1.0,
-                  v: str = "v") -> tuple[DataFrame, DataFrame]:
-    """new = base + scaling * delta on matching keys (base kept where no delta);
-    returns (new weights, delta keys without a base entry). Never in place."""
-    k = list(key)
-    d = delta.select(*k, F.col(v).alias("_d"))
-    new = base.join(d, k, "left").withColumn(v, F.col(v) + F.lit(float(scaling)) * F.coalesce("_d", F.lit(0.0))) \
-        .drop("_d")
-    unmatched = d.join(base.select(*k), k, "left_anti").drop("_d")
-    return new, unmatched
+# How adapter prefixes relate to the names of base weights
+ADAPTER_HEAD, WEIGHT_TAIL = "base_model.model.", ".weight"
+
+
+def base_name(prefix: Column) -> Column:
+    """``base_model.model.X`` -> ``X.weight``."""
+    return F.concat(F.regexp_replace(prefix, "^" + ADAPTER_HEAD.replace(".", r"\."), ""), F.lit(WEIGHT_TAIL))
+
+
+def weights_apply(base: DataFrame, lowrank: DataFrame, scaling: float = 1.0, prop: str = "property",
+                  prefix: str = "prefix") -> tuple[DataFrame, DataFrame]:
+    """Base weights (name, r, c, v) + scaling * B @ A, per property, by the rewritten name.
+
+    Returns the new weights (property, name, r, c, v) of every base weight that a property's
+    complete factor pair names, and a report (property, name, status): ``missing_A`` /
+    ``missing_B`` for incomplete pairs, ``unmatched`` for complete ones without a base weight.
+    The base table stays as it is."""
+    k = [prop, prefix]
+    d = explode_blocks(materialize_delta(lowrank, scaling, k), k) \
+        .select(prop, base_name(F.col(prefix)).alias("name"), "r", "c", F.col("v").alias("_d"))
+    new = base.join(d, ["name", "r", "c"]).select(prop, "name", "r", "c", (F.col("v") + F.col("_d")).alias("v"))
+    pairs = weights_pair(lowrank, k).select(prop, base_name(F.col(prefix)).alias("name"), "status")
+    names = base.select("name").distinct()
+    lost = pairs.where("status = 'complete'").join(names, "name", "left_anti").select(prop, "name", F.lit("unmatched").alias("status"))
+    return new, pairs.where("status <> 'complete'").unionByName(lost)
 
 
 # ---------------------------------------------------------------- V8-V13
@@ -207,7 +239,7 @@ def ties_merge(vecs: DataFrame, top_fraction: float = 0.2, prop: str = "property
     x = vecs.withColumn("_a", -F.abs(F.col(v)))
     vc = x.groupBy(prop, "_a").agg(F.count(F.lit(1)).alias("cnt"))
     r = rank_values(vc, prop, "_a").select(prop, "_a", "before", "n")
-    kept = x.join(r, [prop, "_a"]).filter(F.col("before") < F.floor(F.col("n") * F.lit(float(top_fraction))))
+    kept = join_on(x, r, [prop, "_a"]).filter(F.col("before") < F.floor(F.col("n") * F.lit(float(top_fraction))))
     sign = kept.groupBy(*k).agg(F.signum(F.sum(v)).alias("_s"))
     agree = kept.join(sign, k).filter(F.signum(F.col(v)) == F.col("_s"))
     merged = agree.groupBy(*k).agg(F.avg(v).alias(v))

@@ -44,6 +44,7 @@ def q_scan_reference(spark, d):
 
 # --------------------------------------------------------------- S2
 S2_CATEGORY = "stability"
+VARIANT_BUCKETS = 16
 
 
 @query("scan_variants", with_views(f"""
@@ -60,12 +61,12 @@ def q_scan_variants(spark, d):
         F.lit(None).cast("string").alias("mutated_sequence"),
         F.col("l_extendedprice").alias("DMS_score"),
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("DMS_score_bin"))
+    # assays are dealt over a fixed number of folders, so the layout doesn't grow with their
+    # number, and a rebalance splits a folder that holds a large assay over several files
     root = scratch_path(spark, "variants")
-    # one folder per assay; an explicit partition count keeps AQE from folding the
-    # many small per-assay writes into a single task
-    n = max(1, spark.sparkContext.defaultParallelism * 2)
-    var.repartition(n, "dms_id").write.mode("overwrite").partitionBy("dms_id").option("header", True).csv(root)
-    back = io.scan_variant_folders(spark, root, "dms_id")
+    var.withColumn("bucket", F.pmod(F.xxhash64("dms_id"), F.lit(VARIANT_BUCKETS)).cast("int")).hint("rebalance", "bucket") \
+        .write.partitionBy("bucket").option("header", True).csv(root)
+    back = io.scan_variant_buckets(spark, root, "dms_id")
     j = back.join(t1, "dms_id")
     return j.groupBy("dms_id", "category").agg(F.count(F.lit(1)).alias("n_variants"),
                                                F.sum("DMS_score").alias("sum_score"))
@@ -96,7 +97,6 @@ def q_scored_sink(spark, d):
     sc = o.join(scores(spark, d), "item")
     path = scratch_path(spark, "scored")
     io.write_scored(sc, path, "dms_id")
-    io.write_scored(sc, path, "dms_id")  # a re-run replaces the partitions, never appends
     back = spark.read.schema("item bigint, zero_shot_score double, n_mutations bigint, n_skipped bigint, "
                              "dms_id string").parquet(path)
     return back.groupBy("dms_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("zero_shot_score").alias("sum_score"))
@@ -104,7 +104,7 @@ def q_scored_sink(spark, d):
 
 # --------------------------------------------------------------- S9
 METRICS_SCHEMA = StructType([StructField("dms_id", LongType()), StructField("n_variants", LongType()),
-                             *[StructField(c, DoubleType()) for c in ("spearman", "ndcg", "ndcg_10",
+                             *[StructField(c, DoubleType()) for c in ("spearman", "spearman_pval", "ndcg", "ndcg_10",
                                                                        "top_10_recall", "auc")]])
 
 
@@ -120,10 +120,10 @@ query("metrics_csv", ORACLE.get("assay_metrics"))(_s9)
 
 
 # --------------------------------------------------------------- S8
-def _write_weight_files(spark, d, folder):
+def _write_weight_files(spark, d, folder, only=None):
     """Sharded safetensors files, one per (property, layer): a shard holds one layer's
     A and B factors (bounded by rank x width), never a whole adapter in one task."""
-    lr = V.v_lowrank(spark, d)
+    lr = V.v_lowrank(spark, d) if only is None else V.v_lowrank(spark, d).where(only)
     names = F.concat(F.lit("base_model.model.encoder.layer."), F.col("prefix").cast("string"),
                      F.lit(".attention.self.query.lora_"), F.col("matrix"), F.lit(".weight"))
     shard = F.concat(F.col("property").cast("string"), F.lit("-layer_"), F.col("prefix").cast("string"))
@@ -146,6 +146,25 @@ def q_weights_ingest(spark, d):
     return x.groupBy("property", "prefix", "matrix").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
 
 
+# --------------------------------------------------------------- S3 on files
+@query("manifest_files", with_views("""
+select property, prefix, concat('prop_', cast(property as varchar), '-layer_', cast(prefix as varchar), '.safetensors') as file_name,
+       case when prefix % 5 = 0 then 'missing' else 'found' end as status, prefix % 5 <> 0 as has_path
+from (select distinct property, prefix from v_lowrank where prefix % 3 <> 0) e
+union all
+select null, null, concat('prop_', cast(property as varchar), '-layer_', cast(prefix as varchar), '.safetensors'), 'unexpected', true
+from (select distinct property, prefix from v_lowrank where prefix % 3 = 0 and prefix % 5 <> 0) u""", "v_lowrank"))
+def q_manifest_files(spark, d):
+    """S3: the weight files of a folder against the expected ones; layers divisible by 5 were never
+    written, those divisible by 3 aren't expected."""
+    folder = scratch_path(spark, "manifest-weights")
+    _write_weight_files(spark, d, folder, "prefix % 5 <> 0")
+    expected = V.v_lowrank(spark, d).where("prefix % 3 <> 0").select("property", "prefix").distinct()
+    name = F.concat(F.lit("prop_"), F.col("property").cast("string"), F.lit("-layer_"), F.col("prefix").cast("string"), F.lit(".safetensors"))
+    x = io.manifest_files(spark, folder, expected.withColumn("file_name", name), "file_name")
+    return x.select("property", "prefix", "file_name", "status", F.col("path").isNotNull().alias("has_path"))
+
+
 # --------------------------------------------------------------- ST1 / ST2
 EVENTS_SCHEMA = StructType([StructField("event_id", LongType()), StructField("ts", TimestampNTZType()),
                             StructField("user_id", LongType()), StructField("event_type", StringType()),
@@ -175,7 +194,7 @@ def q_training_monitor(spark, d):
     out, ck = scratch_path(spark, "st2-out"), scratch_path(spark, "st2-ckpt")
     stream = ST.file_stream(spark, d, schema, glob="events.parquet")
     ST.training_monitor(stream, "event_type", "ts", "value", "event_id", out, ck)
-    return spark.read.parquet(out)
+    return ST.latest_table(spark, out)
 
 
 

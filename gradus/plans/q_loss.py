@@ -138,13 +138,18 @@ def q_ranking_list_plan(spark, d):
 
 
 @query("lr_schedule", f"""
-with t as (select (greatest(1, count(*) // {LIST_SIZE}) * {EPOCHS}) // {ACCUM} as total from lineitem),
-w as (select total, cast(floor(total * 0.1::double) as bigint) as warm from t)
-select step, {r6('case when step < warm then step / greatest(1, warm)::double else greatest(0.0, 0.5 * (1.0 + cos(pi() * 2.0 * 0.5 * ((step - warm) / greatest(1, total - warm)::double)))) end')} as lr_mult
-from w, (select unnest(range(0, total)) as step from t) s""")
+with s as (select event_type as property, event_id, row_number() over (partition by event_type order by ts, event_id) - 1 as step,
+                  count(*) over (partition by event_type) as total from events),
+w as (select *, cast(floor(total * 0.1::double) as bigint) as warm from s)
+select property, event_id, step, {r6('case when step < warm then step / greatest(1, warm)::double else greatest(0.0, 0.5 * (1.0 + cos(pi() * 2.0 * 0.5 * ((step - warm) / greatest(1, total - warm)::double)))) end')} as lr_mult
+from w""")
 def q_lr_schedule(spark, d):
-    n = table(spark, d, "lineitem").count()  # one scalar action sizes the schedule
-    return LG.lr_schedule(spark, LG.total_optimizer_steps(n, LIST_SIZE, EPOCHS, ACCUM), 0.1)
+    """The learning rate that each logged step ran with: the log's steps in order of time."""
+    from gradus.functions.ranking import row_positions
+    ev = table(spark, d, "events").select(F.col("event_type").alias("property"), "event_id",
+                                          F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
+    x = row_positions(ev, "property", "_us", ["event_id"], "step").withColumn("step", F.col("step") - 1)
+    return LG.lr_schedule(x, "property", "step").select("property", "event_id", "step", "lr_mult")
 
 
 # --------------------------------------------------------------- W6 / W7 / W8

@@ -68,6 +68,24 @@ from (select {g}, {lab} as lab, {rk} as rk from {src} where {p} is not null and
 group by {g}"""
 
 
+def _pval_sql(src: str, g: str) -> str:
+    """Two-sided p of ``spearman`` on ``n_variants`` rows of ``src``: the finite series of the t
+    distribution for whole degrees of freedom, with sin = |r| and cos = sqrt(1 - r^2)."""
+    ratio = "case when k = 0 then 0.0 when nu % 2 = 1 then ln(2.0::double * k / (2 * k + 1)) else ln((2.0::double * k - 1) / (2 * k)) end"
+    return f"""
+select p.{g}, case when n_variants < 2 then null when nu = 0 then 1.0 when abs(r) >= 1 then 0.0
+            when nu = 1 then 1 - 2 / pi() * asin(abs(r))
+            when nu % 2 = 1 then 1 - 2 / pi() * (asin(abs(r)) + abs(r) * sqrt(1 - r * r) * t.s)
+            else 1 - abs(r) * t.s end as spearman_pval
+from (select {g}, n_variants, n_variants - 2 as nu, spearman as r from {src}) p
+left join (select {g}, sum(exp(la + k * ln(1 - r * r))) as s
+           from (select {g}, k, r, sum({ratio}) over (partition by {g} order by k) as la
+                 from (select {g}, n_variants - 2 as nu, spearman as r,
+                              unnest(range(0, case when (n_variants - 2) % 2 = 1 then (n_variants - 3) // 2 else (n_variants - 2) // 2 end)) as k
+                       from {src} where n_variants > 2 and abs(spearman) < 1) a) b
+           group by {g}) t on t.{g} = p.{g}"""
+
+
 # --------------------------------------------------------------- W1
 @query("avg_rank", with_views(f"""
 select dms_id, l_orderkey, l_linenumber, l_partkey, dms_score,
@@ -102,9 +120,11 @@ def q_spearman(spark, d):
     return R.spearman_by_group(V.v_pred(spark, d), "dms_id", "dms_score", "pred")
 
 
-@query("spearman_pvalue")
+@query("spearman_pvalue", with_views(f"""
+select s.dms_id, s.n_variants, (round((s.spearman) * 1e6) / 1e6 + 0.0) as spearman, (round((p.spearman_pval) * 1e6) / 1e6 + 0.0) as spearman_pval
+from spr s join ({_pval_sql('spr', 'dms_id')}) p on p.dms_id = s.dms_id""",
+    "v_pred", extra=[("spr", _spearman_sql("v_pred", "dms_id", "dms_score", "pred"))]))
 def q_spearman_pvalue(spark, d):
-    """Rows-only: p-values need the incomplete beta function, absent from DuckDB."""
     return R.spearman_pvalue(R.spearman_by_group(V.v_pred(spark, d), "dms_id", "dms_score", "pred"))
 
 
@@ -132,13 +152,15 @@ def q_auc(spark, d):
 
 # --------------------------------------------------------------- A1
 @query("assay_metrics", with_views(f"""
-select s.dms_id, s.n_variants, (round((s.spearman) * 1e6) / 1e6 + 0.0) as spearman, (round((n.ndcg) * 1e6) / 1e6 + 0.0) as ndcg,
+select s.dms_id, s.n_variants, (round((s.spearman) * 1e6) / 1e6 + 0.0) as spearman, (round((pv.spearman_pval) * 1e6) / 1e6 + 0.0) as spearman_pval,
+       (round((n.ndcg) * 1e6) / 1e6 + 0.0) as ndcg,
        (round((n.ndcg_10) * 1e6) / 1e6 + 0.0) as ndcg_10, (round((t.top_10_recall) * 1e6) / 1e6 + 0.0) as top_10_recall, (round((a.auc) * 1e6) / 1e6 + 0.0) as auc
-from ({_spearman_sql('v_pred', 'dms_id', 'dms_score', 'pred')}) s
+from spr s left join ({_pval_sql('spr', 'dms_id')}) pv on pv.dms_id = s.dms_id
 left join ({_ndcg_sql('v_pred', 'dms_id', 'dms_score', 'pred', LINE_KEY_SQL)}) n on n.dms_id = s.dms_id
 left join ({_topk_sql('dms_id')}) t on t.dms_id = s.dms_id
 left join ({_auc_sql('v_pred', 'dms_id', 'dms_score_bin', 'pred')}) a on a.dms_id = s.dms_id""",
-    "v_pred", extra=[_ndcg_pos_cte("v_pred", "dms_id", "dms_score", "pred", LINE_KEY_SQL)]))
+    "v_pred", extra=[("spr", _spearman_sql("v_pred", "dms_id", "dms_score", "pred")),
+                     _ndcg_pos_cte("v_pred", "dms_id", "dms_score", "pred", LINE_KEY_SQL)]))
 def q_assay_metrics(spark, d):
     return R.assay_metrics(V.v_pred(spark, d), "dms_id", "dms_score", "pred", "dms_score_bin", KEY, K_FRACTION)
 

@@ -72,6 +72,28 @@ def q_score_lookup(spark, d):
     return S.score_lookup(terms, logp(spark, d)).select("item", "k", "pos", "lp_wt", "lp_mut")
 
 
+# tokens with letters outside the alphabet (J, X, Z, *) and positions past the table
+ODD_TOKENS_SQL = ("odd_tokens", """
+select l_orderkey as item, l_linenumber as k, substr('ACDEFGHIKLMNPQRSTVWYXZJ*', cast(l_suppkey % 24 as int) + 1, 1) as wt,
+       cast(l_quantity as bigint) * 20 - 1 as pos, substr('ACDEFGHIKLMNPQRSTVWYXZJ*', cast(l_partkey % 24 as int) + 1, 1) as mut
+from lineitem""")
+
+
+@query("score_lookup_unknown", with_views(f"""
+select t.item, t.k, t.pos, t.wt, t.mut, {r6('lw.logp')} as lp_wt, {r6('lm.logp')} as lp_mut from odd_tokens t
+left join lp lw on lw.pos = t.pos and lw.idx = {TOK.format(c='t.wt')}
+left join lp lm on lm.pos = t.pos and lm.idx = {TOK.format(c='t.mut')}""", "v_vec", extra=LOGP_CTES + [ODD_TOKENS_SQL]))
+def q_score_lookup_unknown(spark, d):
+    """J3 where letters are unknown and positions lie outside the table: NULL, not an error."""
+    letters = F.lit("ACDEFGHIKLMNPQRSTVWYXZJ*")
+    li = table(spark, d, "lineitem")
+    terms = li.select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("k"),
+                      F.substring(letters, (F.col("l_suppkey") % 24).cast("int") + 1, 1).alias("wt"),
+                      (F.col("l_quantity").cast("long") * 20 - 1).alias("pos"),
+                      F.substring(letters, (F.col("l_partkey") % 24).cast("int") + 1, 1).alias("mut"))
+    return S.score_lookup(terms, logp(spark, d)).select("item", "k", "pos", "wt", "mut", "lp_wt", "lp_mut")
+
+
 @query("zero_shot_score", with_views(
     f"select item, {r6('zero_shot_score')} as zero_shot_score, n_mutations, n_skipped from scores",
     "v_mutant", "v_vec", extra=SCORE_CTES))
@@ -178,22 +200,47 @@ def q_resume_union(spark, d):
 
 
 # --------------------------------------------------------------- P12 / P11
-@query("mean_pool", with_views(
-    f"select label, idx, {r6('(sum(v) - arg_min(v, vec_id)) / greatest(count(*) - 1, 1e-8)')} as v "
-    "from v_vec group by label, idx", "v_vec"))
+def _mean_pool_sql(use: str) -> str:
+    return (f"select v.label, v.idx, {r6(f'sum(case when {use} then v.v else 0.0 end) / greatest(sum(case when {use} then 1 else 0 end), 1e-8)')} as v "
+            "from v_vec v join (select label, min(vec_id) as first from embeddings group by label) f on f.label = v.label group by v.label, v.idx")
+
+
+@query("mean_pool", with_views(_mean_pool_sql("v.vec_id > f.first"), "v_vec"))
 def q_mean_pool(spark, d):
     return S.mean_pool(V.v_vec(spark, d), "label", "vec_id")
 
 
+@query("mean_pool_masked", with_views(_mean_pool_sql("v.vec_id > f.first and v.vec_id % 3 <> 0"), "v_vec"))
+def q_mean_pool_masked(spark, d):
+    """P12 with a mask that also covers the first position of some groups."""
+    vec = V.v_vec(spark, d).withColumn("mask", F.when(F.col("vec_id") % 3 == 0, 0).otherwise(1))
+    return S.mean_pool(vec, "label", "vec_id", mask="mask")
+
+
 @query("cls_pool", with_views(f"select label, idx, {r6('arg_min(v, vec_id)')} as v from v_vec group by label, idx",
                               "v_vec"))
 def q_cls_pool(spark, d):
     return S.cls_pool(V.v_vec(spark, d), "label", "vec_id")
 
 
-@query("head_score")
+def _head_sql(dim: int, hidden: int) -> str:
+    """The ranking head of ``head_weights`` / ``head_forward`` written out: weights from their rule."""
+    t = f"(1 / (1 + {S.ERF_P}::double * abs(z / sqrt(2.0::double))))"
+    poly = t + " * (" + f" + {t} * (".join(f"{a}::double" for a in S.ERF_A) + ")" * len(S.ERF_A)
+    erf = f"sign(z) * (1 - ({poly}) * exp(-z * z / 2))"
+    return f"""
+with e as (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as i from embeddings),
+h as (select vec_id, j, sum(x * sin((i + 1) * (j + 7) * 0.37::double) / sqrt({dim}::double)) + cos(j * 0.11::double) * 0.01::double as z
+      from e, (select unnest(range(0, {hidden})) as j) u group by vec_id, j),
+g as (select vec_id, j, 0.5::double * z * (1 + {erf}) as g from h),
+m as (select vec_id, avg(g) as mu, var_pop(g) as va from g group by vec_id)
+select g.vec_id, {r6(f"sum(((g - mu) / sqrt(va + 1e-5) * (1 + 0.1::double * sin(j)) + 0.05::double * cos(j)) * cos((j + 7) * 0.53::double) / sqrt({hidden}::double)) + 0.1::double")} as score
+from g join m on m.vec_id = g.vec_id group by g.vec_id"""
+
+
+@query("head_score", _head_sql(64, 32).strip())
 def q_head_score(spark, d):
-    """Rows-only: numpy ranking head over Arrow batches of the 64-d embeddings."""
+    """The ranking head over Arrow batches of the 64-d embeddings."""
     e = table(spark, d, "embeddings")
     return S.head_score(e, "embedding", "vec_id", S.head_weights(64, 32))
 
@@ -214,16 +261,12 @@ def _line_zero_shot(spark, d):
         *LINE_KEY, F.element_at(parsing.parse_mutations(tok), 1).alias("t"))
     x = x.select("*", F.col("t.pos").alias("pos"), F.col("t.wt").alias("wt"), F.col("t.mut").alias("mut")).drop("t")
     j = x.join(logp(spark, d), "pos", "left")
-    d_ = F.element_at("logp", S.token_index(F.col("mut")) + 1) - F.element_at("logp", S.token_index(F.col("wt")) + 1)
+    d_ = S.element_or_null(F.col("logp"), S.token_index(F.col("mut"))) - S.element_or_null(F.col("logp"), S.token_index(F.col("wt")))
     return j.select(F.lit("zero_shot").alias("model"), "dms_id", "category", "y",
                     F.coalesce(d_, F.lit(0.0)).alias("pred"), *LINE_KEY)
 
 
-def _matrix_zs_sql() -> str:
-    from gradus.plans.q_rank import MODEL_CATEGORIES
-    cols = ",\n       ".join(f"{r6(f'avg(case when category = {chr(39)}{c}{chr(39)} then spearman end)')} as {c.lower()}"
-                             for c in MODEL_CATEGORIES)
-    zs = f"""select 'zero_shot' as model, l.l_partkey as dms_id, p.p_type as category, l.l_extendedprice as y,
+ZS_SQL = f"""select 'zero_shot' as model, l.l_partkey as dms_id, p.p_type as category, l.l_extendedprice as y,
                     coalesce(lm.logp - lw.logp, 0.0) as pred
              from (select *, concat(substr('{AMINO}', cast(l_suppkey % 20 as int) + 1, 1),
                                      cast(cast(l_quantity as int) as varchar),
@@ -233,10 +276,22 @@ def _matrix_zs_sql() -> str:
                             and lw.idx = {TOK.format(c='substr(l.tok, 1, 1)')}
              left join lp lm on lm.pos = cast(regexp_replace(substr(l.tok, 2, greatest(length(l.tok) - 2, 0)), '[^0-9]', '', 'g') as bigint) - 1
                             and lm.idx = {TOK.format(c='right(l.tok, 1)')}"""
-    allp = "select model, dms_id, category, y, pred from v_model_pred union all select * from zs"
+ALL_PRED_CTES = LOGP_CTES + [("zs", ZS_SQL), ("allp", "select model, dms_id, category, y, pred from v_model_pred union all select * from zs")]
+
+
+def all_predictions(spark, d):
+    """The three models' predictions and the zero-shot scores, per variant."""
+    cols = ["model", "dms_id", "category", "y", "pred"]
+    return V.v_model_pred(spark, d).select(*cols).unionByName(_line_zero_shot(spark, d).select(*cols))
+
+
+def _matrix_zs_sql() -> str:
+    from gradus.plans.q_rank import MODEL_CATEGORIES
+    cols = ",\n       ".join(f"{r6(f'avg(case when category = {chr(39)}{c}{chr(39)} then spearman end)')} as {c.lower()}"
+                             for c in MODEL_CATEGORIES)
     sp = _spearman_sql("allp", "model, dms_id, category", "y", "pred")
     return with_views(f"select model,\n       {cols}\nfrom ({sp}) s group by model", "v_model_pred", "v_vec",
-                      extra=LOGP_CTES + [("zs", zs), ("allp", allp)])
+                      extra=ALL_PRED_CTES)
 
 
 @query("cross_property_matrix_zero_shot", _matrix_zs_sql())
@@ -244,6 +299,4 @@ def q_cross_property_matrix_zero_shot(spark, d):
     """A6 with the zero-shot row: the three models plus per-variant zero-shot scores."""
     from gradus.operators import rank as R
     from gradus.plans.q_rank import MODEL_CATEGORIES
-    cols = ["model", "dms_id", "category", "y", "pred"]
-    allp = V.v_model_pred(spark, d).select(*cols).unionByName(_line_zero_shot(spark, d).select(*cols))
-    return R.cross_property_matrix(allp, MODEL_CATEGORIES)
+    return R.cross_property_matrix(all_predictions(spark, d), MODEL_CATEGORIES)

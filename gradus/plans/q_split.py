@@ -11,7 +11,7 @@ from gradus.plans import views as V
 from gradus.plans.oracle_views import r6, with_views
 from gradus.plans.q_text import KW_CTES, T1_SQL, categorized
 from gradus.plans.registry import query
-from gradus.sources.tables import table
+from gradus.sources.tables import fan_out, table
 
 SEED = 42
 TEST_FRACTION = 0.2
@@ -122,12 +122,9 @@ def q_distinct_proteins(spark, d):
 
 
 # --------------------------------------------------------------- clustering of documents
-def doc_shingles(spark, d):
-    return C.word_shingles(table(spark, d, "documents"), "doc_id", "text")
-
-
 def doc_sets(spark, d):
-    return C.shingle_sets(table(spark, d, "documents"), "doc_id", "text")
+    docs = table(spark, d, "documents")
+    return C.shingle_sets(docs, "doc_id", "text", partitions=fan_out(docs))
 
 
 def doc_sets_once(spark, d):
@@ -149,20 +146,6 @@ def doc_clusters(spark, d):
     return C.cluster_components(docs, doc_verified(spark, d).select("id", "rep"))
 
 
-def _sig_sql() -> str:
-    mh = ", ".join(f"min(({a} * h + {c}) % {C.MOD48}) as mh_{j}"
-                   for j, (a, c) in enumerate(C.hash_params(C.BANDS * C.ROWS_PER_BAND)))
-    return f"select id, {mh} from sh group by id"
-
-
-def _memb_sql() -> str:
-    r = C.ROWS_PER_BAND
-    parts = [f"select id, {b} as band, concat_ws(':', " +
-             ", ".join(f"cast(mh_{b * r + i} as varchar)" for i in range(r)) + ") as key from sig"
-             for b in range(C.BANDS)]
-    return " union all ".join(parts)
-
-
 def shingle_ctes(src: str, id_col: str, text: str, prefix: str = "") -> list[tuple[str, str]]:
     k = C.SHINGLE_WORDS
     return [
@@ -177,25 +160,41 @@ def shingle_ctes(src: str, id_col: str, text: str, prefix: str = "") -> list[tup
     ]
 
 
-CAND_CTES = shingle_ctes("documents", "doc_id", "text") + [
-    ("sig", _sig_sql()),
-    ("memb", _memb_sql()),
-    ("reps", "select band, key, min(id) as rep from memb group by band, key"),
-    ("cand", "select m.id, r.rep, min(m.band) as band from memb m join reps r on r.band = m.band and r.key = m.key "
-             "where m.id <> r.rep group by m.id, r.rep"),
+# copies of a set hang on its smallest id; other pairs are between the smallest ids of sets
+SET_CTES = shingle_ctes("documents", "doc_id", "text") + [
+    ("sets", "select id, count(*) as n, string_agg(cast(h as varchar), ',' order by h) as members from sh group by id"),
+    ("same", "select id, n, min(id) over (partition by members) as rep from sets"),
+    ("rsh", "select sh.id, sh.h, same.n from sh join same on same.id = sh.id where same.id = same.rep"),
 ]
-VERIFY_CTES = CAND_CTES + [
-    ("sizes", "select id, count(*) as n from sh group by id"),
-    ("shared", "select c.id, c.rep, count(*) as shared from cand c join sh a on a.id = c.id "
-               "join sh b on b.id = c.rep and b.h = a.h group by c.id, c.rep"),
-    ("verified", f"""select c.id, c.rep, coalesce(s.shared, 0) as shared, sa.n as n_id, sb.n as n_rep,
-                           coalesce(s.shared, 0) / least(sa.n, sb.n) as identity,
-                           coalesce(s.shared, 0) / greatest(sa.n, sb.n) as coverage
-                    from cand c left join shared s on s.id = c.id and s.rep = c.rep
-                    join sizes sa on sa.id = c.id join sizes sb on sb.id = c.rep
-                    where coalesce(s.shared, 0) / least(sa.n, sb.n) >= {C.IDENTITY}
-                      and coalesce(s.shared, 0) / greatest(sa.n, sb.n) >= {C.COVERAGE}"""),
+
+
+def _needed_sql(n: str) -> str:
+    return f"ceil({C.COVERAGE}::double * {n} - 1e-9)"
+
+
+CAND_CTES = SET_CTES + [
+    ("df", "select h, count(*) as df from rsh group by h having count(*) > 1"),
+    ("ranked_sh", """select id, n, rsh.h, row_number() over (partition by id order by df, rsh.h) as r,
+                            count(*) over (partition by id) as m from rsh join df on df.h = rsh.h"""),
+    ("pre", f"select id, n, h from ranked_sh where r <= m - {_needed_sql('n')} + 1"),
+    ("cand", f"""select distinct a.id, b.id as rep from pre a join pre b on a.h = b.h and a.id > b.id
+                   and b.n >= {_needed_sql('a.n')} and a.n >= {_needed_sql('b.n')}
+                 union all select id, rep from same where id <> rep"""),
 ]
+
+
+def verified_sql(mode: str = "both") -> str:
+    """Every qualifying edge from all pairs that share a shingle, without any candidate rule."""
+    directed = "a.id > b.id" if mode == "both" else "a.id <> b.id"
+    cov = {"both": "shared / greatest(n_id, n_rep)", "query": "shared / n_id", "target": "shared / n_rep"}[mode]
+    return f"""select id, rep, shared, n_id, n_rep, shared / least(n_id, n_rep) as identity, {cov} as coverage
+               from (select a.id, b.id as rep, count(*) as shared, max(a.n) as n_id, max(b.n) as n_rep
+                     from rsh a join rsh b on a.h = b.h and {directed} group by a.id, b.id
+                     union all select id, rep, n, n, n from same where id <> rep) q
+               where shared / least(n_id, n_rep) >= {C.IDENTITY} and {cov} >= {C.COVERAGE}"""
+
+
+VERIFY_CTES = SET_CTES + [("verified", verified_sql())]
 CLUSTER_CTES = VERIFY_CTES + [
     ("und", "select id as a, rep as b from verified union select rep as a, id as b from verified"),
     ("reach", "select a, b from und union select r.a, u.b from reach r join und u on u.a = r.b"),
@@ -208,9 +207,9 @@ def _recursive(sql: str) -> str:
     return "with recursive " + sql[len("with "):]
 
 
-@query("shingle_candidates", with_views("select id, rep, band from cand", extra=CAND_CTES))
+@query("shingle_candidates", with_views("select id, rep from cand", extra=CAND_CTES))
 def q_shingle_candidates(spark, d):
-    return doc_candidates(spark, d).select("id", "rep", F.col("band").cast("int").alias("band"))
+    return doc_candidates(spark, d).select("id", "rep")
 
 
 @query("identity_coverage_filter", with_views(
@@ -220,6 +219,23 @@ def q_identity_coverage_filter(spark, d):
     return doc_verified(spark, d).select("id", "rep", "shared", "n_id", "n_rep", "identity", "coverage")
 
 
+def _containment(mode):
+    @query(f"containment_{mode}", with_views(
+        f"select id, rep, shared, n_id, n_rep, {r6('identity')} as identity, {r6('coverage')} as coverage from verified",
+        extra=SET_CTES + [("verified", verified_sql(mode))]))
+    def q_containment(spark, d):
+        """C1 and C2 with the coverage on one side, in either order of the ids."""
+        sh = doc_sets_once(spark, d)
+        return C.identity_coverage_filter(C.shingle_candidates(sh, mode=mode), sh, mode=mode) \
+            .select("id", "rep", "shared", "n_id", "n_rep", "identity", "coverage")
+
+    return q_containment
+
+
+for _mode in ("query", "target"):
+    _containment(_mode)
+
+
 @query("cluster_components", _recursive(with_views("select representative, member from clusters",
                                                    extra=CLUSTER_CTES)))
 def q_cluster_components(spark, d):
@@ -262,7 +278,7 @@ def _doc_split_pipeline(spark, d):
     """T2 pipeline; returns (split, verified edges) so audits reuse the same edges."""
     seq = V.v_seq(spark, d).select("doc_id", "category", "text")
     uniq = U.distinct_first(seq, "doc_id", ["doc_id"], value="text")
-    sh = C.materialize(C.shingle_sets(uniq, "doc_id", "text"))
+    sh = C.materialize(C.shingle_sets(uniq, "doc_id", "text"))  # the dedup has dealt the rows
     verified = C.materialize(C.identity_coverage_filter(C.shingle_candidates(sh), sh))
     cl = C.cluster_components(uniq.select(F.col("doc_id").alias("id")), verified.select("id", "rep"))
     x = SP.attach_cluster(uniq.select("doc_id", "category"), cl, "doc_id")
@@ -291,7 +307,8 @@ left join (select id, max(shared) as max_shared, count(*) as n_hits from (
     extra=shingle_ctes("documents", "doc_id", "text") + shingle_ctes("benchmark", "item_id", "text", "b")))
 def q_cross_split_similarity(spark, d):
     bench = C.word_shingles(table(spark, d, "benchmark"), "item_id", "text")
-    docs = C.word_shingles(table(spark, d, "documents"), "doc_id", "text", distinct=False)
+    docs = table(spark, d, "documents")
+    docs = C.word_shingles(docs, "doc_id", "text", distinct=False, partitions=fan_out(docs))
     return C.max_containment(bench, docs).select(
         F.col("id").alias("item_id"), "n_shingles", "max_shared", "max_containment", "n_hits")
 
@@ -307,7 +324,8 @@ from (select doc_id, regexp_replace(text, '[\\r\\n]', ' ', 'g') as t,
       from v_seq where text is not null and length(text) > 0) q""", "v_seq"))
 def q_fasta_lines(spark, d):
     from gradus.sources import io
-    return io.fasta_lines(V.v_seq(spark, d), "doc_id", "text", "source")
+    seq = V.v_seq(spark, d)
+    return io.fasta_lines(seq, "doc_id", "text", "source", partitions=fan_out(seq))
 
 
 # --------------------------------------------------------------- J2 / T3
@@ -327,26 +345,51 @@ def q_attach_category(spark, d):
 T3_CATEGORY = "stability"
 
 
+# T3 binding: an assay's sequence is its name four times, a variant's mutation sits at l_quantity
+T3_MAX_LENGTH = 40
+
+
 @query("category_training_set", with_views(f"""
-select v.dms_id, v.l_orderkey, v.l_linenumber, v.l_suppkey, v.dms_score,
-       {r6('case when s.mx - s.mn < 1e-8 then 0.5 else (v.dms_score - s.mn) / (s.mx - s.mn) end')} as score_norm
-from (select l.l_partkey as dms_id, l.l_orderkey, l.l_linenumber, l.l_suppkey, l.l_extendedprice as dms_score
-      from lineitem l join t1 t on t.dms_id = l.l_partkey where t.assigned_category = '{T3_CATEGORY}') v
-join (select l_partkey as dms_id, min(l_extendedprice) as mn, max(l_extendedprice) as mx from lineitem group by 1) s
-  on s.dms_id = v.dms_id
-where v.dms_id in (select dms_id from split where split = 'train')""", "v_assay", extra=BASE + SPLIT_PER_CAT))
+select dms_id, l_orderkey, l_linenumber, l_suppkey, dms_score, score_norm, action, length(seq) as n_seq from (
+  select v.dms_id, v.l_orderkey, v.l_linenumber, v.l_suppkey, v.dms_score,
+         {r6('case when s.mx - s.mn < 1e-8 then 0.5 else (v.dms_score - s.mn) / (s.mx - s.mn) end')} as score_norm,
+         case when length(v.seq) <= {T3_MAX_LENGTH} then 'keep' when v.pos >= {T3_MAX_LENGTH} then 'exclude' else 'truncate' end as action,
+         case when length(v.seq) <= {T3_MAX_LENGTH} then v.seq when v.pos < {T3_MAX_LENGTH} then substr(v.seq, 1, {T3_MAX_LENGTH}) end as seq
+  from (select l.l_partkey as dms_id, l.l_orderkey, l.l_linenumber, l.l_suppkey, l.l_extendedprice as dms_score,
+               repeat(p.p_name, 4) as seq, cast(l.l_quantity as int) - 1 as pos
+        from lineitem l join t1 t on t.dms_id = l.l_partkey join part p on p.p_partkey = l.l_partkey
+        where t.assigned_category = '{T3_CATEGORY}') v
+  join (select l_partkey as dms_id, min(l_extendedprice) as mn, max(l_extendedprice) as mx from lineitem group by 1) s
+    on s.dms_id = v.dms_id
+  where v.dms_id in (select dms_id from split where split = 'train')) x where action <> 'exclude'""",
+    "v_assay", extra=BASE + SPLIT_PER_CAT))
 def q_category_training_set(spark, d):
-    """Variants of one category (S2/J2), min-max normalised per assay over all of the
-    assay's rows (W2, before any exclusion), restricted to the train side of the split (P7)."""
+    """Variants of one category (S2/J2) on the train side of the split (P7), min-max normalised
+    per assay over all of the assay's rows (W2) before the length rule (P6) drops or cuts any. The
+    assays are chosen first, so only their rows are normalised."""
     from gradus.operators import rank as R
+    from gradus.operators import text as T
     cats = categorized(spark, d).filter(F.col("assigned_category") == T3_CATEGORY) \
         .select("dms_id", F.col("assigned_category").alias("category"))
+    cats = SP.id_in_split(cats, assay_split(spark, d), "train")
     li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("dms_id"), "l_orderkey", "l_linenumber",
-                                            "l_suppkey", F.col("l_extendedprice").alias("dms_score"))
-    normed = R.normalize_scores(li, "dms_id", "dms_score", "minmax", "score_norm")
-    x = SP.attach_category(normed, cats, "dms_id")
-    x = SP.id_in_split(x, assay_split(spark, d), "train")
-    return x.select("dms_id", "l_orderkey", "l_linenumber", "l_suppkey", "dms_score", "score_norm")
+                                            "l_suppkey", F.col("l_extendedprice").alias("dms_score"),
+                                            F.concat(F.lit("A"), F.col("l_quantity").cast("int").cast("string"), F.lit("C")).alias("mutant"))
+    x = SP.attach_category(li, cats, "dms_id")
+    x = R.normalize_scores(x, "dms_id", "dms_score", "minmax", "score_norm")
+    seqs = table(spark, d, "part").select(F.col("p_partkey").alias("dms_id"), F.repeat("p_name", F.lit(4)).alias("seq"))
+    x = T.truncate_or_exclude(x.join(seqs, "dms_id"), "seq", "mutant", T3_MAX_LENGTH).filter(F.col("action") != "exclude")
+    return x.select("dms_id", "l_orderkey", "l_linenumber", "l_suppkey", "dms_score", "score_norm", "action",
+                    F.length("seq_out").cast("long").alias("n_seq"))
+
+
+@query("leakage_audit_documents", _recursive(with_views(AUDIT_SQL, "v_seq", extra=DOC_SPLIT_CTES + [
+    ("split", "select doc_id as dms_id, cast(doc_id as varchar) as protein, cast(cluster as varchar) as cluster, split "
+              f"from ({MAKE_SPLITS_BODY}) z")])))
+def q_leakage_audit_documents(spark, d):
+    """J6 on the split of T2, with its real cluster table: the validation row that goes with the split."""
+    split = _doc_split_pipeline(spark, d)[0]
+    return SP.leakage_audit(split, "doc_id", "doc_id", "cluster")
 
 
 @query("cross_split_edges", _recursive(with_views(f"""

@@ -15,7 +15,6 @@ from gradus.sources.tables import table
 COEF = {0: 1.0, 1: -1.0, 2: 0.5, 3: 0.25}
 GRID = [0.0, 0.5, 1.0]
 FRACTIONS = [0.1, 0.25, 0.5, 1.0]
-BASELINE_MODEL = "quantity"
 
 DELTA_CTE = ("delta", """select b.property, b.prefix, b.r, a.c, sum(b.v * a.v) as v
                          from v_lowrank b join v_lowrank a on a.property = b.property and a.prefix = b.prefix
@@ -108,29 +107,44 @@ def q_delta_cosine(spark, d):
     return VX.delta_cosine_factored(V.v_lowrank(spark, d))
 
 
+# base weights: one per even layer, the mean of all factors of the layer; adapters lack B in
+# layers divisible by 7 and A in those divisible by 11
+BASE_CTE = ("base", """select concat('encoder.layer.', cast(prefix as varchar), '.weight') as name, r, c, avg(v) as v
+                      from v_lowrank where prefix % 2 = 0 group by prefix, r, c""")
+GAPPY_CTE = ("gappy", """select * from v_lowrank where not (matrix = 'B' and prefix % 7 = 0) and not (matrix = 'A' and prefix % 11 = 0)""")
+GAPPY_DELTA_CTE = ("gdelta", """select a.property, a.prefix, b.r, a.c, sum(b.v * a.v) as v
+                               from gappy b join gappy a on a.property = b.property and a.prefix = b.prefix and a.r = b.c
+                               where b.matrix = 'B' and a.matrix = 'A' group by a.property, a.prefix, b.r, a.c""")
+NAME_SQL = "concat('encoder.layer.', cast(prefix as varchar), '.weight')"
+
+
+def _applied(spark, d):
+    lr = V.v_lowrank(spark, d)
+    base = lr.where("prefix % 2 = 0").groupBy("prefix", "r", "c").agg(F.avg("v").alias("v")) \
+        .select(F.concat(F.lit("encoder.layer."), F.col("prefix").cast("string"), F.lit(".weight")).alias("name"), "r", "c", "v")
+    gappy = lr.where("not (matrix = 'B' and prefix % 7 = 0) and not (matrix = 'A' and prefix % 11 = 0)") \
+        .withColumn("prefix", F.concat(F.lit("base_model.model.encoder.layer."), F.col("prefix").cast("string")))
+    return VX.weights_apply(base, gappy, 0.5)
+
+
 @query("weights_apply", with_views(f"""
-select a.prefix, a.r, a.c, {r6('a.v + 0.5 * coalesce(b.v, 0.0)')} as v
-from (select prefix, r, c, v from v_lowrank where property = 0 and matrix = 'A') a
-left join (select prefix, r, c, v from v_lowrank where property = 1 and matrix = 'B') b
-  on a.prefix = b.prefix and a.r = b.r and a.c = b.c""", "v_lowrank"))
+select d.property, b.name, b.r, b.c, {r6('b.v + 0.5 * d.v')} as v
+from base b join (select *, {NAME_SQL} as name from gdelta) d on d.name = b.name and d.r = b.r and d.c = b.c""",
+                                   "v_lowrank", extra=[BASE_CTE, GAPPY_CTE, GAPPY_DELTA_CTE]))
 def q_weights_apply(spark, d):
-    lr = V.v_lowrank(spark, d)
-    base = lr.filter((F.col("property") == 0) & (F.col("matrix") == "A")).select("prefix", "r", "c", "v")
-    delta = lr.filter((F.col("property") == 1) & (F.col("matrix") == "B")).select("prefix", "r", "c", "v")
-    new, _unmatched = VX.weights_apply(base, delta, ["prefix", "r", "c"], 0.5)
-    return new
+    """J10 over all properties and layers."""
+    return _applied(spark, d)[0].select("property", "name", "r", "c", "v")
 
 
-@query("weights_apply_unmatched", with_views("""
-select d.prefix, d.r, d.c from (select prefix, r, c from v_lowrank where property = 1 and matrix = 'A') d
-where not exists (select 1 from v_lowrank b where b.property = 0 and b.matrix = 'B'
-                  and b.prefix = d.prefix and b.r = d.r and b.c = d.c)""", "v_lowrank"))
+@query("weights_apply_unmatched", with_views(f"""
+select property, name, status from (
+  select property, {NAME_SQL} as name, case when max(case when matrix = 'A' then 1 else 0 end) = 0 then 'missing_A'
+         when max(case when matrix = 'B' then 1 else 0 end) = 0 then 'missing_B'
+         when {NAME_SQL} not in (select name from base) then 'unmatched' else 'ok' end as status
+  from gappy group by property, prefix) q where status <> 'ok'""", "v_lowrank", extra=[BASE_CTE, GAPPY_CTE]))
 def q_weights_apply_unmatched(spark, d):
-    """Delta entries (A of property 1) with no base entry (B of property 0)."""
-    lr = V.v_lowrank(spark, d)
-    base = lr.filter((F.col("property") == 0) & (F.col("matrix") == "B")).select("prefix", "r", "c", "v")
-    delta = lr.filter((F.col("property") == 1) & (F.col("matrix") == "A")).select("prefix", "r", "c", "v")
-    return VX.weights_apply(base, delta, ["prefix", "r", "c"], 0.5)[1]
+    """Incomplete factor pairs and complete ones without a base weight."""
+    return _applied(spark, d)[1].select("property", "name", "status")
 
 
 # --------------------------------------------------------------- V8-V13, A12
@@ -195,14 +209,16 @@ def q_alpha_grid(spark, d):
 
 
 @query("layer_profile", with_views(f"""
-select prefix as layer, count(*) as n_properties, {r6('avg(n)')} as mean_norm, {r6('max(n)')} as max_norm
-from (select property, prefix, sqrt(sum(v * v)) as n from delta group by property, prefix) q group by prefix""",
-    "v_lowrank", extra=[DELTA_CTE]))
+select n.layer, n.n_properties, {r6('n.mean_norm')} as mean_norm, {r6('n.max_norm')} as max_norm, {r6('c.mean_cosine')} as mean_cosine
+from (select prefix as layer, count(*) as n_properties, avg(n) as mean_norm, max(n) as max_norm from norms group by prefix) n
+left join (select x.prefix as layer, avg(x.dot / (greatest(p.n, 1e-8) * greatest(q.n, 1e-8))) as mean_cosine
+           from (select a.prefix, a.property as p1, b.property as p2, sum(a.v * b.v) as dot from delta a join delta b
+                 on a.prefix = b.prefix and a.r = b.r and a.c = b.c and a.property < b.property group by 1, 2, 3) x
+           join norms p on p.prefix = x.prefix and p.property = x.p1 join norms q on q.prefix = x.prefix and q.property = x.p2
+           group by x.prefix) c on c.layer = n.layer""",
+    "v_lowrank", extra=[DELTA_CTE, ("norms", "select property, prefix, sqrt(sum(v * v)) as n from delta group by property, prefix")]))
 def q_layer_profile(spark, d):
-    nrm = VX.delta_norm_factored(V.v_lowrank(spark, d))
-    return nrm.groupBy(F.col("prefix").alias("layer")).agg(
-        F.count(F.lit(1)).alias("n_properties"), F.avg("frob_norm").alias("mean_norm"),
-        F.max("frob_norm").alias("max_norm"))
+    return VX.layer_profile(V.v_lowrank(spark, d))
 
 
 @query("train_fraction_subset", with_views("""
@@ -218,8 +234,14 @@ def q_train_fraction_subset(spark, d):
     return sub.groupBy("fraction", "dms_id").agg(F.count(F.lit(1)).alias("n_items"))
 
 
+# the category that each model stands for, for the diagonal of the matrix
+OWN_CATEGORY = {"quantity": "ECONOMY", "discount": "LARGE", "tax": "MEDIUM"}
+OWN_SQL = "case model " + " ".join(f"when '{m}' then '{c}'" for m, c in OWN_CATEGORY.items()) + " end"
+
+
 def _acceptance_sql() -> str:
-    sp = _spearman_sql("v_model_pred", "model, dms_id, category", "y", "pred")
+    from gradus.plans.q_score import ALL_PRED_CTES
+    sp = _spearman_sql("allp", "model, dms_id, category", "y", "pred")
     return _nest(f"""
 with cosd as ({TAU_DOTS}),
 nrm as (select p1 as p, sqrt(dot) as n from cosd where p1 = p2),
@@ -227,31 +249,41 @@ offd as (select max(d.dot / (greatest(a.n, 1e-8) * greatest(b.n, 1e-8))) as mx
          from cosd d join nrm a on a.p = d.p1 join nrm b on b.p = d.p2 where d.p1 <> d.p2),
 cells as (select model, category, avg(spearman) as m from ({sp}) s group by model, category),
 models as (select model, avg(m) as m from cells group by model),
-gain as (select max(case when model <> '{BASELINE_MODEL}' then m end) - max(case when model = '{BASELINE_MODEL}' then m end) as g
-         from models)
+gain as (select max(case when model <> 'zero_shot' then m end) - max(case when model = 'zero_shot' then m end) as g
+         from models),
+diag as (select min(lead) as d from (select model, max(case when category = {OWN_SQL} then m end) - max(case when category <> {OWN_SQL} then m end) as lead
+                                     from cells where model <> 'zero_shot' group by model) z)
 select 'nonzero_vectors' as check_name, {r6('(select min(n) from nrm)')} as value, (select min(n) from nrm) > 0 as ok
 union all select 'max_offdiag_cosine', {r6('(select mx from offd)')}, (select mx from offd) < 0.9
-union all select 'best_gain_over_baseline', {r6('(select g from gain)')}, (select g from gain) >= 0.05""",
-                 "v_tau", "v_model_pred")
+union all select 'best_gain_over_zero_shot', {r6('(select g from gain)')}, (select g from gain) >= 0.05
+union all select 'diagonal_dominance', {r6('(select d from diag)')}, (select d from diag) > 0""",
+                 "v_tau", "v_model_pred", extra=ALL_PRED_CTES)
 
 
 @query("acceptance_checks", _acceptance_sql())
 def q_acceptance(spark, d):
+    """Vectors aren't zero, no two properties' vectors are alike, the best model gains on the
+    zero-shot row, and every model is best on its own category."""
+    from gradus.plans.q_score import all_predictions
     tau = V.v_tau(spark, d)
     norms = VX.vector_summary(tau)
     cos = VX.cosine_matrix(tau)
-    sp = R.spearman_by_group(V.v_model_pred(spark, d), ["model", "dms_id", "category"], "y", "pred")
+    sp = R.spearman_by_group(all_predictions(spark, d), ["model", "dms_id", "category"], "y", "pred")
     cells = sp.groupBy("model", "category").agg(F.avg("spearman").alias("m"))
     models = cells.groupBy("model").agg(F.avg("m").alias("m"))
     c1 = norms.agg(F.lit("nonzero_vectors").alias("check_name"), F.min("l2_norm").alias("value"))
     c2 = cos.filter(F.col("p1") != F.col("p2")).agg(F.lit("max_offdiag_cosine").alias("check_name"),
                                                    F.max("cosine").alias("value"))
-    c3 = models.agg(F.lit("best_gain_over_baseline").alias("check_name"),
-                    (F.max(F.when(F.col("model") != BASELINE_MODEL, F.col("m"))) -
-                     F.max(F.when(F.col("model") == BASELINE_MODEL, F.col("m")))).alias("value"))
-    out = c1.unionByName(c2).unionByName(c3)
+    zero = F.col("model") == "zero_shot"
+    c3 = models.agg(F.lit("best_gain_over_zero_shot").alias("check_name"),
+                    (F.max(F.when(~zero, F.col("m"))) - F.max(F.when(zero, F.col("m")))).alias("value"))
+    own = F.create_map(*[F.lit(x) for kv in OWN_CATEGORY.items() for x in kv])[F.col("model")]
+    lead = cells.filter(~zero).groupBy("model").agg(
+        (F.max(F.when(F.col("category") == own, F.col("m"))) - F.max(F.when(F.col("category") != own, F.col("m")))).alias("_lead"))
+    c4 = lead.agg(F.lit("diagonal_dominance").alias("check_name"), F.min("_lead").alias("value"))
+    out = c1.unionByName(c2).unionByName(c3).unionByName(c4)
     ok = F.when(F.col("check_name") == "nonzero_vectors", F.col("value") > 0) \
         .when(F.col("check_name") == "max_offdiag_cosine", F.col("value") < 0.9) \
+        .when(F.col("check_name") == "diagonal_dominance", F.col("value") > 0) \
         .otherwise(F.col("value") >= 0.05)
     return out.select("check_name", "value", ok.alias("ok"))
-

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gradus.functions.ranking import row_positions
+from gradus.operators.score import AMINO
 from gradus.sources.tables import table
 
 # Fixed values of the harness binding (FIXTURES.md):
-# amino-acid alphabet used to synthesise mutation tokens
-AMINO = "ACDEFGHIKLMNPQRSTVWY"
 # row key of lineitem used for every tie-break
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
             "l_quantity", "l_shipdate"]
@@ -117,14 +117,14 @@ def v_trainlog(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v_steplog(spark: SparkSession, d: str) -> DataFrame:
+    """Steps numbered inside each (property, day) by time: exact positions from value ranges, so a
+    day of any length is numbered by many tasks."""
     ev = table(spark, d, "events")
-    day = F.to_date(F.date_trunc("day", "ts"))
-    w = Window.partitionBy("event_type", "epoch").orderBy("ts", "event_id")
-    return (ev.select("event_type", day.alias("epoch"), "ts", "event_id", "value")
-            .select(F.col("event_type").alias("property"), "epoch",
-                    F.row_number().over(w).cast("int").alias("step"),
-                    F.col("value").alias("loss"),
-                    F.concat(F.lit("step_"), F.col("event_id").cast("string")).alias("name")))
+    x = ev.select(F.col("event_type").alias("property"), F.to_date(F.date_trunc("day", "ts")).alias("epoch"),
+                  F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"), "event_id", F.col("value").alias("loss"))
+    x = row_positions(x, ["property", "epoch"], "_us", ["event_id"], "step")
+    return x.select("property", "epoch", F.col("step").cast("int").alias("step"), "loss",
+                    F.concat(F.lit("step_"), F.col("event_id").cast("string")).alias("name"))
 
 
 def v_seq(spark: SparkSession, d: str) -> DataFrame:

@@ -61,7 +61,8 @@ def test_retention(spark):
 
 
 def test_lr_schedule(spark):
-    rows = LG.lr_schedule(spark, 100, 0.1).orderBy("step").collect()
+    log = spark.range(100).selectExpr("'p' as property", "id as step")
+    rows = LG.lr_schedule(log, "property", "step", 0.1).orderBy("step").collect()
     assert rows[0].lr_mult == 0.0 and rows[5].lr_mult == 0.5 and rows[10].lr_mult == 1.0
     assert rows[55].lr_mult == pytest.approx(0.5 * (1 + math.cos(math.pi * 45 / 90)))
 
@@ -152,27 +153,48 @@ def test_ranking_list_plan_invariants(spark):
         assert len(items) == len(set(items))
 
 
-def test_listmle_plans_agree(spark):
-    from gradus.plans import views as V
-    from gradus.plans.q_loss import LIST_KEY
-    v = V.v_list(spark, "/root/testdata/sf0.01")
-    a = {r.list_id: r.loss for r in L.listmle_loss(v, "list_id", "y_true", "y_pred", LIST_KEY, "valid", hot=False).collect()}
-    b = {r.list_id: r.loss for r in L.listmle_loss(v, "list_id", "y_true", "y_pred", LIST_KEY, "valid", hot=True).collect()}
-    assert a.keys() == b.keys()
-    assert all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
-    # tiny blocks exercise the cross-block offsets
-    sm = spark.createDataFrame([(1, i, float(i % 7), float(i) / 10, 1) for i in range(50)],
-                               "list_id int, i int, y_true double, y_pred double, valid int")
-    w = {r.i: r.suffix for r in L.suffix_logsumexp(sm, "list_id", "y_true", "y_pred", ["i"], "valid", hot=False).collect()}
-    h = {r.i: r.suffix for r in L.suffix_logsumexp(sm, "list_id", "y_true", "y_pred", ["i"], "valid", hot=True, block=4).collect()}
-    assert all(w[k] == pytest.approx(h[k]) for k in w)
-
-
-def test_pairwise_refuses_unbounded_lists(spark):
-    df = spark.createDataFrame([(1, i, float(i), 0.0) for i in range(20)], "list_id int, i int, y_true double, y_pred double")
-    with pytest.raises(ValueError):
-        L.pairwise_hinge_loss(df, "list_id", "y_true", "y_pred", ["i"], max_list_size=10)
-    assert L.pairwise_hinge_loss(df, "list_id", "y_true", "y_pred", ["i"]).first().n_pairs == 190
+def test_suffix_sums_across_blocks(spark):
+    rows = [(1, i, None if i == 17 else float(i % 7), float(i) / 10, int(i % 5 > 0)) for i in range(50)] + [(None, 1, 1.0, 2.0, 1), (None, 2, 2.0, 1.0, 1)]
+    sm = spark.createDataFrame(rows, "list_id int, i int, y_true double, y_pred double, valid int")
+    want = {}
+    for g in (1, None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is None, -(r[2] or 0), r[1]))
+        mx = max(r[3] for r in own)
+        for k, r in enumerate(own):
+            want[g, r[1]] = sum(math.exp(x[3] - mx) * x[4] for x in own[k:])
+    for block in (4, 4096):
+        got = {(r.list_id, r.i): r.suffix for r in L.suffix_logsumexp(sm, "list_id", "y_true", "y_pred", ["i"], "valid", block=block).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize("whole", [65536, 3])
+def test_hinge_equals_pairs(spark, monkeypatch, whole):
+    from gradus.functions import ranking
+    monkeypatch.setattr(ranking, "WHOLE", whole)
+    rng = np.random.default_rng(4)
+    rows = [(g, i, float(rng.integers(0, 6)), float(rng.integers(0, 30)) / 10) for g, n in ((1, 40), (2, 1), (3, 2), (None, 9)) for i in range(n)]
+    rows += [(4, i, 1.0, float(i)) for i in range(5)] + [(5, 0, None, 1.0), (5, 1, 2.0, None), (5, 2, 1.0, 0.5), (5, 3, 3.0, 0.0)]
+    df = spark.createDataFrame(rows, "list_id int, i int, y_true double, y_pred double")
+    for margin in (1.0, 0.35):
+        got = {r.list_id: (r.n_pairs, r.loss) for r in L.pairwise_hinge_loss(df, "list_id", "y_true", "y_pred", ["i"], margin).collect()}
+        for g in {r[0] for r in rows}:
+            own = [r for r in rows if r[0] == g and r[2] is not None and r[3] is not None]
+            pairs = [max(0.0, margin - (a[3] - b[3])) for a in own for b in own if a[2] > b[2]]
+            assert got[g][0] == len(pairs) and got[g][1] == pytest.approx(np.mean(pairs) if pairs else 0.0, abs=1e-9)
+
+
+def test_hinge_of_a_long_list(spark):
+    """More items than pairs could be formed of in a test."""
+    n = 20_000
+    df = spark.range(n).selectExpr("1 as list_id", "id as i", "cast(id as double) as y_true", "cast(id % 3 as double) as y_pred")
+    got = L.pairwise_hinge_loss(df, "list_id", "y_true", "y_pred").first()
+    ps = np.arange(n) % 3
+    want = 0.0
+    seen = np.zeros(3)
+    for p in ps:
+        want += sum(seen[q] * max(0.0, 1.0 - (p - q)) for q in range(3))
+        seen[p] += 1
+    assert got.n_pairs == n * (n - 1) // 2 and got.loss == pytest.approx(want / got.n_pairs)
 
 
 def test_lora_name_parsing(spark):

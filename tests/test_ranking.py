@@ -74,9 +74,8 @@ def lit_df(spark):
     return spark.createDataFrame(rows, "g string, i int, y double, p double, lab int")
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_spearman_edge_cases(lit_df, hot):
-    got = {r.g: r.spearman for r in R.spearman_by_group(lit_df, "g", "y", "p", hot=hot).collect()}
+def test_spearman_edge_cases(lit_df):
+    got = {r.g: r.spearman for r in R.spearman_by_group(lit_df, "g", "y", "p").collect()}
     for g, (ys, ps) in GROUPS.items():
         ref = spearman_ref(ys, ps)
         if ref is None:
@@ -85,9 +84,8 @@ def test_spearman_edge_cases(lit_df, hot):
             assert got[g] == pytest.approx(ref, abs=1e-12), g
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_ndcg_against_reference(lit_df, hot):
-    got = {r.g: (r.ndcg, r.ndcg_10) for r in R.ndcg_by_group(lit_df, "g", "y", "p", 0.5, hot=hot).collect()}
+def test_ndcg_against_reference(lit_df):
+    got = {r.g: (r.ndcg, r.ndcg_10) for r in R.ndcg_by_group(lit_df, "g", "y", "p", 0.5).collect()}
     for g, (ys, ps) in GROUPS.items():
         k = max(1, int(len(ys) * 0.5))
         for v, ref in zip(got[g], (ndcg_ref(ys, ps), ndcg_ref(ys, ps, k))):
@@ -97,9 +95,8 @@ def test_ndcg_against_reference(lit_df, hot):
                 assert v == pytest.approx(ref, abs=1e-12), g
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_auc_mann_whitney(lit_df, hot):
-    got = {r.g: r.auc for r in R.auc_by_group(lit_df, "g", "lab", "p", hot=hot).collect()}
+def test_auc_mann_whitney(lit_df):
+    got = {r.g: r.auc for r in R.auc_by_group(lit_df, "g", "lab", "p").collect()}
     for g, (ys, ps) in GROUPS.items():
         lab = np.array([int(y > 1) for y in ys])
         if lab.min() == lab.max():
@@ -115,23 +112,40 @@ def test_topk_recall_bounds_and_ties(lit_df):
         assert 0.0 <= r.top_10_recall <= 1.0
 
 
-def test_rank_plans_agree_on_data(spark):
+def test_ranges_do_not_change_ranks(spark):
     from gradus.plans import views as V
     d = V.v_pred(spark, "/root/testdata/sf0.001")
     vc = value_counts(d, "dms_id", "pred")
-    a = {(r.dms_id, r.pred): (r.before, r.n) for r in rank_values(vc, "dms_id", "pred", hot=False).collect()}
-    # bucketed plan with every group treated as hot and tiny buckets
-    b = {(r.dms_id, r.pred): (r.before, r.n)
-         for r in rank_values(vc, "dms_id", "pred", hot=True, threshold=0, buckets=7).collect()}
-    assert a == b
-
-
-def test_avg_rank_methods_agree(lit_df):
-    w = {(r.g, r.i): r.rank for r in R.avg_rank(lit_df, "g", "y", method="window").collect()}
-    c = {(r.g, r.i): r.rank for r in R.avg_rank(lit_df, "g", "y", method="counts", hot=True).collect()}
-    assert w == c
-    assert w[("const", 99)] is None
-    assert w[("ties", 1)] == 2.5
+    whole, cut = ({(r.dms_id, r.pred): (r.before, r.n) for r in rank_values(vc, "dms_id", "pred", whole=w).collect()} for w in (65536, 2))
+    assert whole == cut
+    by = {}
+    for (g, v), _ in sorted(whole.items()):
+        by.setdefault(g, []).append(v)
+    counts = {(r.dms_id, r.pred): r.cnt for r in vc.collect()}
+    for g, vs in by.items():
+        at = 0
+        for v in vs:
+            assert whole[g, v][0] == at
+            at += counts[g, v]
+
+
+def test_order_of_nan_and_null(spark):
+    """NaN is the largest number, NULL is last in both directions, a NULL group is a group."""
+    nan = float("nan")
+    rows = [(g, v, c) for g in (1, None) for v, c in ((1.0, 2), (nan, 3), (None, 5), (-2.0, 1))]
+    vc = spark.createDataFrame(rows, "g int, v double, cnt long")
+    for w in (65536, 1):
+        up = {(r.g, str(r.v)): r.before for r in rank_values(vc, "g", "v", whole=w).collect()}
+        down = {(r.g, str(r.v)): r.before for r in rank_values(vc, "g", "v", descending=True, whole=w).collect()}
+        for g in (1, None):
+            assert [up[g, k] for k in ("-2.0", "1.0", "nan", "None")] == [0, 1, 3, 6]
+            assert [down[g, k] for k in ("nan", "1.0", "-2.0", "None")] == [0, 3, 5, 6]
+
+
+def test_avg_rank_nulls_and_ties(lit_df):
+    c = {(r.g, r.i): r.rank for r in R.avg_rank(lit_df, "g", "y").collect()}
+    assert c[("const", 99)] is None
+    assert c[("ties", 1)] == 2.5
 
 
 def test_normalize_scores(spark):
@@ -181,53 +195,59 @@ def test_cross_property_matrix_shape(spark):
     assert {r.model for r in m.collect()} == {"quantity", "discount", "tax"}
 
 
-def test_topk_recall_plans_agree(spark, lit_df):
-    from gradus.plans import views as V
-    from gradus.plans.q_rank import KEY
-    for df, g, y, p, key in [(lit_df, "g", "y", "p", ["i"]),
-                             (V.v_pred(spark, "/root/testdata/sf0.01"), "dms_id", "dms_score", "pred", KEY)]:
-        a = {r[0]: r.top_10_recall for r in R.topk_recall(df, g, y, p, key, 0.1, hot=False).collect()}
-        b = {r[0]: r.top_10_recall for r in R.topk_recall(df, g, y, p, key, 0.1, hot=True).collect()}
-        assert a == b
+def _windows(rows, k_fraction=0.1):
+    """Top-k recall by sorting, of rows (group, y, p, key)."""
+    out = {}
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        k = max(1, int(len(own) * k_fraction))
+        a, b = ({x[3] for x in sorted(own, key=lambda r: (-r[c], r[3]))[:k]} for c in (1, 2))
+        out[g] = len(a & b) / k
+    return out
+
 
+@pytest.mark.parametrize("whole", [65536, 4])
+def test_topk_recall_equals_sorting(spark, monkeypatch, whole):
+    from gradus.functions import ranking
+    monkeypatch.setattr(ranking, "WHOLE", whole)
+    rng = np.random.default_rng(2)
+    rows = [(g, float(rng.integers(0, 4)), float(rng.integers(0, 5)), i) for g, n in ((1, 90), (2, 7), (None, 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g int, y double, p double, i int")
+    for f in (0.1, 0.5):
+        assert {r.g: r.top_10_recall for r in R.topk_recall(df, "g", "y", "p", ["i"], f).collect()} == pytest.approx(_windows(rows, f))
 
-def test_assay_metrics_window_plan_matches_operators(spark):
+
+def test_assay_metrics_equal_the_operators(spark):
     from gradus.plans import views as V
     from gradus.plans.q_rank import KEY
     d = V.v_pred(spark, "/root/testdata/sf0.01")
     fast = {r.dms_id: r for r in R.assay_metrics(d, "dms_id", "dms_score", "pred", "dms_score_bin", KEY).collect()}
-    sp = {r.dms_id: r for r in R.spearman_by_group(d, "dms_id", "dms_score", "pred", hot=True).collect()}
-    nd = {r.dms_id: r for r in R.ndcg_by_group(d, "dms_id", "dms_score", "pred", 0.1, hot=True).collect()}
-    tk = {r.dms_id: r for r in R.topk_recall(d, "dms_id", "dms_score", "pred", KEY, 0.1, hot=True).collect()}
-    au = {r.dms_id: r for r in R.auc_by_group(d, "dms_id", "dms_score_bin", "pred", hot=True).collect()}
+    sp = {r.dms_id: r for r in R.spearman_pvalue(R.spearman_by_group(d, "dms_id", "dms_score", "pred")).collect()}
+    nd = {r.dms_id: r for r in R.ndcg_by_group(d, "dms_id", "dms_score", "pred", 0.1).collect()}
+    tk = {r.dms_id: r for r in R.topk_recall(d, "dms_id", "dms_score", "pred", KEY, 0.1).collect()}
+    au = {r.dms_id: r for r in R.auc_by_group(d, "dms_id", "dms_score_bin", "pred").collect()}
     assert set(fast) == set(sp)
     for k, r in fast.items():
-        assert r.n_variants == sp[k].n_variants
+        assert r.n_variants == sp[k].n_variants and r.spearman_pval == pytest.approx(sp[k].spearman_pval, abs=1e-9)
         assert r.spearman == pytest.approx(sp[k].spearman, abs=1e-12)
         assert r.ndcg == pytest.approx(nd[k].ndcg, abs=1e-12) and r.ndcg_10 == pytest.approx(nd[k].ndcg_10, abs=1e-12)
         assert r.top_10_recall == tk[k].top_10_recall and r.auc == pytest.approx(au[k].auc, abs=1e-12)
 
 
-def test_forced_bucketing_end_to_end(spark):
-    """With a tiny hot-group threshold every group is ranked through quantile buckets;
-    results must equal the bounded-group plan."""
+def test_ranges_do_not_change_metrics(spark, monkeypatch):
+    """A third of the rows in one group, and every group cut into many ranges."""
+    from gradus.functions import ranking
     from gradus.plans import views as V
     from gradus.plans.q_rank import KEY
-    d = V.v_pred(spark, "/root/testdata/sf0.001")
-    base = {r.dms_id: tuple(r)[1:] for r in R.assay_metrics(d, "dms_id", "dms_score", "pred", "dms_score_bin", KEY).collect()}
-    spark.conf.set("gradus.hotGroupThreshold", "5")
-    try:
-        hot = {r.dms_id: tuple(r)[1:] for r in R.assay_metrics(d, "dms_id", "dms_score", "pred", "dms_score_bin", KEY).collect()}
-        nr = {(r.dms_id, r.l_orderkey, r.l_linenumber, r.l_partkey, r.pred): r.rank for r in R.avg_rank(d, "dms_id", "pred").collect()}
-    finally:
-        spark.conf.unset("gradus.hotGroupThreshold")
-    nw = {(r.dms_id, r.l_orderkey, r.l_linenumber, r.l_partkey, r.pred): r.rank
-          for r in R.avg_rank(d, "dms_id", "pred", method="window").collect()}
-    assert base.keys() == hot.keys()
-    for k in base:
-        for a, b in zip(base[k], hot[k]):
-            assert (a is None and b is None) or a == pytest.approx(b, abs=1e-9)
-    assert nr.keys() == nw.keys() and all(nr[k] == nw[k] for k in nr)
+    d = V.v_pred(spark, "/root/testdata/sf0.001") \
+        .withColumn("grp", F.when(F.col("dms_id") % 3 == 0, F.lit(-1)).otherwise(F.when(F.col("dms_id") % 3 == 1, F.col("dms_id"))))
+    got = []
+    for whole in (65536, 5):
+        monkeypatch.setattr(ranking, "WHOLE", whole)
+        got.append({r[0]: tuple(r)[1:] for r in R.assay_metrics(d, "grp", "dms_score", "pred", "dms_score_bin", KEY).collect()})
+    assert got[0].keys() == got[1].keys() and {-1, None} <= got[0].keys()
+    for k in got[0]:
+        assert all((a is None and b is None) or a == pytest.approx(b, abs=1e-9) for a, b in zip(got[0][k], got[1][k]))
 
 
 def test_metrics_independent_of_shuffle_partitions(spark):
@@ -244,21 +264,3 @@ def test_metrics_independent_of_shuffle_partitions(spark):
     assert len(out[0]) == len(out[1])
     for a, b in zip(*out):
         assert all((x is None and y is None) or x == pytest.approx(y, abs=1e-12) for x, y in zip(a, b))
-
-
-def test_skewed_group_plans_agree(spark):
-    """A third of the rows in one group (derived from the given table): the bucketed
-    hot-group plan and the window plan give the same metrics."""
-    from gradus.plans import views as V
-    d = V.v_pred(spark, "/root/testdata/sf0.01") \
-        .withColumn("grp", F.when(F.col("dms_id") % 3 == 0, F.lit(-1)).otherwise(F.col("dms_id")))
-    e = {r[0]: tuple(r)[1:] for r in R.assay_metrics(d, "grp", "dms_score", "pred", "dms_score_bin", V.LINE_KEY).collect()}
-    spark.conf.set("gradus.hotGroupThreshold", "5000")
-    try:
-        c = {r[0]: tuple(r)[1:] for r in R.assay_metrics(d, "grp", "dms_score", "pred", "dms_score_bin",
-                                                          V.LINE_KEY).collect()}
-    finally:
-        spark.conf.unset("gradus.hotGroupThreshold")
-    assert c.keys() == e.keys() and -1 in c
-    for k in e:
-        assert all((x is None and y is None) or x == pytest.approx(y, abs=1e-9) for x, y in zip(c[k], e[k]))
