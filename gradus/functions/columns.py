@@ -24,9 +24,8 @@ def md5_order(*parts) -> "F.Column":
     return F.md5(F.concat(*[p if not isinstance(p, (str, int)) else F.lit(str(p)) for p in parts]))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster's parallelism when the input arrives in
-    fewer partitions (e.g. one large file with one row group) and the next step is
-    CPU-heavy per row. Inputs already split wider are left alone (no shuffle)."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Deal the rows round-robin over ``partitions`` before a step that is CPU-heavy per row
+    (one file with one row group arrives in one partition); None leaves the input's own splits,
+    the choice for tables of many files."""
+    return df if partitions is None else df.repartition(partitions)

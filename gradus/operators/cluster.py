@@ -1,8 +1,9 @@
 """Similarity clustering of sequences / texts (C1-C3, J8) as Spark jobs.
 
-C1  shingle sets (one row per text) -> min-hash signatures -> LSH band buckets. A bucket never emits
-    all pairs of its members: every member is linked to the bucket's smallest
-    id (a star), so the edge count is linear in the members.
+C1  shingle sets (one row per text) -> every pair that can reach the thresholds, by prefix
+    filtering: shingles are ordered by how many sets hold them, rarest first, and a set whose
+    coverage must be ``c`` shares a member of its first ``n - ceil(c n) + 1`` shingles with any
+    partner. Equal sets enter once, their copies are linked to the smallest id (a star).
 C2  every candidate edge is verified exactly on the shingle sets
     (identity = shared / smaller set, coverage on both / query / target side).
 C3  connected components of the verified edges by min-label propagation with
@@ -16,9 +17,9 @@ hashing can be reproduced in SQL for the oracle.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gradus.functions.columns import spread
 from gradus.session import ensure_checkpoint_dir
@@ -28,60 +29,22 @@ from gradus.session import ensure_checkpoint_dir
 IDENTITY = 0.3
 COVERAGE = 0.8
 SHINGLE_WORDS = 5
-BANDS = 8
-ROWS_PER_BAND = 2
-MOD48 = 1 << 48
-
-
-def hash_params(n: int) -> list[tuple[int, int]]:
-    """(multiplier, offset) pairs of the affine min-hash family, from a rule:
-    odd multipliers below 2^14 (so a*h stays below 2^63 for 48-bit h)."""
-    return [(2 * ((j * 7919 + 101) % 8191) + 1, (j * 104729 * 1000003 + 12345) % MOD48) for j in range(n)]
+MODES = ("both", "query", "target")
 
 
 def _h48(s: F.Column) -> F.Column:
     return F.conv(F.substring(F.md5(s), 1, 12), 16, 10).cast("long")
 
 
-def _shingle_hash_udf(k: int):
-    import re
-    from hashlib import md5
-
-    ws = re.compile(r"[ \t\n\x0b\f\r]+")  # the whitespace class of Java's \s (Spark's split)
-
-    @F.pandas_udf("array<bigint>")
-    def hashes(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            if t is None:
-                out.append([])
-                continue
-            w = [x for x in ws.split(t) if x]
-            if len(w) < k:
-                sh = [" ".join(w)] if w else []
-            else:
-                sh = [" ".join(w[i:i + k]) for i in range(len(w) - k + 1)]
-            out.append(sorted({int(md5(x.encode("utf-8")).hexdigest()[:12], 16) for x in sh}))
-        return pd.Series(out)
-
-    return hashes
-
-
-def shingle_sets(df: DataFrame, id_col: str, text: str, k: int = SHINGLE_WORDS, method: str = "expr") -> DataFrame:
+def shingle_sets(df: DataFrame, id_col: str, text: str, k: int = SHINGLE_WORDS,
+                 partitions: int | None = None) -> DataFrame:
     """(id, hs ARRAY<BIGINT>): the distinct k-word shingles of the whole text (split on
     whitespace; a text shorter than k words is one shingle), hashed to the first 48
     bits of md5. One row per document: duplicates are removed inside the row
-    (``array_distinct``), so building the sets needs no shuffle at all.
-
-    ``expr`` (default) stays on the JVM: the word array is bound once as the variable
-    of an outer lambda, so the split is not re-evaluated per shingle. ``arrow`` hashes
-    the same shingles in Arrow batches with a small Python helper (measured within
-    ~20% of ``expr`` once the rows are spread over the cores). Both give identical sets."""
-    df = spread(df.select(id_col, text))
-    if method == "arrow":
-        return df.select(F.col(id_col).alias("id"), _shingle_hash_udf(k)(F.col(text)).alias("hs"))
-    if method != "expr":
-        raise ValueError(f"unknown shingle method: {method}")
+    (``array_distinct``), so building the sets needs no shuffle at all. The word array is
+    bound once as the variable of an outer lambda, so the split is not re-evaluated per
+    shingle."""
+    df = spread(df.select(id_col, text), partitions)
     words = F.filter(F.split(F.col(text), r"\s+"), lambda x: x != "")
 
     def shingles(w: F.Column) -> F.Column:
@@ -97,13 +60,13 @@ def shingle_sets(df: DataFrame, id_col: str, text: str, k: int = SHINGLE_WORDS,
 
 
 def word_shingles(df: DataFrame, id_col: str, text: str, k: int = SHINGLE_WORDS,
-                  distinct: bool = True) -> DataFrame:
+                  distinct: bool = True, partitions: int | None = None) -> DataFrame:
     """(id, h): one row per shingle of each text. ``distinct`` explodes the per-text
     sets; otherwise every occurrence is generated and hashed by code-generated
     expressions (cheaper when a later join shrinks the rows before any dedup)."""
     if distinct:
-        return shingle_sets(df, id_col, text, k).select("id", F.explode("hs").alias("h"))
-    w = spread(df.select(id_col, text)).select(F.col(id_col).alias("id"), F.filter(F.split(F.col(text), r"\s+"), lambda x: x != "").alias("_w"))
+        return shingle_sets(df, id_col, text, k, partitions).select("id", F.explode("hs").alias("h"))
+    w = spread(df.select(id_col, text), partitions).select(F.col(id_col).alias("id"), F.filter(F.split(F.col(text), r"\s+"), lambda x: x != "").alias("_w"))
     n = F.size("_w")
     sh = F.when(n < k, F.when(n > 0, F.array(F.array_join("_w", " "))).otherwise(F.array().cast("array<string>"))) \
         .otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))),
@@ -118,37 +81,41 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def char_shingles(df: DataFrame, id_col: str, seq: str, k: int = 3) -> DataFrame:
-    """(id, h) of character k-grams (for protein-like sequences)."""
-    n = F.length(F.col(seq))
-    sh = F.when(n < k, F.when(n > 0, F.array(F.col(seq))).otherwise(F.array().cast("array<string>"))) \
-          .otherwise(F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(seq), i, k)))
-    x = df.select(F.col(id_col).alias("id"), F.explode(sh).alias("s"))
-    return x.select("id", _h48(F.col("s")).alias("h")).distinct()
-
+def _needed(n: F.Column, coverage: float) -> F.Column:
+    """Least whole number of shared shingles that covers a share of n."""
+    return F.ceil(F.lit(float(coverage)) * n - F.lit(1e-9))
 
-def minhash_signatures(sets: DataFrame, n_hashes: int) -> DataFrame:
-    """(id, mh ARRAY<BIGINT>): for each of ``n_hashes`` affine permutations, the min over
-    the shingle set of (a*h + c) mod 2^48. The set is exploded next to where it was
-    built and folded by a code-generated ``min`` aggregation; the partial aggregate
-    leaves one row per text before the shuffle. Empty sets produce no row."""
-    aggs = [F.min((F.lit(a) * F.col("_h") + F.lit(c)) % F.lit(MOD48)).alias(f"_m{j}")
-            for j, (a, c) in enumerate(hash_params(n_hashes))]
-    sig = sets.select("id", F.explode("hs").alias("_h")).groupBy("id").agg(*aggs)
-    return sig.select("id", F.array(*[F.col(f"_m{j}") for j in range(n_hashes)]).alias("mh"))
 
+def shingle_candidates(sets: DataFrame, coverage: float = COVERAGE, mode: str = "both") -> DataFrame:
+    """Candidate edges (id, rep), complete for the coverage: no pair that C2 keeps is missing.
 
-def shingle_candidates(sets: DataFrame, bands: int = BANDS, rows: int = ROWS_PER_BAND) -> DataFrame:
-    """Candidate edges (id, rep) — rep is the smallest id sharing an LSH band
-    bucket with id (stars, not all pairs); also returns the band that produced it."""
-    sig = minhash_signatures(sets, bands * rows)
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(
-        b.alias("band"), F.concat_ws(":", *[F.element_at("mh", b * rows + (r + 1)).cast("string")
-                                             for r in range(rows)]).alias("key")))
-    memb = sig.select("id", F.explode(keys).alias("bk")).select("id", "bk.band", "bk.key")
-    reps = memb.groupBy("band", "key").agg(F.min("id").alias("rep"))
-    e = memb.join(reps, ["band", "key"]).filter(F.col("id") != F.col("rep"))
-    return e.groupBy("id", "rep").agg(F.min("band").alias("band"))
+    ``both``: undirected, id > rep, shared / larger set >= coverage; both ends look at their
+    prefix and at the sizes. ``query``: id is covered by rep (shared / |id|), in either order of
+    the ids; the prefix of id meets all shingles of rep. ``target``: rep is covered by id.
+    Copies of a set give one edge each, to the smallest id of the set, in every mode. Shingles that
+    only one set holds can't be shared: they fill the front of a prefix without being joined."""
+    if mode not in MODES:
+        raise ValueError(f"unknown coverage mode: {mode}")
+    s = sets.where(F.size("hs") > 0).select("id", F.array_sort("hs").alias("hs"))
+    same = s.groupBy("hs").agg(F.min("id").alias("rep"))
+    copies = s.join(same, "hs").where("id <> rep").select("id", "rep")
+    rows = same.select(F.col("rep").alias("id"), F.size("hs").cast("long").alias("n"), F.explode("hs").alias("h"))
+    df = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    x = rows.join(df, "h")
+    own = Window.partitionBy("id")
+    x = x.withColumn("_r", F.row_number().over(own.orderBy("df", "h"))).withColumn("_m", F.count(F.lit(1)).over(own))
+    # the n - m unshared shingles are rarer than every shared one
+    pre = x.where(F.col("_r") <= F.col("_m") - _needed(F.col("n"), coverage) + 1).select("id", "n", "h")
+    if mode == "both":
+        a, b = pre, pre.select(F.col("id").alias("rep"), F.col("n").alias("n_rep"), "h")
+        fits = (F.col("n_rep") >= _needed(F.col("n"), coverage)) & (F.col("n") >= _needed(F.col("n_rep"), coverage))
+        pairs = a.join(b, "h").where((F.col("id") > F.col("rep")) & fits)
+    else:
+        every = x.select(F.col("id").alias("rep"), F.col("n").alias("n_rep"), "h")
+        pairs = pre.join(every, "h").where((F.col("id") != F.col("rep")) & (F.col("n_rep") >= _needed(F.col("n"), coverage)))
+        if mode == "target":
+            pairs = pairs.select(F.col("rep").alias("id"), F.col("id").alias("rep"))
+    return pairs.select("id", "rep").distinct().unionByName(copies)
 
 
 def identity_coverage_filter(cand: DataFrame, sets: DataFrame, identity: float = IDENTITY,
@@ -158,7 +125,7 @@ def identity_coverage_filter(cand: DataFrame, sets: DataFrame, identity: float =
     the ``query`` side (shared/|A|) or the ``target`` side (shared/|B|).
     Each edge meets the two shingle sets by two equi-joins on the ids and counts
     ``array_intersect``. Returns (id, rep, shared, n_id, n_rep, identity, coverage)."""
-    if mode not in ("both", "query", "target"):
+    if mode not in MODES:
         raise ValueError(f"unknown coverage mode: {mode}")
     a = sets.select("id", F.col("hs").alias("_ha"))
     b = sets.select(F.col("id").alias("rep"), F.col("hs").alias("_hb"))
@@ -173,7 +140,7 @@ def identity_coverage_filter(cand: DataFrame, sets: DataFrame, identity: float =
     return x.filter((F.col("identity") >= identity) & (F.col("coverage") >= coverage))
 
 
-def cluster_components(items: DataFrame, edges: DataFrame, id_col: str = "id", max_rounds: int = 100) -> DataFrame:
+def cluster_components(items: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
     """(representative, member) for every item; representative = smallest id of its
     connected component. Min-label propagation with pointer jumping; one scalar
     action per round (the number of changed labels); labels are checkpointed each
@@ -185,7 +152,7 @@ def cluster_components(items: DataFrame, edges: DataFrame, id_col: str = "id", m
     und = und.checkpoint()  # computed once; every round reads the written edge table
     labels = items.select(F.col(id_col).alias("node")).distinct().withColumn("label", F.col("node"))
     labels = labels.checkpoint()
-    for _ in range(max_rounds):
+    while True:
         nbr = und.join(labels.withColumnRenamed("node", "b").withColumnRenamed("label", "lb"), "b") \
                  .groupBy(F.col("a").alias("node")).agg(F.min("lb").alias("nl"))
         step = labels.join(nbr, "node", "left") \
@@ -196,10 +163,8 @@ def cluster_components(items: DataFrame, edges: DataFrame, id_col: str = "id", m
         jump = jump.checkpoint()
         changed = jump.filter(F.col("new") != F.col("label")).limit(1).count()
         labels = jump.select("node", F.col("new").alias("label"))
-        if changed == 0:
+        if changed == 0:  # labels only fall, so this comes
             break
-    else:
-        raise RuntimeError(f"label propagation did not converge in {max_rounds} rounds")
     return labels.select(F.col("label").alias("representative"), F.col("node").alias("member"))
 
 

@@ -1,7 +1,7 @@
 """SparkSession defaults for gradus jobs.
 
-Cluster deployments pass their own settings; the builder below only fills in
-what is unset, so a shared ``spark.checkpoint.dir`` given by the cluster is kept.
+Settings that the deployment has made (spark-defaults, spark-submit) stay: the builder only
+fills in what is unset. A shared ``spark.checkpoint.dir`` is required off local masters.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -27,11 +28,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
-    for k, v in DEFAULTS.items():
-        b = b.config(k, v)
+    given = SparkConf()  # what the deployment has set
+    fill = dict(DEFAULTS)
+    if (master or given.get("spark.master", "local")).startswith("local"):
+        fill["spark.driver.memory"] = os.environ.get("GRADUS_DRIVER_MEMORY", "16g")
+    for k, v in fill.items():
+        if not given.contains(k):
+            b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    b = b.config("spark.driver.memory", os.environ.get("GRADUS_DRIVER_MEMORY", "16g"))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -42,10 +47,12 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a local one only when unset (tests)."""
+    """Return the shared checkpoint folder; create a local one only on a local master (tests)."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="gradus-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)

@@ -47,8 +47,10 @@ def scan_reference(spark: SparkSession, path: str, schema: StructType = REFERENC
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with header via the commit protocol (S9); small results are coalesced to one file."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """CSV with header via the commit protocol (S9): as many files as the result has partitions.
+    A rebalance after the last stage folds a small result into few files; the stages above it
+    keep their own parallelism."""
+    df.hint("rebalance").write.mode("overwrite").option("header", True).csv(path)
 
 
 # ------------------------------------------------------------------ S2
@@ -74,11 +76,32 @@ def scan_variant_folders(spark: SparkSession, root: str, id_col: str = "dms_id",
         .option("basePath", root).csv(root)
 
 
+def scan_variant_buckets(spark: SparkSession, root: str, id_col: str = "dms_id",
+                         schema: StructType = VARIANT_SCHEMA) -> DataFrame:
+    """S2 for many assays a file, ``<root>/bucket=<n>/*.csv`` with the assay id as the first column."""
+    full = StructType([StructField(id_col, LongType()), *schema.fields, StructField("bucket", IntegerType())])
+    return spark.read.schema(full).option("header", True).option("basePath", root).csv(root).drop("bucket")
+
+
+# ------------------------------------------------------------------ S3
+def manifest_files(spark: SparkSession, folder: str, expected: DataFrame, file_col: str) -> DataFrame:
+    """S3 over real files: ``expected`` (with the file name in ``file_col``) against the files below
+    ``folder``. Returns every expected row and every file: ``status`` found / missing / unexpected,
+    ``path`` and ``n_bytes`` of the file. The scan lists files; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder) \
+        .select(F.element_at(F.split("path", "/"), -1).alias("_file"), "path", F.col("length").alias("n_bytes"))
+    j = expected.join(files, expected[file_col] == files["_file"], "full")
+    status = F.when(F.col("path").isNull(), F.lit("missing")).when(F.col(file_col).isNull(), F.lit("unexpected")).otherwise(F.lit("found"))
+    return j.select(*[c for c in expected.columns if c != file_col], F.coalesce(F.col(file_col), F.col("_file")).alias(file_col),
+                    status.alias("status"), "path", "n_bytes")
+
+
 # ------------------------------------------------------------------ S4
-def fasta_lines(seqs: DataFrame, id_col: str, seq: str, desc: str, width: int = 60) -> DataFrame:
+def fasta_lines(seqs: DataFrame, id_col: str, seq: str, desc: str, width: int = 60,
+                partitions: int | None = None) -> DataFrame:
     """FASTA text as rows (id, line_no, line): header ``>id description`` then the
     whole sequence wrapped at ``width`` characters (line breaks inside become spaces)."""
-    x = spread(seqs.filter(F.col(seq).isNotNull() & (F.length(seq) > 0)).select(id_col, seq, desc))
+    x = spread(seqs.filter(F.col(seq).isNotNull() & (F.length(seq) > 0)).select(id_col, seq, desc), partitions)
     head = x.select(id_col, F.lit(0).alias("line_no"),
                     F.concat(F.lit(">"), F.col(id_col).cast("string"), F.lit(" "), F.col(desc)).alias("line"))
     n = F.floor((F.length(seq) + (width - 1)) / width).cast("int")
@@ -126,8 +149,9 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) ->
 def write_scored(df: DataFrame, path: str, partition_col: str = "dms_id") -> None:
     """Per-assay score files; re-running an assay replaces only its partition
     (dynamic partition overwrite), and a failed attempt never leaves a visible
-    partial file (task commit protocol)."""
-    df.repartition(partition_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+    partial file (task commit protocol). Rows are rebalanced on the assay: small assays share a
+    task, and one that is larger than the advisory partition size is split over several."""
+    df.hint("rebalance", partition_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy(partition_col).parquet(path)
 
 
@@ -139,40 +163,51 @@ WEIGHT_ROW_SCHEMA = StructType([
 _DTYPES = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "BF16": None, "I64": "<i8", "I32": "<i4"}
 
 
-def _decode_safetensors(path: str, content: bytes, keep: str) -> Iterator[tuple]:
-    n = struct.unpack("<Q", content[:8])[0]
-    header = json.loads(content[8:8 + n].decode("utf-8"))
-    base = 8 + n
-    for name, meta in header.items():
-        if name == "__metadata__" or keep not in name:
-            continue
-        start, end = meta["data_offsets"]
-        raw = content[base + start: base + end]
-        dt = meta["dtype"]
-        if dt == "BF16":
-            u16 = np.frombuffer(raw, dtype="<u2").astype(np.uint32) << 16
-            arr = u16.view(np.float32).astype("float64")
-        else:
-            arr = np.frombuffer(raw, dtype=_DTYPES[dt]).astype("float64")
-        shape = meta["shape"] or [1]
-        mat = arr.reshape(shape[0], -1) if len(shape) > 1 else arr.reshape(1, -1)
-        for i in range(mat.shape[0]):
-            yield path, name, i, mat[i].tolist()
-
-
-def weights_ingest(spark: SparkSession, path: str, keep: str = "lora_") -> DataFrame:
+def _tensor_rows(fs, file: str, keep: str, block: int) -> Iterator[tuple[str, int, np.ndarray]]:
+    """(name, first row, rows) of a file's tensors, by ranged reads of about ``block`` bytes."""
+    with fs.open_input_file(file) as f:
+        n = struct.unpack("<Q", f.read_at(8, 0))[0]
+        header = json.loads(f.read_at(n, 8).decode("utf-8"))
+        for name, meta in header.items():
+            if name == "__metadata__" or keep not in name:
+                continue
+            kind = meta["dtype"]
+            store = np.dtype("<u2" if kind == "BF16" else _DTYPES[kind])
+            shape = meta["shape"] or [1]
+            rows, width = (shape[0], int(np.prod(shape[1:]))) if len(shape) > 1 else (1, shape[0])
+            step = max(1, block // max(1, width * store.itemsize))
+            for r in range(0, rows, step):
+                k = min(step, rows - r)
+                raw = f.read_at(k * width * store.itemsize, 8 + n + meta["data_offsets"][0] + r * width * store.itemsize)
+                a = np.frombuffer(raw, dtype=store)
+                if kind == "BF16":
+                    a = (a.astype(np.uint32) << 16).view(np.float32)
+                yield name, r, a.astype("float64").reshape(k, width)
+
+
+def weights_ingest(spark: SparkSession, path: str, keep: str = "lora_", block: int = 8 << 20) -> DataFrame:
     """Read many ``.safetensors`` files as row blocks (path, name, row, vals);
-    only tensors whose name contains ``keep``. Files are decoded inside tasks
-    (binaryFile + mapInPandas); nothing passes through the driver."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.safetensors").load(path)
+    only tensors whose name contains ``keep``. The scan lists the files (no content); tasks read
+    the header and then ranges of ``block`` bytes, so memory doesn't grow with a file, and emit
+    Arrow arrays. Nothing passes through the driver."""
+    import pyarrow as pa
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [r for p, c in zip(b["path"], b["content"]) for r in _decode_safetensors(p, bytes(c), keep)]
-            if rows:
-                yield pd.DataFrame(rows, columns=["path", "name", "row", "vals"])
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.safetensors").load(path).select("path")
+
+    def run(batches: Iterator) -> Iterator:
+        import re
 
-    return files.select("path", "content").mapInPandas(run, WEIGHT_ROW_SCHEMA)
+        import pyarrow.fs as pafs
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                fs, file = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", p))
+                for name, first, a in _tensor_rows(fs, file, keep, block):
+                    k, width = a.shape
+                    vals = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * width), pa.array(a.ravel()))
+                    yield pa.record_batch([pa.array([p] * k), pa.array([name] * k), pa.array(np.arange(first, first + k, dtype=np.int32)), vals],
+                                          names=["path", "name", "row", "vals"])
+
+    return files.mapInArrow(run, WEIGHT_ROW_SCHEMA)
 
 
 def encode_safetensors(tensors: dict[str, np.ndarray]) -> bytes:

@@ -42,20 +42,29 @@ def incremental_scoring(stream: DataFrame, static: DataFrame, on: str | list[str
 def training_monitor(stream: DataFrame, group: str, ts: str, value: str, tiebreak: str, out_path: str,
                      checkpoint: str) -> None:
     """ST2: per property the number of log rows, the latest timestamp and value, and
-    the best value so far; complete-mode state, each batch overwrites ``out_path``."""
+    the best value so far; complete-mode state. Each batch writes a folder of its own, by its id, so
+    a reader of ``latest_table`` sees the batch before until the new one is committed, and a batch
+    that runs again replaces only itself."""
     agg = stream.groupBy(F.col(group).alias("property")).agg(
         F.count(F.lit(1)).alias("n_events"), F.max(ts).alias("latest_ts"),
         F.max_by(value, F.struct(F.col(ts), F.col(tiebreak))).alias("latest_value"),
         F.max(value).alias("best_value"))
 
-    def publish(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     q = (agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
          .foreachBatch(publish).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def latest_table(spark: SparkSession, out_path: str) -> DataFrame:
+    """The rows of the newest batch folder."""
+    rows = spark.read.parquet(out_path)
+    newest = rows.agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(newest, "batch_id", "left_semi").drop("batch_id")
+
+
 def _early_stop_fn(epoch: str, metric: str, patience: int):
     import pandas as pd
 
@@ -88,8 +97,9 @@ def early_stop_monitor(stream: DataFrame, group: str, epoch: str, metric: str, p
     """ST2 (stateful form): the patience rule of W6 kept incrementally per property with
     ``applyInPandasWithState`` — best value and epoch (strict improvement), epochs run,
     and the epoch where early stopping fires (epochs after it are not counted). The
-    state is the property's epoch history, so epochs may arrive in any order. Each micro-batch appends its updated rows with the batch id; the latest
-    row per property is the current status (``latest_status``)."""
+    state is the property's epoch history, so epochs may arrive in any order. Each micro-batch writes
+    its updated rows to a folder by its id; the latest row per property is the current status
+    (``latest_status``)."""
     out_schema = ("property string, best_epoch int, best_val double, stop_epoch int, epochs_run long, "
                   "last_epoch int")
     state_schema = "epochs array<int>, vals array<double>"
@@ -97,7 +107,7 @@ def early_stop_monitor(stream: DataFrame, group: str, epoch: str, metric: str, p
         _early_stop_fn(epoch, metric, patience), out_schema, state_schema, "update", "NoTimeout")
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     q = (upd.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
          .foreachBatch(publish).trigger(availableNow=True).start())

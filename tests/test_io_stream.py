@@ -95,7 +95,7 @@ def test_training_monitor(spark):
     out, ck = tempfile.mkdtemp(prefix="gradus-mo-"), tempfile.mkdtemp(prefix="gradus-mc-")
     ST.training_monitor(spark.readStream.schema(schema).parquet(os.path.join(src, "*")),
                         "event_type", "ts", "value", "event_id", out, ck)
-    got = {r.property: r for r in spark.read.parquet(out).collect()}
+    got = {r.property: r for r in ST.latest_table(spark, out).collect()}
     assert got["p1"].n_events == 5 and got["p1"].latest_value == float((9 * 7) % 5)
     assert got["p0"].best_value == max(float((i * 7) % 5) for i in range(0, 10, 2))
 

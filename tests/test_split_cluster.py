@@ -118,8 +118,30 @@ def test_manifest_check(spark):
     assert sorted(x.id for x in U.set_missing(e, f).collect()) == [1, 3]
 
 
-def test_shingle_methods_agree(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    a = {r.id: sorted(r.hs) for r in C.shingle_sets(docs, "doc_id", "text", method="arrow").collect()}
-    b = {r.id: sorted(r.hs) for r in C.shingle_sets(docs, "doc_id", "text", method="expr").collect()}
-    assert a == b and sum(len(v) for v in a.values()) > 0
+@pytest.mark.parametrize("mode", ["both", "query", "target"])
+def test_no_qualifying_pair_is_missed(spark, mode):
+    """Against all pairs, on random overlapping sets and their copies."""
+    import random
+    rng = random.Random(11)
+    sets = {}
+    for i in range(60):
+        if i % 3 and i > 3:
+            base = set(sets[rng.randrange(i)])
+            for _ in range(rng.randint(0, 4)):
+                base.discard(rng.choice(sorted(base))) if base and rng.random() < 0.5 else base.add(rng.randrange(500))
+            sets[i] = base or {1}
+        else:
+            sets[i] = {rng.randrange(500) for _ in range(rng.randint(1, 30))}
+    df = spark.createDataFrame([(i, sorted(v)) for i, v in sets.items()] + [(999, [])], "id long, hs array<long>")
+    got = {(r.id, r.rep) for r in C.identity_coverage_filter(C.shingle_candidates(df, mode=mode), df, mode=mode).collect()}
+    least = {}
+    for i, v in sets.items():
+        least.setdefault(frozenset(v), i)
+    want = {(i, least[frozenset(v)]) for i, v in sets.items() if least[frozenset(v)] != i}
+    for i in least.values():
+        for j in least.values():
+            m, a, b = len(sets[i] & sets[j]), len(sets[i]), len(sets[j])
+            cov = {"both": m / max(a, b), "query": m / a, "target": m / b}[mode]
+            if (i > j if mode == "both" else i != j) and m / min(a, b) >= 0.3 and cov >= 0.8:
+                want.add((i, j))
+    assert got == want and len(want) > 20
