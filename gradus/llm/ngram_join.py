@@ -338,14 +338,17 @@ def near_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, d
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     order = spark.sparkContext.broadcast(Order(*frequent_words(d.select("text"), FREQUENT)))  # bounded, see there
     id_type = d.schema["doc_id"].dataType.simpleString()
-    rows = save(d.mapInArrow(_records(order, width, num, den), f"doc_id {id_type}, n long, cid binary, grp binary, prefix array<long>, sketch array<long>"), "join-rows")
+    rows = save(d.mapInArrow(_records(order, width, num, den), f"doc_id {id_type}, n long, cid binary, grp binary, prefix array<long>, sketch array<long>").withColumn("rid", F.monotonically_increasing_id()), "join-rows")
     full = rows.where("n > 0")
-    classes = save(full.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("sketch").alias("sketch"),
-                                           F.first("prefix").alias("prefix")), "join-classes")
-    groups = classes.groupBy("n", "grp").agg(F.count("*").alias("size"), F.min("cid").alias("only"), F.first("prefix").alias("prefix"))
+    classes = save(full.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("grp").alias("grp"),
+                                           F.first("sketch").alias("sketch")), "join-classes")
+    groups = classes.groupBy("n", "grp").agg(F.count("*").alias("size"), F.min("cid").alias("only"), F.min("rid").alias("rid"))
     groups = save(groups.withColumn("grp", F.xxhash64("grp", "n")), "join-groups")
+    # each group's prefix is read from its first row; rows that aren't one are few or many copies
+    others = save(full.select("rid").join(groups.select("rid"), "rid", "left_anti"), "join-others")
+    leads = full.select("rid", "n", F.xxhash64("grp", "n").alias("grp"), "prefix").join(others, "rid", "left_anti")
     member = classes.select("cid", "n", F.xxhash64("grp", "n").alias("grp"))
-    cand, hot = group_pairs(groups, num, den)
+    cand, hot = group_pairs(leads, num, den)
     size = groups.select("grp", "size", "only")
     cand = (cand.join(size.select(F.col("grp").alias("g1"), F.col("size").alias("z1"), F.col("only").alias("o1")), "g1")
             .join(size.select(F.col("grp").alias("g2"), F.col("size").alias("z2"), F.col("only").alias("o2")), "g2"))
@@ -359,7 +362,10 @@ def near_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, d
             .union(buckets.select("cid", F.lit(False))).groupBy("cid").agg(F.max("hot").alias("hot")))
     need = save(need.join(classes.select("cid", "rep", "n", "sketch"), "cid"), "join-need")
     texts = need.select("cid", "rep", "hot").hint("merge").join(d, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text", "hot")
-    sets = save(texts.mapInArrow(_sets(width, num, den), "cid binary, members array<long>, slices array<long>").dropDuplicates(["cid"]), "join-sets")
+    sets = save(texts.mapInArrow(_sets(width, num, den), "cid binary, members array<long>, slices array<long>"), "join-sets")
+    # a set comes twice only where rows repeat both its doc_id and its text
+    twice = save(full.groupBy("cid", "doc_id").agg(F.count("*").alias("k")).where("k > 1").select("cid").distinct(), "join-twice")
+    sets = sets.join(twice, "cid", "left_anti").union(sets.join(twice, "cid", "left_semi").dropDuplicates(["cid"]))
     slices = sets.select("cid", F.explode("slices").alias("bucket")).join(need.select("cid", "n"), "cid").select("bucket", "cid", "n")
     buckets = save(buckets.union(slices).distinct(), "join-buckets")
     many = buckets.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
