@@ -1,14 +1,15 @@
 """Perplexity under an interpolated modified Kneser-Ney model, with language-specific thresholds.
 
 The model's symbols are bytes (A-Z in lower case) and its order is ``ORDER``. It is trained on all
-text of trusted sources. Counts, continuation counts, context totals and probabilities are tables
+trusted text: of trusted sources, of trusted ids, or of both. Counts, continuation counts, context totals and probabilities are tables
 keyed by an n-gram packed into an integer; every level is a few aggregations and equi-joins, dealt
 by n-gram, so the model has no size limit of one machine.
 
 Texts aren't shuffled. Each file block of the documents sends its distinct n-grams (one row each,
 however often they occur) to the joins and gets back their log-probabilities, written as one file a
 block to the shared scratch folder; a second scan of the block adds them up per document. What is
-joined grows with the number of blocks, each block's part is bounded by its text.
+joined grows with the number of blocks, each block's part is bounded by its text. Trusted ids go the
+same way: they are joined to the ids of the documents alone, and each block gets the list of its own.
 
 A document is kept if its log-perplexity isn't above its language's upper fence: the third quartile
 plus ``FENCE`` times the distance of the quartiles, over all documents of the language.
@@ -17,10 +18,13 @@ plus ``FENCE`` times the distance of the quartiles, over all documents of the la
 from __future__ import annotations
 
 import io
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,24 +72,67 @@ def by_block(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
         yield int(b[s]), batch.slice(s, e - s)
 
 
-def _block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, gram, n): distinct n-grams, and how often they occur in trusted text."""
-    for batch in batches:
-        for block, part in by_block(batch):
-            data, ends = flat(part.column(1))
-            trusted = np.repeat(np.array(part.column(2).to_pylist(), dtype=bool), np.diff(ends, prepend=0))
-            all_, some, n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for s, e, g in packed(data, ends):
-                all_ = np.union1d(all_, g)
-                u, c = np.unique(g[trusted[s:e]], return_counts=True)
-                both = np.union1d(some, u)
-                m = np.zeros(len(both), np.int64)
-                m[np.searchsorted(both, some)] += n
-                m[np.searchsorted(both, u)] += c
-                some, n = both, m
-            count = np.zeros(len(all_), np.int64)
-            count[np.searchsorted(all_, some)] = n
-            yield pa.record_batch([pa.array(np.full(len(all_), block)), pa.array(all_), pa.array(count)], names=["block", "gram", "n"])
+def _block_grams(folder: str | None):
+    """``folder``: lists of trusted ids by block, see ``trusted_by_block``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(block, gram, n): distinct n-grams, and how often they occur in trusted text."""
+        have, ids = None, None
+        for batch in batches:
+            for block, part in by_block(batch):
+                data, ends = flat(part.column(1))
+                good = np.array(part.column(2).to_pylist(), dtype=bool)
+                if folder:
+                    if block != have:
+                        have, ids = block, _trusted_ids(folder, block)
+                    if ids is not None:
+                        good |= pc.is_in(part.column(3), value_set=ids, skip_nulls=True).to_numpy(zero_copy_only=False)
+                trusted = np.repeat(good, np.diff(ends, prepend=0))
+                all_, some, n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                for s, e, g in packed(data, ends):
+                    all_ = np.union1d(all_, g)
+                    u, c = np.unique(g[trusted[s:e]], return_counts=True)
+                    both = np.union1d(some, u)
+                    m = np.zeros(len(both), np.int64)
+                    m[np.searchsorted(both, some)] += n
+                    m[np.searchsorted(both, u)] += c
+                    some, n = both, m
+                count = np.zeros(len(all_), np.int64)
+                count[np.searchsorted(all_, some)] = n
+                yield pa.record_batch([pa.array(np.full(len(all_), block)), pa.array(all_), pa.array(count)], names=["block", "gram", "n"])
+
+    return run
+
+
+def _trusted_ids(folder: str, block: int) -> pa.Array | None:
+    fs, base = open_folder(folder)
+    path = f"{base}/trusted-{block}.arrow"
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:  # no trusted id in this block
+        return None
+    with fs.open_input_file(path) as f:
+        return pa.ipc.open_stream(f.read()).read_all().column(0).combine_chunks()
+
+
+def _id_writer(folder: str):
+    def write(t: pa.Table) -> pa.Table:
+        block, out = t.column("block")[0].as_py(), io.BytesIO()
+        ids = t.select(["id"]).sort_by("id")
+        with pa.ipc.new_stream(out, ids.schema) as w:
+            w.write_table(ids)
+        put(folder, f"trusted-{block}.arrow", out.getvalue())
+        return pa.table({"block": pa.array([block], pa.int64()), "ids": pa.array([len(ids)], pa.int64())})
+
+    return write
+
+
+def trusted_by_block(d: DataFrame, ids: DataFrame, doc_id: str) -> str:
+    """The folder with the trusted ids of every block, one file a block that has any. ``ids``: one column.
+    Only ids are read and joined; a block's list is bounded by its rows."""
+    folder = scratch_path(d.sparkSession, "lm-trusted")
+    kind = d.select(F.col(doc_id)).schema[0].dataType
+    good = ids.select(F.col(ids.columns[0]).cast(kind).alias("id")).where("id is not null").distinct()
+    own = d.select(F.col("_block").alias("block"), F.col(doc_id).alias("id")).distinct().join(good, "id").select("block", "id")
+    own.groupBy("block").applyInArrow(_id_writer(folder), "block long, ids long").write.parquet(f"{folder}-list")
+    return folder
 
 
 def low(col, k: int):
@@ -180,14 +227,19 @@ def with_blocks(docs: DataFrame) -> DataFrame:
         return save(docs, "lm-docs").withColumn("_block", block)
 
 
-def log_perplexities(docs: DataFrame, trusted, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and log_perplexity (natural, a byte; null for null and empty texts). ``trusted``: a boolean column."""
+def log_perplexities(docs: DataFrame, trusted, keep: list[str], text: str = "text", trusted_ids: DataFrame | None = None, doc_id: str = "doc_id") -> DataFrame:
+    """The columns ``keep`` and log_perplexity (natural, a byte; null for null and empty texts). ``trusted``: a boolean
+    column. ``trusted_ids``: a table of one column with the ids of further trusted rows."""
     spark = docs.sparkSession
     ship_package(spark)
     d = with_blocks(docs)
     body = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")
-    grams = save(d.select("_block", body, F.coalesce(trusted, F.lit(False)).alias("trusted")).mapInArrow(_block_grams, "block long, gram long, n long"), "lm-grams")
+    marks = trusted_by_block(d, trusted_ids, doc_id) if trusted_ids is not None else None
+    read = d.select("_block", body, F.coalesce(trusted, F.lit(False)).alias("trusted"), *([F.col(doc_id).alias("id")] if marks else []))
+    grams = save(read.mapInArrow(_block_grams(marks), "block long, gram long, n long"), "lm-grams")
     counts = save(grams.where("n > 0").groupBy("gram").agg(F.sum("n").alias("c")), "lm-counts")
+    if counts.isEmpty() and not grams.isEmpty():
+        warnings.warn("no trusted text: every byte has probability 1/256 and no text is told from another", stacklevel=2)
     p = probabilities(counts, grams.select("gram").distinct())
     folder = scratch_path(spark, "lm-blocks")
     own = grams.select("block", "gram").distinct().join(p.select("gram", F.log("p").cast("float").alias("logp")), "gram")
@@ -197,14 +249,15 @@ def log_perplexities(docs: DataFrame, trusted, keep: list[str], text: str = "tex
     return out.select(*[F.col("row").getField(c).alias(c) for c in keep], "log_perplexity")
 
 
-def judge(docs: DataFrame, trusted_sources: tuple[str, ...], doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(doc_id, lang, perplexity, threshold, kept) of every row.
+def judge(docs: DataFrame, trusted_sources: tuple[str, ...], doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", trusted_ids: DataFrame | None = None) -> DataFrame:
+    """(doc_id, lang, perplexity, threshold, kept) of every row. Trusted are the rows of trusted sources, and
+    those whose id is in the table ``trusted_ids`` (one column).
 
     Null and empty texts have no perplexity and aren't kept. A null language is a language of its own.
-    Without any trusted text every byte has probability 1/256 and all texts are kept. Repeated rows are
+    Without any trusted text every byte has probability 1/256, all texts are kept and a warning says so. Repeated rows are
     judged alike; other columns aren't read."""
     trusted = F.col(source).isin(*trusted_sources) if trusted_sources else F.lit(False)
-    s = save(log_perplexities(docs, trusted, [doc_id, lang], text), "lm-scores")
+    s = save(log_perplexities(docs, trusted, [doc_id, lang], text, trusted_ids, doc_id), "lm-scores")
     quart = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)
     fence = s.where("log_perplexity is not null").groupBy(F.col(lang).alias("_lang")).agg(quart.alias("q"))
     fence = save(fence.select("_lang", (F.col("q")[1] + F.lit(FENCE) * (F.col("q")[1] - F.col("q")[0])).alias("top")), "lm-fences")

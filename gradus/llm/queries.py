@@ -13,8 +13,6 @@ from gradus.llm.common import scratch_path, table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 PII_KEY = b"gradus demonstration key"  # a deployment passes its own secret
-#: Sources whose text the language model is trained on.
-TRUSTED = ("src1", "src3", "src5", "src7", "src9")
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,7 +56,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_perplexity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perplexity.judge(table(spark, sf_dir, "documents"), TRUSTED)
+    labels = table(spark, sf_dir, "labels")  # trusted: labelled good, and nowhere bad
+    good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
+    return perplexity.judge(table(spark, sf_dir, "documents"), (), trusted_ids=good)
 
 
 @query("op2_language_id")

@@ -64,3 +64,31 @@ def test_nothing_to_train_on(make):
     got = P.judge(make([(1, "abc", "en", "s", 1), (2, "x", None, "s", 1)]), ("none",)).collect()
     assert [round(r.perplexity, 3) for r in got] == [256, 256] and all(r.kept for r in got)
     assert P.judge(make([]), ("s",)).count() == 0
+
+
+def test_trusted_ids_train_the_model(spark, make, rng, tmp_path):
+    train = [(i, "".join(rng.choice("abcd ") for _ in range(60)), "en", "web", 1) for i in range(8)]
+    rows = train + [(9, "zq&&" * 30, "en", "web", 1), (3, "same id, too", "fr", "s", 1), (None, "no id", "en", "web", 1), (11, "abcd", "en", "good", 1)]
+    rng.shuffle(rows)
+    make(rows).repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    ids = spark.createDataFrame([(i,) for i in range(8)] + [(3,), (None,), (77,)], "doc_id int")
+    for sources, more in (((), []), (("good",), ["abcd"])):
+        logp, _ = brute([r[1].encode() for r in rows if r[0] in range(8)] + [t.encode() for t in more])
+        got = P.judge(docs, sources, trusted_ids=ids).collect()
+        want = sorted(math.exp(-logp(r[1].encode()) / len(r[1].encode())) for r in rows)
+        assert sorted(r.perplexity for r in got) == pytest.approx(want, rel=1e-5)
+    with pytest.warns(UserWarning, match="no trusted text"):
+        assert all(r.kept for r in P.judge(docs, (), trusted_ids=ids.where("doc_id > 50")).collect())
+
+
+def test_query_trains_on_good_labels_only(spark, make, rng, tmp_path):
+    from gradus.llm.queries import QUERIES
+
+    good = [(i, " ".join(rng.choice(["the", "cat", "sat", "on", "a", "mat"]) for _ in range(30)), "en", "src2", 1) for i in range(60)]
+    junk = [(100 + i, "".join(rng.choice("&*%#@|<>{}") for _ in range(120)), "en", "src1", 1) for i in range(6)]
+    make(good + junk).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, 1, 0) for i in range(0, 60, 2)] + [(100 + i, 0, 0) for i in range(3)] + [(103, 1, 0), (103, 0, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = QUERIES["op4_perplexity"](spark, str(tmp_path)).collect()
+    assert len(got) == 66 and all(r.kept == (r.doc_id < 100) for r in got)
