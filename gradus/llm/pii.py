@@ -9,6 +9,13 @@ in every document, different ones different pseudonyms, and who has the key can
 Card numbers keep the first digit, IBANs country and letters, phone numbers the country code,
 e-mail addresses the domain. Dates of 1900 to 2099 are permuted by day, so a date keeps its
 pseudonym across formats.
+
+Numbers beside a value (expiry, CVV, year, BIC) look like a part of it, so at every place the kinds
+are tried in turn, each with every group-aligned end: IBANs at their country's length first, cards
+in a usual layout first, in any other last. If nothing is valid there, the scan goes on at the next
+character. Pseudonyms for which a shorter reading would win are passed over, so the text reads the
+same again. What stays ambiguous is a number whose digits make a valid card together with foreign
+digits beside it, by their check digit's chance; such a text may not be restored.
 """
 
 from __future__ import annotations
@@ -108,11 +115,22 @@ def _email(s: str, p: Permute) -> str | None:
 
 def _card(s: str, p: Permute) -> str | None:
     d = digits_of(s)
-    if not 13 <= len(d) <= 19 or d[0] not in "3456" or luhn(d):
+    if not 13 <= len(d) <= 19 or luhn(d):
+        return None
+    if d[0] == "2":
+        if len(d) != 16 or not 2221 <= int(d[:4]) <= 2720:
+            return None
+        x = p((int(d[:4]) - 2221) * 10 ** 11 + int(d[4:-1]), 500 * 10 ** 11, "card2")
+        body = str(x + 2221 * 10 ** 11)
+        return refill(s, body + str(-luhn(body + "0") % 10))
+    if d[0] not in "3456":
         return None
-    n = len(d) - 2
-    body = d[0] + f"{p(int(d[1:-1]), 10 ** n, 'card'):0{n}d}"
-    return refill(s, body + str(-luhn(body + "0") % 10))
+    n, new = len(d) - 2, d
+    while True:
+        body = d[0] + f"{p(int(new[1:-1]), 10 ** n, 'card'):0{n}d}"
+        new = body + str(-luhn(body + "0") % 10)
+        if n < 15 or (luhn(new[:16]) == 0) == (luhn(d[:16]) == 0):  # in groups, the first 16 digits would be read as a card
+            return refill(s, new)
 
 
 def _iban(s: str, p: Permute) -> str | None:
@@ -183,17 +201,83 @@ def _ip(s: str, p: Permute) -> str | None:
 
 
 CHANGE = {"email": _email, "iban": _iban, "card": _card, "ssn": _ssn, "date": _date, "phone": _phone, "ip": _ip}
-#: One pass over the text; the first kind that fits at a place is tried, the number must not go on at either side.
-PATTERN = re.compile(
-    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9]))"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<card>(?<![A-Za-z0-9.+-])[3-6][0-9](?:[ -]?[0-9]){11,17}(?![A-Za-z0-9]|[.-][0-9]))"
-    r"|(?P<ssn>(?<![A-Za-z0-9.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|[.-][0-9]))"
-    r"|(?P<date>(?<![A-Za-z0-9.+/-])(?:(?:19|20)[0-9]{2}(?P<s1>[-/.])[0-9]{1,2}(?P=s1)[0-9]{1,2}|[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)(?:19|20)[0-9]{2})(?![A-Za-z0-9]|[./-][0-9]))"
-    r"|(?P<phone>(?<![A-Za-z0-9.+-])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![A-Za-z0-9]|[.-][0-9])"
-    r"|(?<![A-Za-z0-9.+-])\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,5}\)?){2,5}(?![A-Za-z0-9]|[.-][0-9]))"
-    r"|(?P<ip>(?<![A-Za-z0-9.+-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9]))")
+#: How each kind may begin; a number must not go on at either side (card: see ``_card_ends``).
+PART = {
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "card": r"(?<![A-Za-z0-9.+-])[2-6](?:[ -]?[0-9]){12}",
+    "ssn": r"(?<![A-Za-z0-9.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|[.-][0-9])",
+    "date": r"(?<![A-Za-z0-9.+/-])(?:(?:19|20)[0-9]{2}(?P<s1>[-/.])[0-9]{1,2}(?P=s1)[0-9]{1,2}|[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)(?:19|20)[0-9]{2})(?![A-Za-z0-9]|[./-][0-9])",
+    "phone": r"(?<![A-Za-z0-9.+-])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![A-Za-z0-9]|[.-][0-9])"
+             r"|(?<![A-Za-z0-9.+-])\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,5}\)?){2,5}(?![A-Za-z0-9]|[.-][0-9])",
+    "ip": r"(?<![A-Za-z0-9.+-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])",
+}
+ONE = {k: re.compile(p) for k, p in PART.items()}
+PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PART.items()))
 MAYBE = re.compile("[0-9@]")
+DIGITS = re.compile("[0-9]{1,20}")
+GOES_ON = re.compile(r"[A-Za-z0-9]|\.[0-9]")
+NEXT_GROUP = re.compile("[ -](?=[0-9])")
+#: Digits by group as cards are written; a single group is usual too.
+CARD_GROUPS = {(4, 4, 4, 4), (4, 4, 4, 4, 1), (4, 4, 4, 4, 2), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4), (4, 4, 4, 1), (4, 3, 3, 3), (6, 13)}
+IBAN_LENGTH = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 "
+    "GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 "
+    "MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 "
+    "XK20 YE30").split()}
+
+
+def _card_ends(text: str, start: int) -> tuple[list[int], list[int]]:
+    """Where a card that begins at ``start`` may end: in a usual layout, shortest first, and in another, longest first."""
+    usual, other, groups, n, at = [], [], (), 0, start
+    while True:
+        end = DIGITS.match(text, at).end()
+        n += end - at
+        if n > 19 or groups and end - at >= 13:  # a long group behind others is a number of its own
+            break
+        groups += (end - at,)
+        if n >= 13 and not GOES_ON.match(text, end):
+            (usual if len(groups) == 1 or groups in CARD_GROUPS else other).append(end)
+        if not NEXT_GROUP.match(text, end):
+            break
+        at = end + 1
+    return usual, other[::-1]
+
+
+def _ends(kind: str, text: str, start: int, end: int) -> list[int]:
+    """Where an IBAN or a phone number may end: behind a group of the longest match."""
+    ends = [end, *[i for i in range(end - 1, start, -1) if text[i] == " "]]
+    want = IBAN_LENGTH.get(text[start:start + 2]) if kind == "iban" else None
+    if want is None:
+        return ends
+    return [*[i for i in ends if i - start - text.count(" ", start, i) == want], end]
+
+
+def _readings(text: str, start: int, first: str) -> Iterator[tuple[str, int]]:
+    """(kind, end) of all that may begin at a place, in the order of trying; no kind before ``first`` fits there."""
+    other: list[int] = []
+    for kind in KINDS[KINDS.index(first):]:
+        m = ONE[kind].match(text, start)
+        if m is None:
+            continue
+        if kind == "card":
+            ends, other = _card_ends(text, start)
+        else:
+            ends = _ends(kind, text, start, m.end()) if kind in ("iban", "phone") else [m.end()]
+        yield from ((kind, e) for e in ends)
+    for end in other:  # unless the digits after a space are a value of their own
+        if not any(_value_begins(text, i + 1) for i in range(start, end) if text[i] == " "):
+            yield "card", end
+
+
+def _value_begins(text: str, at: int) -> bool:
+    """Whether a valid value begins here; cards in a usual layout only."""
+    for kind in KINDS:
+        if (m := ONE[kind].match(text, at)) is not None:
+            ends = _card_ends(text, at)[0] if kind == "card" else _ends(kind, text, at, m.end()) if kind in ("iban", "phone") else [m.end()]
+            if any(CHANGE[kind](text[at:e], lambda x, size, tweak: x) is not None for e in ends):
+                return True
+    return False
 
 
 def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, int]]:
@@ -205,15 +289,24 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, dict[s
     def permute(x: int, size: int, tweak: str) -> int:
         return feistel(x, size, key, tweak, back)
 
-    def change(m: re.Match) -> str:
-        kind = next(k for k in KINDS if m[k] is not None)
-        new = CHANGE[kind](m[kind], permute)
-        if new is None:
-            return m[0]
-        count[kind] = count.get(kind, 0) + 1
-        return new
-
-    return PATTERN.sub(change, text), count
+    out, done, at = [], 0, 0
+    while (m := PATTERN.search(text, at)) is not None:
+        start = at = m.start()
+        tried: list[tuple[str, int]] = []
+        for kind, end in _readings(text, start, next(k for k in KINDS if m[k] is not None)):
+            new = CHANGE[kind](text[start:end], permute)
+            if new is not None:
+                shorter = [(k, e - start) for k, e in tried if e < end]
+                while any(CHANGE[k](new[:e], permute) is not None for k, e in shorter):
+                    new = CHANGE[kind](new, permute)
+                count[kind] = count.get(kind, 0) + 1
+                out += [text[done:start], new]
+                done = at = end
+                break
+            tried.append((kind, end))
+        else:
+            at = start + 1
+    return "".join([*out, text[done:]]), count
 
 
 def _changer(key: bytes, back: bool):

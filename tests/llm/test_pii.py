@@ -56,3 +56,35 @@ def test_table_with_odd_rows(spark, make, odd_rows):
     assert sorted(((str(r.doc_id), r.text) for r in got), key=str) == sorted(want, key=str)
     assert sum(r.n_card for r in got) == 1
     assert pii.pseudonymise_documents(make([]), KEY).count() == 0
+
+
+def test_values_beside_other_numbers():
+    card, again = "4111111111111111", pii.pseudonymise("4111111111111111", KEY)[0]
+    spaced = "4111 1111 1111 1111"
+    phone, iban = pii.pseudonymise("412-555-0199", KEY)[0], pii.pseudonymise("AT61 1904 3002 3457 3201", KEY)[0]
+    two = pii.pseudonymise("2223003122003222", KEY)[0]
+    assert again != card and pii.luhn(again) == 0 and 2221 <= int(two[:4]) <= 2720 and pii.luhn(two) == 0 and two != "2223003122003222"
+    refilled = pii.refill(spaced, again)
+    for before, after, kind in ((f"{card} 12/27", f"{again} 12/27", "card"), (f"{card} 123", f"{again} 123", "card"), (f"{spaced} 123", f"{refilled} 123", "card"),
+                                (f"{spaced} 12/27 123", f"{refilled} 12/27 123", "card"), (f"{card}-2027", f"{again}-2027", "card"), (f"2024 {card}", f"2024 {again}", "card"), (f"345 {card}", f"345 {again}", "card"),
+                                ("2223003122003222 12/27", f"{two} 12/27", "card"), ("412-555-0199 2024", f"{phone} 2024", "phone"), ("AT61 1904 3002 3457 3201 BIC", f"{iban} BIC", "iban"),
+                                ("AT61 1904 3002 3457 3201 BKAUATWW", f"{iban} BKAUATWW", "iban"), ("DE88 3704 412-555-0199", f"DE88 3704 {phone}", "phone")):
+        assert pii.pseudonymise(before, KEY) == (after, {kind: 1})
+        assert pii.pseudonymise(after, KEY, back=True)[0] == before
+    for iban in ("ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "SE45 5000 0000 0583 9825 7466"):
+        new, n = pii.pseudonymise(f"{iban} BIC", KEY)
+        assert n == {"iban": 1} and new == pii.pseudonymise(iban, KEY)[0] + " BIC" and pii.pseudonymise(new, KEY, back=True)[0] == f"{iban} BIC"
+    assert pii.pseudonymise("2111111111111111 and 2820000000000000", KEY)[1] == {}
+
+
+def test_long_cards_and_numbers_behind_come_back(rng):
+    for _ in range(300):
+        body = rng.choice("3456") + "".join(rng.choice("0123456789") for _ in range(14))
+        card = body + str(-pii.luhn(body + "0") % 10)
+        g = " ".join(card[i:i + 4] for i in range(0, 16, 4))
+        long = card[:15] + rng.choice("0123456789") + "00"
+        long += str(-pii.luhn(long + "0") % 10)
+        for t in (f"{card} {rng.randint(100, 999)}", f"{g} {rng.randint(100, 999)}", f"{g} 12/27", long, " ".join(long[i:i + 4] for i in range(0, 19, 4))):
+            new, n = pii.pseudonymise(t, KEY)
+            assert n == {"card": 1} and pii.pseudonymise(new, KEY, back=True)[0] == t
+        assert pii.pseudonymise(f"{g} 123", KEY)[0][:19] == pii.refill(g, pii.pseudonymise(card, KEY)[0])
