@@ -68,7 +68,8 @@ class WordEncoder:
     """Encodes texts whose tokenizer lowers case and drops white space: the ids of a text are those of
     its pieces between ASCII white space, so pieces met lately are looked up. A piece that is new only
     by capitals or by the punctuation at its end is put together from known ones. Two generations of
-    at most ``CACHE_WORDS`` pieces bound the memory."""
+    at most ``CACHE_WORDS`` pieces bound the memory. A tokenizer that encodes white space, as probes
+    tell, gets whole texts instead (``splits`` is false)."""
 
     #: ASCII punctuation that never starts a piece of its own together with the letters after it.
     TAIL = b"!\"#$%&()*+,-./:;=?@[]^_`{|}~"
@@ -90,6 +91,7 @@ class WordEncoder:
             self.plain = self.joins and [self._merge(w) for w in probe[4:]] == whole[4:] and self._merge(b"word") == whole[1]
         except Exception:  # the model doesn't take byte-level letters: every piece goes the whole way
             self.plain = False
+        self.splits = self._drops_space()
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -97,6 +99,20 @@ class WordEncoder:
         got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in got]
 
+    def _drops_space(self) -> bool:
+        """Whether a text's ids are those of its pieces, for every kind of white space between and around them."""
+        words = [b"a", b"b", b"word", b"."]
+        one = dict(zip(words, self._encode_all(words)))
+        for c in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c", b"\r\n", b"  ", b"\n\n"):
+            texts = [(c, ()), (c + b"a" + c, (b"a",)), *[(x + c + y, (x, y)) for x in words for y in words]]
+            if self._encode_all([t for t, _ in texts]) != [b"".join(one[w] for w in ws) for _, ws in texts]:
+                return False
+        return True
+
+    def segments(self, text: bytes) -> Iterator[bytes]:
+        """The parts of a text that may be encoded apart."""
+        return text_segments(text) if self.splits else iter([text])
+
     def _merge(self, w: bytes) -> bytes:
         """The ids of a piece of lower-case Latin letters by the tokenizer's merges alone: such a piece is
         neither normalised nor split. Bytes are spelled as in byte-level tokenizers."""
@@ -148,6 +164,8 @@ class WordEncoder:
             self.new[w] = b"".join(self._known(x) or b"" for x in p if x)
 
     def encode(self, text: bytes) -> bytes:
+        if not self.splits:
+            return self._encode_all([text])[0]
         words = text.split()
         got = list(map(self.new.get, words))
         if None in got:
@@ -205,7 +223,7 @@ def _writer(folder: str, tokenizer, end_id: int):
                 k = k + 1 if doc == last else 0
                 last = doc
                 raw = text.as_py() or b""
-                ids = [enc.encode(s) for s in text_segments(raw)] + [end]
+                ids = [enc.encode(s) for s in enc.segments(raw)] + [end]
                 n = sum(map(len, ids)) // width
                 parts += ids
                 rows.append((doc, k, held, n))

@@ -77,3 +77,22 @@ def test_equal_hashes_are_told_apart(spark, make, monkeypatch):
     monkeypatch.setattr(tokens, "mix64", lambda x: x.astype(np.uint64) & np.uint64(7))
     keys = tokens.key64(np.arange(3), np.zeros(3, bool), np.zeros(3, np.int64))
     assert keys.tolist() == [0, 1, 2]
+
+
+def test_white_space_is_kept_where_the_tokenizer_encodes_it(spark, make):
+    from tokenizers import Tokenizer
+
+    file = P.path("byte_bpe_50k.json")
+    enc, by_space = tokens.WordEncoder(open(file).read()), tokens.WordEncoder(open(FILE).read())
+    assert by_space.splits and not enc.splits
+    own = Tokenizer.from_file(file)
+    texts = HARD + ["a b", "a\tb", "a\n\nb  c ", "def f(x):\n    return x\n", "word " * 2_000_000]
+    want = {i: own.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    for i, t in enumerate(texts[:-1]):
+        assert np.frombuffer(enc.encode(t.encode()), enc.kind).tolist() == want[i]
+    folder = scratch_path(spark, "test-tokens-space")
+    docs = make([(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    tokens.write_tokens(docs, folder, file, 1)
+    for r in tokens.read_tokens(tokens.row_keys(docs), folder, tokens.id_type(file)).collect():
+        ids = np.array([*want[r.doc_id], 1], "<u4")
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
