@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import decontam, langid, mixing, ngram_join, perplexity, pii, tokens, toxicity, urls, vectors
+from gradus.llm import decontam, dialogue, langid, mixing, ngram_join, perplexity, pii, tokens, toxicity, urls, vectors
 from gradus.llm.common import scratch_path, table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
@@ -178,3 +178,20 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JO
 """)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_classes(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults dealt by a hash of their key."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn")).cast("binary")) % 20
+    text, role = blank("text"), blank("role")
+    text = F.when(kind == 1, F.lit("")).when(kind == 2, F.translate(text, ".!?", "")).otherwise(text)
+    role = F.when(kind == 4, F.lit("user")).otherwise(role)
+    copies = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    return conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), copies)).alias("copy")).drop("copy")
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    return dialogue.repair(damaged(talks), ids=talks.select("conv_id"))
