@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import decontam, dialogue, langid, mixing, ngram_join, perplexity, pii, tokens, toxicity, urls, vectors
+from gradus.llm import decontam, dialogue, langid, mixing, ngram_join, periodic, perplexity, pii, tokens, toxicity, urls, vectors
 from gradus.llm.common import scratch_path, table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
@@ -195,3 +195,9 @@ def damaged(conversations: DataFrame) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = table(spark, sf_dir, "conversations")
     return dialogue.repair(damaged(talks), ids=talks.select("conv_id"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periodic.run_digests(docs, ["doc_id"], change=periodic.planted, by="doc_id")
