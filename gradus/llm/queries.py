@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import decontam, dialogue, langid, mixing, ngram_join, periodic, perplexity, pii, tokens, toxicity, urls, vectors
+from gradus.llm import backoff, decontam, dialogue, langid, mixing, ngram_join, periodic, perplexity, pii, tokens, toxicity, urls, vectors
 from gradus.llm.common import scratch_path, table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
@@ -201,3 +201,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return periodic.run_digests(docs, ["doc_id"], change=periodic.planted, by="doc_id")
+
+
+@query("op12_backoff_score")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    s = backoff.score_texts(table(spark, sf_dir, "documents"), ~held, ["doc_id"])
+    return s.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
