@@ -38,7 +38,7 @@ from gradus.llm.tokens import open_folder, put
 ORDER = 2
 #: Of 1 to 400 about the best on held-out documents of the given tables.
 KAPPA = 200.0
-SLICE = 16 << 20
+SLICE = 8 << 20
 SHARD_BYTES = 24 << 20
 MIN_SHARDS = 24
 SEGMENT = 512
@@ -46,20 +46,31 @@ BEGIN, END = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _parts(texts: list[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Some whole texts at a time: what is held for every byte is held for these alone."""
+    first = held = 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= size or i == len(texts) - 1:
+            yield texts[first:i + 1]
+            first, held = i + 1, 0
+
+
 class Grams:
     """The n-grams of every order of some texts. Sequences lie end to end: begin mark, words, end token.
     ``ids[k]``: number of the n-gram of order k that ends at each place (-1 where the sequence is too short);
     ``hashes[k]``, ``last[k]``, ``before[k]``, ``suffix[k]``: by number, its hash, last word, first k - 1 tokens and last k - 1 tokens."""
 
     def __init__(self, texts: list[bytes], order: int):
-        w = Words(texts)
-        n = w.lens + 2
+        read = [Words(part) for part in _parts(texts)]
+        n = np.concatenate([np.zeros(0, np.int64), *[w.lens for w in read]]) + 2
         ends = np.cumsum(n)
         seq = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
         seq[ends - n], seq[ends - 1] = BEGIN, END
         inner = np.ones(len(seq), bool)
         inner[ends - n] = inner[ends - 1] = False
-        seq[inner] = w.w
+        seq[inner] = np.concatenate([np.zeros(0, np.uint64), *[w.w for w in read]])
+        del read
         self.ends, self.sizes = ends, n
         self.into = np.arange(len(seq)) - np.repeat(ends - n, n)
         words, word = np.unique(seq, return_inverse=True)
