@@ -12,32 +12,30 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from gradus.functions.ranking import join_on, rank_values, row_positions, running_sums, value_counts
+from gradus.functions.ranking import join_on, per_size, rank_values, running_sums, sorted_sums, value_counts
+from gradus.sources.scratch import written
 
 EPS = 1e-10
 
 
 def suffix_logsumexp(df: DataFrame, list_id: str, y_true: str, y_pred: str, key: Sequence[str],
-                     mask: str | None = None, block: int = 4096) -> DataFrame:
+                     mask: str | None = None) -> DataFrame:
     """For each item, the sum of exp(pred - list max) over the items at or after it
     in descending true-score order (ties by ``key``, NULL scores last), masked items
     contributing 0. Adds ``_mx`` (list max over all items, masked ones too) and ``suffix``.
 
-    Positions are exact ranks; the sums of blocks of ``block`` positions give what follows
-    a block, and a window inside the block the rest."""
+    Lists are read from the end: the sum over the items behind an item, and its own."""
     m = F.col(mask).cast("double") if mask else F.lit(1.0)
     mx = df.groupBy(list_id).agg(F.max(y_pred).alias("_mx"))
-    x = row_positions(join_on(df, mx, [list_id]), list_id, y_true, key, "_pos", descending=True)
-    x = x.withColumn("_e", F.exp(F.col(y_pred) - F.col("_mx")) * m).withColumn("_blk", F.floor((F.col("_pos") - 1) / block))
-    tot = x.groupBy(list_id, "_blk").agg(F.sum("_e").alias("_bs"))
-    later = Window.partitionBy(list_id).orderBy(F.col("_blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumn("_after", F.coalesce(F.sum("_bs").over(later), F.lit(0.0))).drop("_bs")
-    inner = Window.partitionBy(list_id, "_blk").orderBy(F.col("_pos").desc()) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = join_on(x, tot, [list_id, "_blk"]).withColumn("suffix", F.col("_after") + F.sum("_e").over(inner))
-    return x.drop("_pos", "_e", "_blk", "_after")
+    behind = [F.col(y_true).asc_nulls_first(), *[F.col(c).desc_nulls_first() for c in key]]
+
+    def sums(d: DataFrame, cut: bool) -> DataFrame:
+        x = join_on(d, mx, [list_id]).withColumn("_e", F.exp(F.col(y_pred) - F.col("_mx")) * m)
+        return sorted_sums(x, list_id, behind, {"_e": "_after"}, cut)
+
+    x = per_size(df, list_id, sums)
+    return x.withColumn("suffix", F.col("_after") + F.col("_e")).drop("_e", "_after", "_after_all")
 
 
 def listmle_loss(df: DataFrame, list_id: str, y_true: str, y_pred: str, key: Sequence[str],
@@ -79,25 +77,28 @@ def pairwise_hinge_loss(df: DataFrame, list_id: str, y_true: str, y_pred: str, i
     one cell per bit, (bit, higher bits of r), and a cell's pairs are i's against j's without
     any further condition on the true score: over the values p_j and p_i - margin in order,
     running counts and sums of the j's that are larger give each i its total. The work is
-    items x bits, and a cell of any size is cut by the ranges of ``running_sums``."""
+    items x bits, and a cell of any size is cut by the ranges of the sorted table."""
     d = df.select(F.col(list_id).alias("_l"), F.col(y_true).cast("double").alias("_t"), F.col(y_pred).cast("double").alias("_p"))
     full = d.filter(F.col("_t").isNotNull() & F.col("_p").isNotNull())
-    r = rank_values(value_counts(full, "_l", "_t"), "_l", "_t")
-    pairs = r.groupBy("_l").agg(F.sum(F.col("cnt") * F.col("before")).alias("n_pairs"))
-    x = join_on(full, r.select("_l", "_t", F.col("before").cast("long").alias("_r"), "n"), ["_l", "_t"])
-    bits = F.greatest(F.ceil(F.log2(F.col("n").cast("double"))), F.lit(1)).cast("int")
-    x = x.select("_l", "_p", "_r", F.explode(F.sequence(F.lit(0), bits - 1)).alias("_bit"))
-    one = F.expr("shiftright(_r, _bit)").bitwiseAND(F.lit(1)) == 1
-    x = x.select("_l", "_bit", F.expr("shiftright(_r, _bit + 1)").alias("_cell"), "_p", one.alias("_i"))
-    v = F.when(F.col("_i"), F.col("_p") - F.lit(float(margin))).otherwise(F.col("_p"))
-    cells = x.groupBy("_l", "_bit", "_cell", v.alias("_v")).agg(
-        F.sum(F.when(F.col("_i"), 0).otherwise(1)).alias("_nj"), F.sum(F.when(F.col("_i"), 0.0).otherwise(F.col("_p"))).alias("_sj"),
-        F.sum(F.when(F.col("_i"), 1).otherwise(0)).alias("_ni"), F.sum(F.when(F.col("_i"), F.col("_p")).otherwise(0.0)).alias("_si"))
-    c = running_sums(cells, ["_l", "_bit", "_cell"], "_v", {"_nj": "_bn", "_sj": "_bs"})
-    n_after, s_after = F.col("_bn_all") - F.col("_bn") - F.col("_nj"), F.col("_bs_all") - F.col("_bs") - F.col("_sj")
-    got = F.col("_ni") * (n_after * F.lit(float(margin)) + s_after) - F.col("_si") * n_after
-    total = c.groupBy("_l").agg(F.sum(got).alias("_sum"))
-    out = join_on(join_on(d.select("_l").distinct(), pairs, ["_l"], "left"), total, ["_l"], "left")
+
+    def totals(own: DataFrame, cut: bool) -> DataFrame:
+        r = rank_values(value_counts(own, "_l", "_t"), "_l", "_t", cut=cut)
+        x = join_on(own, r.select("_l", "_t", F.col("before").cast("long").alias("_r"), "n"), ["_l", "_t"])
+        bits = F.greatest(F.ceil(F.log2(F.col("n").cast("double"))), F.lit(1)).cast("int")
+        x = x.select("_l", "_p", "_r", F.explode(F.sequence(F.lit(0), bits - 1)).alias("_bit"))
+        one = F.expr("shiftright(_r, _bit)").bitwiseAND(F.lit(1)) == 1
+        x = x.select("_l", "_bit", F.expr("shiftright(_r, _bit + 1)").alias("_cell"), "_p", one.alias("_i"))
+        v = F.when(F.col("_i"), F.col("_p") - F.lit(float(margin))).otherwise(F.col("_p"))
+        cells = x.groupBy("_l", "_bit", "_cell", v.alias("_v")).agg(
+            F.sum(F.when(F.col("_i"), 0).otherwise(1)).alias("_nj"), F.sum(F.when(F.col("_i"), 0.0).otherwise(F.col("_p"))).alias("_sj"),
+            F.sum(F.when(F.col("_i"), 1).otherwise(0)).alias("_ni"), F.sum(F.when(F.col("_i"), F.col("_p")).otherwise(0.0)).alias("_si"))
+        c = running_sums(cells, ["_l", "_bit", "_cell"], "_v", {"_nj": "_bn", "_sj": "_bs"}, cut)
+        n_after, s_after = F.col("_bn_all") - F.col("_bn") - F.col("_nj"), F.col("_bs_all") - F.col("_bs") - F.col("_sj")
+        got = F.col("_ni") * (n_after * F.lit(float(margin)) + s_after) - F.col("_si") * n_after
+        # a pair is met in one cell only, so the cells count the pairs too
+        return c.groupBy("_l").agg(F.sum(F.col("_ni") * (F.col("_bn_all"))).alias("n_pairs"), F.sum(got).alias("_sum"))
+
+    out = join_on(d.select("_l").distinct(), per_size(full, "_l", totals), ["_l"], "left")
     n = F.coalesce(F.col("n_pairs"), F.lit(0)).cast("long")
     return out.select(F.col("_l").alias(list_id), n.alias("n_pairs"),
                       F.when(n > 0, F.greatest(F.col("_sum") / n, F.lit(0.0))).otherwise(F.lit(0.0)).alias("loss"))
@@ -141,9 +142,8 @@ def ranking_list_plan(variants: DataFrame, steps: DataFrame, assay: str, item: S
     ranks from ``rank_values`` (skew-safe). Returns (step, assay, list_no, item...).
     """
     assays = variants.groupBy(assay).agg(F.count(F.lit(1)).alias("n_items"))
-    anum = rank_values(assays.select(F.lit(0).alias("_g"), assay, F.lit(1).alias("cnt")), "_g", assay) \
-        .select(assay, (F.col("before")).alias("a_idx"), F.col("n").alias("n_assays"))
-    assays = assays.join(anum, assay)
+    assays = written(sorted_sums(assays.withColumn("_1", F.lit(1).cast("long")), [], [F.col(assay).asc_nulls_last()], {"_1": "a_idx"})
+                     .withColumnRenamed("a_idx_all", "n_assays").drop("_1"), "assays")
     # step -> assay number; the assay count is a one-row aggregate (size bound: 1 row)
     one = assays.agg(F.max("n_assays").alias("n_assays")).withColumn("_g", F.lit(0))
     st = steps.select("step", F.lit(0).alias("_g")).join(F.broadcast(one), "_g") \

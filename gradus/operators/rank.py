@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gradus.functions.ranking import (_cols, discount_sum_rows, join_on, rank_values, tie_positions,
-                                      value_counts)
+from gradus.functions.ranking import _cols, discount_sum_rows, join_on, mid_rank, per_size, rank_values, ranked_rows, value_counts
+from gradus.sources.scratch import written
 
 PROPERTIES = ("stability", "binding", "expression", "activity")
 
@@ -25,12 +25,19 @@ PROPERTIES = ("stability", "binding", "expression", "activity")
 # ---------------------------------------------------------------- W1 / W2
 def avg_rank(df: DataFrame, group: str | Sequence[str], value: str, out: str = "rank") -> DataFrame:
     """Average (fractional) rank of ``value`` inside each group; ties share the
-    mean of their positions; NULL values get a NULL rank. The ranks of the distinct
-    values are joined back on (group, value); AQE splits a hot key of the rows."""
+    mean of their positions; NULL values get a NULL rank. In groups larger than a task the ranks
+    of the distinct values are joined back on (group, value); AQE splits a hot key of the rows."""
     g = _cols(group)
-    r = rank_values(value_counts(df.filter(F.col(value).isNotNull()), g, value), g, value) \
-        .select(*g, value, F.col("avg_rank").alias(out))
-    return join_on(df, r, [*g, value], "left")
+
+    def ranks(d: DataFrame, cut: bool) -> DataFrame:
+        if not cut:  # NULL values are the last, so they don't move the others
+            return ranked_rows(d, g, value, [], "_r", cut=False).withColumn(out, F.when(F.col(value).isNotNull(), mid_rank("_r"))) \
+                .drop("_r_pos", "_r_start", "_r_cnt", "n")
+        r = rank_values(value_counts(d.filter(F.col(value).isNotNull()), g, value), g, value, cut=True) \
+            .select(*g, value, F.col("avg_rank").alias(out))
+        return join_on(d, r, [*g, value], "left")
+
+    return per_size(df, g, ranks)
 
 
 def normalize_scores(df: DataFrame, group: str | Sequence[str], score: str, method: str = "minmax",
@@ -53,9 +60,8 @@ def normalize_scores(df: DataFrame, group: str | Sequence[str], score: str, meth
         val = F.when(F.col("_sd") < 1e-8, F.lit(0.0)).otherwise((s - F.col("_mu")) / F.col("_sd"))
         return join_on(df, st, g, "left").withColumn(out, F.when(s.isNotNull(), val)).drop("_mu", "_sd")
     if method == "rank":
-        vc = value_counts(df.filter(F.col(score).isNotNull()), g, score)
-        r = rank_values(vc, g, score).select(*g, score, (F.col("avg_rank") / F.col("n")).alias(out))
-        return join_on(df, r, [*g, score], "left")
+        n = df.groupBy(*g).agg(F.count(score).alias("_n"))
+        return join_on(avg_rank(df, g, score, "_ar"), n, g, "left").withColumn(out, F.col("_ar") / F.col("_n")).drop("_ar", "_n")
     raise ValueError(f"no normalisation is called {method!r}")
 
 
@@ -66,36 +72,30 @@ def spearman_by_group(df: DataFrame, group: str | Sequence[str], y: str, p: str,
 
     n < 2 -> NULL; a constant side -> 0.0 (the evaluation convention). Rows with
     a NULL on either side are ignored. Returns (group..., n_variants, spearman).
-    Ranks of the distinct values are joined to the (group, y, p) counts."""
+    Rows are ranked by one side, then by the other, without a join; in groups larger than a task equal pairs are counted first."""
     g = _cols(group)
-    d = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*g, y, p)
-    return _spearman(d, g, y, p, out, _blocks(d, g, y), _blocks(d, g, p))
-
+    return _spearman(_ranked_pairs(df, g, y, p), g, out, "_c")
 
-def _blocks(d: DataFrame, g: list[str], col: str, *extra: F.Column) -> DataFrame:
-    return rank_values(value_counts(d, g, col, *extra), g, col)
 
+def _ranked_pairs(df: DataFrame, g: list[str], y: str, p: str) -> DataFrame:
+    """(group, y, p, _c: how many rows) with the ranks of both sides."""
+    def both(d: DataFrame, cut: bool) -> DataFrame:
+        x = d.groupBy(*g, y, p).agg(F.count(F.lit(1)).alias("_c")) if cut else d.withColumn("_c", F.lit(1).cast("long"))
+        return ranked_rows(ranked_rows(x, g, y, [p], "_y", "_c", cut=cut), g, p, [y], "_p", "_c", cut=cut)
 
-def _descending(r: DataFrame) -> DataFrame:
-    """The same tie blocks (without NULLs) from the other end."""
-    return r.withColumn("before", F.col("n") - F.col("before") - F.col("cnt"))
+    return per_size(df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*dict.fromkeys([*g, y, p])), g, both)
 
 
-def _spearman(d: DataFrame, g: list[str], y: str, p: str, out: str, ry: DataFrame, rp: DataFrame) -> DataFrame:
-    ry = ry.select(*g, y, F.col("avg_rank").alias("_ry"), "n")
-    rp = rp.select(*g, p, F.col("avg_rank").alias("_rp"))
-    pairs = d.groupBy(*g, y, p).agg(F.count(F.lit(1)).alias("_c"))
-    j = join_on(join_on(pairs, ry, [*g, y]), rp, [*g, p])
+def _spearman(x: DataFrame, g: list[str], out: str, weight: str | None, *extra: F.Column) -> DataFrame:
     m = (F.col("n") + 1) / F.lit(2.0)
-    dy, dp = F.col("_ry") - m, F.col("_rp") - m
-    a = j.groupBy(*g).agg(F.max("n").alias("n_variants"),
-                          F.sum(F.col("_c") * dy * dp).alias("_sxy"),
-                          F.sum(F.col("_c") * dy * dy).alias("_sxx"),
-                          F.sum(F.col("_c") * dp * dp).alias("_syy"))
+    dy, dp = mid_rank("_y") - m, mid_rank("_p") - m
+    c = F.lit(1) if weight is None else F.col(weight)
+    a = x.groupBy(*g).agg(F.max("n").alias("n_variants"), F.sum(c * dy * dp).alias("_sxy"),
+                          F.sum(c * dy * dy).alias("_sxx"), F.sum(c * dp * dp).alias("_syy"), *extra)
     rho = (F.when(F.col("n_variants") < 2, F.lit(None).cast("double"))
            .when((F.col("_sxx") > 0) & (F.col("_syy") > 0), F.col("_sxy") / F.sqrt(F.col("_sxx") * F.col("_syy")))
            .otherwise(F.lit(0.0)))
-    return a.select(*g, "n_variants", rho.alias(out))
+    return a.withColumn(out, rho).drop("_sxy", "_sxx", "_syy")
 
 
 def spearman_pvalue(res: DataFrame, rho: str = "spearman", n: str = "n_variants",
@@ -130,21 +130,25 @@ def ndcg_by_group(df: DataFrame, group: str | Sequence[str], y: str, p: str,
     full list (``ndcg``) and cut at k = max(1, int(n*k_fraction)) (``ndcg_10``).
     NULL when n < 2 or a relevance is negative; 0 when the ideal gain is 0."""
     g = _cols(group)
-    d = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*g, y, p)
-    return _ndcg(g, y, k_fraction, _blocks(d, g, y), _blocks(d, g, p, F.sum(y).alias("_sy")))
-
-
-def _ndcg(g: list[str], y: str, k_fraction: float, ry: DataFrame, rp: DataFrame) -> DataFrame:
-    # prediction-order tie blocks carry the sum of their relevance
-    rp = _descending(rp).withColumn("_k", _k_col(F.col("n"), k_fraction))
-    dcg = (discount_sum_rows(rp, "before", "cnt", {"_d": None, "_dk": "_k"})
-           .groupBy(*g).agg(F.sum(F.col("_sy") / F.col("cnt") * F.col("_d")).alias("_dcg"),
-                            F.sum(F.col("_sy") / F.col("cnt") * F.col("_dk")).alias("_dcgk")))
-    ry = _descending(ry).withColumn("_k", _k_col(F.col("n"), k_fraction))
-    idcg = (discount_sum_rows(ry, "before", "cnt", {"_d": None, "_dk": "_k"})
-            .groupBy(*g).agg(F.sum(F.col(y) * F.col("_d")).alias("_idcg"),
-                             F.sum(F.col(y) * F.col("_dk")).alias("_idcgk"),
-                             F.max("n").alias("_n"), F.min(y).alias("_miny")))
+    x = written(_ranked_pairs(df, g, y, p), "ranks")
+    for name in ("_y", "_p"):  # the same tie blocks from the other end
+        x = x.withColumn(f"{name}_start", F.col("n") - F.col(f"{name}_start") - F.col(f"{name}_cnt"))
+    return _ndcg(x.withColumn("_gain", F.col(y) * F.col("_c")), g, y, k_fraction)
+
+
+def _ndcg(x: DataFrame, g: list[str], y: str, k_fraction: float) -> DataFrame:
+    """From rows ranked in descending order on both sides; ``_gain`` is a row's relevance."""
+    def gains(name: str, gain: F.Column, *extra: F.Column) -> DataFrame:
+        # prediction-order tie blocks carry the sum of their relevance
+        b = x.groupBy(*g, f"{name}_start", f"{name}_cnt", "n").agg(gain.alias("_sum"), *extra)
+        b = b.withColumn("_k", _k_col(F.col("n"), k_fraction))
+        return discount_sum_rows(b, f"{name}_start", f"{name}_cnt", {"_d": None, "_dk": "_k"})
+
+    dcg = gains("_p", F.sum("_gain")).groupBy(*g).agg(F.sum(F.col("_sum") / F.col("_p_cnt") * F.col("_d")).alias("_dcg"),
+                                                      F.sum(F.col("_sum") / F.col("_p_cnt") * F.col("_dk")).alias("_dcgk"))
+    idcg = gains("_y", F.first(y)).groupBy(*g).agg(F.sum(F.col("_sum") * F.col("_d")).alias("_idcg"),
+                                                   F.sum(F.col("_sum") * F.col("_dk")).alias("_idcgk"),
+                                                   F.max("n").alias("_n"), F.min("_sum").alias("_miny"))
     j = join_on(idcg, dcg, g, "left")
     bad = (F.col("_n") < 2) | (F.col("_miny") < 0)
 
@@ -160,34 +164,28 @@ def topk_recall(df: DataFrame, group: str | Sequence[str], y: str, p: str, key:
                 k_fraction: float = 0.1) -> DataFrame:
     """A4: |true top-k ∩ predicted top-k| / k, k = max(1, int(n*k_fraction)).
     Ties are broken by ``key`` ascending (deterministic); ``key`` identifies a row.
-
-    A row is surely in (its tie block ends before k) or out (it starts at or after k);
-    only the one tie block per group that straddles k is ordered by ``key``."""
+    Rows get their position in one order, then in the other; no join."""
     g = _cols(group)
-    d = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*g, y, p, *key)
-    return _topk(d, g, y, p, key, k_fraction, _blocks(d, g, y), _blocks(d, g, p))
+    a = _ranked_both(df, g, y, p, key).groupBy(*g).agg(*_top_counts(k_fraction))
+    return a.select(*g, _recall())
+
+
+def _ranked_both(df: DataFrame, g: list[str], y: str, p: str, key: Sequence[str]) -> DataFrame:
+    """The rows with both values, ranked in descending order on both sides."""
+    d = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*dict.fromkeys([*g, y, p, *key]))
+    ties = [c for c in key if c not in g]
+    return per_size(d, g, lambda x, cut: ranked_rows(ranked_rows(x, g, y, ties, "_y", descending=True, cut=cut), g, p, ties, "_p",
+                                                     descending=True, cut=cut))
 
 
-def _topk(d: DataFrame, g: list[str], y: str, p: str, key: Sequence[str], k_fraction: float,
-          ry: DataFrame, rp: DataFrame) -> DataFrame:
-    keys = [c for c in key if c not in g]
+def _top_counts(k_fraction: float) -> list[F.Column]:
+    k = _k_col(F.col("n"), k_fraction)
+    both = (F.col("_y_pos") < k) & (F.col("_p_pos") < k)
+    return [F.max(k).alias("_k"), F.sum(F.when(both, 1).otherwise(0)).alias("_h")]
 
-    def in_top(col: str, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-        r = _descending(blocks).withColumn("_k", _k_col(F.col("n"), k_fraction)) \
-            .select(*g, col, F.col("before").alias("_before"), F.col("cnt").alias("_cnt"), "_k")
-        near = r.filter(F.col("_before") < F.col("_k"))  # blocks that begin before k
-        x = join_on(d.select(*g, F.col(col), *[c for c in keys if c != col]), near, [*g, col])
-        sure = x.filter(F.col("_before") + F.col("_cnt") <= F.col("_k"))
-        edge = tie_positions(x.filter(F.col("_before") + F.col("_cnt") > F.col("_k")), [*g, col],
-                             [c for c in keys if c != col] or [col], "_r")
-        edge = edge.filter(F.col("_before") + F.col("_r") <= F.col("_k"))
-        return sure.select(*g, *keys).unionByName(edge.select(*g, *keys)), r.groupBy(*g).agg(F.max("_k").alias("_k"))
 
-    ty, ks = in_top(y, ry)
-    tp, _ = in_top(p, rp)
-    hits = join_on(ty, tp, [*g, *keys]).groupBy(*g).agg(F.count(F.lit(1)).alias("_h"))
-    return join_on(ks, hits, g, "left").select(
-        *g, (F.coalesce(F.col("_h"), F.lit(0)) / F.col("_k")).alias("top_10_recall"))
+def _recall() -> F.Column:
+    return (F.col("_h") / F.col("_k")).alias("top_10_recall")
 
 
 def topk_items(df: DataFrame, group: str | Sequence[str], score: str, key: Sequence[str],
@@ -206,10 +204,9 @@ def auc_by_group(df: DataFrame, group: str | Sequence[str], label: str, score: s
     Defined only when the 0/1 label takes both values in the group, else NULL."""
     g = _cols(group)
     d = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-    vc = value_counts(d, g, score,
-                      F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_pos"),
-                      F.sum(F.when(~F.col(label).isin(0, 1), 1).otherwise(0)).alias("_oth"))
-    r = rank_values(vc, g, score)
+    counts = [F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_pos"),
+              F.sum(F.when(~F.col(label).isin(0, 1), 1).otherwise(0)).alias("_oth")]
+    r = per_size(d, g, lambda x, cut: rank_values(value_counts(x, g, score, *counts), g, score, cut=cut))
     a = r.groupBy(*g).agg(F.sum("_pos").alias("_p"), F.max("n").alias("_n"),
                           F.sum("_oth").alias("_o"),
                           F.sum(F.col("_pos") * F.col("avg_rank")).alias("_sr"))
@@ -223,14 +220,13 @@ def auc_by_group(df: DataFrame, group: str | Sequence[str], label: str, score: s
 def assay_metrics(df: DataFrame, group: str | Sequence[str], y: str, p: str, label: str | None,
                   key: Sequence[str], k_fraction: float = 0.1) -> DataFrame:
     """A1: every ranking metric per group, one row per group: A2 with its p-value, A3, A4 and A5.
-    The tie blocks of both orders are ranked once and shared by the metrics."""
+    Rows are ranked once in each order; the ranked rows are written and shared by the metrics."""
     g = _cols(group)
-    d = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
-    d = d.select(*g, y, p, *[c for c in key if c not in (*g, y, p)])
-    ry, rp = _blocks(d, g, y), _blocks(d, g, p, F.sum(y).alias("_sy"))
-    out = spearman_pvalue(_spearman(d, g, y, p, "spearman", ry, rp))
-    out = join_on(out, _ndcg(g, y, k_fraction, ry, rp), g, "left")
-    out = join_on(out, _topk(d, g, y, p, key, k_fraction, ry, rp), g, "left")
+    x = written(_ranked_both(df, g, y, p, key), "ranks")
+    out = _spearman(x, g, "spearman", None, *_top_counts(k_fraction))
+    out = spearman_pvalue(out).select(*g, "n_variants", "spearman", "spearman_pval", _recall())
+    out = join_on(out, _ndcg(x.withColumn("_gain", F.col(y)), g, y, k_fraction), g, "left")
+    out = out.select(*g, "n_variants", "spearman", "spearman_pval", "ndcg", "ndcg_10", "top_10_recall")
     if label is None:
         return out.withColumn("auc", F.lit(None).cast("double"))
     return join_on(out, auc_by_group(df, g, label, p), g, "left")

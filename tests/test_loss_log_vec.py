@@ -8,6 +8,7 @@ import pytest
 from gradus.operators import log as LG
 from gradus.operators import loss as L
 from gradus.operators import vectors as VX
+from tests.conftest import cut_groups
 
 
 def listmle_ref(yt, yp, mask):
@@ -153,7 +154,7 @@ def test_ranking_list_plan_invariants(spark):
         assert len(items) == len(set(items))
 
 
-def test_suffix_sums_across_blocks(spark):
+def test_suffix_sums_across_blocks(spark, monkeypatch):
     rows = [(1, i, None if i == 17 else float(i % 7), float(i) / 10, int(i % 5 > 0)) for i in range(50)] + [(None, 1, 1.0, 2.0, 1), (None, 2, 2.0, 1.0, 1)]
     sm = spark.createDataFrame(rows, "list_id int, i int, y_true double, y_pred double, valid int")
     want = {}
@@ -162,15 +163,15 @@ def test_suffix_sums_across_blocks(spark):
         mx = max(r[3] for r in own)
         for k, r in enumerate(own):
             want[g, r[1]] = sum(math.exp(x[3] - mx) * x[4] for x in own[k:])
-    for block in (4, 4096):
-        got = {(r.list_id, r.i): r.suffix for r in L.suffix_logsumexp(sm, "list_id", "y_true", "y_pred", ["i"], "valid", block=block).collect()}
+    for ranges in (None, 6):
+        cut_groups(monkeypatch, ranges)
+        got = {(r.list_id, r.i): r.suffix for r in L.suffix_logsumexp(sm, "list_id", "y_true", "y_pred", ["i"], "valid").collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
-@pytest.mark.parametrize("whole", [65536, 3])
-def test_hinge_equals_pairs(spark, monkeypatch, whole):
-    from gradus.functions import ranking
-    monkeypatch.setattr(ranking, "WHOLE", whole)
+@pytest.mark.parametrize("ranges", [None, 9])
+def test_hinge_equals_pairs(spark, monkeypatch, ranges):
+    cut_groups(monkeypatch, ranges)
     rng = np.random.default_rng(4)
     rows = [(g, i, float(rng.integers(0, 6)), float(rng.integers(0, 30)) / 10) for g, n in ((1, 40), (2, 1), (3, 2), (None, 9)) for i in range(n)]
     rows += [(4, i, 1.0, float(i)) for i in range(5)] + [(5, 0, None, 1.0), (5, 1, 2.0, None), (5, 2, 1.0, 0.5), (5, 3, 3.0, 0.0)]

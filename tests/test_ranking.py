@@ -1,5 +1,5 @@
-"""Ranking metrics on literal edge cases, brute-force references, and the
-equality of the bounded-group (window) and hot-group (bucket) plans."""
+"""Ranking metrics on literal edge cases, brute-force references, and the equality of the
+window plan and the range-sorted plan."""
 
 import math
 
@@ -7,9 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gradus.functions import ranking
 from gradus.functions.ranking import discount_sum_rows, rank_values, value_counts
 from gradus.functions.special import t_two_sided_p
 from gradus.operators import rank as R
+from tests.conftest import cut_groups
 
 
 def avg_ranks(x):
@@ -112,11 +114,15 @@ def test_topk_recall_bounds_and_ties(lit_df):
         assert 0.0 <= r.top_10_recall <= 1.0
 
 
-def test_ranges_do_not_change_ranks(spark):
+def test_ranges_do_not_change_ranks(spark, monkeypatch):
     from gradus.plans import views as V
     d = V.v_pred(spark, "/root/testdata/sf0.001")
     vc = value_counts(d, "dms_id", "pred")
-    whole, cut = ({(r.dms_id, r.pred): (r.before, r.n) for r in rank_values(vc, "dms_id", "pred", whole=w).collect()} for w in (65536, 2))
+    got = []
+    for n in (None, 23):
+        cut_groups(monkeypatch, n)
+        got.append({(r.dms_id, r.pred): (r.before, r.n) for r in rank_values(vc, "dms_id", "pred").collect()})
+    whole, cut = got
     assert whole == cut
     by = {}
     for (g, v), _ in sorted(whole.items()):
@@ -129,14 +135,69 @@ def test_ranges_do_not_change_ranks(spark):
             at += counts[g, v]
 
 
-def test_order_of_nan_and_null(spark):
+VALUES = {
+    "string": [str(i) for i in range(1, 31)] + ["a", "B", "é", "", None],
+    "date": [f"20{i:02d}-0{1 + i % 9}-11" for i in range(30)] + [None],
+    "decimal(20,3)": [f"{(-1) ** i * i * 7}.125" for i in range(30)] + [None],
+    "timestamp": [f"2024-01-{1 + i % 28:02d} 0{i % 9}:00:00" for i in range(30)],
+    "double": ["NaN", "-0.5", "1e300", "-Infinity", "7", "10", "9", None],
+    "long": [str(9007199254740993 + i) for i in range(12)] + ["-3", "3", None],
+}
+
+
+@pytest.mark.parametrize("kind", VALUES)
+def test_every_type_ranks_like_a_window(spark, monkeypatch, kind):
+    """A hot group (most rows, cut into ranges) and small ones, in the type's own order."""
+    from pyspark.sql.window import Window
+
+    cut_groups(monkeypatch, 5)
+    rows = [(g, v, 1 + i % 3, i) for i, v in enumerate(VALUES[kind] * 2) for g in ("hot", *(["x"] if i % 5 == 0 else []), *([None] if i % 7 == 0 else []))]
+    df = spark.createDataFrame(rows, "g string, v string, w long, i long").withColumn("v", F.col("v").cast(kind)).distinct()
+    vc = df.groupBy("g", "v").agg(F.sum("w").alias("cnt"))
+    for down in (False, True):
+        order = F.col("v").desc_nulls_last() if down else F.col("v").asc_nulls_last()
+        w = Window.partitionBy("g").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        want = vc.withColumn("before", F.coalesce(F.sum("cnt").over(w), F.lit(0))).withColumn("n", F.sum("cnt").over(Window.partitionBy("g")))
+        cols = ["g", F.col("v").cast("string").alias("v"), "cnt", "before", "n"]
+        assert sorted(map(str, rank_values(vc, "g", "v", descending=down).select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
+        got = ranking.row_positions(df, "g", "v", ["i"], "pos", descending=down)
+        want = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy(order, "i")))
+        assert sorted(map(tuple, got.select("g", "i", "pos").collect()), key=str) == sorted(map(tuple, want.select("g", "i", "pos").collect()), key=str)
+
+
+@pytest.mark.parametrize("down", [False, True])
+def test_ranked_rows_with_hot_ties(spark, monkeypatch, down):
+    """Tie blocks and groups cut into ranges against windows; rows count a weight."""
+    from pyspark.sql.window import Window
+
+    cut_groups(monkeypatch, 9)
+    rows = [(g, v, 1 + i % 4, i) for i in range(400) for g, v in ((1, 0.0 if i % 3 else float(i % 7)), (None, float("nan") if i % 2 else None)) if g or i % 5 == 0]
+    df = spark.createDataFrame(rows, "g int, v double, w long, i long")
+    got = ranking.ranked_rows(df, "g", "v", ["i"], "r", "w", descending=down)
+    by = Window.partitionBy("g").orderBy(F.col("v").desc_nulls_last() if down else F.col("v").asc_nulls_last())
+    upto = F.sum("w").over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    tie = F.sum("w").over(Window.partitionBy("g", "v"))
+    pos = F.sum("w").over(by.orderBy(F.col("v").desc_nulls_last() if down else F.col("v").asc_nulls_last(), "i").rowsBetween(Window.unboundedPreceding, -1))
+    want = df.select("g", "i", F.coalesce(pos, F.lit(0)), upto - tie, tie, F.sum("w").over(Window.partitionBy("g")))
+    assert sorted(map(tuple, got.select("g", "i", "r_pos", "r_start", "r_cnt", "n").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_sums_without_a_group(spark, monkeypatch):
+    cut_groups(monkeypatch, 4)
+    df = spark.range(200).select(F.col("id"), (F.col("id") * 2).alias("x"))
+    got = ranking.sorted_sums(df, [], [F.col("id").desc()], {"x": "after"}).collect()
+    assert all(r.after == sum(2 * i for i in range(r.id + 1, 200)) and r.after_all == 39800 for r in got)
+
+
+def test_order_of_nan_and_null(spark, monkeypatch):
     """NaN is the largest number, NULL is last in both directions, a NULL group is a group."""
     nan = float("nan")
     rows = [(g, v, c) for g in (1, None) for v, c in ((1.0, 2), (nan, 3), (None, 5), (-2.0, 1))]
     vc = spark.createDataFrame(rows, "g int, v double, cnt long")
-    for w in (65536, 1):
-        up = {(r.g, str(r.v)): r.before for r in rank_values(vc, "g", "v", whole=w).collect()}
-        down = {(r.g, str(r.v)): r.before for r in rank_values(vc, "g", "v", descending=True, whole=w).collect()}
+    for n in (1, 6):
+        cut_groups(monkeypatch, n)
+        up = {(r.g, str(r.v)): r.before for r in rank_values(vc, "g", "v").collect()}
+        down = {(r.g, str(r.v)): r.before for r in rank_values(vc, "g", "v", descending=True).collect()}
         for g in (1, None):
             assert [up[g, k] for k in ("-2.0", "1.0", "nan", "None")] == [0, 1, 3, 6]
             assert [down[g, k] for k in ("nan", "1.0", "-2.0", "None")] == [0, 3, 5, 6]
@@ -206,10 +267,9 @@ def _windows(rows, k_fraction=0.1):
     return out
 
 
-@pytest.mark.parametrize("whole", [65536, 4])
+@pytest.mark.parametrize("whole", [None, 7])
 def test_topk_recall_equals_sorting(spark, monkeypatch, whole):
-    from gradus.functions import ranking
-    monkeypatch.setattr(ranking, "WHOLE", whole)
+    cut_groups(monkeypatch, whole)
     rng = np.random.default_rng(2)
     rows = [(g, float(rng.integers(0, 4)), float(rng.integers(0, 5)), i) for g, n in ((1, 90), (2, 7), (None, 40)) for i in range(n)]
     df = spark.createDataFrame(rows, "g int, y double, p double, i int")
@@ -236,14 +296,13 @@ def test_assay_metrics_equal_the_operators(spark):
 
 def test_ranges_do_not_change_metrics(spark, monkeypatch):
     """A third of the rows in one group, and every group cut into many ranges."""
-    from gradus.functions import ranking
     from gradus.plans import views as V
     from gradus.plans.q_rank import KEY
     d = V.v_pred(spark, "/root/testdata/sf0.001") \
         .withColumn("grp", F.when(F.col("dms_id") % 3 == 0, F.lit(-1)).otherwise(F.when(F.col("dms_id") % 3 == 1, F.col("dms_id"))))
     got = []
-    for whole in (65536, 5):
-        monkeypatch.setattr(ranking, "WHOLE", whole)
+    for whole in (None, 5):
+        cut_groups(monkeypatch, whole)
         got.append({r[0]: tuple(r)[1:] for r in R.assay_metrics(d, "grp", "dms_score", "pred", "dms_score_bin", KEY).collect()})
     assert got[0].keys() == got[1].keys() and {-1, None} <= got[0].keys()
     for k in got[0]:
