@@ -3,6 +3,7 @@ sources, token-id output. Each stage reads what the one before it wrote."""
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,4 +74,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        gc.collect()  # a stage's models and broadcasts end with it
     return docs

@@ -134,14 +134,17 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     ship_package(labelled.sparkSession)
     sample = training_sample(labelled, doc_id, text, lang, rows, size)
     n = sample.mapInArrow(gram_counts, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
-    got = n.toPandas()  # at most size * (ORDER + 1) entries and one more text per language
-    langs = sorted(got["lang"].unique())
+    got = n.toArrow()  # at most size * (ORDER + 1) entries and one more text per language
+    names = got.column("lang").combine_chunks().dictionary_encode() if got.num_rows else pa.array([], pa.string()).dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
+    rank = np.array([langs.index(x) for x in names.dictionary.to_pylist()], dtype=np.int64)
+    column, order, gram, number = rank[names.indices.to_numpy()] if len(langs) else np.zeros(0, np.int64), *[got.column(c).to_numpy() for c in ("k", "gram", "n")]
     counts = {}
     for k in range(ORDER + 1):
-        own = got[got["k"] == k]
-        g, at = np.unique(own["gram"].to_numpy(np.int64), return_inverse=True)
+        own = order == k
+        g, at = np.unique(gram[own].astype(np.int64), return_inverse=True)
         c = np.zeros((len(g), len(langs)))
-        c[at, np.searchsorted(langs, own["lang"].to_numpy(str))] = own["n"].to_numpy()
+        c[at, column[own]] = number[own]
         counts[k] = g, c
     return Trees(langs, counts)
 
@@ -179,7 +182,7 @@ def predict(docs: DataFrame, trees: Trees, text: str = "text", keep: list[str] |
     docs = rename_clashes(docs, ["lang_pred", "score", "bits_per_byte"])
     keep = [c for c in (docs.columns if keep is None else keep) if c in docs.columns]
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    d = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), body.alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), body.alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     model = spark.sparkContext.broadcast(trees)
     schema = T.StructType([d.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
     out = d.mapInArrow(_predictor(model), schema)

@@ -14,9 +14,10 @@ share a member of their prefixes, the first ``n - ceil(n * num / den) + 1`` memb
   slices: the universe is dealt to more slices than two similar sets can differ in members, so
   similar sets agree on a whole slice. This is exact, and linear in the number of sets.
 * Members of a group, of a pair of groups with several classes, or of a slice, form buckets of any
-  size. Each bucket first compares its members with its smallest one; the links found give
-  components; only members outside a bucket's largest component are then compared with the bucket's
-  members of other components. Links inside a component don't change it, so none is lost.
+  size. Each bucket first compares its members with its smallest one, then, where the links found
+  leave several components, with ``PIVOTS`` members outside the largest one, picked by hash; members still
+  outside are compared with the bucket's members of other components. Links inside a component
+  don't change it, so none is lost.
 * Pairs pass a lower bound of their difference (each member flips one of ``64 * SKETCH`` bits, so
   the sets differ in at least as many members as their sketches do in bits) and are then verified
   on the whole sets.
@@ -35,9 +36,11 @@ from pyspark.sql import types as T
 from gradus.llm.common import IntTable, components, mix64, save, ship_package
 
 FREQUENT = 3e-4
-HOT = 64
+HOT = 128
 #: 64-bit words of a set's parity sketch.
-SKETCH = 32
+SKETCH = 16
+#: Members that every other member of a mixed bucket is compared with before the rest meet one by one.
+PIVOTS = 8
 #: Bits of an n-gram's hash; the others hold its frequency class in the global order.
 HASH_BITS = 58
 #: Byte tables: A-Z as a-z, and ASCII white space.
@@ -196,18 +199,26 @@ def size_classes(n: int, num: int, den: int) -> tuple[int, int, int]:
 
 
 def slice_keys(h: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Names of (pair of size classes, slice, content): similar sets share one."""
+    """Names of (pair of size classes, slice, content): similar sets share one.
+
+    Similar sets differ in at most ``most`` members, so they agree on at least ``m - most`` of m
+    slices. A set with fewer slices than that of less than w members keeps those of w or more: one of
+    the slices they agree on is among them, for the larger w of the two sets. So empty and tiny slices,
+    which many sets share, are left out without losing a pair."""
     i, top, after = size_classes(len(h), num, den)
     pairs = [(i, after)] if i == 0 else [(i, after), (i - 1, top)]
     out = []
     for c, largest in pairs:
         # |x| + |y| <= 2 * largest, and the overlap is at least num / (num + den) of it
-        m = 2 * largest * (den - num) // (den + num) + 1
+        most = 2 * largest * (den - num) // (den + num)
+        m = most + most // 3 + 4
         at = (mix64(h ^ np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(m)).astype(np.int64)
+        held = np.bincount(at, minlength=m)
+        w = max(x for x in range(4) if (held < x).sum() < m - most)
         part = np.argsort(at, kind="stable")
         sums = np.zeros(m, np.uint64)
         np.add.at(sums, at[part], mix64(h[part] ^ np.uint64(0x165667B19E3779F9)))
-        out.append(mix64(mix64(sums + np.arange(m, dtype=np.uint64)) + np.uint64(c)))
+        out.append(mix64(mix64(sums + np.arange(m, dtype=np.uint64)) + np.uint64(c))[held >= w])
     return np.concatenate(out)
 
 
@@ -292,6 +303,15 @@ def ordered(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
+def mixed_buckets(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """(bucket, cid, c: its component under ``links``, major: the bucket's largest one) of buckets with several components."""
+    labels = components(links, "a", "b")
+    own = buckets.join(labels, buckets["cid"] == labels["node"], "left").select("bucket", "cid", F.coalesce("component", "cid").alias("c"))
+    own = save(own, "join-labelled")
+    per = own.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts"))
+    return save(own.join(per.where("parts > 1").select("bucket", F.col("m.c").alias("major")), "bucket"), "join-mixed")
+
+
 def _set_ids(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,37 +376,41 @@ def near_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, d
     single = save(passing(cand.where("z1 = 1 and z2 = 1").select(*ordered(F.col("o1"), F.col("o2"))), classes, num, den), "join-single")
     several = cand.where("z1 > 1 or z2 > 1").withColumn("bucket", F.xxhash64("g1", "g2"))
     several = several.select("bucket", F.explode(F.array("g1", "g2")).alias("grp")).union(groups.where("size > 1").select(F.xxhash64("grp"), "grp"))
-    buckets = several.join(member, "grp").select("bucket", "cid", "n")
+    buckets = several.join(member, "grp").select("bucket", "cid")
     hot = member.join(hot, "grp").select("cid").distinct()
     need = (hot.withColumn("hot", F.lit(True)).union(single.select("a", F.lit(False))).union(single.select("b", F.lit(False)))
             .union(buckets.select("cid", F.lit(False))).groupBy("cid").agg(F.max("hot").alias("hot")))
     need = save(need.join(classes.select("cid", "rep", "n", "sketch"), "cid"), "join-need")
-    texts = need.select("cid", "rep", "hot").hint("merge").join(d, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text", "hot")
-    sets = save(texts.mapInArrow(_sets(width, num, den), "cid binary, members array<long>, slices array<long>"), "join-sets")
-    # a set comes twice only where rows repeat both its doc_id and its text
-    twice = save(full.groupBy("cid", "doc_id").agg(F.count("*").alias("k")).where("k > 1").select("cid").distinct(), "join-twice")
-    sets = sets.join(twice, "cid", "left_anti").union(sets.join(twice, "cid", "left_semi").dropDuplicates(["cid"]))
-    slices = sets.select("cid", F.explode("slices").alias("bucket")).join(need.select("cid", "n"), "cid").select("bucket", "cid", "n")
-    buckets = save(buckets.union(slices).distinct(), "join-buckets")
+    # texts come by doc_id; where rows repeat one or have none, by their set
+    odd = save(rows.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 or doc_id is null").select(F.col("doc_id").alias("id")), "join-odd")
+    same, by = F.col("rep").eqNullSafe(F.col("id")), need.select("cid", "rep", "hot")
+    plain = by.join(odd, same, "left_anti").hint("merge").join(d, F.col("doc_id") == F.col("rep")).select("cid", "text", "hot")
+    again = d.join(odd, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(F.struct("text").alias("packed"), "text")
+    again = again.mapInArrow(_set_ids(width), T.StructType([again.schema["packed"], T.StructField("cid", T.BinaryType())]))
+    again = by.join(odd, same, "left_semi").join(again, "cid").dropDuplicates(["cid"]).select("cid", "packed.text", "hot")
+    sets = save(plain.union(again).mapInArrow(_sets(width, num, den), "cid binary, members array<long>, slices array<long>"), "join-sets")
+    slices = sets.select(F.explode("slices").alias("bucket"), "cid")
+    buckets = save(buckets.union(slices), "join-buckets")
     many = buckets.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
     buckets = save(buckets.join(many, "bucket"), "join-shared")
     pivots = buckets.groupBy("bucket").agg(F.min("cid").alias("pivot"))
     star = buckets.join(pivots, "bucket").where("cid <> pivot").select(*ordered(F.col("pivot"), F.col("cid"))).distinct()
     star = passing(star, need, num, den)
     first = save(verified(star.union(single).distinct(), sets, num, den), "join-links")
-    labels = components(first, "a", "b")
-    own = buckets.join(labels, buckets["cid"] == labels["node"], "left").select("bucket", "cid", "n", F.coalesce("component", "cid").alias("c"))
-    own = save(own, "join-labelled")
-    per = own.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts"))
-    mixed = own.join(per.where("parts > 1").select("bucket", F.col("m.c").alias("major")), "bucket")
-    mixed = save(mixed, "join-mixed")
-    mixed = mixed.join(need.select("cid", "sketch"), "cid")
+    # buckets whose members are in several components: first each meets some of those outside the largest one
+    mixed = mixed_buckets(buckets, first)
+    by_hash = [F.min(F.struct(F.xxhash64(F.lit(i), "cid").alias("h"), "cid")).alias(f"p{i}") for i in range(PIVOTS)]
+    some = mixed.where("c <> major").groupBy("bucket").agg(*by_hash)
+    some = some.select("bucket", F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.cid") for i in range(PIVOTS)]))).alias("pivot"))
+    again = mixed.join(some, "bucket").where("cid <> pivot").select(*ordered(F.col("pivot"), F.col("cid"))).distinct()
+    second = first.union(save(verified(passing(again, need, num, den), sets, num, den), "join-links"))
+    # then those still outside meet all members of other components
+    mixed = mixed_buckets(mixed.select("bucket", "cid"), second).join(need.select("cid", "n", "sketch"), "cid")
     side = lambda x: (F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("sketch").alias(f"x{x}"))
     out, rest = mixed.where("c <> major").select("bucket", *side("a")), mixed.select("bucket", *side("b"))
     both = (F.col("ca") != F.col("cb")) & _fits("na", "nb", num, den) & near_enough("na", "nb", "xa", "xb", num, den)
     more = out.join(rest, "bucket").where(both).select(*ordered(F.col("a"), F.col("b"))).distinct()
-    second = verified(more, sets, num, den)
-    comp = components(first.union(second), "a", "b")
+    comp = components(second.union(verified(more, sets, num, den)), "a", "b")
     named = classes.select("cid", "rep").join(comp, classes["cid"] == comp["node"], "left").select("cid", "rep", F.coalesce("component", "cid").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"), F.min(F.struct(F.col("rep").isNull(), "rep", "cid")).alias("w"))
     named = save(named.join(least, "c").select("cid", "component_id", (F.col("cid") == F.col("w.cid")).alias("wins")), "join-named")

@@ -117,3 +117,22 @@ def components_of(rows):
 def test_empty(spark, make):
     assert J.near_classes(make([])).count() == 0
     assert [tuple(r) for r in J.near_classes(make([(1, None, "en", "s", 1)])).collect()] == [(1, 0, 1)]
+
+
+@pytest.mark.parametrize("num, den", [(90, 100), (8, 10)])
+def test_similar_sets_share_a_slice(num, den):
+    """Sets at the threshold, of every size, share a key; few keys are of empty slices."""
+    r = np.random.default_rng(5)
+    for n in [*range(1, 40), 75, 200, 777, 3000]:
+        for _ in range(6):
+            x = r.integers(0, 1 << 58, n, dtype=np.uint64)
+            lost = r.integers(0, n + 1)
+            while True:  # as different as the threshold allows
+                new = r.integers(0, n + 1)
+                both, union = n - lost, n + new
+                if both * den >= union * num or lost == 0:
+                    break
+                lost -= 1
+            y = np.concatenate([x[lost:], r.integers(0, 1 << 58, new if both * den >= (n + new) * num else 0, dtype=np.uint64)])
+            if len(y):
+                assert set(J.slice_keys(x, num, den).tolist()) & set(J.slice_keys(np.sort(y), num, den).tolist())
