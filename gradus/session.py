@@ -23,6 +23,11 @@ DEFAULTS = {
 }
 
 
+def local_heap_gb() -> int:
+    """Heap of a local session: three eighths of the machine's memory, so that Python workers have room; 1 to 16 GB."""
+    return max(1, min(16, os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") * 3 // (8 << 30)))
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "gradus", extra: dict | None = None) -> SparkSession:
     b = SparkSession.builder.appName(app_name)
@@ -31,7 +36,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     given = SparkConf()  # what the deployment has set
     fill = dict(DEFAULTS)
     if (master or given.get("spark.master", "local")).startswith("local"):
-        fill["spark.driver.memory"] = os.environ.get("GRADUS_DRIVER_MEMORY", "16g")
+        fill["spark.driver.memory"] = os.environ.get("GRADUS_DRIVER_MEMORY", f"{local_heap_gb()}g")
     for k, v in fill.items():
         if not given.contains(k):
             b = b.config(k, v)
