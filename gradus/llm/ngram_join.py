@@ -303,6 +303,14 @@ def ordered(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
+def across(some: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's ``some`` with its members of other components, where sizes and sketches allow the similarity."""
+    side = lambda x: (F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("sketch").alias(f"x{x}"))
+    ok = (F.col("ca") != F.col("cb")) & _fits("na", "nb", num, den) & near_enough("na", "nb", "xa", "xb", num, den)
+    both = some.select("bucket", *side("a")).join(members.select("bucket", *side("b")), "bucket").where(ok)
+    return both.select(*ordered(F.col("a"), F.col("b"))).distinct()
+
+
 def mixed_buckets(buckets: DataFrame, links: DataFrame) -> DataFrame:
     """(bucket, cid, c: its component under ``links``, major: the bucket's largest one) of buckets with several components."""
     labels = components(links, "a", "b")
@@ -398,18 +406,15 @@ def near_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, d
     star = passing(star, need, num, den)
     first = save(verified(star.union(single).distinct(), sets, num, den), "join-links")
     # buckets whose members are in several components: first each meets some of those outside the largest one
-    mixed = mixed_buckets(buckets, first)
+    mixed = mixed_buckets(buckets, first).join(need.select("cid", "n", "sketch"), "cid")
     by_hash = [F.min(F.struct(F.xxhash64(F.lit(i), "cid").alias("h"), "cid")).alias(f"p{i}") for i in range(PIVOTS)]
     some = mixed.where("c <> major").groupBy("bucket").agg(*by_hash)
-    some = some.select("bucket", F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.cid") for i in range(PIVOTS)]))).alias("pivot"))
-    again = mixed.join(some, "bucket").where("cid <> pivot").select(*ordered(F.col("pivot"), F.col("cid"))).distinct()
-    second = first.union(save(verified(passing(again, need, num, den), sets, num, den), "join-links"))
+    some = some.select("bucket", F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.cid") for i in range(PIVOTS)]))).alias("cid"))
+    again = across(mixed.join(some, ["bucket", "cid"], "left_semi"), mixed, num, den)
+    second = first.union(save(verified(again, sets, num, den), "join-links"))
     # then those still outside meet all members of other components
     mixed = mixed_buckets(mixed.select("bucket", "cid"), second).join(need.select("cid", "n", "sketch"), "cid")
-    side = lambda x: (F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("sketch").alias(f"x{x}"))
-    out, rest = mixed.where("c <> major").select("bucket", *side("a")), mixed.select("bucket", *side("b"))
-    both = (F.col("ca") != F.col("cb")) & _fits("na", "nb", num, den) & near_enough("na", "nb", "xa", "xb", num, den)
-    more = out.join(rest, "bucket").where(both).select(*ordered(F.col("a"), F.col("b"))).distinct()
+    more = across(mixed.where("c <> major"), mixed, num, den)
     comp = components(second.union(verified(more, sets, num, den)), "a", "b")
     named = classes.select("cid", "rep").join(comp, classes["cid"] == comp["node"], "left").select("cid", "rep", F.coalesce("component", "cid").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"), F.min(F.struct(F.col("rep").isNull(), "rep", "cid")).alias("w"))
