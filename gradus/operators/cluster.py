@@ -6,10 +6,9 @@ C1  shingle sets (one row per text) -> every pair that can reach the thresholds,
     partner. Equal sets enter once, their copies are linked to the smallest id (a star).
 C2  every candidate edge is verified exactly on the shingle sets
     (identity = shared / smaller set, coverage on both / query / target side).
-C3  connected components of the verified edges by min-label propagation with
-    pointer jumping; each round is checkpointed into the cluster's shared
-    checkpoint folder, so lineage stays short and lost executors recompute
-    only the current round.
+C3  connected components of the verified edges by edge contraction, so the edge table falls every
+    round; each round is checkpointed into the cluster's shared checkpoint folder, so lineage
+    stays short and lost executors recompute only the current round.
 
 Shingle identity is the first 48 bits of md5(shingle text), so the same
 hashing can be reproduced in SQL for the oracle.
@@ -140,32 +139,57 @@ def identity_coverage_filter(cand: DataFrame, sets: DataFrame, identity: float =
     return x.filter((F.col("identity") >= identity) & (F.col("coverage") >= coverage))
 
 
+def _contract(edges: DataFrame, number: int) -> DataFrame:
+    """(node, label) for every node that has an edge: the node of its closed neighbourhood with the
+    smallest hash. The hash changes with the round, so about half the nodes of a chain or of a hub's
+    leaves share a label whatever their ids are."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    def drawn(c: str) -> F.Column:
+        return F.struct(F.xxhash64(F.col(c), F.lit(number)).alias("h"), F.col(c).alias("node"))
+
+    near = both.groupBy("a").agg(F.min(drawn("b")).alias("near"))
+    return near.select(F.col("a").alias("node"), F.least(drawn("a"), F.col("near"))["node"].alias("label"))
+
+
+def _renamed(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The edges between labels; edges inside a label are gone."""
+    x = edges.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a") \
+        .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    return x.where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+
+
 def cluster_components(items: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
     """(representative, member) for every item; representative = smallest id of its
-    connected component. Min-label propagation with pointer jumping; one scalar
-    action per round (the number of changed labels); labels are checkpointed each
-    round into the shared checkpoint folder (reliable, not executor-local)."""
+    connected component. Edge contraction: each round every node takes the label of a neighbour or
+    its own, and the next round sees the edges between labels alone, so nodes and edges fall
+    geometrically (chains, hubs and stars included) and the tables of all rounds together are of the
+    size of the first. Then labels are looked up backwards, last round first. Each round's tables are
+    checkpointed into the shared checkpoint folder; one scalar action a round (is an edge left).
+    Edges with a null end or to themselves link nothing."""
     spark = items.sparkSession
     ensure_checkpoint_dir(spark)
-    und = edges.select(F.col("id").alias("a"), F.col("rep").alias("b")) \
-        .unionByName(edges.select(F.col("rep").alias("a"), F.col("id").alias("b"))).distinct()
-    und = und.checkpoint()  # computed once; every round reads the written edge table
-    labels = items.select(F.col(id_col).alias("node")).distinct().withColumn("label", F.col("node"))
-    labels = labels.checkpoint()
-    while True:
-        nbr = und.join(labels.withColumnRenamed("node", "b").withColumnRenamed("label", "lb"), "b") \
-                 .groupBy(F.col("a").alias("node")).agg(F.min("lb").alias("nl"))
-        step = labels.join(nbr, "node", "left") \
-            .select("node", "label", F.least("label", F.coalesce("nl", "label")).alias("new"))
-        # pointer jumping: adopt the label of the new label
-        jump = step.join(step.select(F.col("node").alias("new"), F.col("new").alias("nn")), "new", "left") \
-            .select("node", "label", F.least("new", F.coalesce("nn", "new")).alias("new"))
-        jump = jump.checkpoint()
-        changed = jump.filter(F.col("new") != F.col("label")).limit(1).count()
-        labels = jump.select("node", F.col("new").alias("label"))
-        if changed == 0:  # labels only fall, so this comes
-            break
-    return labels.select(F.col("label").alias("representative"), F.col("node").alias("member"))
+    nodes = items.select(F.col(id_col).alias("node")).distinct()
+    left = edges.where("id is not null and rep is not null and id <> rep") \
+        .select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct().checkpoint()
+    rounds = []
+    while not left.isEmpty():  # labels of a component fall to one, so this ends
+        labels = _contract(left, len(rounds)).checkpoint()
+        left = _renamed(left, labels).checkpoint()
+        rounds.append(labels)
+    found = None
+    for labels in reversed(rounds):
+        if found is not None:
+            later = found.select(F.col("node").alias("label"), F.col("label").alias("last"))
+            labels = labels.join(later, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+        found = labels
+    if found is None:
+        return nodes.select(F.col("node").alias("representative"), F.col("node").alias("member"))
+    found = found.checkpoint()
+    least = found.groupBy("label").agg(F.min("node").alias("representative"))
+    found = found.join(least, "label").select("node", "representative")
+    return nodes.join(found, "node", "left") \
+        .select(F.coalesce("representative", "node").alias("representative"), F.col("node").alias("member"))
 
 
 def max_containment(queries: DataFrame, corpus: DataFrame) -> DataFrame:
