@@ -16,6 +16,7 @@ from gradus.plans.q_score import SCORE_CTES, scores
 from gradus.plans.q_text import KW_CTES, T1_SQL, categorized
 from gradus.plans.registry import ORACLE, query
 from gradus.session import scratch_path
+from gradus.sources import documents as docs
 from gradus.sources import io
 from gradus.sources.tables import table
 from gradus.streaming import incremental as ST
@@ -87,6 +88,26 @@ def q_json_export(spark, d):
         F.count(F.lit(1)).alias("n_assays"), F.sum(F.size("matched_keywords")).cast("long").alias("n_keywords"))
 
 
+@query("category_documents", with_views("""
+select t.assigned_category as category, s.n_assays, s.n_variants, t.dms_id, t.original_type, t.confidence, t.reason,
+       len(case when t.matched_keywords = '' then [] else string_split(t.matched_keywords, ',') end)::int as n_keywords
+from t1 t join (select t1.assigned_category, count(*) as n_assays, coalesce(sum(a.num_mutants), 0)::bigint as n_variants
+                from t1 join v_assay a on a.dms_id = t1.dms_id group by t1.assigned_category) s
+  on s.assigned_category = t.assigned_category""", "v_assay", extra=KW_CTES + [("t1", T1_SQL)]))
+def q_category_documents(spark, d):
+    """Nested category lists with their decision log and the summary document, read back."""
+    path = scratch_path(spark, "category-documents")
+    docs.category_documents(categorized(spark, d), path)
+    by = StructType.fromDDL("assigned_category string").fields
+    entry = StructType.fromDDL("dms_id bigint, original_type string, matched_keywords array<string>, confidence string, "
+                               "reason string, num_mutants bigint")
+    rows = docs.read_lists(spark, path + "/lists", by, entry)
+    summary = spark.read.schema("assigned_category string, n_assays bigint, n_variants bigint").json(path + "/summary")
+    return rows.join(summary, "assigned_category").select(
+        F.col("assigned_category").alias("category"), "n_assays", "n_variants", "dms_id", "original_type", "confidence",
+        "reason", F.size("matched_keywords").alias("n_keywords"))
+
+
 # --------------------------------------------------------------- S7
 @query("scored_sink", with_views(f"""
 select o.o_orderpriority as dms_id, count(*) as n_rows, {r6('sum(s.zero_shot_score)')} as sum_score
@@ -171,6 +192,10 @@ EVENTS_SCHEMA = StructType([StructField("event_id", LongType()), StructField("ts
                             StructField("value", DoubleType()), StructField("props", StringType())])
 
 
+# a delivery holds the table's whole time span in any order, so replays may be as late as that
+REPLAY_DELAY = "3660 days"
+
+
 @query("incremental_scoring", f"""
 select e.event_id, e.event_type, {r6('e.value - t.mu')} as score
 from events e join (select event_type, avg(value) as mu from events group by event_type) t on t.event_type = e.event_type""")
@@ -185,6 +210,22 @@ def q_incremental_scoring(spark, d):
     return spark.read.schema("event_id bigint, event_type string, score double").parquet(out)
 
 
+@query("incremental_scoring_replay", f"""
+select e.event_id, e.event_type, {r6('e.value - t.mu')} as score
+from events e join (select event_type, avg(value) as mu from events group by event_type) t on t.event_type = e.event_type""")
+def q_incremental_scoring_replay(spark, d):
+    """ST1 with a producer that delivers every row again in files of their own: no row is scored twice."""
+    events = table(spark, d, "events")
+    static = events.groupBy("event_type").agg(F.avg("value").alias("mu"))
+    inbox, out, ck = (scratch_path(spark, f"st1-{x}") for x in ("inbox", "replay-out", "replay-ckpt"))
+    for _ in range(2):  # the second delivery adds nothing
+        events.write.mode("append").parquet(inbox)
+        stream = ST.without_replays(ST.file_stream(spark, inbox, events.schema), "event_id", "ts", REPLAY_DELAY)
+        ST.incremental_scoring(stream, static, "event_type", F.col("value") - F.col("mu"), out, ck,
+                               ["event_id", "event_type"])
+    return spark.read.schema("event_id bigint, event_type string, score double").parquet(out)
+
+
 @query("training_monitor", f"""
 select event_type as property, count(*) as n_events, max(ts) as latest_ts,
        {r6('arg_max(value, (ts, event_id))')} as latest_value, {r6('max(value)')} as best_value

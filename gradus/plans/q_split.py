@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gradus.operators import cluster as C
+from gradus.operators import sequence as SQ
 from gradus.operators import setops as U
 from gradus.operators import split as SP
 from gradus.plans import views as V
 from gradus.plans.oracle_views import r6, with_views
 from gradus.plans.q_text import KW_CTES, T1_SQL, categorized
 from gradus.plans.registry import query
+from gradus.session import scratch_path
+from gradus.sources import documents as D
 from gradus.sources.tables import fan_out, table
 
 SEED = 42
@@ -97,6 +101,50 @@ def q_leakage_audit_global(spark, d):
     return SP.leakage_audit(assay_split(spark, d, "global"), "dms_id", "protein", "cluster")
 
 
+SPLIT_PARAMETERS = {"identity_threshold": C.IDENTITY, "coverage": C.COVERAGE, "coverage_mode": "both",
+                    "test_fraction": TEST_FRACTION, "random_seed": SEED}
+
+
+def _written_split(spark, d, mode):
+    path = scratch_path(spark, "split-documents")
+    D.write_split(assay_split(spark, d, mode), path, SPLIT_PARAMETERS)
+    return path
+
+
+@query("split_documents", with_views("select split, dms_id, category, cluster from split", "v_assay",
+                                     extra=BASE + SPLIT_PER_CAT))
+def q_split_documents(spark, d):
+    """The written lists of a split, read back."""
+    by = StructType.fromDDL("split string").fields
+    entry = StructType.fromDDL("dms_id bigint, category string, cluster string")
+    return D.read_lists(spark, _written_split(spark, d, "per_category") + "/lists", by, entry)
+
+
+@query("split_leaks", with_views("""
+select 'cluster' as level, cluster from split group by cluster having count(distinct split) > 1""", "v_assay",
+                                 extra=BASE + SPLIT_PER_CAT))
+def q_split_leaks(spark, d):
+    """Clusters that the written validation names as being on both sides."""
+    by = StructType.fromDDL("level string").fields
+    return D.read_lists(spark, _written_split(spark, d, "per_category") + "/leaks", by,
+                        StructType.fromDDL("cluster string"))
+
+
+@query("split_metadata", with_views(f"""
+select {C.IDENTITY}::double as identity_threshold, {C.COVERAGE}::double as coverage, 'both' as coverage_mode,
+       {TEST_FRACTION}::double as test_fraction, {SEED}::int as random_seed, v.* from ({AUDIT_SQL}) v""", "v_assay",
+                                    extra=BASE + SPLIT_GLOBAL))
+def q_split_metadata(spark, d):
+    """Parameters and validation of the split, read back from the metadata document."""
+    levels = ", ".join(f"{side}_{level}: bigint" for level in ("assays", "proteins", "clusters")
+                       for side in ("train", "test"))
+    schema = ("identity_threshold double, coverage double, coverage_mode string, test_fraction double, random_seed int, "
+              f"validation struct<{levels}, n_id_overlap: bigint, n_protein_overlap: bigint, "
+              "n_cluster_overlap: bigint, valid: boolean>")
+    x = spark.read.schema(schema).json(_written_split(spark, d, "global") + "/metadata")
+    return x.select(*SPLIT_PARAMETERS, "validation.*")
+
+
 @query("set_overlap", with_views("""
 select cluster from split where split = 'train' intersect select cluster from split where split = 'test'""",
                                  "v_assay", extra=BASE + SPLIT_PER_CAT))
@@ -242,6 +290,49 @@ def q_cluster_components(spark, d):
     return doc_clusters(spark, d)
 
 
+# --------------------------------------------------------------- short sequences (v_assay, sequence = phenotype)
+SEQ_CLUSTER_IDENTITY = 0.9
+SEQ_CTES = [
+    ("seqs", "select distinct dms_id as id, phenotype as s from v_assay where phenotype is not null and length(phenotype) > 0"),
+    ("firsts", "select s, min(id) as rep, length(s) as n from seqs group by s"),
+]
+
+
+def seq_links_ctes(identity: float) -> list[tuple[str, str]]:
+    """Every link from all pairs of different sequences, without any candidate rule."""
+    return SEQ_CTES + [
+        ("pairs", """select a.rep as id, b.rep, levenshtein(a.s, b.s)::int as distance, greatest(a.n, b.n) as longer,
+                            least(a.n, b.n) as shorter from firsts a join firsts b on a.rep > b.rep"""),
+        ("links", f"""select id, rep, distance, 1 - distance / longer as identity, shorter / longer as coverage
+                      from pairs where 1 - distance / longer >= {identity} - 1e-9
+                                   and shorter / longer >= {SQ.COVERAGE} - 1e-9
+                      union all select q.id, f.rep, 0, 1, 1 from seqs q join firsts f on f.s = q.s where q.id <> f.rep"""),
+    ]
+
+
+@query("sequence_links", with_views(
+    f"select id, rep, distance, {r6('identity')} as identity, {r6('coverage')} as coverage from links",
+    "v_assay", extra=seq_links_ctes(SQ.IDENTITY)))
+def q_sequence_links(spark, d):
+    """C1 and C2 for sequences: pairs by edit identity."""
+    return SQ.edit_links(V.v_assay(spark, d), "dms_id", "phenotype")
+
+
+@query("sequence_clusters", _recursive(with_views("""
+select coalesce(c.mn, f.rep, q.dms_id) as representative, q.dms_id as member
+from (select distinct dms_id, phenotype from v_assay) q left join firsts f on f.s = q.phenotype
+left join (select a, min(b) as mn from reach group by a) c on c.a = f.rep""", "v_assay",
+    extra=seq_links_ctes(SEQ_CLUSTER_IDENTITY) + [
+        ("und", "select id as a, rep as b from links where distance > 0 union select rep as a, id as b from links "
+                "where distance > 0 union select rep, rep from firsts"),
+        ("reach", "select a, b from und union select r.a, u.b from reach r join und u on u.a = r.b")])))
+def q_sequence_clusters(spark, d):
+    """C1-C3 for sequences: components of the edit-identity links."""
+    seqs = V.v_assay(spark, d).select("dms_id", "phenotype")
+    links = SQ.edit_links(seqs, "dms_id", "phenotype", identity=SEQ_CLUSTER_IDENTITY)
+    return C.cluster_components(seqs, links.select("id", "rep"), "dms_id")
+
+
 @query("attach_cluster", _recursive(with_views("""
 select s.doc_id, s.category, c.representative as cluster from v_seq s left join clusters c on c.member = s.doc_id""",
                                                "v_seq", extra=CLUSTER_CTES)))

@@ -3,7 +3,8 @@
 ST1 scores only the rows it has not scored yet: a file-source stream joined to a
 static table, written by a parquet sink with a checkpoint, run with
 ``trigger(availableNow=True)``. A re-run after an interruption resumes from the
-checkpoint's offsets, and the sink's commit log keeps every batch exactly once.
+checkpoint's offsets, and the sink's commit log keeps every batch exactly once. Rows that a producer
+delivers again in other files are left out by key within a watermark (``without_replays``).
 
 ST2 keeps the latest status and best-so-far value per property from a log stream
 as a streaming aggregation (state in the checkpoint), published per micro-batch
@@ -27,6 +28,16 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, glob: str
     return r.parquet(folder)
 
 
+def without_replays(stream: DataFrame, key: str | list[str], ts: str, delay: str) -> DataFrame:
+    """ST1: the first row of every key; a row that is delivered again, in a file of any name, is left
+    out. State is one entry a key whose time is within ``delay`` of the newest time seen and is
+    dropped behind it, so it doesn't grow with the stream. ``delay`` must cover how late a first or a
+    repeated delivery may be: rows behind the watermark, null times included, count as replays."""
+    keys = [key] if isinstance(key, str) else list(key)
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    return timed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+
+
 def incremental_scoring(stream: DataFrame, static: DataFrame, on: str | list[str], score, out_path: str,
                         checkpoint: str, columns: list[str]) -> int:
     """ST1: stream-static join, score, append to parquet; returns the number of
