@@ -163,51 +163,85 @@ WEIGHT_ROW_SCHEMA = StructType([
 _DTYPES = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "BF16": None, "I64": "<i8", "I32": "<i4"}
 
 
-def _tensor_rows(fs, file: str, keep: str, block: int) -> Iterator[tuple[str, int, np.ndarray]]:
-    """(name, first row, rows) of a file's tensors, by ranged reads of about ``block`` bytes."""
-    with fs.open_input_file(file) as f:
-        n = struct.unpack("<Q", f.read_at(8, 0))[0]
-        header = json.loads(f.read_at(n, 8).decode("utf-8"))
-        for name, meta in header.items():
-            if name == "__metadata__" or keep not in name:
-                continue
-            kind = meta["dtype"]
-            store = np.dtype("<u2" if kind == "BF16" else _DTYPES[kind])
-            shape = meta["shape"] or [1]
-            rows, width = (shape[0], int(np.prod(shape[1:]))) if len(shape) > 1 else (1, shape[0])
-            step = max(1, block // max(1, width * store.itemsize))
-            for r in range(0, rows, step):
-                k = min(step, rows - r)
-                raw = f.read_at(k * width * store.itemsize, 8 + n + meta["data_offsets"][0] + r * width * store.itemsize)
-                a = np.frombuffer(raw, dtype=store)
-                if kind == "BF16":
-                    a = (a.astype(np.uint32) << 16).view(np.float32)
-                yield name, r, a.astype("float64").reshape(k, width)
+RANGE_SCHEMA = StructType([
+    StructField("path", StringType()), StructField("name", StringType()), StructField("kind", StringType()),
+    StructField("width", LongType()), StructField("at", LongType()), StructField("first", LongType()),
+    StructField("rows", LongType())])
+
+
+def _opened(path: str):
+    import re
+
+    import pyarrow.fs as pafs
+    fs, file = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return fs.open_input_file(file)
+
+
+def _stored(kind: str) -> np.dtype:
+    return np.dtype("<u2" if kind == "BF16" else _DTYPES[kind])
+
+
+def _tensor_ranges(f, keep: str, block: int) -> Iterator[tuple[str, str, int, int, int, int]]:
+    """(name, kind, width, place in the file, first row, rows) of a file's kept tensors, from its
+    header alone, about ``block`` bytes each."""
+    n = struct.unpack("<Q", f.read_at(8, 0))[0]
+    for name, meta in json.loads(f.read_at(n, 8).decode("utf-8")).items():
+        if name == "__metadata__" or keep not in name:
+            continue
+        shape = meta["shape"] or [1]
+        rows, width = (shape[0], int(np.prod(shape[1:]))) if len(shape) > 1 else (1, shape[0])
+        long = width * _stored(meta["dtype"]).itemsize
+        step = max(1, block // max(1, long))
+        for r in range(0, rows, step):
+            yield name, meta["dtype"], width, 8 + n + meta["data_offsets"][0] + r * long, r, min(step, rows - r)
+
+
+def _read_range(f, kind: str, width: int, at: int, rows: int) -> np.ndarray:
+    store = _stored(kind)
+    a = np.frombuffer(f.read_at(rows * width * store.itemsize, at), dtype=store)
+    if kind == "BF16":
+        a = (a.astype(np.uint32) << 16).view(np.float32)
+    return a.astype("float64").reshape(rows, width)
 
 
 def weights_ingest(spark: SparkSession, path: str, keep: str = "lora_", block: int = 8 << 20) -> DataFrame:
     """Read many ``.safetensors`` files as row blocks (path, name, row, vals);
-    only tensors whose name contains ``keep``. The scan lists the files (no content); tasks read
-    the header and then ranges of ``block`` bytes, so memory doesn't grow with a file, and emit
-    Arrow arrays. Nothing passes through the driver."""
+    only tensors whose name contains ``keep``. The scan lists the files (no content); tasks read the
+    headers and name the ranges of about ``block`` bytes to read; the ranges, not the files, are dealt
+    over ``spark.sql.shuffle.partitions`` tasks, so one large file is read by many of them and
+    memory doesn't grow with a file. Nothing passes through the driver."""
     import pyarrow as pa
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.safetensors").load(path).select("path")
 
-    def run(batches: Iterator) -> Iterator:
-        import re
-
-        import pyarrow.fs as pafs
+    def plan(batches: Iterator) -> Iterator:
         for b in batches:
             for p in b.column(0).to_pylist():
-                fs, file = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", p))
-                for name, first, a in _tensor_rows(fs, file, keep, block):
-                    k, width = a.shape
-                    vals = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * width), pa.array(a.ravel()))
-                    yield pa.record_batch([pa.array([p] * k), pa.array([name] * k), pa.array(np.arange(first, first + k, dtype=np.int32)), vals],
-                                          names=["path", "name", "row", "vals"])
-
-    return files.mapInArrow(run, WEIGHT_ROW_SCHEMA)
+                with _opened(p) as f:
+                    found = [(p, *r) for r in _tensor_ranges(f, keep, block)]
+                for i in range(0, len(found), 4096):
+                    yield pa.record_batch([pa.array(c) for c in zip(*found[i:i + 4096])], names=RANGE_SCHEMA.names)
+
+    def read(batches: Iterator) -> Iterator:
+        for b in batches:
+            last, f = None, None
+            for r in sorted(b.to_pylist(), key=lambda r: (r["path"], r["at"])):
+                if r["path"] != last:
+                    if f is not None:
+                        f.close()
+                    last, f = r["path"], _opened(r["path"])
+                a = _read_range(f, r["kind"], r["width"], r["at"], r["rows"])
+                k, width = a.shape
+                vals = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * width), pa.array(a.ravel()))
+                yield pa.record_batch([pa.array([last] * k), pa.array([r["name"]] * k),
+                                       pa.array(np.arange(r["first"], r["first"] + k, dtype=np.int32)), vals],
+                                      names=["path", "name", "row", "vals"])
+            if f is not None:
+                f.close()
+
+    # a stated number of partitions: adaptive execution would join these few bytes to one task
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return files.mapInArrow(plan, RANGE_SCHEMA).repartition(tasks, "path", "name", "first").mapInArrow(read, WEIGHT_ROW_SCHEMA)
 
 
 def encode_safetensors(tensors: dict[str, np.ndarray]) -> bytes:

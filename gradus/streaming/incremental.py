@@ -32,7 +32,8 @@ def without_replays(stream: DataFrame, key: str | list[str], ts: str, delay: str
     """ST1: the first row of every key; a row that is delivered again, in a file of any name, is left
     out. State is one entry a key whose time is within ``delay`` of the newest time seen and is
     dropped behind it, so it doesn't grow with the stream. ``delay`` must cover how late a first or a
-    repeated delivery may be: rows behind the watermark, null times included, count as replays."""
+    repeated delivery may be: rows behind the watermark count as replays. A row without a time has no
+    place in it and may not be recognised when it comes again."""
     keys = [key] if isinstance(key, str) else list(key)
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     return timed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)

@@ -25,6 +25,16 @@ def test_safetensors_round_trip(spark):
     assert st.n_params == 12 and st.n_tensors == 2 and st.n_layers == 1
 
 
+def test_one_file_is_read_by_many_tasks(spark):
+    d = tempfile.mkdtemp(prefix="gradus-st-")
+    big = np.arange(64000.0).reshape(1000, 64)
+    with open(os.path.join(d, "a.safetensors"), "wb") as fh:
+        fh.write(io.encode_safetensors({"x.lora_A.weight": big, "x.bias": np.ones((5, 2)), "y.lora_B.weight": np.ones((0, 3))}))
+    rows = io.weights_ingest(spark, d, block=8192).withColumn("task", F.spark_partition_id()).collect()
+    assert [r.vals for r in sorted(rows, key=lambda r: r.row)] == big.tolist()
+    assert len({r.task for r in rows}) > 1
+
+
 def test_reference_csv_and_cluster_tsv(spark):
     d = tempfile.mkdtemp(prefix="gradus-csv-")
     with open(os.path.join(d, "ref.csv"), "w") as fh:
@@ -115,3 +125,54 @@ def test_early_stop_monitor_across_batches(spark):
     ref = {r.property: (r.best_epoch, r.best_val, r.stop_epoch, r.epochs_run)
            for r in LG.best_epoch_early_stop(df, patience=3).collect()}
     assert got == ref and got["p"] == (2, 0.3, 5, 5)
+
+
+def test_replayed_rows_are_scored_once(spark):
+    """Replays in the same batch, in a later file and with a changed value; new rows pass; a row
+    behind the watermark or without a time does not break the stream."""
+    import datetime as dt
+    src, out, ck = (tempfile.mkdtemp(prefix=f"gradus-{x}-") for x in ("replay", "replay-out", "replay-ck"))
+    schema = "id long, ts timestamp, k string, v double"
+    static = spark.createDataFrame([("a", 2.0)], "k string, w double")
+
+    def deliver(rows):
+        spark.createDataFrame([(i, ts, "a", v) for i, ts, v in rows], schema).coalesce(1).write.mode("append").parquet(src)
+        s = ST.without_replays(spark.readStream.schema(schema).parquet(src), "id", "ts", "2 hours")
+        ST.incremental_scoring(s, static, "k", F.col("v") * F.col("w"), out, ck, ["id"])
+        return sorted((r.id, r.score) for r in spark.read.parquet(out).collect())
+
+    t = dt.datetime(2024, 1, 1, 12)
+    hour = dt.timedelta(hours=1)
+    assert deliver([(1, t, 1.0), (1, t, 1.0), (2, t + hour, 2.0)]) == [(1, 2.0), (2, 4.0)]
+    assert deliver([(1, t, 9.0), (2, t + hour, 9.0)]) == [(1, 2.0), (2, 4.0)]
+    assert deliver([(3, t + 9 * hour, 3.0)]) == [(1, 2.0), (2, 4.0), (3, 6.0)]
+    assert deliver([(1, t, 1.0), (4, t + 8 * hour, 4.0), (5, None, 5.0)])[:4] == [(1, 2.0), (2, 4.0), (3, 6.0), (4, 8.0)]
+
+
+def test_list_documents_are_bounded(spark):
+    """A hot list is split into parts, a NULL list and null entries are kept, all rows come back."""
+    from pyspark.sql.types import StructType
+    from gradus.sources import documents as D
+    rows = [(i, "hot" if i % 3 else None, f"x{i}" if i % 5 else None) for i in range(900)]
+    x = spark.createDataFrame(rows, "id long, side string, note string")
+    lists = D.list_documents(x, ["side"], "id", ["id", "note"], rows=50)
+    sizes = [(r.side, len(r.entries)) for r in lists.collect()]
+    assert len([s for s in sizes if s[0] == "hot"]) == 12 and max(n for _, n in sizes) < 100
+    path = tempfile.mkdtemp(prefix="gradus-lists-")
+    D.write_documents(lists, path)
+    back = D.read_lists(spark, path, StructType.fromDDL("side string").fields, StructType.fromDDL("id bigint, note string"))
+    assert sorted((r.id, r.side, r.note) for r in back.collect()) == rows
+    assert D.list_documents(x.limit(0), ["side"], "id", ["id"]).count() == 0
+
+
+def test_split_outputs_name_their_leaks(spark):
+    from pyspark.sql.types import StructType
+    from gradus.sources import documents as D
+    split = spark.createDataFrame([(1, "c", "p1", "k1", "train"), (2, "c", "p2", "k1", "test"), (3, "c", "p3", "k2", "test")],
+                                  "dms_id long, category string, protein string, cluster string, split string")
+    path = tempfile.mkdtemp(prefix="gradus-split-")
+    D.write_split(split, path, {"random_seed": 42})
+    leaks = D.read_lists(spark, path + "/leaks", StructType.fromDDL("level string").fields, StructType.fromDDL("cluster string"))
+    assert [tuple(r) for r in leaks.collect()] == [("cluster", "k1")]
+    meta = spark.read.json(path + "/metadata").first()
+    assert meta.random_seed == 42 and not meta.validation.valid and meta.validation.n_cluster_overlap == 1
