@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import pandas as pd
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -86,6 +86,40 @@ def _ranked_pairs(df: DataFrame, g: list[str], y: str, p: str) -> DataFrame:
     return per_size(df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*dict.fromkeys([*g, y, p])), g, both)
 
 
+def spearman_by_model(df: DataFrame, group: str | Sequence[str], y: str, models: Column, columns: Sequence[str],
+                      out: str = "spearman") -> DataFrame:
+    """A2 for several predictions of the same items, one row an item: (labels..., group..., n_variants, spearman).
+
+    ``models`` is an array of structs (labels..., pred) made of ``columns``. The measured value is ranked
+    once a group, before the rows are multiplied by the models; the models then stay in the partitions
+    of their group, so only the items are moved. In a group where a model lacks a prediction the rows of
+    a model differ: such groups alone are ranked a model at a time. Rows without ``y`` are ignored."""
+    g = _cols(group)
+    gap = F.exists(models, lambda m: m["pred"].isNull())
+    labels = [f.name for f in df.select(models.alias("_m")).schema["_m"].dataType.elementType.fields if f.name != "pred"]
+    lg = [*labels, *g]
+
+    def of_models(x: DataFrame, *kept: str) -> DataFrame:
+        return x.select(*g, y, *kept, F.explode(models).alias("_m")) \
+            .select(*[F.col(f"_m.{c}").alias(c) for c in labels], *g, y, *kept, F.col("_m.pred").alias("_pred"))
+
+    def ranks(x: DataFrame, cut: bool) -> DataFrame:
+        if cut:
+            gaps = x.where(gap).select(*g).distinct()
+            whole, some = join_on(x, gaps, g, "left_anti"), join_on(x, gaps, g, "left_semi")
+        else:
+            x = x.withColumn("_gap", F.max(gap).over(Window.partitionBy(*g)))
+            whole, some = x.where(~F.col("_gap")), x.where("_gap")
+        ties = [c for c in columns if c not in g and c != y]
+        a = of_models(ranked_rows(whole, g, y, ties, "_y", cut=cut), "_y_start", "_y_cnt")
+        b = ranked_rows(of_models(some).where("_pred is not null"), lg, y, ["_pred"], "_y", cut=cut)
+        both = [ranked_rows(z.select(*lg, y, "_pred", "_y_start", "_y_cnt"), lg, "_pred", [y], "_p", cut=cut) for z in (a, b)]
+        return both[0].unionByName(both[1])
+
+    rows = df.where(F.col(y).isNotNull()).select(*dict.fromkeys([*g, y, *columns]))
+    return _spearman(per_size(rows, g, ranks), lg, out, None)
+
+
 def _spearman(x: DataFrame, g: list[str], out: str, weight: str | None, *extra: F.Column) -> DataFrame:
     m = (F.col("n") + 1) / F.lit(2.0)
     dy, dp = mid_rank("_y") - m, mid_rank("_p") - m
@@ -239,7 +273,18 @@ def cross_property_matrix(pred: DataFrame, categories: Sequence[str], model: str
     """Mean per-assay Spearman for every model (rows) x category (columns).
     NULL Spearman values are skipped by the mean; the columns come from the given
     category list, so no extra job discovers them."""
-    sp = spearman_by_group(pred, [model, group, category], y, p)
+    return _matrix(spearman_by_group(pred, [model, group, category], y, p), categories, model, category)
+
+
+def cross_property_matrix_shared(items: DataFrame, categories: Sequence[str], models: Column, columns: Sequence[str],
+                                 model: str = "model", group: str = "dms_id", category: str = "category",
+                                 y: str = "y") -> DataFrame:
+    """A6 from one row an item and an array of its predictions (``spearman_by_model``): the measured
+    value is ranked once for all models."""
+    return _matrix(spearman_by_model(items, [group, category], y, models, columns), categories, model, category)
+
+
+def _matrix(sp: DataFrame, categories: Sequence[str], model: str, category: str) -> DataFrame:
     # the pivot as conditional averages over the given categories: one partial
     # aggregation and one exchange (a pivot() would add a second aggregation step)
     return sp.groupBy(model).agg(*[F.avg(F.when(F.col(category) == c, F.col("spearman"))).alias(c.lower())

@@ -175,7 +175,8 @@ def _matrix_sql() -> str:
 
 @query("cross_property_matrix", _matrix_sql())
 def q_cross_property_matrix(spark, d):
-    return R.cross_property_matrix(V.v_model_pred(spark, d), MODEL_CATEGORIES)
+    items, models, columns = V.v_model_items(spark, d)
+    return R.cross_property_matrix_shared(items, MODEL_CATEGORIES, models, columns)
 
 
 # --------------------------------------------------------------- O2

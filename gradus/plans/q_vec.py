@@ -199,12 +199,11 @@ def _grid_sql() -> str:
     extra=[("grid", _grid_sql())]))
 def q_alpha_grid(spark, d):
     li = table(spark, d, "lineitem")
-    pts = F.explode(F.array(*[F.struct(F.lit(a).alias("a1"), F.lit(b).alias("a2")) for a in GRID for b in GRID]))
-    x = li.select(F.col("l_partkey").alias("dms_id"), F.col("l_extendedprice").alias("y"), "l_quantity",
-                  "l_discount", pts.alias("g")) \
-        .select("g.a1", "g.a2", "dms_id", "y",
-                (F.col("g.a1") * F.col("l_quantity") + F.col("g.a2") * F.col("l_discount")).alias("pred"))
-    sp = R.spearman_by_group(x, ["a1", "a2", "dms_id"], "y", "pred")
+    x = li.select(F.col("l_partkey").alias("dms_id"), F.col("l_extendedprice").alias("y"), "l_quantity", "l_discount")
+    points = F.array(*[F.struct(F.lit(a).alias("a1"), F.lit(b).alias("a2"),
+                                (F.lit(a) * F.col("l_quantity") + F.lit(b) * F.col("l_discount")).alias("pred"))
+                       for a in GRID for b in GRID])
+    sp = R.spearman_by_model(x, "dms_id", "y", points, ["l_quantity", "l_discount"])
     return sp.groupBy("a1", "a2").agg(F.count(F.lit(1)).alias("n_assays"), F.avg("spearman").alias("mean_spearman"))
 
 

@@ -57,6 +57,17 @@ def v_model_pred(spark: SparkSession, d: str) -> DataFrame:
             .select("m.model", "dms_id", "category", "y", F.col("m.pred").alias("pred"), *LINE_KEY))
 
 
+def v_model_items(spark: SparkSession, d: str) -> tuple[DataFrame, F.Column, list[str]]:
+    """The rows of ``v_model_pred`` before the models are unpivoted: items, array of predictions, its columns."""
+    part = table(spark, d, "part").select("p_partkey", "p_type")
+    preds = {"quantity": "l_quantity", "discount": "l_discount", "tax": "l_tax"}
+    li = table(spark, d, "lineitem")
+    items = li.join(part, li.l_partkey == part.p_partkey).select(
+        F.col("l_partkey").alias("dms_id"), F.col("p_type").alias("category"), F.col("l_extendedprice").alias("y"), *preds.values())
+    models = F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("pred")) for m, c in preds.items()])
+    return items, models, list(preds.values())
+
+
 def v_list(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     return li.select(F.col("l_partkey").alias("list_id"), "l_orderkey", "l_linenumber", "l_suppkey",

@@ -2,6 +2,7 @@
 window plan and the range-sorted plan."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -323,3 +324,22 @@ def test_metrics_independent_of_shuffle_partitions(spark):
     assert len(out[0]) == len(out[1])
     for a, b in zip(*out):
         assert all((x is None and y is None) or x == pytest.approx(y, abs=1e-12) for x, y in zip(a, b))
+
+
+@pytest.mark.parametrize("ranges", [None, 3])
+def test_models_share_the_measured_ranks(spark, monkeypatch, ranges):
+    """Groups with a prediction missing, NULL groups, ties and NaN give what each model alone gives."""
+    cut_groups(monkeypatch, ranges)
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None, "gap"]), float(rng.randrange(6)) if rng.random() < 0.9 else None,
+             float(rng.randrange(5)), float("nan") if i % 17 == 0 else float(i % 9)) for i in range(240)]
+    rows = [(g, y, None if g == "gap" and i % 4 == 0 else p, q) for i, (g, y, p, q) in enumerate(rows)] + [("one", 1.0, 2.0, None)]
+    x = spark.createDataFrame(rows, "g string, y double, p double, q double")
+    models = F.array(F.struct(F.lit("p").alias("model"), F.col("p").alias("pred")),
+                     F.struct(F.lit("sum").alias("model"), (F.col("p") + F.col("q")).alias("pred")))
+    got = {(r.model, r.g): (r.n_variants, r.spearman) for r in R.spearman_by_model(x, "g", "y", models, ["p", "q"]).collect()}
+    long = x.select("g", "y", F.explode(models).alias("m")).select("m.model", "g", "y", "m.pred")
+    want = {(r.model, r.g): (r.n_variants, r.spearman) for r in R.spearman_by_group(long, ["model", "g"], "y", "pred").collect()}
+    assert got.keys() == want.keys()
+    for k, (n, rho) in want.items():
+        assert got[k][0] == n and got[k][1] == pytest.approx(rho, nan_ok=True)
