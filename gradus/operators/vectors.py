@@ -105,14 +105,20 @@ def compose(lowrank: DataFrame, coefficients: Mapping, scale: float = 1.0, first
     missing = lowrank.select(prop).distinct().join(coef, prop, "left_anti").limit(1).count()
     if missing:
         raise ValueError("missing scaling coefficient for a property")
-    delta = explode_blocks(materialize_delta(lowrank, scale), [prop, "prefix"])
+    delta = materialize_delta(lowrank, scale, [prop, "prefix"])
     if first_property is None:
         first = lowrank.agg(F.min(prop).alias(prop))
     else:
         first = spark.createDataFrame([(first_property,)], f"{prop} {lowrank.schema[prop].dataType.simpleString()}")
     prefixes = lowrank.join(F.broadcast(first), prop).select("prefix").distinct()
     d = delta.join(F.broadcast(coef), prop).join(prefixes, "prefix", "left_semi")
-    return d.groupBy("prefix", "r", "c").agg(F.sum(F.col("alpha") * F.col("v")).alias("v"))
+    # a matrix row of every property (as many as coefficients at most) is added up as blocks
+    rows = d.select("prefix", "r", F.transform("vals", lambda x: x * F.col("alpha")).alias("vals")) \
+        .groupBy("prefix", "r").agg(F.collect_list("vals").alias("_rows"))
+    zero = F.lit(0.0)
+    total = F.aggregate("_rows", F.array().cast("array<double>"),
+                        lambda acc, e: F.zip_with(acc, e, lambda x, y: F.coalesce(x, zero) + F.coalesce(y, zero)))
+    return explode_blocks(rows.select("prefix", "r", total.alias("vals")), ["prefix"])
 
 
 # ---------------------------------------------------------------- V5 / V7 factored forms
@@ -137,20 +143,24 @@ def delta_norm_factored(lowrank: DataFrame, key: Sequence[str] = ("property", "p
 
 
 def delta_cosine_factored(lowrank: DataFrame, prop: str = "property", eps: float = EPS) -> DataFrame:
-    """V7: cosine between the deltas of two properties over all shared prefixes,
-    <B1A1, B2A2> = sum((B1ᵀB2) ∘ (A1A2ᵀ)); pairs p1 <= p2 are computed and mirrored."""
+    """V7: cosine between the deltas of two properties over all shared prefixes; pairs p1 <= p2 are
+    computed and mirrored."""
+    return _cosine_from_dots(_pair_dots(lowrank, prop, "prefix").groupBy("p1", "p2").agg(F.sum("dot").alias("dot")), eps)
+
+
+def _pair_dots(lowrank: DataFrame, prop: str, prefix: str) -> DataFrame:
+    """(p1, p2, prefix, dot), p1 <= p2: <B1A1, B2A2> = sum((B1ᵀB2) ∘ (A1A2ᵀ)) without forming B @ A."""
     b = lowrank.filter(F.col("matrix") == "B")
     a = lowrank.filter(F.col("matrix") == "A")
-    gb = b.alias("x").join(b.alias("y"), ["prefix", "r"]).filter(F.col(f"x.{prop}") <= F.col(f"y.{prop}")) \
-        .groupBy(F.col(f"x.{prop}").alias("p1"), F.col(f"y.{prop}").alias("p2"), "prefix",
+    gb = b.alias("x").join(b.alias("y"), [prefix, "r"]).filter(F.col(f"x.{prop}") <= F.col(f"y.{prop}")) \
+        .groupBy(F.col(f"x.{prop}").alias("p1"), F.col(f"y.{prop}").alias("p2"), prefix,
                  F.col("x.c").alias("k"), F.col("y.c").alias("l")).agg(F.sum(F.col("x.v") * F.col("y.v")).alias("gb"))
-    ga = a.alias("x").join(a.alias("y"), ["prefix", "c"]).filter(F.col(f"x.{prop}") <= F.col(f"y.{prop}")) \
-        .groupBy(F.col(f"x.{prop}").alias("p1"), F.col(f"y.{prop}").alias("p2"), "prefix",
+    ga = a.alias("x").join(a.alias("y"), [prefix, "c"]).filter(F.col(f"x.{prop}") <= F.col(f"y.{prop}")) \
+        .groupBy(F.col(f"x.{prop}").alias("p1"), F.col(f"y.{prop}").alias("p2"), prefix,
                  F.col("x.r").alias("k"), F.col("y.r").alias("l")).agg(F.sum(F.col("x.v") * F.col("y.v")).alias("ga"))
     # complete pairs only: a prefix counts when both properties have both factors
-    inner = gb.join(ga, ["p1", "p2", "prefix", "k", "l"]).groupBy("p1", "p2") \
+    return gb.join(ga, ["p1", "p2", prefix, "k", "l"]).groupBy("p1", "p2", prefix) \
         .agg(F.sum(F.col("gb") * F.col("ga")).alias("dot"))
-    return _cosine_from_dots(inner, eps)
 
 
 def _cosine_from_dots(dots: DataFrame, eps: float) -> DataFrame:
@@ -183,11 +193,10 @@ def cosine_matrix(vecs: DataFrame, prop: str = "property", key: Sequence[str] =
 # ---------------------------------------------------------------- V12
 def layer_profile(lowrank: DataFrame, prop: str = "property", layer: str = "prefix") -> DataFrame:
     """Per layer the number of properties with a delta, the mean and largest norm, and the mean
-    cosine between the deltas of two properties (NULL with fewer than two)."""
-    norms = delta_norm_factored(lowrank)
-    d = explode_blocks(materialize_delta(lowrank, 1.0, [prop, layer]), [prop, layer])
-    x, y = d.withColumnsRenamed({prop: "p1", "v": "v1"}), d.withColumnsRenamed({prop: "p2", "v": "v2"})
-    dots = x.join(y, [layer, "r", "c"]).where("p1 < p2").groupBy(layer, "p1", "p2").agg(F.sum(F.col("v1") * F.col("v2")).alias("_dot"))
+    cosine between the deltas of two properties (NULL with fewer than two). Norms and inner products
+    come from Gram matrices, so no delta is formed."""
+    norms = delta_norm_factored(lowrank, [prop, layer])
+    dots = _pair_dots(lowrank, prop, layer).where("p1 < p2").withColumnRenamed("dot", "_dot")
     n1 = norms.select(layer, F.col(prop).alias("p1"), F.greatest("frob_norm", F.lit(EPS)).alias("_n1"))
     n2 = norms.select(layer, F.col(prop).alias("p2"), F.greatest("frob_norm", F.lit(EPS)).alias("_n2"))
     cos = dots.join(n1, [layer, "p1"]).join(n2, [layer, "p2"]).groupBy(layer) \
@@ -216,9 +225,13 @@ def weights_apply(base: DataFrame, lowrank: DataFrame, scaling: float = 1.0, pro
     ``missing_B`` for incomplete pairs, ``unmatched`` for complete ones without a base weight.
     The base table stays as it is."""
     k = [prop, prefix]
-    d = explode_blocks(materialize_delta(lowrank, scaling, k), k) \
-        .select(prop, base_name(F.col(prefix)).alias("name"), "r", "c", F.col("v").alias("_d"))
-    new = base.join(d, ["name", "r", "c"]).select(prop, "name", "r", "c", (F.col("v") + F.col("_d")).alias("v"))
+    d = materialize_delta(lowrank, scaling, k) \
+        .select(prop, base_name(F.col(prefix)).alias("name"), "r", F.col("vals").alias("_d"))
+    # a row of a base matrix meets the same row of the delta as one block
+    rows = base.groupBy("name", "r").agg(F.collect_list(F.struct("c", "v")).alias("_cv"))
+    inside = F.filter("_cv", lambda e: (e["c"] >= 0) & (e["c"] < F.size("_d")))
+    added = F.transform(inside, lambda e: F.struct(e["c"].alias("c"), (e["v"] + F.get("_d", e["c"].cast("int"))).alias("v")))
+    new = rows.join(d, ["name", "r"]).select(prop, "name", "r", F.inline(added))
     pairs = weights_pair(lowrank, k).select(prop, base_name(F.col(prefix)).alias("name"), "status")
     names = base.select("name").distinct()
     lost = pairs.where("status = 'complete'").join(names, "name", "left_anti").select(prop, "name", F.lit("unmatched").alias("status"))
