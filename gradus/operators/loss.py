@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.functions.ranking import join_on, per_size, rank_values, running_sums, sorted_sums, value_counts
+from gradus.functions.ranking import join_on, per_size, rank_values, row_positions, running_sums, sorted_sums, value_counts
 from gradus.sources.scratch import written
 
 EPS = 1e-10
@@ -138,26 +138,19 @@ def ranking_list_plan(variants: DataFrame, steps: DataFrame, assay: str, item: S
     items are permuted by md5(seed, epoch, assay, item) and cut into consecutive
     lists of ``list_size``; the k-th step that picks an assay gets its list
     k mod n_lists (every list of an assay is used before one repeats; an assay
-    with at most ``list_size`` items is used whole). All positions are exact
-    ranks from ``rank_values`` (skew-safe). Returns (step, assay, list_no, item...).
+    with at most ``list_size`` items is used whole). Positions are exact, by ``row_positions``
+    (skew-safe, no join back); assays of any type are numbered from a range-sorted table.
+    Returns (step, assay, list_no, item...).
     """
     assays = variants.groupBy(assay).agg(F.count(F.lit(1)).alias("n_items"))
     assays = written(sorted_sums(assays.withColumn("_1", F.lit(1).cast("long")), [], [F.col(assay).asc_nulls_last()], {"_1": "a_idx"})
-                     .withColumnRenamed("a_idx_all", "n_assays").drop("_1"), "assays")
-    # step -> assay number; the assay count is a one-row aggregate (size bound: 1 row)
-    one = assays.agg(F.max("n_assays").alias("n_assays")).withColumn("_g", F.lit(0))
-    st = steps.select("step", F.lit(0).alias("_g")).join(F.broadcast(one), "_g") \
-        .withColumn("a_idx", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)),
-                                                                      F.col("step").cast("string"))), 1, 7),
-                                          16, 10).cast("long"), F.col("n_assays")))
-    st = st.join(assays.select(assay, "a_idx", "n_items"), "a_idx")
-    occ = rank_values(st.select(assay, "step", F.lit(1).alias("cnt")), assay, "step") \
-        .select(assay, "step", F.col("before").alias("k"))
-    st = join_on(st, occ, [assay, "step"]) \
-        .withColumn("list_no", F.pmod(F.col("k"), F.ceil(F.col("n_items") / F.lit(list_size)).cast("long")))
+                     .select(assay, "n_items", "a_idx", F.col("a_idx_all").alias("n_assays")), "assays")
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("step").cast("string"))), 1, 7), 16, 10).cast("long")
+    st = steps.select("step", F.pmod(drawn, assays.agg(F.max("n_assays")).scalar()).alias("a_idx"))
+    st = row_positions(st.join(assays.select(assay, "a_idx", "n_items"), "a_idx"), assay, "step", [], "k")
+    st = st.withColumn("list_no", F.pmod(F.col("k") - 1, F.ceil(F.col("n_items") / F.lit(list_size)).cast("long")))
     perm = variants.select(assay, *item).withColumn(
         "_h", _md5_num(F.lit(seed), F.lit(epoch), F.col(assay), *[F.col(c) for c in item]))
-    pos = rank_values(perm.groupBy(assay, "_h").agg(F.count(F.lit(1)).alias("cnt")), assay, "_h") \
-        .select(assay, "_h", "before")
-    items = join_on(perm, pos, [assay, "_h"]).withColumn("list_no", F.floor(F.col("before") / list_size).cast("long"))
+    items = row_positions(perm, assay, "_h", item, "pos") \
+        .withColumn("list_no", F.floor((F.col("pos") - 1) / list_size).cast("long"))
     return st.select("step", assay, "list_no").join(items.select(assay, "list_no", *item), [assay, "list_no"])
