@@ -291,6 +291,11 @@ def passing(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFra
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar. Sets of no pair stay where they are when the names
+    in the written pairs are few enough for Spark to broadcast."""
+    pairs = save(pairs, "join-pairs")
+    named = pairs.select("a").union(pairs.select("b")).toDF("cid").distinct()
+    sets = sets.join(named, "cid", "left_semi")
     side = lambda x: sets.select(F.col("cid").alias(x), F.col("members").alias(f"s{x}"))
     # whole sets: too large to broadcast whatever their number here, so shuffled at every size
     j = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
