@@ -73,18 +73,22 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     names are dropped. Without: exactly the input's columns, whatever their names.
     A null source is a source of its own; null and empty texts have size 1; a null doc_id draws
     as the word ``null``; rows that repeat a doc_id share its draw, so repeated rows stay equally
-    often repeated. An empty table gives an empty table."""
-    names = ["copy", "n_copies", "mix_key"] if added else ["_mix_copy", "_mix_n", "_mix_key"]
+    often repeated. An empty table gives an empty table. Columns on the way have names that no
+    input column begins with."""
+    own = "_mix"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own = "_" + own
+    names = ["copy", "n_copies", "mix_key"] if added else [f"{own}_copy", f"{own}_n", f"{own}_key"]
     docs = rename_clashes(docs, names)
     rates = source_rates(docs, weights, alpha, epochs, text, source)
     draws = F.greatest(F.ceil(F.col("rate") / F.lit(MAX_MEAN)), F.lit(1)).cast("int")
-    rates = rates.withColumn("draws", draws).select(F.col("source").alias("_mix_source"), "draws", _cdf(F.col("rate") / F.col("draws")).alias("cdf"))
-    rates = save(rates.withColumnsRenamed({"draws": "_mix_draws", "cdf": "_mix_cdf"}), "mix-rates")
-    j = docs.join(rates, F.col(source).eqNullSafe(F.col("_mix_source")))
+    cdf = _cdf(F.col("rate") / F.col("draws"))
+    rates = rates.withColumn("draws", draws).select(F.col("source").alias(f"{own}_source"), F.col("draws").alias(f"{own}_draws"), cdf.alias(f"{own}_cdf"))
+    j = docs.join(save(rates, "mix-rates"), F.col(source).eqNullSafe(F.col(f"{own}_source")))
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
-    us = F.transform(F.sequence(F.lit(1), F.col("_mix_draws")), lambda i: uniform(F.lit(str(seed)), key, i.cast("string")))
-    n = F.aggregate(us, F.lit(0), lambda acc, u: acc + F.size(F.filter("_mix_cdf", lambda c: c <= u)))
-    out = j.withColumn(names[1], n).where(F.col(names[1]) > 0).drop("_mix_source", "_mix_draws", "_mix_cdf")
+    us = F.transform(F.sequence(F.lit(1), F.col(f"{own}_draws")), lambda i: uniform(F.lit(str(seed)), key, i.cast("string")))
+    n = F.aggregate(us, F.lit(0), lambda acc, u: acc + F.size(F.filter(f"{own}_cdf", lambda c: c <= u)))
+    out = j.withColumn(names[1], n).where(F.col(names[1]) > 0).drop(f"{own}_source", f"{own}_draws", f"{own}_cdf")
     out = out.withColumn(names[0], F.explode(F.sequence(F.lit(1), F.col(names[1]))))
     out = out.withColumn(names[2], F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), key, F.col(names[0]).cast("string")).cast("binary")))
     out = out.repartition(names[2]).sortWithinPartitions(names[2])

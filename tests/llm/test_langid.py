@@ -78,3 +78,10 @@ def test_held_out_accuracy(spark):
     p = QUERIES["op2_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
     p = p.where("held_out and lang is not null")
     assert p.where(F.col("lang") == F.col("lang_pred")).count() >= 0.97 * p.count() > 20
+
+
+def test_columns_with_dots_and_helper_names(make):
+    docs = make([(1, "hello there", "en", "s1", 1, 5, "x"), (2, "bonjour", "fr", "s1", 1, 6, "y")], ", `a.b` int, lettered string")
+    out = langid.predict(docs, langid.fit(docs))
+    assert out.columns == docs.columns + ["lang_pred", "score", "bits_per_byte"]
+    assert sorted((r.doc_id, r["a.b"], r.lettered, r.lang_pred) for r in out.collect()) == [(1, 5, "x", "en"), (2, 6, "y", "fr")]

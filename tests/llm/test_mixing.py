@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from gradus.llm import mixing
@@ -47,3 +48,15 @@ def test_copies_order_and_columns(spark, make, odd_rows):
     for r in rows:
         per.setdefault(r.doc_id, set()).add(r.n_copies)
     assert len(per.get(1, {0})) == 1
+
+
+@pytest.mark.parametrize("added", [True, False])
+def test_input_columns_of_helper_names_stay(make, added):
+    extra = ["_mix_source", "_mix_draws", "_mix_cdf", "_mix_copy", "_mix_n", "_mix_key", "_MIX_x", "a.b"]
+    docs = make([(i, f"text {i}", "en", "s1", 1, *range(8)) for i in range(20)], "".join(f", `{c}` int" for c in extra))
+    out = mixing.poisson_mix(docs, epochs=2.0, added=added)
+    assert out.columns == docs.columns + (["n_copies", "copy", "mix_key"] if added else [])
+    rows = out.collect()
+    assert rows and all(tuple(r)[5:13] == tuple(range(8)) for r in rows)
+    plain = mixing.poisson_mix(docs.select(*docs.columns[:5]), epochs=2.0)
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in plain.collect())
