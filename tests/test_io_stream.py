@@ -108,6 +108,11 @@ def test_training_monitor(spark):
     got = {r.property: r for r in ST.latest_table(spark, out).collect()}
     assert got["p1"].n_events == 5 and got["p1"].latest_value == float((9 * 7) % 5)
     assert got["p0"].best_value == max(float((i * 7) % 5) for i in range(0, 10, 2))
+    for i in range(2, 5):
+        spark.createDataFrame(rows[:i], "event_id long, ts timestamp_ntz, event_type string, value double").write.parquet(os.path.join(src, f"b{i}"))
+        ST.training_monitor(spark.readStream.schema(schema).parquet(os.path.join(src, "*")), "event_type", "ts", "value", "event_id", out, ck)
+    assert sorted(ST._batches(spark, out)) == [2, 3]
+    assert sum(r.n_events for r in ST.latest_table(spark, out).collect()) == 10 + 2 + 3 + 4
 
 
 def test_early_stop_monitor_across_batches(spark):
@@ -127,6 +132,57 @@ def test_early_stop_monitor_across_batches(spark):
     assert got == ref and got["p"] == (2, 0.3, 5, 5)
 
 
+def test_monitor_folders_stay_few(spark):
+    """Twelve batches, epochs out of order and replayed, properties that report once only, a NULL
+    property: the status equals the rule over all rows, and folders of old batches are gone."""
+    from gradus.operators import log as LG
+    rng = np.random.default_rng(5)
+    rows = [(p, e, float(rng.integers(0, 40))) for p in ("p", "q", None) for e in range(1, 49)] + [("once", 1, 0.5)]
+    late = {(p, e): e + int(rng.integers(0, 6)) for p, e, _ in rows}
+    order = sorted(rows, key=lambda r: (late[r[0], r[1]], str(r[0])))
+    schema = "property string, epoch int, val double"
+    src, out, ck = (tempfile.mkdtemp(prefix=f"gradus-{x}-") for x in ("few", "few-out", "few-ck"))
+    for i in range(12):
+        part = order[i * len(order) // 12:(i + 1) * len(order) // 12]
+        spark.createDataFrame(part + part[:1], schema).coalesce(1).write.parquet(os.path.join(src, f"b{i:02d}"))
+        stream = ST.file_stream(spark, os.path.join(src, "*"), spark.createDataFrame([], schema).schema)
+        ST.early_stop_monitor(stream, "property", "epoch", "val", 30, out, ck, lateness=8, compact_every=3)
+    fields = ("property", "best_epoch", "best_val", "stop_epoch", "epochs_run")
+    got = {tuple(r[f] for f in fields) for r in ST.latest_status(spark, out).collect()}
+    want = LG.best_epoch_early_stop(spark.createDataFrame(rows, schema), patience=30)
+    assert got == {tuple(r[f] for f in fields) for r in want.collect()} and len(got) == 4
+    assert sorted(ST._batches(spark, out)) == [8, 9, 10, 11]
+
+
+def test_patience_state_is_bounded():
+    """Epochs one by one: the rule's result is that of the whole history, what is held stays within
+    the lateness, and a replay of a final epoch changes nothing."""
+    import pandas as pd
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    fn, state, vals = ST._early_stop_fn("epoch", "val", 5, 4), State(), [1.0, 3.0, 2.0, 2.5, 4.0, 1.0, 1.0, 1.0, 1.0, 1.0, 9.0, 9.5]
+    for i, v in enumerate(vals):
+        for sent in ([(i + 1, v)], [(max(1, i - 6), 99.0)] if i > 7 else []):
+            frame = pd.DataFrame(sent, columns=["epoch", "val"])
+            out = list(fn(("p",), iter([frame] if sent else []), state))[0].iloc[0]
+        seen = list(enumerate(vals[:i + 1], 1))
+        best, last, stop, run = None, None, None, 0
+        for e, x in seen:
+            run += 1
+            if best is None or x > best:
+                best, last = x, e
+            elif e - last >= 5:
+                stop = e
+                break
+        assert (out.best_epoch, out.best_val, out.stop_epoch, out.epochs_run, out.last_epoch) == (last, best, stop, run, i + 1)
+        assert len(state.get[6]) <= 4 and len(state.get[7]) <= 4
+
+
 def test_replayed_rows_are_scored_once(spark):
     """Replays in the same batch, in a later file and with a changed value; new rows pass; a row
     behind the watermark or without a time does not break the stream."""
