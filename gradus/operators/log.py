@@ -21,15 +21,17 @@ def best_epoch_early_stop(log: DataFrame, group: str = "property", epoch: str =
                           patience: int = 5) -> DataFrame:
     """Per group the epoch where early stopping fires (first epoch with
     epochs-since-best >= patience; NULL if never), the best epoch and value among the
-    epochs that ran (strict improvement over the running best), and epochs run."""
+    epochs that ran (strict improvement over the running best), and epochs run. A NULL group is a
+    group; one exchange in all."""
     w_prev = Window.partitionBy(group).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
     w_cur = Window.partitionBy(group).orderBy(epoch).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = log.withColumn("_prev", F.max(metric).over(w_prev)) \
         .withColumn("improved", F.col("_prev").isNull() | (F.col(metric) > F.col("_prev")))
     x = x.withColumn("_last", F.max(F.when(F.col("improved"), F.col(epoch))).over(w_cur)) \
         .withColumn("epochs_since", (F.col(epoch) - F.col("_last")).cast("int"))
-    stop = x.groupBy(group).agg(F.min(F.when(F.col("epochs_since") >= patience, F.col(epoch))).alias("stop_epoch"))
-    ran = x.join(stop, group).filter(F.col("stop_epoch").isNull() | (F.col(epoch) <= F.col("stop_epoch")))
+    fired = F.when(F.col("epochs_since") >= patience, F.col(epoch))
+    x = x.withColumn("stop_epoch", F.min(fired).over(Window.partitionBy(group)))  # in the exchange of the windows before
+    ran = x.filter(F.col("stop_epoch").isNull() | (F.col(epoch) <= F.col("stop_epoch")))
     return ran.groupBy(group).agg(
         F.max_by(epoch, F.struct(F.col(metric), -F.col(epoch))).alias("best_epoch"),
         F.max(metric).alias("best_val"), F.first("stop_epoch").alias("stop_epoch"),
@@ -49,7 +51,7 @@ def running_mean(df: DataFrame, group: Sequence[str], pos: str, value: str, out:
                      F.coalesce(F.sum("_bc").over(wb), F.lit(0)).alias("_oc"))
     wi = Window.partitionBy(*g, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumn("_s", F.sum(value).over(wi)).withColumn("_c", F.count(F.lit(1)).over(wi))
-    x = x.join(tot, g + ["_blk"])
+    x = join_on(x, tot, g + ["_blk"])
     return x.withColumn(out, (F.col("_os") + F.col("_s")) / (F.col("_oc") + F.col("_c"))) \
             .drop("_blk", "_s", "_c", "_os", "_oc")
 
@@ -67,7 +69,8 @@ def latest_and_retention(listing: DataFrame, group: str, name: str = "name", kee
     w = Window.partitionBy(group).orderBy(F.col("step_num").desc(), F.col(name).desc())
     top = x.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= keep_last)
     top = top.withColumn("action", F.when(F.col("_r") == 1, F.lit("latest")).otherwise(F.lit("keep"))).drop("_r")
-    rest = x.join(top.select(group, name), [group, name], "left_anti").withColumn("action", F.lit("remove"))
+    kept = top.select(F.col(group).alias("_g"), F.col(name).alias("_name"))
+    rest = x.join(kept, x[group].eqNullSafe(kept["_g"]) & (x[name] == kept["_name"]), "left_anti").withColumn("action", F.lit("remove"))
     return top.unionByName(rest)
 
 

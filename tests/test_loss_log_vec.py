@@ -204,3 +204,14 @@ def test_lora_name_parsing(spark):
     p, m = VX.lora_parts("name")
     got = [(r.p, r.m) for r in df.select(p.alias("p"), m.alias("m")).collect()]
     assert got == [("m.layer.3.q", "A"), ("m.layer.3.q", "B"), (None, None), (None, None)]
+
+
+def test_log_operators_keep_a_null_group(spark):
+    rows = [(g, e, float(v), f"step_{e}") for g in ("a", None) for e, v in enumerate([3, 5, 4, 4, 4, 9], 1)]
+    df = spark.createDataFrame(rows, "property string, epoch int, val double, name string")
+    got = {r.property: (r.best_epoch, r.best_val, r.stop_epoch, r.epochs_run) for r in LG.best_epoch_early_stop(df, patience=3).collect()}
+    assert got == {"a": (2, 5.0, 5, 5), None: (2, 5.0, 5, 5)}
+    mean = {(r.property, r.epoch): r.running_loss for r in LG.running_mean(df, ["property"], "epoch", "val", block=2).collect()}
+    assert len(mean) == 12 and all(mean[g, 3] == 4.0 and mean[g, 6] == 29 / 6 for g in ("a", None))
+    kept = LG.latest_and_retention(df, "property").collect()
+    assert len(kept) == 12 and all(sorted(r.step_num for r in kept if r.property == g and r.action != "remove") == [4, 5, 6] for g in ("a", None))
