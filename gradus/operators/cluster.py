@@ -85,14 +85,19 @@ def _needed(n: F.Column, coverage: float) -> F.Column:
     return F.ceil(F.lit(float(coverage)) * n - F.lit(1e-9))
 
 
-def shingle_candidates(sets: DataFrame, coverage: float = COVERAGE, mode: str = "both") -> DataFrame:
+def shingle_candidates(sets: DataFrame, coverage: float = COVERAGE, mode: str = "both", positional: bool = False) -> DataFrame:
     """Candidate edges (id, rep), complete for the coverage: no pair that C2 keeps is missing.
 
     ``both``: undirected, id > rep, shared / larger set >= coverage; both ends look at their
     prefix and at the sizes. ``query``: id is covered by rep (shared / |id|), in either order of
     the ids; the prefix of id meets all shingles of rep. ``target``: rep is covered by id.
     Copies of a set give one edge each, to the smallest id of the set, in every mode. Shingles that
-    only one set holds can't be shared: they fill the front of a prefix without being joined."""
+    only one set holds can't be shared: they fill the front of a prefix without being joined.
+
+    ``positional``: a pair is emitted only at a shared shingle behind which enough of both sets is left
+    to reach the thresholds. The first shingle that a qualifying pair shares always is one, so C2's
+    result is the same from fewer candidates; the candidates themselves are fewer, so the plain C1
+    result doesn't use it."""
     if mode not in MODES:
         raise ValueError(f"unknown coverage mode: {mode}")
     s = sets.where(F.size("hs") > 0).select("id", F.array_sort("hs").alias("hs"))
@@ -104,14 +109,19 @@ def shingle_candidates(sets: DataFrame, coverage: float = COVERAGE, mode: str =
     own = Window.partitionBy("id")
     x = x.withColumn("_r", F.row_number().over(own.orderBy("df", "h"))).withColumn("_m", F.count(F.lit(1)).over(own))
     # the n - m unshared shingles are rarer than every shared one
-    pre = x.where(F.col("_r") <= F.col("_m") - _needed(F.col("n"), coverage) + 1).select("id", "n", "h")
+    x = x.select("id", "n", "h", "_r", "_m", (F.col("_m") - F.col("_r") + 1).alias("left"))
+    pre = x.where(F.col("_r") <= F.col("_m") - _needed(F.col("n"), coverage) + 1).select("id", "n", "h", "left")
+    other = [F.col("id").alias("rep"), F.col("n").alias("n_rep"), "h", F.col("left").alias("left_rep")]
+    least = _needed(F.col("n"), coverage)
     if mode == "both":
-        a, b = pre, pre.select(F.col("id").alias("rep"), F.col("n").alias("n_rep"), "h")
-        fits = (F.col("n_rep") >= _needed(F.col("n"), coverage)) & (F.col("n") >= _needed(F.col("n_rep"), coverage))
-        pairs = a.join(b, "h").where((F.col("id") > F.col("rep")) & fits)
+        least = F.greatest(least, _needed(F.col("n_rep"), coverage))
+        fits = (F.col("id") > F.col("rep")) & (F.least("n", "n_rep") >= least)
+        pairs = pre.join(pre.select(*other), "h").where(fits)
     else:
-        every = x.select(F.col("id").alias("rep"), F.col("n").alias("n_rep"), "h")
-        pairs = pre.join(every, "h").where((F.col("id") != F.col("rep")) & (F.col("n_rep") >= _needed(F.col("n"), coverage)))
+        pairs = pre.join(x.select(*other), "h").where((F.col("id") != F.col("rep")) & (F.col("n_rep") >= least))
+    if positional:
+        pairs = pairs.where(F.least("left", "left_rep") >= least)
+    if mode != "both":
         if mode == "target":
             pairs = pairs.select(F.col("rep").alias("id"), F.col("id").alias("rep"))
     return pairs.select("id", "rep").distinct().unionByName(copies)
@@ -194,15 +204,20 @@ def cluster_components(items: DataFrame, edges: DataFrame, id_col: str = "id") -
 
 def max_containment(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """For each query item the largest share of its shingles found in one corpus
-    item (exact, by an equi-join on the shingle hash) and how many corpus items it
-    touches. ``queries`` holds distinct (id, h); ``corpus`` may repeat. Returns
-    (id, n_shingles, max_shared, max_containment, n_hits)."""
+    item and how many corpus items it touches. ``queries`` holds distinct (id, h); ``corpus`` may
+    repeat. Returns (id, n_shingles, max_shared, max_containment, n_hits).
+
+    Exact, without a row for every touching pair: of each corpus item only the shingles that a query has
+    are kept, items that keep the same ones become one class with a count, and queries meet classes. So
+    a passage that a third of the corpus holds, and nothing else of the queries, is one class."""
     qs = queries.groupBy("id").agg(F.count(F.lit(1)).alias("n_shingles"))
-    c = corpus.select(F.col("id").alias("cid"), "h")
-    # the corpus side may repeat a shingle; distinct counting happens after the join,
-    # on the (much smaller) matched rows
-    shared = queries.join(c, "h").groupBy("id", "cid").agg(F.countDistinct("h").alias("shared"))
-    best = shared.groupBy("id").agg(F.max("shared").alias("max_shared"), F.count(F.lit(1)).alias("n_hits"))
+    own = corpus.select(F.col("id").alias("cid"), "h").join(queries.select("h").distinct(), "h", "left_semi")
+    sets = own.groupBy("cid").agg(F.array_sort(F.collect_set("h")).alias("hs"))
+    classes = sets.groupBy("hs").agg(F.count(F.lit(1)).alias("members"))
+    # a class goes by a digest of its shingles, so that the rows of the join stay narrow
+    name = F.sha2(F.array_join("hs", ",").cast("binary"), 256)
+    met = classes.select(name.alias("class"), "members", F.explode("hs").alias("h")).join(queries, "h")
+    shared = met.groupBy("id", "class", "members").agg(F.count(F.lit(1)).alias("shared"))
+    best = shared.groupBy("id").agg(F.max("shared").alias("max_shared"), F.sum("members").alias("n_hits"))
     x = qs.join(best, "id", "left").fillna(0, ["max_shared", "n_hits"])
     return x.withColumn("max_containment", F.col("max_shared") / F.col("n_shingles"))
-

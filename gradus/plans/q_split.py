@@ -186,7 +186,7 @@ def doc_candidates(spark, d):
 
 def doc_verified(spark, d):
     sh = doc_sets_once(spark, d)
-    return C.identity_coverage_filter(C.shingle_candidates(sh), sh)
+    return C.identity_coverage_filter(C.shingle_candidates(sh, positional=True), sh)
 
 
 def doc_clusters(spark, d):
@@ -274,7 +274,7 @@ def _containment(mode):
     def q_containment(spark, d):
         """C1 and C2 with the coverage on one side, in either order of the ids."""
         sh = doc_sets_once(spark, d)
-        return C.identity_coverage_filter(C.shingle_candidates(sh, mode=mode), sh, mode=mode) \
+        return C.identity_coverage_filter(C.shingle_candidates(sh, mode=mode, positional=True), sh, mode=mode) \
             .select("id", "rep", "shared", "n_id", "n_rep", "identity", "coverage")
 
     return q_containment
@@ -370,7 +370,7 @@ def _doc_split_pipeline(spark, d):
     seq = V.v_seq(spark, d).select("doc_id", "category", "text")
     uniq = U.distinct_first(seq, "doc_id", ["doc_id"], value="text")
     sh = C.materialize(C.shingle_sets(uniq, "doc_id", "text"))  # the dedup has dealt the rows
-    verified = C.materialize(C.identity_coverage_filter(C.shingle_candidates(sh), sh))
+    verified = C.materialize(C.identity_coverage_filter(C.shingle_candidates(sh, positional=True), sh))
     cl = C.cluster_components(uniq.select(F.col("doc_id").alias("id")), verified.select("id", "rep"))
     x = SP.attach_cluster(uniq.select("doc_id", "category"), cl, "doc_id")
     split = SP.stratified_group_split(x, TEST_FRACTION, SEED, "per_category", id_col="doc_id") \

@@ -145,3 +145,25 @@ def test_no_qualifying_pair_is_missed(spark, mode):
             if (i > j if mode == "both" else i != j) and m / min(a, b) >= 0.3 and cov >= 0.8:
                 want.add((i, j))
     assert got == want and len(want) > 20
+    every = {tuple(r) for r in C.shingle_candidates(df, mode=mode).collect()}
+    fewer = C.shingle_candidates(df, mode=mode, positional=True)
+    assert {tuple(r) for r in C.identity_coverage_filter(fewer, df, mode=mode).select("id", "rep").collect()} == want
+    assert {tuple(r) for r in fewer.collect()} < every
+
+
+def test_containment_with_a_hot_shingle(spark):
+    """A shingle of every second corpus item, items that repeat shingles, queries that share none:
+    equal to counting all pairs, without a row for each of them."""
+    import random
+    rng = random.Random(3)
+    queries = {i: {rng.randrange(60) for _ in range(rng.randint(1, 12))} | ({0} if i % 3 else set()) for i in range(30)}
+    queries[99] = {1000}
+    corpus = {i: [rng.randrange(50, 400) for _ in range(rng.randint(0, 6))] + ([0, 0] if i % 2 else []) for i in range(2000)}
+    q = spark.createDataFrame([(i, h) for i, v in queries.items() for h in v], "id long, h long")
+    c = spark.createDataFrame([(i, h) for i, v in corpus.items() for h in v], "id long, h long")
+    got = {r.id: (r.n_shingles, r.max_shared, r.n_hits) for r in C.max_containment(q, c).collect()}
+    want = {}
+    for i, v in queries.items():
+        both = [len(v & set(x)) for x in corpus.values()]
+        want[i] = (len(v), max(both), sum(n > 0 for n in both))
+    assert got == want
