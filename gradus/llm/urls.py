@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import components, save
+from gradus.llm.common import save
+from gradus.operators.cluster import cluster_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -86,7 +87,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects:
         links = links.union(redirects.select("from_url", "to_url").where("from_url is not null and to_url is not null"))
     links = save(links, "url-links")
     edges = links.select(node_of(F.col("from_url")).alias("u"), node_of(F.col("to_url")).alias("v")).where("u is not null and v is not null")
-    comp = components(edges)
+    nodes = edges.where("u <> v").select(F.explode(F.array("u", "v")).alias("id"))
+    comp = cluster_components(nodes, edges.toDF("id", "rep")).toDF("component", "node")
     seen = pages.select(F.col(url).alias("url")).where(F.col("url").contains("://")).union(links.select("to_url")).distinct()
     seen = seen.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = save(fitting_rule(seen, r), "url-ruled")
