@@ -47,7 +47,8 @@ HASH_BITS = 58
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint64)
 SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 _POWER = np.cumprod(np.full(1024, 0x9E6C63D0876A9A47, dtype=np.uint64), dtype=np.uint64)
-_OUTER = np.cumprod(np.full(1024, 0xD1B54A32D192ED03, dtype=np.uint64), dtype=np.uint64)
+_OUTER = np.concatenate([[np.uint64(1)], np.cumprod(np.full(1023, 0xD1B54A32D192ED03, dtype=np.uint64), dtype=np.uint64)])
+_FAR = np.concatenate([[np.uint64(1)], np.cumprod(np.full(4095, 0x8CB92BA72F3D8DD7, dtype=np.uint64), dtype=np.uint64)])
 
 
 class Words:
@@ -66,7 +67,9 @@ class Words:
         k = at - starts[word]
         v = (FOLD[raw[at]] + np.uint64(1)) * _POWER[k & 1023]
         if len(k) and k.max() >= 1024:
-            v *= _OUTER[(k >> 10) & 1023]
+            v *= _OUTER[(k >> 10) & 1023]  # 1 at the first 1024 bytes: a word's hash doesn't depend on its neighbours' lengths
+        if len(k) and k.max() >= 1 << 20:
+            v *= _FAR[k >> 20]
         begin = np.flatnonzero(first[at])
         length = np.diff(np.append(begin, len(at)))
         self.w = mix64(np.add.reduceat(v, begin) + length.astype(np.uint64)) if len(begin) else np.zeros(0, np.uint64)

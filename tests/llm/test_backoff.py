@@ -122,3 +122,18 @@ def test_empty_table_and_no_training_text(spark, make):
     assert B.score_texts(make([]), F.lit(True), ["doc_id"]).count() == 0
     got = B.score_texts(make([(1, "a b", "en", "s", 1), (2, None, None, None, None)]), F.lit(None).cast("boolean"), ["doc_id"]).collect()
     assert sorted(tuple(r) for r in got) == [(1, 3, 0, 0, 0.0, 0.0), (2, 1, 0, 0, 0.0, 0.0)]
+
+
+def test_a_long_word_changes_no_other_word(spark, make, tmp_path):
+    """Words have one hash whether or not a word of over 1,024 bytes lies in the same part of the texts."""
+    big = "q" * 1024 + "x"
+    rows = [(0, f"the cat {big}", "en", "s", 1), *[(i, "the cat sat", "en", "s", 1) for i in range(1, 9)], (9, f"sat {'q' * 1500} the", "en", "s", 1)]
+    make(rows).repartition(10, "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    held = lambda k: zlib.crc32(str(k).encode()) % 5 == 1
+    m = Model([r[1] for r in rows if not held(r[0])], B.ORDER, B.KAPPA)
+    got = {r.doc_id: tuple(r[2:]) for r in Q.QUERIES["op12_backoff_score"](spark, str(tmp_path)).collect()}
+    for r in rows:
+        same(got[r[0]], m.row(r[1]))
+    long = "y" * (1 << 20)
+    words = B.Words([b"a", f"a {big}".encode(), f"a{long}b{long} b{long}a{long}".encode()])
+    assert words.w[0] == words.w[1] and words.w[3] != words.w[4]
