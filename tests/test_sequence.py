@@ -96,3 +96,10 @@ def test_contraction_shrinks_chain_and_hub(spark):
             edges = C._renamed(left, C._contract(left, number))
         assert counts[-1] == 0 and sum(counts) < 6 * counts[0]
         assert all(b < a for a, b in zip(counts, counts[1:]))
+
+
+def test_a_hub_falls_in_one_round(spark):
+    """Copies hang on one sequence: their links are gone after a round, whatever their number."""
+    star = spark.range(1, 3000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).checkpoint()
+    for number in range(3):
+        assert C._renamed(star, C._contract(star, number)).count() == 0
