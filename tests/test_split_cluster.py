@@ -167,3 +167,37 @@ def test_containment_with_a_hot_shingle(spark):
         both = [len(v & set(x)) for x in corpus.values()]
         want[i] = (len(v), max(both), sum(n > 0 for n in both))
     assert got == want
+
+
+def test_tables_of_the_rounds_are_computed_once(spark):
+    """A checkpoint computes its last stage twice; a written table once."""
+    rows = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    assert C.materialize(spark.range(50).mapInArrow(count, "id long")).count() == 50 and rows.value == 50
+
+
+def test_only_sets_of_different_pairs_that_can_reach_coverage_are_joined(spark, monkeypatch):
+    """Equal sets and pairs of too different sizes are settled by digests and sizes; repeated and null ids as before."""
+    sets = spark.createDataFrame([(1, [5, 6, 7, 8]), (2, [8, 7, 6, 5]), (3, [5, 6, 7, 8, 9]), (4, [5]), (None, [5, 6, 7, 8]), (6, []), (7, [5, 6, 7, 8]), (7, [1, 2])],
+                                 "id long, hs array<long>")
+    cand = spark.createDataFrame([(2, 1), (3, 1), (4, 1), (6, 1), (7, 1), (None, 1)], "id long, rep long")
+    kept = []
+    real = C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df: kept.append(real(df)) or kept[-1])
+    for mode, want in (("both", {(2, 1, 4), (3, 1, 4), (7, 1, 4)}), ("query", {(2, 1, 4), (3, 1, 4), (7, 1, 4), (4, 1, 1)}), ("target", {(2, 1, 4), (3, 1, 4), (7, 1, 4)})):
+        kept.clear()
+        got = C.identity_coverage_filter(cand, sets, mode=mode).collect()
+        assert {(r.id, r.rep, r.shared) for r in got} == want and len(got) == len(want)
+        assert kept[0].where("set <> set_rep").count() == (3 if mode == "query" else 1)
+
+
+def test_repeated_rows_of_a_set_give_an_edge_each(spark):
+    a, b = [5, 6, 7, 8], [5, 6, 7, 8, 9]
+    sets = spark.createDataFrame([(1, a), (2, b), (2, b), (3, a), (3, a)], "id long, hs array<long>")
+    got = C.identity_coverage_filter(spark.createDataFrame([(2, 1), (3, 1), (3, 2)], "id long, rep long"), sets).collect()
+    assert sorted((r.id, r.rep) for r in got) == [(2, 1)] * 2 + [(3, 1)] * 2 + [(3, 2)] * 4
