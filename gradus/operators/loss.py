@@ -2,7 +2,7 @@
 
 Lists of every size take the same plans: positions and running sums come from the
 skew-safe primitives of ``gradus.functions.ranking``, and the pairwise hinge loss is
-summed without forming a pair. Only J7, whose result is the pairs, grows with their
+summed without forming a pair of a long list. Only J7, whose result is the pairs, grows with their
 number.
 """
 
@@ -10,13 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gradus.functions.ranking import join_on, per_size, rank_values, row_positions, running_sums, sorted_sums, value_counts
 from gradus.sources.scratch import written
 
 EPS = 1e-10
+#: Items of a list whose pairs are formed for the hinge loss.
+SMALL = 128
 
 
 def suffix_logsumexp(df: DataFrame, list_id: str, y_true: str, y_pred: str, key: Sequence[str],
@@ -27,11 +30,14 @@ def suffix_logsumexp(df: DataFrame, list_id: str, y_true: str, y_pred: str, key:
 
     Lists are read from the end: the sum over the items behind an item, and its own."""
     m = F.col(mask).cast("double") if mask else F.lit(1.0)
-    mx = df.groupBy(list_id).agg(F.max(y_pred).alias("_mx"))
     behind = [F.col(y_true).asc_nulls_first(), *[F.col(c).desc_nulls_first() for c in key]]
 
     def sums(d: DataFrame, cut: bool) -> DataFrame:
-        x = join_on(d, mx, [list_id]).withColumn("_e", F.exp(F.col(y_pred) - F.col("_mx")) * m)
+        if cut:
+            x = join_on(d, d.groupBy(list_id).agg(F.max(y_pred).alias("_mx")), [list_id])
+        else:  # a list is in one task for its sums anyhow
+            x = d.withColumn("_mx", F.max(y_pred).over(Window.partitionBy(list_id)))
+        x = x.withColumn("_e", F.exp(F.col(y_pred) - F.col("_mx")) * m)
         return sorted_sums(x, list_id, behind, {"_e": "_after"}, cut)
 
     x = per_size(df, list_id, sums)
@@ -72,7 +78,8 @@ def pairwise_hinge_loss(df: DataFrame, list_id: str, y_true: str, y_pred: str, i
     """A10: mean over ordered pairs with true_i > true_j of max(0, margin - (p_i - p_j));
     a list without such pairs has loss 0 (the mask is ignored, as in the reference).
 
-    No pair is formed. With r the rank of the true score, r_i > r_j holds at exactly one bit
+    The pairs of a list of up to ``SMALL`` items are formed and summed where its items lie, so an item
+    moves once. In a longer list no pair is formed. With r the rank of the true score, r_i > r_j holds at exactly one bit
     where the ranks part: above it they agree, i has a 1 and j a 0. So the items are dealt to
     one cell per bit, (bit, higher bits of r), and a cell's pairs are i's against j's without
     any further condition on the true score: over the values p_j and p_i - margin in order,
@@ -81,7 +88,20 @@ def pairwise_hinge_loss(df: DataFrame, list_id: str, y_true: str, y_pred: str, i
     d = df.select(F.col(list_id).alias("_l"), F.col(y_true).cast("double").alias("_t"), F.col(y_pred).cast("double").alias("_p"))
     full = d.filter(F.col("_t").isNotNull() & F.col("_p").isNotNull())
 
+    def by_pairs(own: DataFrame) -> DataFrame:
+        """(_l, n_pairs, _sum) of short lists: both sides of the join and its sums stay where the items were dealt."""
+        x = own.alias("i").join(own.alias("j"), "_l").where(F.col("i._t") > F.col("j._t"))
+        gap = F.lit(float(margin)) - (F.col("i._p") - F.col("j._p"))
+        return x.groupBy("_l").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.greatest(gap, F.lit(0.0))).alias("_sum"))
+
     def totals(own: DataFrame, cut: bool) -> DataFrame:
+        if cut:
+            return by_bits(own, True)
+        own = own.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("_l")))
+        short = F.col("_l").isNotNull() & (F.col("_k") <= SMALL)
+        return by_pairs(own.where(short).drop("_k")).unionByName(by_bits(own.where(~short).drop("_k"), False))
+
+    def by_bits(own: DataFrame, cut: bool) -> DataFrame:
         r = rank_values(value_counts(own, "_l", "_t"), "_l", "_t", cut=cut)
         x = join_on(own, r.select("_l", "_t", F.col("before").cast("long").alias("_r"), "n"), ["_l", "_t"])
         bits = F.greatest(F.ceil(F.log2(F.col("n").cast("double"))), F.lit(1)).cast("int")

@@ -215,3 +215,17 @@ def test_log_operators_keep_a_null_group(spark):
     assert len(mean) == 12 and all(mean[g, 3] == 4.0 and mean[g, 6] == 29 / 6 for g in ("a", None))
     kept = LG.latest_and_retention(df, "property").collect()
     assert len(kept) == 12 and all(sorted(r.step_num for r in kept if r.property == g and r.action != "remove") == [4, 5, 6] for g in ("a", None))
+
+
+def test_hinge_of_short_and_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(L, "SMALL", 4)
+    rng = np.random.default_rng(5)
+    lists = {lid: [(float(t), float(p)) for t, p in zip(rng.integers(0, 5, n), rng.normal(size=n))] for lid, n in ((1, 2), (2, 4), (3, 5), (4, 40), (None, 3))}
+    df = spark.createDataFrame([(lid, i, t, p) for lid, x in lists.items() for i, (t, p) in enumerate(x)] + [(2, 9, None, 1.0), (5, 0, None, 1.0)],
+                               "list_id int, i int, y_true double, y_pred double")
+    got = {r.list_id: (r.n_pairs, r.loss) for r in L.pairwise_hinge_loss(df, "list_id", "y_true", "y_pred", ["i"]).collect()}
+    assert got.pop(5) == (0, 0.0)
+    assert got.keys() == lists.keys()
+    for lid, x in lists.items():
+        ref = [max(0.0, 1 - (p - q)) for t, p in x for u, q in x if t > u]
+        assert got[lid] == (len(ref), pytest.approx(np.mean(ref) if ref else 0.0))
