@@ -11,11 +11,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gradus.functions.ranking import join_on, rank_values
+from gradus.sources.scratch import written
 
 EPS = 1e-8
 
@@ -122,45 +126,66 @@ def compose(lowrank: DataFrame, coefficients: Mapping, scale: float = 1.0, first
 
 
 # ---------------------------------------------------------------- V5 / V7 factored forms
-def _grams(lowrank: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Per key: BᵀB (k, l) = sum_i B[i,k] B[i,l] and AAᵀ (k, l) = sum_j A[k,j] A[l,j]."""
+def _gram_dots(lowrank: DataFrame, key: Sequence[str], prop: str | None = None) -> DataFrame:
+    """(key..., p1, p2, dot) of two properties' deltas, p1 <= p2: <B1A1, B2A2> = sum((B1ᵀB2) ∘ (A1A2ᵀ))
+    without forming B @ A; without ``prop`` the key's own delta with itself. The factors of a key (a layer)
+    move once, as they are, and meet in one group. Complete pairs only: both properties have both factors.
+    NULL elements add nothing; a dot of them alone is NULL."""
     k = list(key)
-    b = lowrank.filter(F.col("matrix") == "B")
-    a = lowrank.filter(F.col("matrix") == "A")
-    gb = b.alias("x").join(b.alias("y"), [*k, "r"]).groupBy(
-        *k, F.col("x.c").alias("k"), F.col("y.c").alias("l")).agg(F.sum(F.col("x.v") * F.col("y.v")).alias("gb"))
-    ga = a.alias("x").join(a.alias("y"), [*k, "c"]).groupBy(
-        *k, F.col("x.r").alias("k"), F.col("y.r").alias("l")).agg(F.sum(F.col("x.v") * F.col("y.v")).alias("ga"))
-    return gb, ga
+    own = F.lit(0) if prop is None else F.col(prop)
+    x = lowrank.where(F.col("matrix").isin("A", "B")).select(*k, own.alias("_p"), (F.col("matrix") == "B").alias("_b"), "r", "c", F.col("v").cast("double").alias("v"))
+    x = x.dropna(subset=[*k, "_p", "r", "c"])
+
+    def dots(name: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        r, c, is_b = (t[n].to_numpy() for n in ("r", "c", "_b"))
+        held = ~t["v"].is_null().to_numpy()
+        v = np.where(held, t["v"].to_numpy(), 0.0)
+        props, p = np.unique(t["_p"].to_numpy(), return_inverse=True)
+        ranks, rank = np.unique(np.where(is_b, c, r), return_inverse=True)
+        along = np.where(is_b, r, c)
+        sides = []
+        for m in (is_b, ~is_b):
+            rows, at = np.unique(along[m], return_inverse=True)
+            where, shape = (p[m], at, rank[m]), (len(props), len(rows), len(ranks))
+            value, known, there = np.zeros(shape), np.zeros(shape, bool), np.zeros(shape, bool)
+            np.add.at(value, where, v[m])
+            np.logical_or.at(known, where, held[m])
+            there[where] = True
+            sides.append((value, known, there))
+        first, second, dot = [], [], []
+        for i in range(len(props)):
+            for j in range(i, len(props)):
+                gram, some, meets = 1.0, True, True
+                for value, known, there in sides:
+                    both = known[i][:, :, None] & known[j][:, None, :]
+                    gram = gram * np.where(both, value[i][:, :, None] * value[j][:, None, :], 0.0).sum(axis=0)
+                    some = some & both.any(axis=0)
+                    meets = meets & (there[i][:, :, None] & there[j][:, None, :]).any(axis=0)
+                if np.any(meets):
+                    first.append(i)
+                    second.append(j)
+                    dot.append(float(gram[some].sum()) if np.any(some) else None)
+        kind = t.schema.field("_p").type
+        return pa.table([*[pa.array([n.as_py()] * len(dot), n.type) for n in name], pa.array(props[first].tolist(), kind),
+                         pa.array(props[second].tolist(), kind), pa.array(dot, pa.float64())], names=[*k, "p1", "p2", "dot"])
+
+    fields = [x.schema[c] for c in k] + [T.StructField(n, x.schema["_p"].dataType) for n in ("p1", "p2")]
+    return x.groupBy(*k).applyInArrow(dots, T.StructType([*fields, T.StructField("dot", T.DoubleType())]))
+
+
+def _norm(dot: Column) -> Column:
+    return F.sqrt(F.greatest(dot, F.lit(0.0)))
 
 
 def delta_norm_factored(lowrank: DataFrame, key: Sequence[str] = ("property", "prefix"), scale: float = 1.0) -> DataFrame:
     """V5: ||scale * B @ A||_F = |scale| * sqrt(sum((BᵀB) ∘ (AAᵀ))) without forming B @ A."""
-    k = list(key)
-    gb, ga = _grams(lowrank, k)
-    s = gb.join(ga, [*k, "k", "l"]).groupBy(*k).agg(F.sum(F.col("gb") * F.col("ga")).alias("_s"))
-    return s.select(*k, (F.lit(abs(scale)) * F.sqrt(F.greatest(F.col("_s"), F.lit(0.0)))).alias("frob_norm"))
+    return _gram_dots(lowrank, key).select(*key, (F.lit(abs(scale)) * _norm(F.col("dot"))).alias("frob_norm"))
 
 
 def delta_cosine_factored(lowrank: DataFrame, prop: str = "property", eps: float = EPS) -> DataFrame:
     """V7: cosine between the deltas of two properties over all shared prefixes; pairs p1 <= p2 are
     computed and mirrored."""
-    return _cosine_from_dots(_pair_dots(lowrank, prop, "prefix").groupBy("p1", "p2").agg(F.sum("dot").alias("dot")), eps)
-
-
-def _pair_dots(lowrank: DataFrame, prop: str, prefix: str) -> DataFrame:
-    """(p1, p2, prefix, dot), p1 <= p2: <B1A1, B2A2> = sum((B1ᵀB2) ∘ (A1A2ᵀ)) without forming B @ A."""
-    b = lowrank.filter(F.col("matrix") == "B")
-    a = lowrank.filter(F.col("matrix") == "A")
-    gb = b.alias("x").join(b.alias("y"), [prefix, "r"]).filter(F.col(f"x.{prop}") <= F.col(f"y.{prop}")) \
-        .groupBy(F.col(f"x.{prop}").alias("p1"), F.col(f"y.{prop}").alias("p2"), prefix,
-                 F.col("x.c").alias("k"), F.col("y.c").alias("l")).agg(F.sum(F.col("x.v") * F.col("y.v")).alias("gb"))
-    ga = a.alias("x").join(a.alias("y"), [prefix, "c"]).filter(F.col(f"x.{prop}") <= F.col(f"y.{prop}")) \
-        .groupBy(F.col(f"x.{prop}").alias("p1"), F.col(f"y.{prop}").alias("p2"), prefix,
-                 F.col("x.r").alias("k"), F.col("y.r").alias("l")).agg(F.sum(F.col("x.v") * F.col("y.v")).alias("ga"))
-    # complete pairs only: a prefix counts when both properties have both factors
-    return gb.join(ga, ["p1", "p2", prefix, "k", "l"]).groupBy("p1", "p2", prefix) \
-        .agg(F.sum(F.col("gb") * F.col("ga")).alias("dot"))
+    return _cosine_from_dots(_gram_dots(lowrank, ["prefix"], prop).groupBy("p1", "p2").agg(F.sum("dot").alias("dot")), eps)
 
 
 def _cosine_from_dots(dots: DataFrame, eps: float) -> DataFrame:
@@ -195,8 +220,9 @@ def layer_profile(lowrank: DataFrame, prop: str = "property", layer: str = "pref
     """Per layer the number of properties with a delta, the mean and largest norm, and the mean
     cosine between the deltas of two properties (NULL with fewer than two). Norms and inner products
     come from Gram matrices, so no delta is formed."""
-    norms = delta_norm_factored(lowrank, [prop, layer])
-    dots = _pair_dots(lowrank, prop, layer).where("p1 < p2").withColumnRenamed("dot", "_dot")
+    found = written(_gram_dots(lowrank, [layer], prop), "dots")  # norms are the dots of a property with itself
+    norms = found.where("p1 = p2").select(F.col("p1").alias(prop), layer, _norm(F.col("dot")).alias("frob_norm"))
+    dots = found.where("p1 < p2").withColumnRenamed("dot", "_dot")
     n1 = norms.select(layer, F.col(prop).alias("p1"), F.greatest("frob_norm", F.lit(EPS)).alias("_n1"))
     n2 = norms.select(layer, F.col(prop).alias("p2"), F.greatest("frob_norm", F.lit(EPS)).alias("_n2"))
     cos = dots.join(n1, [layer, "p1"]).join(n2, [layer, "p2"]).groupBy(layer) \

@@ -229,3 +229,35 @@ def test_hinge_of_short_and_long_lists(spark, monkeypatch):
     for lid, x in lists.items():
         ref = [max(0.0, 1 - (p - q)) for t, p in x for u, q in x if t > u]
         assert got[lid] == (len(ref), pytest.approx(np.mean(ref) if ref else 0.0))
+
+
+def _lowrank(spark, odd=()):
+    rng = np.random.default_rng(3)
+    rows = [(p, x, m, r, c, float(rng.normal())) for p in (0, 1, 2) for x in (7, 8) for m, h, w in (("A", 2, 5), ("B", 3, 2)) for r in range(h) for c in range(w)]
+    return rows + list(odd), spark.createDataFrame(rows + list(odd), "property int, prefix int, matrix string, r int, c int, v double")
+
+
+def test_factored_forms_move_the_factors_once(spark):
+    # a repeated element counts twice, a NULL one not at all; property 9 has no B, property 10 only NULL
+    odd = [(0, 7, "A", 0, 0, 2.0), (1, 8, "B", 0, 0, None), (9, 7, "A", 0, 0, 1.0), (10, 7, "A", 0, 0, None), (10, 7, "B", 0, 0, 1.0), (2, None, "A", 0, 0, 1.0)]
+    rows, df = _lowrank(spark, odd)
+    delta = {}
+    for p, x in {(p, x) for p, x, *_ in rows if x is not None}:
+        f = {m: np.zeros(s) for m, s in (("A", (2, 5)), ("B", (3, 2)))}
+        for q, y, m, r, c, v in rows:
+            if (q, y) == (p, x) and v is not None:
+                f[m][r, c] += v
+        delta[p, x] = f["B"] @ f["A"]
+    norms = {(r.property, r.prefix): r.frob_norm for r in VX.delta_norm_factored(df).collect()}
+    assert norms.keys() == delta.keys() - {(9, 7)}
+    assert all(norms[k] == pytest.approx(np.linalg.norm(delta[k])) for k in norms)
+    cos = VX.delta_cosine_factored(df)
+    assert cos._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(prefix") == 1
+    got = {(r.p1, r.p2): r.cosine for r in cos.collect()}
+    flat = {p: np.concatenate([delta[p, x].ravel() for x in (7, 8)]) for p in (0, 1, 2)}
+    for p in flat:
+        for q in flat:
+            assert got[p, q] == pytest.approx(flat[p] @ flat[q] / np.linalg.norm(flat[p]) / np.linalg.norm(flat[q]))
+    prof = {r.layer: r for r in VX.layer_profile(df).collect()}
+    assert (prof[7].n_properties, prof[8].n_properties) == (4, 3)
+    assert prof[8].max_norm == pytest.approx(max(np.linalg.norm(delta[p, 8]) for p in (0, 1, 2)))
