@@ -31,6 +31,8 @@ from gradus.sources.scratch import written
 BIG = 1_000_000
 #: Larger groups that are told apart from the others by a broadcast list; with more of them all rows are range-sorted.
 LISTED = 50_000
+#: Rows that a task makes of the items it holds, where each becomes several, so that it sorts them in memory.
+TASK_ROWS = 2_000_000
 #: Ranges of a sorted table; None: ``spark.sql.shuffle.partitions``, coalesced by adaptive execution.
 RANGES: int | None = None
 
@@ -56,19 +58,22 @@ def value_counts(df: DataFrame, group: str | Sequence[str], value: str, *extra:
     return df.groupBy(*g, value).agg(F.count(F.lit(1)).alias("cnt"), *extra)
 
 
-def per_size(df: DataFrame, group: str | Sequence[str], fn: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+def per_size(df: DataFrame, group: str | Sequence[str], fn: Callable[..., DataFrame], weight: Column | None = None) -> DataFrame:
     """``fn(rows, cut)`` of the rows of groups that fit a task (``cut`` False) and of the others (True), together.
-    One job counts the rows per group."""
+    One job counts the rows per group; with a ``weight`` it adds that up too, and ``fn`` gets the total as well."""
     g = _cols(group)
     if not g:
         return fn(df, True)
-    big = df.groupBy(*g).agg(F.count(F.lit(1)).alias("__k")).filter(F.col("__k") > BIG).drop("__k").limit(LISTED + 1).collect()
-    if not big:
-        return fn(df, False)
-    if len(big) > LISTED:
-        return fn(df, True)
-    listed = F.broadcast(_local(df, g, [tuple(r) for r in big]))  # at most LISTED rows
-    return fn(join_on(df, listed, g, "left_anti"), False).unionByName(fn(join_on(df, listed, g, "left_semi"), True))
+    k = df.groupBy(*g).agg(F.count(F.lit(1)).alias("__k"), F.sum(F.lit(0) if weight is None else weight).alias("__w"))
+    # there is a group above BIG in BIG rows at most, so the list is short
+    got = k.agg(F.sum("__w").alias("w"), F.collect_list(F.when(F.col("__k") > BIG, F.struct(*g))).alias("big")).first()
+    more = () if weight is None else (got.w or 0,)
+    if not got.big:
+        return fn(df, False, *more)
+    if len(got.big) > LISTED:
+        return fn(df, True, *more)
+    listed = F.broadcast(_local(df, g, [tuple(r) for r in got.big]))  # at most LISTED rows
+    return fn(join_on(df, listed, g, "left_anti"), False, *more).unionByName(fn(join_on(df, listed, g, "left_semi"), True, *more))
 
 
 def _sorted_table(df: DataFrame, by: Sequence[Column]) -> DataFrame:

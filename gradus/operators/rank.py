@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gradus.functions import ranking
 from gradus.functions.ranking import _cols, discount_sum_rows, join_on, mid_rank, per_size, rank_values, ranked_rows, value_counts
 from gradus.sources.scratch import written
 
@@ -92,7 +93,8 @@ def spearman_by_model(df: DataFrame, group: str | Sequence[str], y: str, models:
 
     ``models`` is an array of structs (labels..., pred) made of ``columns``. The measured value is ranked
     once a group, before the rows are multiplied by the models; the models then stay in the partitions
-    of their group, so only the items are moved. In a group where a model lacks a prediction the rows of
+    of their group, so only the items are moved, dealt so that a task makes about ``TASK_ROWS`` rows of them
+    (their own size wouldn't tell Spark what they grow to). In a group where a model lacks a prediction the rows of
     a model differ: such groups alone are ranked a model at a time. Rows without ``y`` are ignored."""
     g = _cols(group)
     gap = F.exists(models, lambda m: m["pred"].isNull())
@@ -103,11 +105,13 @@ def spearman_by_model(df: DataFrame, group: str | Sequence[str], y: str, models:
         return x.select(*g, y, *kept, F.explode(models).alias("_m")) \
             .select(*[F.col(f"_m.{c}").alias(c) for c in labels], *g, y, *kept, F.col("_m.pred").alias("_pred"))
 
-    def ranks(x: DataFrame, cut: bool) -> DataFrame:
+    def ranks(x: DataFrame, cut: bool, made: int) -> DataFrame:
         if cut:
             gaps = x.where(gap).select(*g).distinct()
             whole, some = join_on(x, gaps, g, "left_anti"), join_on(x, gaps, g, "left_semi")
         else:
+            if made > ranking.TASK_ROWS:
+                x = x.repartition(-(-made // ranking.TASK_ROWS), *g)
             x = x.withColumn("_gap", F.max(gap).over(Window.partitionBy(*g)))
             whole, some = x.where(~F.col("_gap")), x.where("_gap")
         ties = [c for c in columns if c not in g and c != y]
@@ -117,7 +121,7 @@ def spearman_by_model(df: DataFrame, group: str | Sequence[str], y: str, models:
         return both[0].unionByName(both[1])
 
     rows = df.where(F.col(y).isNotNull()).select(*dict.fromkeys([*g, y, *columns]))
-    return _spearman(per_size(rows, g, ranks), lg, out, None)
+    return _spearman(per_size(rows, g, ranks, F.size(models)), lg, out, None)
 
 
 def _spearman(x: DataFrame, g: list[str], out: str, weight: str | None, *extra: F.Column) -> DataFrame:

@@ -343,3 +343,18 @@ def test_models_share_the_measured_ranks(spark, monkeypatch, ranges):
     assert got.keys() == want.keys()
     for k, (n, rho) in want.items():
         assert got[k][0] == n and got[k][1] == pytest.approx(rho, nan_ok=True)
+
+
+def test_spearman_by_model_deals_what_the_items_grow_to(spark, monkeypatch):
+    rows = [(g, float((7 * i + g) % 11), float((3 * i) % 7), float((5 * i) % 13)) for g in range(6) for i in range(20)]
+    x = spark.createDataFrame(rows, "g int, y double, p double, q double")
+    models = F.array(F.struct(F.lit("a").alias("model"), F.col("p").alias("pred")), F.struct(F.lit("b").alias("model"), F.col("q").alias("pred")))
+
+    def result():
+        return sorted((r.model, r.g, r.n_variants, round(r.spearman, 9)) for r in R.spearman_by_model(x, "g", "y", models, ["p", "q"]).collect())
+
+    whole = result()
+    monkeypatch.setattr(ranking, "TASK_ROWS", 100)
+    assert result() == whole
+    plan = R.spearman_by_model(x, "g", "y", models, ["p", "q"])._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(g" in plan and ", 3)" in plan  # 240 rows of 120 items
