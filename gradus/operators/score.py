@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from gradus.functions import parsing
 from gradus.functions.ranking import join_on
 from gradus.operators.rank import spearman_by_group
+from gradus.sources.scratch import written
 
 # Fixed value: token alphabet of the log-prob table (index = position in this string), also used by
 # the harness views to make mutation tokens
@@ -59,6 +60,12 @@ def element_or_null(arr: Column, idx0: Column) -> Column:
     return F.when((idx0 >= 0) & (idx0 < F.size(arr)), F.element_at(arr, idx0 + 1))
 
 
+def used_positions(logp: DataFrame, terms: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The rows of the table that some term looks up, written: Spark knows what is left and broadcasts it
+    where it is small, so that the terms of a few positions aren't dealt by position."""
+    return written(logp.join(terms.select(*on).distinct(), list(on), "left_semi"), "logp")
+
+
 def zero_shot_score(mutants: DataFrame, logp: DataFrame, item: str = "item", mutant: str = "mutant",
                     pos_col: str = "pos", logp_col: str = "logp", key: Sequence[str] = ()) -> DataFrame:
     """score = sum over the mutations of logp[pos, mut] - logp[pos, wt].
@@ -68,7 +75,9 @@ def zero_shot_score(mutants: DataFrame, logp: DataFrame, item: str = "item", mut
     the log-probability vector. Returns (key..., item, zero_shot_score, n_mutations, n_skipped).
     """
     k = list(key)
-    terms = mutants.select(*k, item, F.explode_outer(parsing.parse_mutations(F.col(mutant))).alias("t")) \
+    parsed = written(mutants.select(*k, item, parsing.parse_mutations(F.col(mutant)).alias("ts")), "mutations")
+    logp = used_positions(logp, parsed.select(*k, F.explode("ts.pos").alias(pos_col)), k + [pos_col])
+    terms = parsed.select(*k, item, F.explode_outer("ts").alias("t")) \
                    .select(*k, item, F.col("t.wt").alias("wt"), F.col("t.pos").alias(pos_col),
                            F.col("t.mut").alias("mut"))
     table = logp.select(*k, F.col(pos_col), F.col(logp_col).alias("_lp"))

@@ -10,6 +10,7 @@ from gradus.plans import views as V
 from gradus.plans.oracle_views import r6, with_views
 from gradus.plans.q_rank import _spearman_sql
 from gradus.plans.registry import query
+from gradus.sources.scratch import written
 from gradus.sources.tables import table
 
 AMINO = S.AMINO
@@ -104,7 +105,8 @@ def q_zero_shot_score(spark, d):
 def _orders_scored(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("item"), F.col("o_orderpriority").alias("dms_id"),
                                          F.col("o_totalprice").alias("dms_score"))
-    return o.join(scores(spark, d), "item")
+    # few large groups: their rows are counted and sorted, so they are computed once
+    return written(o.join(scores(spark, d), "item").select("dms_id", "dms_score", "zero_shot_score"), "scored")
 
 
 ORDERS_SCORED = ("orders_scored", "select o.o_orderpriority as dms_id, o.o_totalprice as dms_score, s.zero_shot_score "
@@ -260,7 +262,7 @@ def _line_zero_shot(spark, d):
         F.col("l_partkey").alias("dms_id"), F.col("p_type").alias("category"), F.col("l_extendedprice").alias("y"),
         *LINE_KEY, F.element_at(parsing.parse_mutations(tok), 1).alias("t"))
     x = x.select("*", F.col("t.pos").alias("pos"), F.col("t.wt").alias("wt"), F.col("t.mut").alias("mut")).drop("t")
-    j = x.join(logp(spark, d), "pos", "left")
+    j = x.join(S.used_positions(logp(spark, d), x, ["pos"]), "pos", "left")
     d_ = S.element_or_null(F.col("logp"), S.token_index(F.col("mut"))) - S.element_or_null(F.col("logp"), S.token_index(F.col("wt")))
     return j.select(F.lit("zero_shot").alias("model"), "dms_id", "category", "y",
                     F.coalesce(d_, F.lit(0.0)).alias("pred"), *LINE_KEY)
@@ -279,10 +281,9 @@ ZS_SQL = f"""select 'zero_shot' as model, l.l_partkey as dms_id, p.p_type as cat
 ALL_PRED_CTES = LOGP_CTES + [("zs", ZS_SQL), ("allp", "select model, dms_id, category, y, pred from v_model_pred union all select * from zs")]
 
 
-def all_predictions(spark, d):
-    """The three models' predictions and the zero-shot scores, per variant."""
-    cols = ["model", "dms_id", "category", "y", "pred"]
-    return V.v_model_pred(spark, d).select(*cols).unionByName(_line_zero_shot(spark, d).select(*cols))
+def zero_shot_rows(spark, d):
+    """The zero-shot prediction per variant, written: the ranks read it twice."""
+    return written(_line_zero_shot(spark, d).select("model", "dms_id", "category", "y", "pred"), "zero-shot")
 
 
 def _matrix_zs_sql() -> str:
@@ -299,4 +300,6 @@ def q_cross_property_matrix_zero_shot(spark, d):
     """A6 with the zero-shot row: the three models plus per-variant zero-shot scores."""
     from gradus.operators import rank as R
     from gradus.plans.q_rank import MODEL_CATEGORIES
-    return R.cross_property_matrix(all_predictions(spark, d), MODEL_CATEGORIES)
+    items, models, columns = V.v_model_items(spark, d)
+    return R.cross_property_matrix_shared(items, MODEL_CATEGORIES, models, columns) \
+        .unionByName(R.cross_property_matrix(zero_shot_rows(spark, d), MODEL_CATEGORIES))

@@ -97,3 +97,9 @@ def test_head_score_matches_numpy(spark):
     ref = S.head_forward(np.array([r[1] for r in rows]), w)
     for i in range(5):
         assert got[i] == pytest.approx(ref[i])
+
+
+def test_only_used_positions_are_looked_up(spark):
+    logp = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(50)], "pos int, logp array<double>")
+    terms = spark.createDataFrame([(1, 3), (2, 3), (3, 70), (4, None)], "item int, pos int")
+    assert [(r.pos, r.logp) for r in S.used_positions(logp, terms, ["pos"]).collect()] == [(3, [3.0, 0.0])]
