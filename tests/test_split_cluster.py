@@ -201,3 +201,30 @@ def test_repeated_rows_of_a_set_give_an_edge_each(spark):
     sets = spark.createDataFrame([(1, a), (2, b), (2, b), (3, a), (3, a)], "id long, hs array<long>")
     got = C.identity_coverage_filter(spark.createDataFrame([(2, 1), (3, 1), (3, 2)], "id long, rep long"), sets).collect()
     assert sorted((r.id, r.rep) for r in got) == [(2, 1)] * 2 + [(3, 1)] * 2 + [(3, 2)] * 4
+
+
+def test_shingle_sets_of_odd_texts(spark):
+    import hashlib
+
+    texts = {1: None, 2: "", 3: " \t", 4: "a  b", 5: "a\x0bb\tc d\r\ne f", 6: "é a b c d é a b c d"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    got = {r.id: r.hs for r in C.named(C.shingle_sets(df, "doc_id", "text")).collect()}
+
+    def h(s):
+        return int(hashlib.md5(s.encode()).hexdigest()[:12], 16)
+
+    assert (got[1], got[2], got[3], got[4]) == ([None], [], [], [h("a b")])
+    assert got[5] == sorted([h("a b c d e"), h("b c d e f")])
+    assert len(got[6]) == 5 and h("é a b c d") in got[6]
+
+
+def test_named_sets_give_the_same_edges(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, words), (2, words[:57]), (3, words), (4, words[30:]), (5, [f"x{i}" for i in range(9)])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id int, text string")
+    for mode in C.MODES:
+        got = []
+        for sets in (C.shingle_sets(df, "doc_id", "text"), C.materialize(C.named(C.shingle_sets(df, "doc_id", "text")))):
+            cand = C.shingle_candidates(sets, mode=mode, positional=True)
+            got.append(sorted(map(tuple, C.identity_coverage_filter(cand, sets, mode=mode).collect())))
+        assert got[0] == got[1] and {(i, r) for i, r, *_ in got[0]} >= {(3, 1)}
