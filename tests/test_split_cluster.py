@@ -228,3 +228,46 @@ def test_named_sets_give_the_same_edges(spark):
             cand = C.shingle_candidates(sets, mode=mode, positional=True)
             got.append(sorted(map(tuple, C.identity_coverage_filter(cand, sets, mode=mode).collect())))
         assert got[0] == got[1] and {(i, r) for i, r, *_ in got[0]} >= {(3, 1)}
+
+
+def _odd_sets(spark):
+    base = list(range(100, 160))
+    rows = [(1, base), (2, base[:57]), (3, base), (None, base), (None, base[:55]), (5, [None]), (6, [None]), (7, base[:50] + [None]), (8, []), (9, None),
+            (10, base[:4]), (2, base[:57]), (11, list(range(900, 930))), (11, list(range(900, 928))), (12, list(range(900, 929)))]
+    return spark.createDataFrame(rows, "id long, hs array<long>")
+
+
+@pytest.mark.parametrize("mode", ["both", "query", "target"])
+def test_packed_candidates_give_the_edges_of_the_plain_ones(spark, monkeypatch, mode):
+    """Shards and deals of a few shingles; null and repeated ids, copies, null members, empty and null sets."""
+    monkeypatch.setattr(C, "SHARD_MEMBERS", 40)
+    sets = _odd_sets(spark)
+    edges = [sorted(map(tuple, C.identity_coverage_filter(C.shingle_candidates(sets, mode=mode, positional=p), sets, mode=mode)
+                        .collect())) for p in (False, True)]
+    assert edges[0] == edges[1] and len(edges[1]) > 5
+
+
+def test_packed_candidates_move_no_row_a_shingle(spark):
+    """Shingles of texts without a common passage are counted where they are packed: nothing of them goes on."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(400))) for i in range(40)], "doc_id long, text string")
+    sets = C.materialize(C.numbered(C.shingle_sets(docs, "doc_id", "text", md5=False)))
+    x = sets.select("rid", "hs").mapInArrow(C._to_shards(3), "shard int, part long, low binary, at binary")
+    rows = x.collect()
+    assert len(rows) <= 3 * 40 and sum(len(r.low) for r in rows) == 4 * 40 * 396
+    _, members = C._packed_members(sets, 0.8, False)
+    assert members.count() == 0
+
+
+def test_polynomial_hashes_name_shingles_as_md5_does(spark):
+    """The same shingles are equal and different, whatever lies beside a text and however long its words are."""
+    long = "a" * 3000
+    texts = [None, "", " \t", "a  b", "a\x0bb\tc d\r\ne f", "é a b c d é a b c d", "a b c d e f", f"{long} b c d e", f"{long}a b c d e", f"x {long} b c d e", "A b c d e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    got = []
+    for md5 in (True, False):
+        sets = {r.id: r.hs for r in C.shingle_sets(df, "doc_id", "text", md5=md5).collect()}
+        assert all(x == sorted(set(x)) for i, x in sets.items() if i)
+        got.append({(i, j): len(set(sets[i]) & set(sets[j])) for i in sets for j in sets})
+    assert got[0] == got[1] and got[0][0, 0] == 1
+    alone = C.shingle_sets(df.where("doc_id = 7"), "doc_id", "text", md5=False).first().hs
+    assert alone == sets[7]
