@@ -271,3 +271,29 @@ def test_polynomial_hashes_name_shingles_as_md5_does(spark):
     assert got[0] == got[1] and got[0][0, 0] == 1
     alone = C.shingle_sets(df.where("doc_id = 7"), "doc_id", "text", md5=False).first().hs
     assert alone == sets[7]
+
+
+def test_pairs_of_a_cluster_move_each_set_once(spark, monkeypatch):
+    """All pairs of a cluster of near copies are counted in one bucket; cut into blocks they are the same."""
+    base = list(range(1000, 1100))
+    sets = spark.createDataFrame([(i, base + [i]) for i in range(30)], "id long, hs array<long>")
+    cand = C.materialize(C.shingle_candidates(sets, positional=True))
+    moved, got = [], []
+    real = C._count_shared
+
+    def counted(count):
+        def run(pairs, sets):
+            count.add(sets.num_rows)
+            return real(pairs, sets)
+
+        return run
+
+    for most in (C.PLACE_MEMBERS, 500):
+        monkeypatch.setattr(C, "PLACE_MEMBERS", most)
+        count = spark.sparkContext.accumulator(0)
+
+        monkeypatch.setattr(C, "_count_shared", counted(count))
+        got.append(sorted(map(tuple, C.identity_coverage_filter(cand, sets).collect())))
+        moved.append(count.value)
+    assert got[0] == got[1] and len(got[0]) == 435 and {r[2] for r in got[0]} == {100}
+    assert moved[0] == 30 and moved[1] <= 30 * 14
