@@ -41,6 +41,8 @@ KAPPA = 200.0
 SLICE = 8 << 20
 SHARD_BYTES = 24 << 20
 MIN_SHARDS = 24
+#: N-grams of a shard that are added up at a time.
+RANGE_GRAMS = 1 << 18
 SEGMENT = 512
 BEGIN, END = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -56,6 +58,17 @@ def _parts(texts: list[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
             first, held = i + 1, 0
 
 
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and the number of every place's value in 32 bits, which any slice's places fit."""
+    order = np.argsort(x).astype(np.int32)
+    x = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    out = np.empty(len(x), np.int32)
+    out[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return x[new], out
+
+
 class Grams:
     """The n-grams of every order of some texts. Sequences lie end to end: begin mark, words, end token.
     ``ids[k]``: number of the n-gram of order k that ends at each place (-1 where the sequence is too short);
@@ -71,21 +84,30 @@ class Grams:
         inner[ends - n] = inner[ends - 1] = False
         seq[inner] = np.concatenate([np.zeros(0, np.uint64), *[w.w for w in read]])
         del read
+        del inner
         self.ends, self.sizes = ends, n
-        self.into = np.arange(len(seq)) - np.repeat(ends - n, n)
-        words, word = np.unique(seq, return_inverse=True)
-        self.ids, self.hashes, self.last, self.before, self.suffix = [None, word], [None, words], [None, np.arange(len(words))], [None, None], [None, None]
+        words, word = _numbered(seq)
+        size = len(seq)
+        del seq
+        self.into = np.arange(size, dtype=np.int32) - np.repeat((ends - n).astype(np.int32), n)
+        self.ids, self.hashes, self.last, self.before, self.suffix = [None, word], [None, words], [None, np.arange(len(words), dtype=np.int32)], [None, None], [None, None]
         for k in range(2, order + 1):
-            at = np.flatnonzero(self.into >= k - 1)
-            key = self.ids[k - 1][at - 1] * len(words) + word[at]
-            u, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-            ids = np.full(len(seq), -1)
+            at = np.flatnonzero(self.into >= k - 1).astype(np.int32)
+            key = self.ids[k - 1][at - 1].astype(np.int64)
+            key *= len(words)
+            key += word[at]
+            u, inverse = _numbered(key)
+            del key
+            ids = np.full(size, -1, np.int32)
             ids[at] = inverse
-            before, last = u // max(1, len(words)), u % max(1, len(words))
+            some = np.empty(len(u), np.int32)
+            some[inverse] = at  # a place where each n-gram ends
+            del at, inverse
+            before, last = (u // max(1, len(words))).astype(np.int32), (u % max(1, len(words))).astype(np.int32)
             self.ids.append(ids)
             self.last.append(last)
             self.before.append(before)
-            self.suffix.append(self.ids[k - 1][at[first]])
+            self.suffix.append(self.ids[k - 1][some])
             self.hashes.append(mix64(self.hashes[k - 1][before] * STEP + words[last] + np.uint64(k)))
 
     def asked(self, k: int) -> np.ndarray:
@@ -146,6 +168,7 @@ def _requests(order: int, shards: int, size: int):
                 cols = [some.astype(np.int32), np.full(len(some), block), np.full(len(some), part, np.int32), np.full(len(some), k, np.int32)]
                 yield pa.record_batch([*map(pa.array, cols), pa.array([h[cut[s]:cut[s + 1]].astype("<u8").tobytes() for s in some], pa.binary()),
                                        pa.array([n[cut[s]:cut[s + 1]].tobytes() for s in some], pa.binary())], names=["shard", "block", "part", "k", "grams", "counts"])
+            del g, rows, train, at, h, n  # before the next slice is read
 
     return run
 
@@ -154,20 +177,30 @@ _ANSWER = "block long, part int, k int, shard int, counts binary, tokens long, t
 
 
 def _totals(t: pa.Table) -> pa.Table:
-    """Answers of a shard, and how many training tokens and distinct ones it has seen (a row without a block)."""
+    """Answers of a shard, a range of its hashes at a time, and how many training tokens and distinct ones it has seen (a row without a block)."""
     out, tokens, types = [], 0, 0
-    for k in sorted(set(t.column("k").to_pylist())):
-        rows = t.filter(pa.compute.equal(t.column("k"), k))
-        grams = [np.frombuffer(x, "<u8") for x in rows.column("grams").to_pylist()]
-        u, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-        n = np.bincount(inverse, weights=np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("counts").to_pylist()]), minlength=len(u))
-        if k == 1:
-            own = n[u != BEGIN]
-            tokens, types = int(own.sum()), int((own > 0).sum())
-        total, at = np.minimum(n, 2**32 - 1).astype("<u4")[inverse], 0
-        for block, part, shard, g in zip(rows.column("block").to_pylist(), rows.column("part").to_pylist(), rows.column("shard").to_pylist(), grams):
-            out.append((block, part, k, shard, total[at:at + len(g)].tobytes(), 0, 0))
-            at += len(g)
+    orders = np.array(t.column("k").to_pylist())
+    for k in np.unique(orders).tolist():
+        rows = t.take(np.flatnonzero(orders == k)).select(["block", "part", "shard"])
+        grams, counts = ([np.frombuffer(t.column(c)[int(i)].as_buffer(), kind) for i in np.flatnonzero(orders == k)] for c, kind in (("grams", "<u8"), ("counts", "<u4")))
+        total = [np.empty(len(g), "<u4") for g in grams]
+        low, high = min(int(g[0]) for g in grams), max(int(g[-1]) for g in grams) + 1
+        ranges = 1 + sum(map(len, grams)) // RANGE_GRAMS
+        at = [0] * len(grams)
+        for r in range(1, ranges + 1):
+            top = np.uint64(max(0, low + (high - low) * r // ranges - 1))
+            to = [int(np.searchsorted(g, top, side="right")) for g in grams]
+            u, inverse = _numbered(np.concatenate([g[i:j] for g, i, j in zip(grams, at, to)]))
+            n = np.bincount(inverse, weights=np.concatenate([c[i:j] for c, i, j in zip(counts, at, to)]), minlength=len(u))
+            if k == 1:
+                own = n[u != BEGIN]
+                tokens, types = tokens + int(own.sum()), types + int((own > 0).sum())
+            n, done = np.minimum(n, 2**32 - 1).astype("<u4")[inverse], 0
+            for x, i, j in zip(total, at, to):
+                x[i:j] = n[done:done + j - i]
+                done += j - i
+            at = to
+        out += [(*row, x.tobytes(), 0, 0) for row, x in zip(zip(rows.column("block").to_pylist(), rows.column("part").to_pylist(), [k] * len(total), rows.column("shard").to_pylist()), total)]
     out.append((None, None, None, None, None, tokens, types))
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
     return pa.table([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=["block", "part", "k", "shard", "counts", "tokens", "types"])
@@ -211,7 +244,7 @@ class Automaton:
             weight.append(np.log10(kappa / (counts[k][known] + kappa)))
             total += len(known)
         self.fail, self.weight = np.concatenate(fail), np.concatenate(weight)
-        keys, to, value = [], [], []
+        keys, to, value, low, c, number, known = [], [], [], None, None, None, None
         for k in range(1, order + 1):
             if k > 1:
                 low, c = p[k - 1][g.suffix[k]], counts[k - 1][g.before[k]]
@@ -221,7 +254,9 @@ class Automaton:
             keys.append(source * words + g.last[k][seen])
             to.append(state[k][seen] if k < order else state[k - 1][g.suffix[k][seen]] if k > 1 else np.zeros(len(seen), np.int64))
             value.append(np.log10(p[k][seen]))
-        self.table, self.to, self.value = IntTable(np.concatenate(keys)), np.concatenate(to), np.concatenate(value)
+        self.to, self.value, keys = np.concatenate(to), np.concatenate(value), np.concatenate(keys)
+        del to, value, p, low, c, seen, source, state, number, known
+        self.table = IntTable(keys)
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(next state, log10 weight) of reading a word in every state."""
@@ -280,6 +315,7 @@ def _scorer(folder: str, order: int, kappa: float, tokens: int, types: int, size
                     raise RuntimeError("a block changed between two scans")
                 c[g.asked(k)] = got
                 counts.append(c)
+            del z, c, got
             score = Automaton(g, counts, tokens, types, kappa).traverse(g, order, segment)
             c = counts[1][g.ids[1]]
             scored = g.into > 0
@@ -288,6 +324,7 @@ def _scorer(folder: str, order: int, kappa: float, tokens: int, types: int, size
             known = np.bincount(own, weights=c[scored] > 0, minlength=len(rows)).astype(np.int64)
             tags = pa.array([x.as_py() for _, _, x in rows], rows[0][2].type)
             yield pa.record_batch([tags, pa.array(g.sizes - 1), pa.array(known), pa.array(plain), pa.array(score)], names=["tag", "n_tokens", "n_known", "base_score", "score"])
+            del g, rows, counts, c, scored, own, plain, known, score, tags  # before the next slice is read
 
     return run
 

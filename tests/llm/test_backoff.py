@@ -137,3 +137,49 @@ def test_a_long_word_changes_no_other_word(spark, make, tmp_path):
     long = "y" * (1 << 20)
     words = B.Words([b"a", f"a {big}".encode(), f"a{long}b{long} b{long}a{long}".encode()])
     assert words.w[0] == words.w[1] and words.w[3] != words.w[4]
+
+
+def peak(f):
+    """(result, MB that numpy and Python held at most)."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_shard_is_added_up_in_bounded_memory(monkeypatch):
+    """Ranges of a shard's hashes give what the whole shard gives, for little memory besides the requests and answers."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    pool = np.append(r.integers(0, 1 << 64, 400_000, dtype=np.uint64), [np.uint64(0), np.uint64(2**64 - 1)])
+    rows = [(0, b, 0, k, np.sort(r.choice(pool, 100_000, replace=False)), r.integers(0, 5, 100_000).astype("<u4")) for b in range(20) for k in (1, 2)]
+    rows.append((0, 99, 0, 1, np.array([B.BEGIN]), np.array([7], "<u4")))
+    t = pa.table({c: pa.array(v, kind) for (c, kind), v in zip((("shard", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("k", pa.int32())), zip(*rows))}
+                 | {"grams": pa.array([x[4].tobytes() for x in rows], pa.binary()), "counts": pa.array([x[5].tobytes() for x in rows], pa.binary())})
+    got, mb = peak(lambda: B._totals(t))
+    assert mb < 80  # 159 MB in one go
+    total = {k: Counter() for k in (1, 2)}
+    for x in rows:
+        for h, n in zip(x[4].tolist(), x[5].tolist()):
+            total[x[3]][h] += n
+    answers = {(a["block"], a["k"]): np.frombuffer(a["counts"], "<u4").tolist() for a in got.to_pylist() if a["block"] is not None}
+    assert answers == {(x[1], x[3]): [total[x[3]][h] for h in x[4].tolist()] for x in rows}
+    own = {h: n for h, n in total[1].items() if h != int(B.BEGIN)}
+    last = got.to_pylist()[-1]
+    assert (last["block"], last["tokens"], last["types"]) == (None, sum(own.values()), sum(n > 0 for n in own.values()))
+    monkeypatch.setattr(B, "RANGE_GRAMS", 1 << 40)
+    assert B._totals(t).equals(got)
+
+
+def test_a_slice_is_read_in_bounded_memory():
+    words = (np.random.default_rng(3).pareto(0.5, (1300, 1000)) % 50_000).astype(int).astype(str)
+    texts = [" ".join(x).encode() for x in words]
+    g, mb = peak(lambda: B.Grams(texts, 2))
+    assert mb * 1e6 < 65 * len(g.into)  # 84 bytes a token before, 45 now
+    m = g.counts(2, np.ones(len(texts), bool))
+    a, mb = peak(lambda: B.Automaton(g, [None, g.counts(1, np.ones(len(texts), bool)), m], len(g.into), 50_000, 3.0))
+    assert mb * 1e6 < 125 * len(m)  # 152 bytes an n-gram before, 102 now
