@@ -21,19 +21,25 @@ share a member of their prefixes, the first ``n - ceil(n * num / den) + 1`` memb
 * Pairs pass a lower bound of their difference (each member flips one of ``64 * SKETCH`` bits, so
   the sets differ in at least as many members as their sketches do in bits) and are then verified
   on the whole sets.
+* Texts aren't shuffled. A row is named by its place, its number in its file; the places that are
+  needed again are written as lists of some ten thousand rows, and another scan looks its rows up.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gradus.llm.common import IntTable, components, mix64, save, ship_package
+from gradus.llm.common import IntTable, components, mix64, save, scratch_path, ship_package
+from gradus.llm.tokens import open_folder, put
 
 FREQUENT = 3e-4
 HOT = 128
@@ -43,6 +49,8 @@ SKETCH = 16
 PIVOTS = 8
 #: Bits of an n-gram's hash; the others hold its frequency class in the global order.
 HASH_BITS = 58
+#: Rows of a file whose numbers are listed together, as a power of two.
+LISTED = 16
 #: Byte tables: A-Z as a-z, and ASCII white space.
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint64)
 SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -186,7 +194,8 @@ def _records(order, width: int, num: int, den: int):
                 top = np.arange(len(h)) - np.repeat(ends - n, n) < np.repeat(size, n)
                 prefix, tops = h[top], np.cumsum(size)
                 yield pa.record_batch([batch.column(0).slice(first, len(texts)), pa.array(n), pa.array(set_ids(plain, ends), pa.binary()), pa.array(set_ids(prefix, tops), pa.binary()),
-                                       _lists(prefix.view(np.int64), tops, pa.int64()), _lists(sketch, np.arange(1, len(n) + 1) * SKETCH, pa.int64())], names=["doc_id", "n", "cid", "grp", "prefix", "sketch"])
+                                       _lists(prefix.view(np.int64), tops, pa.int64()), _lists(sketch, np.arange(1, len(n) + 1) * SKETCH, pa.int64()),
+                                       *[c.slice(first, len(texts)) for c in batch.columns[2:]]], names=["doc_id", "n", "cid", "grp", "prefix", "sketch", "block", "at"])
 
     return run
 
@@ -225,21 +234,89 @@ def slice_keys(h: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sets(width: int, num: int, den: int):
+def places(docs: DataFrame) -> list[Column]:
+    """(block: some rows of a file, at: number in the file) of every row of a scan."""
+    meta = docs.metadataColumn("_metadata")
+    return [F.xxhash64(meta["file_path"], F.shiftright(meta["row_index"], LISTED)).alias("block"), meta["row_index"].alias("at")]
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs``; other tables than scans, in which rows have no place or share one, are written first."""
+    try:
+        odd = docs.select(*places(docs)).groupBy("block", "at").agg(F.count("*").alias("k")).where("k > 1 or at is null")
+    except AnalysisException:
+        return save(docs, "join-docs")
+    return docs if odd.isEmpty() else save(docs, "join-docs")
+
+
+def _list_writer(folder: str):
+    def write(t: pa.Table) -> pa.Table:
+        block, at, code = t.column("block")[0].as_py(), t.column("at").to_numpy(), t.column("code").to_numpy()
+        order = np.argsort(at)
+        out = io.BytesIO()
+        np.savez_compressed(out, at=at[order], code=code[order])
+        put(folder, f"rows-{block}.npz", out.getvalue())
+        return pa.table({"block": pa.array([block], pa.int64())})
+
+    return write
+
+
+def listed(rows: DataFrame) -> str:
+    """The folder with the lists of ``rows`` (block, at, code int), one file a block that has any."""
+    folder = scratch_path(rows.sparkSession, "join-lists")
+    rows.select("block", "at", "code").groupBy("block").applyInArrow(_list_writer(folder), "block long").write.parquet(f"{folder}-list")
+    return folder
+
+
+class Lists:
+    """Looks rows up in the lists of a folder, which are read as their blocks come."""
+
+    def __init__(self, folder: str):
+        self.fs, self.base = open_folder(folder)
+        self.block, self.at, self.code = None, None, None
+
+    def codes(self, block: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The code of every row, 0 where it isn't listed."""
+        out = np.zeros(len(at), np.int32)
+        edges = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist() + [len(block)] if len(block) else []
+        for s, e in zip(edges[:-1], edges[1:]):
+            if block[s] != self.block:
+                self._read(int(block[s]))
+            if len(self.at):
+                i = np.minimum(np.searchsorted(self.at, at[s:e]), len(self.at) - 1)
+                out[s:e] = np.where(self.at[i] == at[s:e], self.code[i], 0)
+        return out
+
+    def _read(self, block: int) -> None:
+        path = f"{self.base}/rows-{block}.npz"
+        self.block, self.at, self.code = block, np.zeros(0, np.int64), np.zeros(0, np.int32)
+        if self.fs.get_file_info(path).type == pafs.FileType.File:
+            with self.fs.open_input_file(path) as f:
+                z = np.load(io.BytesIO(f.read()))
+                self.at, self.code = z["at"], z["code"]
+
+
+def _coder(folder: str):
+    def code(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        lists = Lists(folder)
+        for block, at in parts:
+            yield pd.Series(lists.codes(block.to_numpy(), at.to_numpy()))
+
+    return code
+
+
+def _sets(folder: str, width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = Lists(folder)
         for batch in batches:
-            wanted, hot = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for first, texts in slices_of(batch.column(1)):
+            code = lists.codes(batch.column(1).to_numpy(), batch.column(2).to_numpy())
+            hot = code[code > 0] > 1
+            for first, texts in slices_of(batch.column(0).filter(pa.array(code > 0))):
                 h, _, ends = Words(texts).shingles(width)
                 h, ends = distinct(h, ends)
-                cid, sets, keys = [], [], []
-                for i, c in enumerate(set_ids(h, ends)):
-                    if c == wanted[first + i]:
-                        own = h[ends[i - 1] if i else 0:ends[i]]
-                        cid.append(c)
-                        sets.append(own.view(np.int64))
-                        keys.append(slice_keys(own, num, den).view(np.int64) if hot[first + i] else np.zeros(0, np.int64))
-                yield pa.record_batch([pa.array(cid, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["cid", "members", "slices"])
+                own = [x.view(np.int64) for x in np.split(h, ends[:-1])]
+                keys = [slice_keys(x.view(np.uint64), num, den).view(np.int64) if k else np.zeros(0, np.int64) for x, k in zip(own, hot[first:])]
+                yield pa.record_batch([pa.array(set_ids(h, ends), pa.binary()), pa.array(own, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["cid", "members", "slices"])
 
     return run
 
@@ -328,56 +405,41 @@ def mixed_buckets(buckets: DataFrame, links: DataFrame) -> DataFrame:
     return save(own.join(per.where("parts > 1").select("bucket", F.col("m.c").alias("major")), "bucket"), "join-mixed")
 
 
-def _set_ids(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cid = []
-            for _, texts in slices_of(batch.column(1)):
-                h, _, ends = Words(texts).shingles(width)
-                cid += set_ids(*distinct(h, ends))
-            yield pa.record_batch([batch.column(0), pa.array(cid, pa.binary())], names=["packed", "cid"])
-
-    return run
-
-
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: of its smallest doc_id, and where rows repeat that id,
-    one of those. Rows without n-grams all stay. Rows are told apart by doc_id; only those whose id
-    is repeated or null are told apart by their sets."""
-    found = save(near_classes(docs, width, num, den, doc_id, text, detail=True), "join-found")
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("k"), F.max((F.col("n_shingles") == 0) | F.col("winner")).alias("stays"))
-    ids = save(ids.select(F.col("doc_id").alias("_id"), ((F.col("k") > 1) | F.col("doc_id").isNull()).alias("_twice"), "stays"), "join-ids")
-    same = docs[doc_id].eqNullSafe(ids["_id"])
-    plain = docs.join(ids.where("stays and not _twice"), same, "left_semi")
-    again = docs.join(ids.where("stays and _twice"), same, "left_semi")
-    packed = again.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("packed"), F.col(text).cast("binary").alias("text"))
-    schema = T.StructType([packed.schema["packed"], T.StructField("cid", T.BinaryType())])
-    again = packed.mapInArrow(_set_ids(width), schema).withColumn("id", F.col("packed").getField(doc_id))
-    some = found.where("winner").select(F.col("doc_id").alias("wid"), F.col("cid").alias("wcid")).distinct()
-    won = again.join(some, again["id"].eqNullSafe(some["wid"]) & (again["cid"] == some["wcid"])).dropDuplicates(["id", "cid"]).select("packed")
-    empty = found.where("n_shingles = 0").select(F.col("cid").alias("wcid")).distinct()
-    won = won.union(again.join(empty, again["cid"] == empty["wcid"], "left_semi").select("packed"))
-    return plain.union(won.select(*[F.col("packed").getField(c).alias(c) for c in docs.columns]))
-
-
-def near_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text", detail: bool = False) -> DataFrame:
+    one of those. Rows without n-grams all stay."""
+    docs = placed(docs)
+    found = save(_near(docs, width, num, den, doc_id, text), "join-found")
+    won = found.where("winner").groupBy("component_id", "cid").agg(F.min(F.struct("block", "at")).alias("row")).select("row.block", "row.at")
+    stay = found.where("n_shingles = 0").select("block", "at").union(won)
+    code = F.pandas_udf(_coder(listed(stay.withColumn("code", F.lit(1)))), "int")
+    return docs.where(code(*places(docs)) > 0)
+
+
+def near_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Words lie between ASCII white space, A-Z count as a-z; a text of fewer than ``width`` words has
     one n-gram, the whole sequence. Links: Jaccard similarity >= num / den. component_id is the
     smallest doc_id that links reach. Null and empty texts, or texts without words, have no n-gram
     and link with nothing. Repeated rows are copies of one another; a null doc_id takes part, and
-    a component without any doc_id has a null component_id. Other columns aren't read.
-    With ``detail`` also cid, the name of the row's set, and winner: whether that set stands for its component."""
+    a component without any doc_id has a null component_id. Other columns aren't read."""
+    return _near(placed(docs.select(doc_id, text)), width, num, den, doc_id, text).select("doc_id", "n_shingles", "component_id")
+
+
+def _near(docs: DataFrame, width: int, num: int, den: int, doc_id: str, text: str) -> DataFrame:
+    """``near_classes`` of placed rows, with each row's place, cid, the name of its set, and winner: whether the row's set
+    stands for its component."""
     spark = docs.sparkSession
     ship_package(spark)
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), *places(docs))
     order = spark.sparkContext.broadcast(Order(*frequent_words(d.select("text"), FREQUENT)))  # bounded, see there
     id_type = d.schema["doc_id"].dataType.simpleString()
-    rows = save(d.mapInArrow(_records(order, width, num, den), f"doc_id {id_type}, n long, cid binary, grp binary, prefix array<long>, sketch array<long>").withColumn("rid", F.monotonically_increasing_id()), "join-rows")
+    rows = save(d.mapInArrow(_records(order, width, num, den), f"doc_id {id_type}, n long, cid binary, grp binary, prefix array<long>, sketch array<long>, block long, at long").withColumn("rid", F.monotonically_increasing_id()), "join-rows")
     full = rows.where("n > 0")
-    classes = save(full.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("grp").alias("grp"),
-                                           F.first("sketch").alias("sketch")), "join-classes")
+    classes = full.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min(F.struct("rid", "block", "at")).alias("lead"), F.first("n").alias("n"), F.first("grp").alias("grp"),
+                                      F.first("sketch").alias("sketch"))
+    classes = save(classes.select("cid", "rep", "lead.rid", "lead.block", "lead.at", "n", "grp", "sketch"), "join-classes")
     groups = classes.groupBy("n", "grp").agg(F.count("*").alias("size"), F.min("cid").alias("only"), F.min("rid").alias("rid"))
     groups = save(groups.withColumn("grp", F.xxhash64("grp", "n")), "join-groups")
     # each group's prefix is read from its first row; rows that aren't one are few or many copies
@@ -396,15 +458,9 @@ def near_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, d
     hot = member.join(hot, "grp").select("cid").distinct()
     need = (hot.withColumn("hot", F.lit(True)).union(single.select("a", F.lit(False))).union(single.select("b", F.lit(False)))
             .union(buckets.select("cid", F.lit(False))).groupBy("cid").agg(F.max("hot").alias("hot")))
-    need = save(need.join(classes.select("cid", "rep", "n", "sketch"), "cid"), "join-need")
-    # texts come by doc_id; where rows repeat one or have none, by their set
-    odd = save(rows.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 or doc_id is null").select(F.col("doc_id").alias("id")), "join-odd")
-    same, by = F.col("rep").eqNullSafe(F.col("id")), need.select("cid", "rep", "hot")
-    plain = by.join(odd, same, "left_anti").hint("merge").join(d, F.col("doc_id") == F.col("rep")).select("cid", "text", "hot")
-    again = d.join(odd, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(F.struct("text").alias("packed"), "text")
-    again = again.mapInArrow(_set_ids(width), T.StructType([again.schema["packed"], T.StructField("cid", T.BinaryType())]))
-    again = by.join(odd, same, "left_semi").join(again, "cid").dropDuplicates(["cid"]).select("cid", "packed.text", "hot")
-    sets = save(plain.union(again).mapInArrow(_sets(width, num, den), "cid binary, members array<long>, slices array<long>"), "join-sets")
+    need = save(need.join(classes.select("cid", "block", "at", "n", "sketch"), "cid"), "join-need")
+    lists = listed(need.select("block", "at", F.when(F.col("hot"), 2).otherwise(1).alias("code")))
+    sets = save(d.select("text", "block", "at").mapInArrow(_sets(lists, width, num, den), "cid binary, members array<long>, slices array<long>"), "join-sets")
     slices = sets.select(F.explode("slices").alias("bucket"), "cid")
     buckets = save(buckets.union(slices), "join-buckets")
     many = buckets.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
@@ -427,7 +483,6 @@ def near_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, d
     named = classes.select("cid", "rep").join(comp, classes["cid"] == comp["node"], "left").select("cid", "rep", F.coalesce("component", "cid").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"), F.min(F.struct(F.col("rep").isNull(), "rep", "cid")).alias("w"))
     named = save(named.join(least, "c").select("cid", "component_id", (F.col("cid") == F.col("w.cid")).alias("wins")), "join-named")
-    out = rows.select("doc_id", "n", "cid").join(named, "cid", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cid",
-                     F.coalesce(F.col("wins") & F.col("doc_id").eqNullSafe(F.col("component_id")), F.lit(False)).alias("winner"))
-    return out if detail else out.drop("cid", "winner")
+    out = rows.select("doc_id", "n", "cid", "block", "at").join(named, "cid", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cid", "block", "at",
+                      F.coalesce(F.col("wins") & F.col("doc_id").eqNullSafe(F.col("component_id")), F.lit(False)).alias("winner"))

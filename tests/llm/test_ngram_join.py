@@ -136,3 +136,19 @@ def test_similar_sets_share_a_slice(num, den):
             y = np.concatenate([x[lost:], r.integers(0, 1 << 58, new if both * den >= (n + new) * num else 0, dtype=np.uint64)])
             if len(y):
                 assert set(J.slice_keys(x, num, den).tolist()) & set(J.slice_keys(np.sort(y), num, den).tolist())
+
+
+def test_no_text_is_moved(spark, make, rng, odd_rows, tmp_path):
+    """Rows that stay are found by their places: the result scans the documents without a join or shuffle. Tables
+    whose rows have no places, or share them, give the same rows."""
+    rows = odd_rows + [(50 + k, t, "en", "s", 1) for k, t in corpus(rng, 24)]
+    make(rows).repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    out = J.one_of_each(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    want = sorted(map(str, out.collect()))
+    again = docs.join(spark.range(2), how="cross").drop("id")
+    assert J.placed(docs) is docs and J.placed(again) is not again
+    empty = [str(r) for r in docs.collect() if not (r.text or "").split()]
+    assert sorted(map(str, J.one_of_each(again).collect())) == sorted(want + empty)
