@@ -49,6 +49,8 @@ SKETCH = 16
 PIVOTS = 8
 #: Bits of an n-gram's hash; the others hold its frequency class in the global order.
 HASH_BITS = 58
+#: Members of the sets that are compared in one bucket, on average.
+PLACE_MEMBERS = 250_000
 #: Rows of a file whose numbers are listed together, as a power of two.
 LISTED = 16
 #: Byte tables: A-Z as a-z, and ASCII white space.
@@ -275,16 +277,24 @@ class Lists:
         self.fs, self.base = open_folder(folder)
         self.block, self.at, self.code = None, None, None
 
-    def codes(self, block: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The code of every row, 0 where it isn't listed."""
-        out = np.zeros(len(at), np.int32)
+    def found(self, block: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, code) of every listing of every row, in the order of the rows."""
         edges = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist() + [len(block)] if len(block) else []
+        rows, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for s, e in zip(edges[:-1], edges[1:]):
             if block[s] != self.block:
                 self._read(int(block[s]))
-            if len(self.at):
-                i = np.minimum(np.searchsorted(self.at, at[s:e]), len(self.at) - 1)
-                out[s:e] = np.where(self.at[i] == at[s:e], self.code[i], 0)
+            last = np.searchsorted(self.at, at[s:e], side="right")
+            n = last - np.searchsorted(self.at, at[s:e])
+            rows.append(np.repeat(np.arange(s, e), n))
+            codes.append(self.code[np.repeat(last - np.cumsum(n), n) + np.arange(n.sum())])
+        return np.concatenate(rows), np.concatenate(codes)
+
+    def codes(self, block: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The code of every row, 0 where it isn't listed."""
+        out = np.zeros(len(at), np.int32)
+        rows, code = self.found(block, at)
+        out[rows] = code
         return out
 
     def _read(self, block: int) -> None:
@@ -370,18 +380,49 @@ def passing(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFra
     return j.where(near_enough("na", "nb", "xa", "xb", num, den)).select("a", "b")
 
 
+def _dealt(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = Lists(folder)
+        for batch in batches:
+            rows, buckets = lists.found(batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            for i in range(0, len(rows), 256):
+                at = pa.array(rows[i:i + 256])
+                yield pa.record_batch([pa.array(buckets[i:i + 256], pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], names=["bucket", "cid", "members"])
+
+    return run
+
+
+def _compare(num: int, den: int):
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        row = {c: i for i, c in enumerate(sets.column("cid").to_pylist())}
+        keep = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+            x, y = (sets.column("members")[row[c]].values.to_numpy() for c in (a, b))
+            both = np.sort(np.concatenate((x, y)), kind="stable")  # merges the two
+            shared = np.count_nonzero(both[1:] == both[:-1])
+            keep.append(shared * den >= (len(both) - shared) * num)
+        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar. Sets of no pair stay where they are when the names
-    in the written pairs are few enough for Spark to broadcast."""
-    pairs = save(pairs, "join-pairs")
-    named = pairs.select("a").union(pairs.select("b")).toDF("cid").distinct()
-    sets = sets.join(named, "cid", "left_semi")
-    side = lambda x: sets.select(F.col("cid").alias(x), F.col("members").alias(f"s{x}"))
-    # whole sets: too large to broadcast whatever their number here, so shuffled at every size
-    j = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
-    both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    union = F.size("sa") + F.size("sb") - both
-    return j.where(both * den >= union * num).select("a", "b")
+    """The pairs (a, b) whose whole sets are similar; ``sets`` is a written table. Pairs that hang together are
+    compared in one place, named by the smallest partner of the second set, so that a set moves once for its
+    neighbourhood, not once a pair. A place of many members is cut into cells of pairs, and cells are packed
+    into buckets of bounded size. Sets of no pair stay where they are."""
+    pairs = save(pairs.select("a", "b"), "join-pairs")
+    x = save(pairs.join(pairs.groupBy("b").agg(F.min("a").alias("place")), "b").select("a", "b", "place"), "join-places")
+    own = sets.select("cid", F.size("members").cast("long").alias("n"), *places(sets))
+    held = x.select("place", F.explode(F.array("a", "b")).alias("cid")).distinct().join(own.select("cid", "n"), "cid").groupBy("place").agg(F.sum("n").alias("held"))
+    cells = save(held.select("place", "held", F.floor(F.lit(1) + F.col("held") / PLACE_MEMBERS).alias("cells")), "join-cells")
+    buckets = 1 + int(cells.agg(F.sum(F.col("held") * F.col("cells"))).first()[0] or 0) // PLACE_MEMBERS
+    cell = F.xxhash64("place", F.pmod(F.xxhash64("a"), "cells"), F.pmod(F.xxhash64("b"), "cells"))
+    x = save(x.join(cells, "place").select("a", "b", F.pmod(cell, F.lit(buckets)).cast("int").alias("bucket")), "join-dealt")
+    ends = x.select("bucket", F.explode(F.array("a", "b")).alias("cid")).distinct()
+    lists = listed(ends.join(own, "cid").select("block", "at", F.col("bucket").alias("code")))
+    dealt = sets.select("cid", "members", *places(sets)).mapInArrow(_dealt(lists), "bucket int, cid binary, members array<long>")
+    return x.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(_compare(num, den), "a binary, b binary")
 
 
 def ordered(a, b):

@@ -152,3 +152,28 @@ def test_no_text_is_moved(spark, make, rng, odd_rows, tmp_path):
     assert J.placed(docs) is docs and J.placed(again) is not again
     empty = [str(r) for r in docs.collect() if not (r.text or "").split()]
     assert sorted(map(str, J.one_of_each(again).collect())) == sorted(want + empty)
+
+
+def test_sets_move_once_for_their_neighbourhood(spark, monkeypatch, tmp_path):
+    """Pairs of a clique, a star and single ones in cells and buckets of every size; a set goes to few buckets."""
+    r = np.random.default_rng(5)
+    sets = []
+    for i in range(60):
+        base = r.integers(0, 1 << 58, 50) if i % 20 == 0 else sets[i // 20 * 20]
+        sets.append(np.unique(np.concatenate([base[i % 20:], r.integers(0, 1 << 58, i % 4)])))
+    name = [f"{i:016d}".encode() for i in range(60)]
+    pairs = [(i, j) for i in range(20) for j in range(i + 1, 20)] + [(20, j) for j in range(21, 40)] + [(40 + i, 41 + i) for i in range(0, 20, 2)]
+    table = spark.createDataFrame([(c, s.tolist()) for c, s in zip(name, sets)], "cid binary, members array<long>")
+    table.repartition(3).write.parquet(str(tmp_path / "sets"))
+    table = spark.read.parquet(str(tmp_path / "sets"))
+    want = [(name[i], name[j]) for i, j in pairs if 10 * len(x := np.intersect1d(sets[i], sets[j])) >= 8 * (len(sets[i]) + len(sets[j]) - len(x))]
+    assert 5 < len(want) < len(pairs)
+    moved = []
+    real = J.listed
+    monkeypatch.setattr(J, "listed", lambda rows: (moved.append(rows.count()), real(rows))[1])
+    for most in (250_000, 400, 60):
+        monkeypatch.setattr(J, "PLACE_MEMBERS", most)
+        got = J.verified(spark.createDataFrame([(name[i], name[j]) for i, j in pairs], "a binary, b binary"), table, 8, 10)
+        assert sorted((bytes(x.a), bytes(x.b)) for x in got.collect()) == sorted(want)
+    assert moved[0] == 60  # 2 * 219 sets of pairs before
+    assert J.verified(spark.createDataFrame([], "a binary, b binary"), table, 8, 10).count() == 0
