@@ -18,9 +18,12 @@ share a member of their prefixes, the first ``n - ceil(n * num / den) + 1`` memb
   leave several components, with ``PIVOTS`` members outside the largest one, picked by hash; members still
   outside are compared with the bucket's members of other components. Links inside a component
   don't change it, so none is lost.
+* Prefix members are counted where they are packed: shards of the hash space get four bytes of a
+  member's hash beside its place, and give back those that several groups hold.
 * Pairs pass a lower bound of their difference (each member flips one of ``64 * SKETCH`` bits, so
-  the sets differ in at least as many members as their sketches do in bits) and are then verified
-  on the whole sets.
+  the sets differ in at least as many members as their sketches do in bits), then the same bound on
+  parities of four bits or more a member, which holds for long sets too, and are then verified
+  on the whole sets. So few sets move that aren't similar to another.
 * Texts aren't shuffled. A row is named by its place, its number in its file; the places that are
   needed again are written as lists of some ten thousand rows, and another scan looks its rows up.
 """
@@ -40,6 +43,7 @@ from pyspark.sql import functions as F
 
 from gradus.llm.common import IntTable, components, mix64, save, scratch_path, ship_package
 from gradus.llm.tokens import open_folder, put
+from gradus.sources.scratch import drop, keep, scratch_tables
 
 FREQUENT = 3e-4
 HOT = 128
@@ -51,6 +55,11 @@ PIVOTS = 8
 HASH_BITS = 58
 #: Members of the sets that are compared in one bucket, on average.
 PLACE_MEMBERS = 250_000
+#: Prefix members in a shard of the hash space on average, and those packed at once.
+SHARD_MEMBERS = 1_000_000
+PACKED_MEMBERS = 500_000
+#: Bytes and rows of text hashed at once.
+HASHED_BYTES, HASHED_ROWS = 1 << 19, 1000
 #: Rows of a file whose numbers are listed together, as a power of two.
 LISTED = 16
 #: Byte tables: A-Z as a-z, and ASCII white space.
@@ -104,14 +113,14 @@ class Words:
         return h >> np.uint64(64 - HASH_BITS), low, ends
 
 
-def slices_of(col: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, whole texts) of about ``most`` bytes at a time; null is empty."""
+def slices_of(col: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, whole texts) of about HASHED_BYTES and at most HASHED_ROWS at a time; null is empty."""
     first, held, size = 0, [], 0
     for i, x in enumerate(col):
         t = x.as_py() or b""
         held.append(t)
         size += len(t)
-        if size >= most:
+        if size >= HASHED_BYTES or len(held) >= HASHED_ROWS:
             yield first, held
             first, held, size = i + 1, [], 0
     if held:
@@ -266,8 +275,8 @@ def _list_writer(folder: str):
 def listed(rows: DataFrame) -> str:
     """The folder with the lists of ``rows`` (block, at, code int), one file a block that has any."""
     folder = scratch_path(rows.sparkSession, "join-lists")
-    rows.select("block", "at", "code").groupBy("block").applyInArrow(_list_writer(folder), "block long").write.parquet(f"{folder}-list")
-    return folder
+    save(rows.select("block", "at", "code").groupBy("block").applyInArrow(_list_writer(folder), "block long"), "join-listed")
+    return keep(folder)
 
 
 class Lists:
@@ -336,11 +345,65 @@ def _fits(a: str, b: str, num: int, den: int):
     return (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
 
 
-def group_pairs(groups: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs of groups g1, g2 that may hold similar sets; groups with a hot prefix member)."""
-    post = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "tok"))
-    df = save(post.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"), "join-df")
-    post = save(post.join(df, "tok"), "join-post")
+def _halves(x: np.ndarray) -> bytes:
+    """Numbers of 32 bits as all low and all high halves, which are often the same."""
+    return x.astype("<u4").view("<u2").reshape(-1, 2).T.tobytes()
+
+
+def _whole(halves: list[bytes]) -> np.ndarray:
+    parts = [np.frombuffer(x, "<u2").astype(np.int64).reshape(2, -1) for x in halves]
+    return np.concatenate([low | high << 16 for low, high in parts])
+
+
+def _to_shards(folder: str, shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = Lists(folder)
+        for batch in batches:
+            batch = batch.filter(pa.array(lists.codes(batch.column(3).to_numpy(), batch.column(4).to_numpy()) > 0))
+            rid, n, prefix = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            members, size = prefix.flatten().to_numpy(), np.diff(prefix.offsets.to_numpy())
+            ends = np.cumsum(size)
+            cuts = np.unique(np.concatenate([np.searchsorted(ends, np.arange(0, len(members), PACKED_MEMBERS)), np.flatnonzero(np.diff(rid >> 33)) + 1, [len(rid)]]))
+            for s, e in zip(np.append(0, cuts), cuts):
+                if s == e:
+                    continue
+                own = np.repeat(np.arange(s, e), size[s:e])
+                first = ends[s] - size[s]
+                pos = np.arange(len(own)) + first - (ends - size)[own]
+                h = mix64(members[first:ends[e - 1]].astype(np.uint64))
+                shard = ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
+                shard, low, at, pos = shard[order], h[order].astype("<u4"), (rid[own] & (1 << 33) - 1)[order], pos[order]
+                edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+                cells = [slice(i, j) for i, j in zip(edges[:-1], edges[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[edges[:-1]], pa.int32()), pa.array([int(rid[s] >> 33)] * len(cells), pa.int64()), pa.array([low[c].tobytes() for c in cells], pa.binary()),
+                                                  *[pa.array([_halves(x[c]) for c in cells], pa.binary()) for x in (at, n[own][order], pos)]], names=["shard", "part", "low", "at", "n", "pos"])
+
+    return run
+
+
+def _shared_members(table: pa.Table) -> pa.Table:
+    low = np.frombuffer(b"".join(table.column("low").to_pylist()), "<u4")
+    order = np.argsort(low, kind="stable")
+    low = low[order].astype(np.int64)
+    edges = np.flatnonzero(np.diff(low, prepend=-1, append=-1))
+    df = np.repeat(np.diff(edges), np.diff(edges))
+    use = df > 1
+    order = order[use]
+    part = np.repeat(table.column("part").to_numpy(), [len(x) // 4 for x in table.column("low").to_pylist()])[order]
+    at, n, pos = (_whole(table.column(c).to_pylist())[order] for c in ("at", "n", "pos"))
+    return pa.table({"tok": low[use] | table.column("shard")[0].as_py() << 32, "grp": at | part << 33, "n": n, "pos": pos, "df": df[use].astype(np.int64)})
+
+
+def group_pairs(groups: DataFrame, rows: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs of groups g1, g2 that may hold similar sets; groups with a hot prefix member). A group goes by the rid of its
+    first row, whose prefix stands for the group's. Members go by 32 bits of their hash beside their shard, so that a
+    few pairs more are found, which the filters drop."""
+    total = groups.agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
+    shards = 1 + int(total) // SHARD_MEMBERS
+    lists = listed(groups.select("block", "at", F.lit(1).alias("code")))
+    x = rows.select("rid", "n", "prefix", "block", "at").mapInArrow(_to_shards(lists, shards), "shard int, part long, low binary, at binary, n binary, pos binary")
+    post = save(x.groupBy("shard").applyInArrow(_shared_members, "tok long, grp long, n long, pos long, df long"), "join-post")
     hot = post.where(F.col("df") > HOT).select("grp").distinct()
     near = (post.where(F.col("df") <= HOT).groupBy("tok").agg(F.array_sort(F.collect_list(F.struct("n", "grp", "pos"))).alias("x")))
 
@@ -380,49 +443,89 @@ def passing(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFra
     return j.where(near_enough("na", "nb", "xa", "xb", num, den)).select("a", "b")
 
 
-def _dealt(folder: str):
+def _dealt(folder: str, kind):
+    """The sets of the listed rows as ``kind`` makes them of the members, once for each listing."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = Lists(folder)
         for batch in batches:
             rows, buckets = lists.found(batch.column(2).to_numpy(), batch.column(3).to_numpy())
             for i in range(0, len(rows), 256):
                 at = pa.array(rows[i:i + 256])
-                yield pa.record_batch([pa.array(buckets[i:i + 256], pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], names=["bucket", "cid", "members"])
+                yield pa.record_batch([pa.array(buckets[i:i + 256], pa.int32()), batch.column(0).take(at), kind(batch.column(1).take(at))], names=["bucket", "cid", "set"])
 
     return run
 
 
-def _compare(num: int, den: int):
+def _whole_sets(members: pa.Array) -> pa.Array:
+    return members
+
+
+def parity(members: np.ndarray) -> np.ndarray:
+    """Bytes of 2 ** k bits, four or more for each member: whether an odd number of members has that remainder."""
+    bits = 1 << max(6, (4 * len(members) - 1).bit_length())
+    odd = np.bincount((members & (bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def parities_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two parities differ; the longer one is folded. Their sets differ in as many members at least."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _parities(members: pa.Array) -> pa.Array:
+    return pa.array([parity(x.values.to_numpy()).tobytes() for x in members], pa.binary())
+
+
+def _compare(num: int, den: int, similar):
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         row = {c: i for i, c in enumerate(sets.column("cid").to_pylist())}
-        keep = []
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
-            x, y = (sets.column("members")[row[c]].values.to_numpy() for c in (a, b))
-            both = np.sort(np.concatenate((x, y)), kind="stable")  # merges the two
-            shared = np.count_nonzero(both[1:] == both[:-1])
-            keep.append(shared * den >= (len(both) - shared) * num)
+        held = sets.column("set").combine_chunks()
+        keep = [similar(held[row[a]], held[row[b]], na, nb, num, den) for a, b, na, nb in zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "na", "nb")))]
         return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar; ``sets`` is a written table. Pairs that hang together are
+def _may_be_similar(x, y, nx: int, ny: int, num: int, den: int) -> bool:
+    return parities_apart(*(np.frombuffer(p.as_buffer(), np.uint8) for p in (x, y))) * (den + num) <= (nx + ny) * (den - num)
+
+
+def _similar(x, y, nx: int, ny: int, num: int, den: int) -> bool:
+    both = np.sort(np.concatenate((x.values.to_numpy(), y.values.to_numpy())), kind="stable")  # merges the two
+    shared = np.count_nonzero(both[1:] == both[:-1])
+    return shared * den >= (len(both) - shared) * num
+
+
+def _met(pairs: DataFrame, sets: DataFrame, kind, schema: str, share: float, similar, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets, as ``kind`` makes them, are ``similar``. Pairs that hang together are
     compared in one place, named by the smallest partner of the second set, so that a set moves once for its
-    neighbourhood, not once a pair. A place of many members is cut into cells of pairs, and cells are packed
-    into buckets of bounded size. Sets of no pair stay where they are."""
-    pairs = save(pairs.select("a", "b"), "join-pairs")
+    neighbourhood, not once a pair. A place of many members, of which ``share`` counts, is cut into cells of
+    pairs, and cells are packed into buckets of bounded size. Sets of no pair stay where they are."""
     x = save(pairs.join(pairs.groupBy("b").agg(F.min("a").alias("place")), "b").select("a", "b", "place"), "join-places")
     own = sets.select("cid", F.size("members").cast("long").alias("n"), *places(sets))
-    held = x.select("place", F.explode(F.array("a", "b")).alias("cid")).distinct().join(own.select("cid", "n"), "cid").groupBy("place").agg(F.sum("n").alias("held"))
+    held = x.select("place", F.explode(F.array("a", "b")).alias("cid")).distinct().join(own.select("cid", "n"), "cid") \
+        .groupBy("place").agg((F.sum("n") * F.lit(share)).alias("held"))
     cells = save(held.select("place", "held", F.floor(F.lit(1) + F.col("held") / PLACE_MEMBERS).alias("cells")), "join-cells")
-    buckets = 1 + int(cells.agg(F.sum(F.col("held") * F.col("cells"))).first()[0] or 0) // PLACE_MEMBERS
+    buckets = 1 + int((cells.agg(F.sum(F.col("held") * F.col("cells"))).first()[0] or 0) // PLACE_MEMBERS)
     cell = F.xxhash64("place", F.pmod(F.xxhash64("a"), "cells"), F.pmod(F.xxhash64("b"), "cells"))
-    x = save(x.join(cells, "place").select("a", "b", F.pmod(cell, F.lit(buckets)).cast("int").alias("bucket")), "join-dealt")
+    x = save(x.join(cells, "place").select("a", "b", F.pmod(cell, F.lit(buckets)).cast("int").alias("bucket"))
+             .join(own.select(F.col("cid").alias("a"), F.col("n").alias("na")), "a").join(own.select(F.col("cid").alias("b"), F.col("n").alias("nb")), "b"), "join-dealt")
     ends = x.select("bucket", F.explode(F.array("a", "b")).alias("cid")).distinct()
     lists = listed(ends.join(own, "cid").select("block", "at", F.col("bucket").alias("code")))
-    dealt = sets.select("cid", "members", *places(sets)).mapInArrow(_dealt(lists), "bucket int, cid binary, members array<long>")
-    return x.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(_compare(num, den), "a binary, b binary")
+    dealt = sets.select("cid", "members", *places(sets)).mapInArrow(_dealt(lists, kind), f"bucket int, cid binary, set {schema}")
+    return x.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(_compare(num, den, similar), "a binary, b binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar; ``sets`` is a written table. The sets' parities meet first, an eighth of
+    the sets' size or less, and only the sets of pairs that they allow meet whole."""
+    pairs = save(pairs.select("a", "b"), "join-pairs")
+    near = save(_met(pairs, sets, _parities, "binary", 1 / 8, _may_be_similar, num, den), "join-near")
+    return _met(near, sets, _whole_sets, "array<long>", 1, _similar, num, den)
 
 
 def ordered(a, b):
@@ -450,10 +553,13 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, do
     """``docs`` with one row of each component: of its smallest doc_id, and where rows repeat that id,
     one of those. Rows without n-grams all stay."""
     docs = placed(docs)
-    found = save(_near(docs, width, num, den, doc_id, text), "join-found")
-    won = found.where("winner").groupBy("component_id", "cid").agg(F.min(F.struct("block", "at")).alias("row")).select("row.block", "row.at")
-    stay = found.where("n_shingles = 0").select("block", "at").union(won)
-    code = F.pandas_udf(_coder(listed(stay.withColumn("code", F.lit(1)))), "int")
+    with scratch_tables() as made:
+        found = save(_near(docs, width, num, den, doc_id, text), "join-found")
+        won = found.where("winner").groupBy("component_id", "cid").agg(F.min(F.struct("block", "at")).alias("row")).select("row.block", "row.at")
+        stay = found.where("n_shingles = 0").select("block", "at").union(won)
+    lists = listed(stay.withColumn("code", F.lit(1)))
+    drop(docs.sparkSession, made)
+    code = F.pandas_udf(_coder(lists), "int")
     return docs.where(code(*places(docs)) > 0)
 
 
@@ -477,21 +583,29 @@ def _near(docs: DataFrame, width: int, num: int, den: int, doc_id: str, text: st
     order = spark.sparkContext.broadcast(Order(*frequent_words(d.select("text"), FREQUENT)))  # bounded, see there
     id_type = d.schema["doc_id"].dataType.simpleString()
     rows = save(d.mapInArrow(_records(order, width, num, den), f"doc_id {id_type}, n long, cid binary, grp binary, prefix array<long>, sketch array<long>, block long, at long").withColumn("rid", F.monotonically_increasing_id()), "join-rows")
+    with scratch_tables() as made:
+        named = _named(d, rows, width, num, den)
+    named = save(named, "join-named")
+    drop(spark, made)
+    out = rows.select("doc_id", "n", "cid", "block", "at").join(named, "cid", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cid", "block", "at",
+                      F.coalesce(F.col("wins") & F.col("doc_id").eqNullSafe(F.col("component_id")), F.lit(False)).alias("winner"))
+
+
+def _named(d: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(cid, component_id, wins: whether the set stands for its component) of the sets of ``rows``, the records of the texts ``d``."""
     full = rows.where("n > 0")
     classes = full.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min(F.struct("rid", "block", "at")).alias("lead"), F.first("n").alias("n"), F.first("grp").alias("grp"),
                                       F.first("sketch").alias("sketch"))
     classes = save(classes.select("cid", "rep", "lead.rid", "lead.block", "lead.at", "n", "grp", "sketch"), "join-classes")
-    groups = classes.groupBy("n", "grp").agg(F.count("*").alias("size"), F.min("cid").alias("only"), F.min("rid").alias("rid"))
-    groups = save(groups.withColumn("grp", F.xxhash64("grp", "n")), "join-groups")
-    # each group's prefix is read from its first row; rows that aren't one are few or many copies
-    others = save(full.select("rid").join(groups.select("rid"), "rid", "left_anti"), "join-others")
-    leads = full.select("rid", "n", F.xxhash64("grp", "n").alias("grp"), "prefix").join(others, "rid", "left_anti")
+    # each group's prefix is read from its first row
+    groups = classes.groupBy("n", "grp").agg(F.count("*").alias("size"), F.min("cid").alias("only"), F.min(F.struct("rid", "block", "at")).alias("lead"))
+    groups = save(groups.select("n", F.xxhash64("grp", "n").alias("grp"), "size", "only", "lead.rid", "lead.block", "lead.at"), "join-groups")
     member = classes.select("cid", "n", F.xxhash64("grp", "n").alias("grp"))
-    cand, hot = group_pairs(leads, num, den)
-    size = groups.select("grp", "size", "only")
-    cand = (cand.join(size.select(F.col("grp").alias("g1"), F.col("size").alias("z1"), F.col("only").alias("o1")), "g1")
-            .join(size.select(F.col("grp").alias("g2"), F.col("size").alias("z2"), F.col("only").alias("o2")), "g2"))
-    cand = save(cand, "join-cand")
+    cand, hot = group_pairs(groups, full, num, den)
+    end = lambda i: groups.select(F.col("rid").alias(f"r{i}"), F.col("grp").alias(f"g{i}"), F.col("size").alias(f"z{i}"), F.col("only").alias(f"o{i}"))
+    cand = save(cand.select(F.col("g1").alias("r1"), F.col("g2").alias("r2")).join(end(1), "r1").join(end(2), "r2").drop("r1", "r2"), "join-cand")
+    hot = hot.join(groups.select(F.col("rid").alias("first"), F.col("grp").alias("name")), F.col("grp") == F.col("first")).select(F.col("name").alias("grp"))
     single = save(passing(cand.where("z1 = 1 and z2 = 1").select(*ordered(F.col("o1"), F.col("o2"))), classes, num, den), "join-single")
     several = cand.where("z1 > 1 or z2 > 1").withColumn("bucket", F.xxhash64("g1", "g2"))
     several = several.select("bucket", F.explode(F.array("g1", "g2")).alias("grp")).union(groups.where("size > 1").select(F.xxhash64("grp"), "grp"))
@@ -523,7 +637,4 @@ def _near(docs: DataFrame, width: int, num: int, den: int, doc_id: str, text: st
     comp = components(second.union(verified(more, sets, num, den)), "a", "b")
     named = classes.select("cid", "rep").join(comp, classes["cid"] == comp["node"], "left").select("cid", "rep", F.coalesce("component", "cid").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"), F.min(F.struct(F.col("rep").isNull(), "rep", "cid")).alias("w"))
-    named = save(named.join(least, "c").select("cid", "component_id", (F.col("cid") == F.col("w.cid")).alias("wins")), "join-named")
-    out = rows.select("doc_id", "n", "cid", "block", "at").join(named, "cid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cid", "block", "at",
-                      F.coalesce(F.col("wins") & F.col("doc_id").eqNullSafe(F.col("component_id")), F.lit(False)).alias("winner"))
+    return named.join(least, "c").select("cid", "component_id", (F.col("cid") == F.col("w.cid")).alias("wins"))

@@ -177,3 +177,46 @@ def test_sets_move_once_for_their_neighbourhood(spark, monkeypatch, tmp_path):
         assert sorted((bytes(x.a), bytes(x.b)) for x in got.collect()) == sorted(want)
     assert moved[0] == 60  # 2 * 219 sets of pairs before
     assert J.verified(spark.createDataFrame([], "a binary, b binary"), table, 8, 10).count() == 0
+
+
+def test_parities_are_a_bound():
+    """Sets of every pair of sizes differ in as many members as their parities do in bits, and unlike ones in many."""
+    r = np.random.default_rng(8)
+    for n in (1, 15, 16, 17, 900, 5000):
+        for share in (0.0, 0.1, 0.25, 1.0):
+            x = np.unique(r.integers(0, 1 << 58, n))
+            y = np.unique(np.concatenate([x[int(share * n):], r.integers(0, 1 << 58, int(share * n) // 2)]))
+            both, apart = len(np.union1d(x, y)) - len(np.intersect1d(x, y)), J.parities_apart(J.parity(x), J.parity(y))
+            assert apart <= both and J.parities_apart(J.parity(y), J.parity(x)) == apart
+            assert n < 900 or apart >= both / 2  # the 1,024 bits of a sketch show 550 of 7,500 at most
+
+
+def test_only_sets_of_similar_pairs_move_whole(spark, monkeypatch, tmp_path):
+    """Long sets that share half of their members: their sketches allow the pair, their parities don't."""
+    r = np.random.default_rng(6)
+    half = r.integers(0, 1 << 58, 3000)
+    sets = [np.unique(np.concatenate([half, r.integers(0, 1 << 58, 3000)])) for _ in range(12)]
+    sets.append(sets[0][100:])
+    name = [f"{i:016d}".encode() for i in range(13)]
+    spark.createDataFrame([(c, s.tolist()) for c, s in zip(name, sets)], "cid binary, members array<long>").write.parquet(str(tmp_path / "sets"))
+    table = spark.read.parquet(str(tmp_path / "sets"))
+    pairs = [(name[i], name[j]) for i in range(13) for j in range(i + 1, 13)]
+    moved = []
+    real = J.listed
+    monkeypatch.setattr(J, "listed", lambda rows: (moved.append(rows.count()), real(rows))[1])
+    got = J.verified(spark.createDataFrame(pairs, "a binary, b binary"), table, 8, 10)
+    assert [(bytes(x.a), bytes(x.b)) for x in got.collect()] == [(name[0], name[12])]
+    assert moved == [13, 2]  # whole sets: 13 before
+
+
+def test_scratch_tables_go_with_the_join(spark, make, rng):
+    """Of the join's tables only what the result reads is left, and no shuffle files."""
+    import os
+
+    from gradus.session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(base))
+    out = J.one_of_each(make([(k, t, "en", "s", 1) for k, t in corpus(rng, 24)]))
+    left = {x.split("-", 1)[1].rsplit("-", 1)[0] for x in set(os.listdir(base)) - before if x.startswith("gradus-")}
+    assert left <= {"join-docs", "join-lists", "join-listed"} and out.count()
