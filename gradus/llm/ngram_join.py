@@ -30,20 +30,19 @@ share a member of their prefixes, the first ``n - ceil(n * num / den) + 1`` memb
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm.common import IntTable, components, mix64, save, scratch_path, ship_package
-from gradus.llm.tokens import open_folder, put
-from gradus.sources.scratch import drop, keep, scratch_tables
+from gradus.llm.common import IntTable, components, mix64, save, ship_package
+from gradus.sources.places import Lists, listed, places
+from gradus.sources.scratch import drop, scratch_tables
 
 FREQUENT = 3e-4
 HOT = 128
@@ -60,8 +59,8 @@ SHARD_MEMBERS = 1_000_000
 PACKED_MEMBERS = 500_000
 #: Bytes and rows of text hashed at once.
 HASHED_BYTES, HASHED_ROWS = 1 << 19, 1000
-#: Rows of a file whose numbers are listed together, as a power of two.
-LISTED = 16
+#: Distinct words of texts that are counted at once, and rows in an Arrow batch at most.
+COUNTED_WORDS, BATCH_ROWS = 2_000_000, 2000
 #: Byte tables: A-Z as a-z, and ASCII white space.
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint64)
 SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -143,14 +142,22 @@ def distinct(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _word_counts(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size, rows = [], 0, 0
         for batch in batches:
-            own = []
+            rows += batch.num_rows
             for _, texts in slices_of(batch.column(0)):
                 words = Words(texts)
                 own.append(distinct(words.w, words.ends)[0])
-            u, n = np.unique(np.concatenate(own or [np.zeros(0, np.uint64)]), return_counts=True)
-            often = n >= share * batch.num_rows / 2  # a frequent word is frequent in some batch
-            yield pa.record_batch([pa.array(u[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["w", "n"])
+                size += len(own[-1])
+            if size >= COUNTED_WORDS:
+                yield frequent(own, rows)
+                own, size, rows = [], 0, 0
+        yield frequent(own, rows)
+
+    def frequent(own: list[np.ndarray], rows: int) -> pa.RecordBatch:
+        u, n = np.unique(np.concatenate(own or [np.zeros(0, np.uint64)]), return_counts=True)
+        often = n >= share * rows / 2  # a frequent word is frequent in some part
+        return pa.record_batch([pa.array(u[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["w", "n"])
 
     return run
 
@@ -245,10 +252,17 @@ def slice_keys(h: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def places(docs: DataFrame) -> list[Column]:
-    """(block: some rows of a file, at: number in the file) of every row of a scan."""
-    meta = docs.metadataColumn("_metadata")
-    return [F.xxhash64(meta["file_path"], F.shiftright(meta["row_index"], LISTED)).alias("block"), meta["row_index"].alias("at")]
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside get Arrow batches of few rows: whole texts wait in the memory of the JVM and of Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def placed(docs: DataFrame) -> DataFrame:
@@ -260,66 +274,11 @@ def placed(docs: DataFrame) -> DataFrame:
     return docs if odd.isEmpty() else save(docs, "join-docs")
 
 
-def _list_writer(folder: str):
-    def write(t: pa.Table) -> pa.Table:
-        block, at, code = t.column("block")[0].as_py(), t.column("at").to_numpy(), t.column("code").to_numpy()
-        order = np.argsort(at)
-        out = io.BytesIO()
-        np.savez_compressed(out, at=at[order], code=code[order])
-        put(folder, f"rows-{block}.npz", out.getvalue())
-        return pa.table({"block": pa.array([block], pa.int64())})
-
-    return write
-
-
-def listed(rows: DataFrame) -> str:
-    """The folder with the lists of ``rows`` (block, at, code int), one file a block that has any."""
-    folder = scratch_path(rows.sparkSession, "join-lists")
-    save(rows.select("block", "at", "code").groupBy("block").applyInArrow(_list_writer(folder), "block long"), "join-listed")
-    return keep(folder)
-
-
-class Lists:
-    """Looks rows up in the lists of a folder, which are read as their blocks come."""
-
-    def __init__(self, folder: str):
-        self.fs, self.base = open_folder(folder)
-        self.block, self.at, self.code = None, None, None
-
-    def found(self, block: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, code) of every listing of every row, in the order of the rows."""
-        edges = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist() + [len(block)] if len(block) else []
-        rows, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        for s, e in zip(edges[:-1], edges[1:]):
-            if block[s] != self.block:
-                self._read(int(block[s]))
-            last = np.searchsorted(self.at, at[s:e], side="right")
-            n = last - np.searchsorted(self.at, at[s:e])
-            rows.append(np.repeat(np.arange(s, e), n))
-            codes.append(self.code[np.repeat(last - np.cumsum(n), n) + np.arange(n.sum())])
-        return np.concatenate(rows), np.concatenate(codes)
-
-    def codes(self, block: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The code of every row, 0 where it isn't listed."""
-        out = np.zeros(len(at), np.int32)
-        rows, code = self.found(block, at)
-        out[rows] = code
-        return out
-
-    def _read(self, block: int) -> None:
-        path = f"{self.base}/rows-{block}.npz"
-        self.block, self.at, self.code = block, np.zeros(0, np.int64), np.zeros(0, np.int32)
-        if self.fs.get_file_info(path).type == pafs.FileType.File:
-            with self.fs.open_input_file(path) as f:
-                z = np.load(io.BytesIO(f.read()))
-                self.at, self.code = z["at"], z["code"]
-
-
 def _coder(folder: str):
     def code(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         lists = Lists(folder)
         for block, at in parts:
-            yield pd.Series(lists.codes(block.to_numpy(), at.to_numpy()))
+            yield pd.Series(lists.codes(block.to_numpy(), at.to_numpy()).astype(np.int32))
 
     return code
 
@@ -580,13 +539,14 @@ def _near(docs: DataFrame, width: int, num: int, den: int, doc_id: str, text: st
     spark = docs.sparkSession
     ship_package(spark)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), *places(docs))
-    order = spark.sparkContext.broadcast(Order(*frequent_words(d.select("text"), FREQUENT)))  # bounded, see there
-    id_type = d.schema["doc_id"].dataType.simpleString()
-    rows = save(d.mapInArrow(_records(order, width, num, den), f"doc_id {id_type}, n long, cid binary, grp binary, prefix array<long>, sketch array<long>, block long, at long").withColumn("rid", F.monotonically_increasing_id()), "join-rows")
-    with scratch_tables() as made:
-        named = _named(d, rows, width, num, den)
-    named = save(named, "join-named")
-    drop(spark, made)
+    with small_batches(spark):
+        order = spark.sparkContext.broadcast(Order(*frequent_words(d.select("text"), FREQUENT)))  # bounded, see there
+        id_type = d.schema["doc_id"].dataType.simpleString()
+        rows = save(d.mapInArrow(_records(order, width, num, den), f"doc_id {id_type}, n long, cid binary, grp binary, prefix array<long>, sketch array<long>, block long, at long").withColumn("rid", F.monotonically_increasing_id()), "join-rows")
+        with scratch_tables() as made:
+            named = _named(d, rows, width, num, den)
+        named = save(named, "join-named")
+        drop(spark, made)
     out = rows.select("doc_id", "n", "cid", "block", "at").join(named, "cid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cid", "block", "at",
                       F.coalesce(F.col("wins") & F.col("doc_id").eqNullSafe(F.col("component_id")), F.lit(False)).alias("winner"))

@@ -18,20 +18,18 @@ one that all executors reach through ``pyarrow.fs``.
 from __future__ import annotations
 
 import io
-import re
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradus.llm.common import mix64, save, ship_package
+from gradus.sources.scratch import open_folder, put
 
 SHARD_IDS = 8_000_000
 PART_KEYS = 500_000
@@ -41,19 +39,6 @@ NULL_KEY = np.uint64(0xA5A5_0F0F_3C3C_9999)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
-
-
-def put(uri: str, name: str, data: bytes) -> None:
-    fs, base = open_folder(uri)
-    fs.create_dir(base, recursive=True)
-    tmp = f"{base}/.{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(tmp) as out:
-        out.write(data)
-    fs.move(tmp, f"{base}/{name}")
-
-
 def _byte_letters() -> dict[int, int]:
     """Byte-level spelling: printable Latin-1 bytes stand for themselves, the others for U+0100 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}

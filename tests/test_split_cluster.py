@@ -297,3 +297,30 @@ def test_pairs_of_a_cluster_move_each_set_once(spark, monkeypatch):
         moved.append(count.value)
     assert got[0] == got[1] and len(got[0]) == 435 and {r[2] for r in got[0]} == {100}
     assert moved[0] == 30 and moved[1] <= 30 * 14
+
+
+def test_sets_of_a_scan_stay_where_they_are(spark, monkeypatch, tmp_path):
+    """Sets named by the places of their texts give the edges of the written ones; only places, names and counts are written,
+    and nothing is joined to a row that carries a set. Null and repeated ids, copies, null and empty texts."""
+    import random
+
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(1, base), (2, base[:70]), (3, base), (None, base), (None, base[:60]), (4, base[:70]), (4, base[:70]), (7, base[40:]), (7, ["x"] * 9)]
+    rows += [(10 + i, base[:rng.randrange(20, 80)] + [f"y{i}"] * rng.randrange(9)) for i in range(20)]
+    rows = [(i, " ".join(w)) for i, w in rows] + [(8, None), (9, None), (50, ""), (51, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    kept = []
+    real = C.materialize
+    plain = C.materialize(C.numbered(C.shingle_sets(docs, "doc_id", "text", md5=False)))
+    for mode in C.MODES:
+        want = sorted(map(tuple, C.identity_coverage_filter(C.shingle_candidates(plain, mode=mode), plain, mode=mode).collect()))
+        monkeypatch.setattr(C, "materialize", lambda df: kept.append(df.schema.simpleString()) or real(df))
+        sets = C.text_sets(docs, "doc_id", "text")
+        out = C.identity_coverage_filter(C.shingle_candidates(sets, mode=mode, positional=True), sets, mode=mode)
+        monkeypatch.setattr(C, "materialize", real)
+        assert sorted(map(tuple, out.collect())) == want and len(want) > 20
+        plan = out._jdf.queryExecution().analyzed().toString()
+        assert not [line for line in plan.splitlines() if "Join" in line and "hs#" in line]
+    assert not [k for k in kept if "hs:" in k]
