@@ -58,9 +58,9 @@ PLACE_MEMBERS = 250_000
 SHARD_MEMBERS = 1_000_000
 PACKED_MEMBERS = 500_000
 #: Bytes and rows of text hashed at once.
-HASHED_BYTES, HASHED_ROWS = 1 << 19, 1000
-#: Distinct words of texts that are counted at once, and rows in an Arrow batch at most.
-COUNTED_WORDS, BATCH_ROWS = 2_000_000, 2000
+HASHED_BYTES, HASHED_ROWS = 1 << 18, 1000
+#: Words of texts that are counted at once, and rows in an Arrow batch at most.
+COUNTED_WORDS, BATCH_ROWS = 500_000, 2000
 #: Byte tables: A-Z as a-z, and ASCII white space.
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint64)
 SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -142,7 +142,7 @@ def distinct(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _word_counts(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, size, rows = [], 0, 0
+        own, size, parts, rows = [], 0, [], 0
         for batch in batches:
             rows += batch.num_rows
             for _, texts in slices_of(batch.column(0)):
@@ -150,14 +150,19 @@ def _word_counts(share: float):
                 own.append(distinct(words.w, words.ends)[0])
                 size += len(own[-1])
             if size >= COUNTED_WORDS:
-                yield frequent(own, rows)
-                own, size, rows = [], 0, 0
-        yield frequent(own, rows)
-
-    def frequent(own: list[np.ndarray], rows: int) -> pa.RecordBatch:
-        u, n = np.unique(np.concatenate(own or [np.zeros(0, np.uint64)]), return_counts=True)
+                parts.append(np.unique(np.concatenate(own), return_counts=True))
+                own, size = [], 0
+                if sum(len(u) for u, _ in parts) >= 2 * COUNTED_WORDS:
+                    yield frequent(parts, rows)
+                    parts, rows = [], 0
+        parts.append(np.unique(np.concatenate(own or [np.zeros(0, np.uint64)]), return_counts=True))
+        yield frequent(parts, rows)
+
+    def frequent(parts: list[tuple[np.ndarray, np.ndarray]], rows: int) -> pa.RecordBatch:
+        u, at = np.unique(np.concatenate([u for u, _ in parts]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(u)).astype(np.int64)
         often = n >= share * rows / 2  # a frequent word is frequent in some part
-        return pa.record_batch([pa.array(u[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["w", "n"])
+        return pa.record_batch([pa.array(u[often].view(np.int64)), pa.array(n[often])], names=["w", "n"])
 
     return run
 
