@@ -116,8 +116,11 @@ class Grams:
 
     def counts(self, k: int, train: np.ndarray) -> np.ndarray:
         """How often each n-gram of order k occurs in the training texts."""
-        use = (self.ids[k] >= 0) & np.repeat(train, self.sizes)
-        return np.bincount(self.ids[k][use], minlength=len(self.hashes[k]))
+        use, out = np.repeat(train, self.sizes), np.zeros(len(self.hashes[k]), np.int64)
+        for i in range(0, len(use), 1 << 18):  # bincount holds 8 bytes for each token that it counts
+            own = self.ids[k][i:i + (1 << 18)]
+            out += np.bincount(own[(own >= 0) & use[i:i + (1 << 18)]], minlength=len(out))
+        return out
 
 
 class Slices:
